@@ -1,0 +1,7 @@
+"""DuckDB oracle SQL and the side-by-side checker."""
+
+
+def all_sql() -> dict[str, str]:
+    from . import oracle_features  # noqa: F401  (registers into SQL)
+    from .oracle_sql import SQL
+    return dict(SQL)
