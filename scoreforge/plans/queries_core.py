@@ -30,7 +30,7 @@ def _round_doubles(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if f.dataType.typeName() in ("double", "float"):
-            out.append(X.r6(f.name).alias(f.name))
+            out.append(X.r6(F.col(f"`{f.name}`")).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`"))
     return df.select(*out)
