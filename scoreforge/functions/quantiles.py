@@ -1,15 +1,19 @@
-"""Exact quantiles without gathering a column into one task.
-
-``percentile`` keeps every distinct value of a group in one task, which does
-not survive a 100 TB column.  ``exact_quantiles`` instead finds the needed
-order statistics by repeated histogram narrowing: each pass counts the rows
-of every open interval in ``buckets`` equal-width buckets (a partial
-aggregate, tiny shuffle), keeps the bucket holding the wanted rank and
-shrinks the interval to that bucket's min/max.  Once an interval holds at
-most ``gather_limit`` rows those rows are fetched and sorted on the driver,
-so no pass moves more than ``targets x buckets`` rows or ``gather_limit``
-values.  Linear interpolation between the two neighbouring order
-statistics, as ``quantile_cont`` / pandas ``quantile`` do.
+"""Exact quantiles without gathering a large group into one task.
+
+Per group (a column, or any key):
+
+* groups of at most ``sort_limit`` rows are sorted JVM-side inside one task
+  (``array_sort(collect_list(x))``, bounded by the limit) and only the needed
+  order statistics leave the executors;
+* larger groups use repeated histogram narrowing: each pass counts the rows
+  of every open interval in ``buckets`` equal-width buckets (a partial
+  aggregate, tiny shuffle), keeps the bucket holding the wanted rank and
+  shrinks the interval to that bucket's min/max.  Once an interval holds at
+  most ``sort_limit`` rows it is sorted like a small group.  No pass moves
+  more than ``intervals x buckets`` rows.
+
+Values are interpolated linearly between neighbouring order statistics, as
+``quantile_cont`` and pandas ``quantile`` do.  Nulls and NaN are left out.
 """
 
 from __future__ import annotations
@@ -17,105 +21,137 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(g, x) rows for the given numeric columns, nulls and NaN left out."""
     parts = [F.struct(F.lit(c).alias("g"), F.col(c).cast("double").alias("x")) for c in cols]
     long = df.select(F.explode(F.array(*parts)).alias("r")).select("r.g", "r.x")
     return long.where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], *,
-                    buckets: int = 1024, gather_limit: int = 200_000,
-                    max_passes: int = 64) -> dict[tuple[str, float], float | None]:
-    """{(column, p): value} with linear interpolation; None for an empty column."""
-    spark: SparkSession = df.sparkSession
-    long = _long_form(df, cols)
-    stats = {r["g"]: (r["n"], r["lo"], r["hi"]) for r in
-             long.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"),
-                                   F.max("x").alias("hi")).collect()}
-    # order statistics needed: (g, rank) -> value
-    wanted: dict[tuple[str, int], float | None] = {}
-    plan: dict[tuple[str, float], tuple] = {}
-    for c in cols:
-        n, lo, hi = stats.get(c, (0, None, None))
-        for p in probs:
-            if n == 0:
-                plan[(c, p)] = None
-                continue
-            pos = p * (n - 1)
-            r0 = int(math.floor(pos))
-            r1 = min(r0 + 1, n - 1)
-            plan[(c, p)] = (r0, r1, pos - r0)
-            wanted[(c, r0)] = None
-            wanted[(c, r1)] = None
-            if r0 == 0:
-                wanted[(c, r0)] = lo
-            if r1 == n - 1:
-                wanted[(c, r1)] = hi
-    # open intervals: tid -> [g, rank, a, b, below, count]
-    open_: dict[int, list] = {}
-    for i, ((g, rank), v) in enumerate(sorted(wanted.items())):
-        if v is None:
-            n, lo, hi = stats[g]
-            open_[i] = [g, rank, lo, hi, 0, n]
-    schema = T.StructType([T.StructField("tid", T.IntegerType()), T.StructField("g", T.StringType()),
+def _order_stats(long: DataFrame, wanted: dict[tuple, list[int]], key_cols: list[str]) -> dict[tuple, dict[int, float]]:
+    """For each key (tuple of key column values) the values at the given
+    zero-based ranks, from one sort per key inside one task."""
+    if not wanted:
+        return {}
+    keys = list(wanted)
+    kschema = T.StructType([T.StructField(f"k{i}", long.schema[c].dataType) for i, c in enumerate(key_cols)]
+                           + [T.StructField("ranks", T.ArrayType(T.IntegerType()))])
+    ranks = long.sparkSession.createDataFrame([(*k, sorted(set(wanted[k]))) for k in keys], kschema)
+    cond = [long[c] == ranks[f"k{i}"] for i, c in enumerate(key_cols)]
+    joined = long.join(F.broadcast(ranks), cond).select(*[F.col(f"k{i}") for i in range(len(key_cols))], "ranks", "x")
+    per = joined.groupBy(*[f"k{i}" for i in range(len(key_cols))], "ranks").agg(
+        F.array_sort(F.collect_list("x")).alias("xs"))
+    got = per.select(*[f"k{i}" for i in range(len(key_cols))], "ranks",
+                     F.transform("ranks", lambda r: F.element_at("xs", r + 1)).alias("vals")).collect()
+    out: dict[tuple, dict[int, float]] = {}
+    for r in got:
+        k = tuple(r[f"k{i}"] for i in range(len(key_cols)))
+        out[k] = dict(zip(r["ranks"], r["vals"]))
+    return out
+
+
+def grouped_order_statistics(long: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int], *,
+                             buckets: int = 1024, sort_limit: int = 1_000_000,
+                             max_passes: int = 64) -> dict[tuple[str, int], float]:
+    """Values of the given ranks per group ``g`` of a (g, x) frame."""
+    result: dict[tuple[str, int], float] = {}
+    small = {g: r for g, r in wanted.items() if counts[g] <= sort_limit}
+    for (g,), vals in _order_stats(long, {(g,): r for g, r in small.items()}, ["g"]).items():
+        for rank, v in vals.items():
+            result[(g, rank)] = v
+    big = {g: r for g, r in wanted.items() if counts[g] > sort_limit}
+    if not big:
+        return result
+    spark = long.sparkSession
+    stats = {r["g"]: (r["lo"], r["hi"]) for r in long.where(F.col("g").isin(list(big)))
+             .groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
+    # target (g, rank) -> interval [a, b] with `below` rows under a and `count` rows inside
+    targets = {(g, rank): (stats[g][0], stats[g][1], 0, counts[g]) for g, rs in big.items() for rank in rs}
+    schema = T.StructType([T.StructField("iid", T.IntegerType()), T.StructField("g", T.StringType()),
                            T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
-    passes = 0
-    while open_:
-        passes += 1
-        ivals = spark.createDataFrame([(t, v[0], float(v[2]), float(v[3])) for t, v in open_.items()], schema)
+    for _ in range(max_passes):
+        open_ = {k: v for k, v in targets.items() if v[0] != v[1] and v[3] > sort_limit}
+        for k, v in targets.items():
+            if v[0] == v[1]:
+                result[k] = v[0]
+        if not open_:
+            break
+        intervals = sorted({(k[0], v[0], v[1]) for k, v in open_.items()})
+        iid = {iv: i for i, iv in enumerate(intervals)}
+        ivals = spark.createDataFrame([(i, g, float(a), float(b)) for (g, a, b), i in iid.items()], schema)
         hits = long.join(F.broadcast(ivals), "g").where((F.col("x") >= F.col("a")) & (F.col("x") <= F.col("b")))
-        small = {t for t, v in open_.items() if v[5] <= gather_limit or v[2] == v[3]}
-        if small or passes > max_passes:
-            take = set(open_) if passes > max_passes else small
-            rows = (hits.where(F.col("tid").isin(list(take))).select("tid", "x").collect())
-            vals: dict[int, list[float]] = {}
-            for r in rows:
-                vals.setdefault(r["tid"], []).append(r["x"])
-            for t in take:
-                g, rank, a, b, below, cnt = open_.pop(t)
-                xs = sorted(vals.get(t, []))
-                wanted[(g, rank)] = xs[rank - below]
-            continue
-        width = F.col("b") - F.col("a")
-        bucket = F.least(F.floor((F.col("x") - F.col("a")) / width * F.lit(buckets)).cast("int"),
+        bucket = F.least(F.floor((F.col("x") - F.col("a")) / (F.col("b") - F.col("a")) * F.lit(buckets)).cast("int"),
                          F.lit(buckets - 1))
-        counts = (hits.groupBy("tid", bucket.alias("k"))
-                  .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-                  .collect())
-        per: dict[int, list] = {}
-        for r in counts:
-            per.setdefault(r["tid"], []).append((r["k"], r["n"], r["lo"], r["hi"]))
-        for t, v in list(open_.items()):
-            g, rank, a, b, below, cnt = v
+        hist: dict[int, list] = {}
+        for r in (hits.groupBy("iid", bucket.alias("k"))
+                  .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()):
+            hist.setdefault(r["iid"], []).append((r["k"], r["n"], r["lo"], r["hi"]))
+        for k, (a, b, below, _) in open_.items():
             acc = below
-            for k, n, lo, hi in sorted(per.get(t, [])):
-                if acc + n > rank:
-                    if lo == hi:
-                        wanted[(g, rank)] = lo
-                        open_.pop(t)
-                    else:
-                        open_[t] = [g, rank, lo, hi, acc, n]
+            for _, n, lo, hi in sorted(hist[iid[(k[0], a, b)]]):
+                if acc + n > k[1]:
+                    targets[k] = (lo, hi, acc, n)
                     break
                 acc += n
-            else:  # pragma: no cover - counts always cover the interval
-                raise RuntimeError("quantile interval lost its rank")
-    out: dict[tuple[str, float], float | None] = {}
-    for key, p_ in plan.items():
-        if p_ is None:
-            out[key] = None
+        targets = {k: v for k, v in targets.items() if k not in result}
+    # remaining intervals are small: sort each once
+    rest = {k: v for k, v in targets.items() if k not in result}
+    if rest:
+        sub_wanted: dict[tuple, list[int]] = {}
+        for (g, rank), (a, b, below, _) in rest.items():
+            sub_wanted.setdefault((g, a, b), []).append(rank - below)
+        keyed = long.join(F.broadcast(spark.createDataFrame(
+            [(g, float(a), float(b)) for g, a, b in sub_wanted], "g string, a double, b double")), "g") \
+            .where((F.col("x") >= F.col("a")) & (F.col("x") <= F.col("b")))
+        got = _order_stats(keyed, sub_wanted, ["g", "a", "b"])
+        for (g, rank), (a, b, below, _) in rest.items():
+            result[(g, rank)] = got[(g, a, b)][rank - below]
+    return result
+
+
+def grouped_quantiles(long: DataFrame, probs: Sequence[float], **kw) -> dict[tuple[str, float], float | None]:
+    """{(g, p): value} for every group of a (g, x) frame."""
+    counts = {r["g"]: r["n"] for r in long.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return _interpolate(long, counts, list(counts), probs, **kw)
+
+
+def _interpolate(long, counts, groups, probs, **kw):
+    wanted: dict[str, list[int]] = {}
+    plan = {}
+    for g in groups:
+        n = counts.get(g, 0)
+        for p in probs:
+            if n == 0:
+                plan[(g, p)] = None
+                continue
+            pos = p * (n - 1)
+            r0 = int(math.floor(pos))
+            r1 = min(r0 + 1, n - 1)
+            plan[(g, p)] = (r0, r1, pos - r0)
+            wanted.setdefault(g, []).extend([r0, r1])
+    stats = grouped_order_statistics(long, wanted, counts, **kw)
+    out = {}
+    for (g, p), pl in plan.items():
+        if pl is None:
+            out[(g, p)] = None
             continue
-        r0, r1, frac = p_
-        x0 = wanted[(key[0], r0)]
-        x1 = wanted[(key[0], r1)]
-        out[key] = x0 + (x1 - x0) * frac
+        r0, r1, frac = pl
+        x0, x1 = stats[(g, r0)], stats[(g, r1)]
+        out[(g, p)] = x0 + (x1 - x0) * frac
     return out
 
 
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict[tuple[str, float], float | None]:
+    """{(column, p): value} with linear interpolation; None for an empty column."""
+    long = long_form(df, cols)
+    counts = {r["g"]: r["n"] for r in long.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return _interpolate(long, counts, list(cols), probs, **kw)
+
+
 def exact_median(df: DataFrame, column: str) -> float | None:
     return exact_quantiles(df, [column], [0.5])[(column, 0.5)]
