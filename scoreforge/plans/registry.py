@@ -21,5 +21,5 @@ def query(name: str):
 
 def all_queries() -> dict[str, QueryFn]:
     # importing the modules registers their queries
-    from . import queries_core, queries_drift, queries_features, queries_io  # noqa: F401
+    from . import queries_core, queries_drift, queries_features, queries_io, queries_monitor  # noqa: F401
     return dict(REGISTRY)
