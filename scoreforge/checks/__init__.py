@@ -2,6 +2,6 @@
 
 
 def all_sql() -> dict[str, str]:
-    from . import oracle_drift, oracle_features, oracle_io, oracle_monitor  # noqa: F401  (registers into SQL)
+    from . import oracle_drift, oracle_features, oracle_io, oracle_model, oracle_monitor  # noqa: F401
     from .oracle_sql import SQL
     return dict(SQL)

@@ -21,5 +21,6 @@ def query(name: str):
 
 def all_queries() -> dict[str, QueryFn]:
     # importing the modules registers their queries
-    from . import queries_core, queries_drift, queries_features, queries_io, queries_monitor  # noqa: F401
+    from . import (queries_core, queries_drift, queries_features, queries_io, queries_model,  # noqa: F401
+                   queries_monitor)
     return dict(REGISTRY)
