@@ -107,3 +107,5 @@ allc AS (SELECT "column", drifted FROM num UNION ALL SELECT "column", drifted FR
 SELECT count(*) AS n_columns, count(*) FILTER (WHERE drifted) AS n_drifted,
   {r6('avg(CAST(drifted AS DOUBLE))')} AS share_drifted, avg(CAST(drifted AS DOUBLE)) >= 0.5 AS dataset_drift
 FROM allc""")
+
+q("s12_json_summary_sink", numeric_drift_sql(SHIP_SPLIT, LNUM))

@@ -75,3 +75,9 @@ SELECT ds, n_rows,
   CASE WHEN try_strptime(ds, '%Y-%m-%d') IS NULL THEN 'skipped'
        WHEN CAST(ds AS DATE) < DATE '2024-01-31' - INTERVAL 7 DAY THEN 'expired' ELSE 'kept' END AS status
 FROM (SELECT strftime(ts, '%Y-%m-%d') AS ds, count(*) AS n_rows FROM events GROUP BY 1)""")
+
+q("t6_stream_log", f"""
+WITH {LOG.strip()}
+SELECT id AS event_id, 'U' || CAST(e.user_id AS VARCHAR) AS gid, e.props AS payload_json, {r6('prediction')} AS prediction,
+  confidence, CAST(NULL AS VARCHAR) AS explanation_summary, created_at, ds
+FROM log2 JOIN events e ON log2.id = e.event_id""")

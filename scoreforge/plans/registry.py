@@ -22,5 +22,5 @@ def query(name: str):
 def all_queries() -> dict[str, QueryFn]:
     # importing the modules registers their queries
     from . import (queries_core, queries_drift, queries_features, queries_io, queries_model,  # noqa: F401
-                   queries_monitor)
+                   queries_monitor, queries_stream)
     return dict(REGISTRY)
