@@ -196,3 +196,14 @@ p AS (SELECT id, greatest(least(0.5 + ({_lin}), 1.0), 0.0) AS p FROM scaled)
 SELECT id, {r6('round(p * 10000.0) / 10000.0')} AS prediction,
   CASE WHEN p > 0.7 THEN 'High' WHEN p > 0.4 THEN 'Medium' ELSE 'Low' END AS confidence
 FROM p""")
+
+_fw = {"l_quantity": 0.12, "l_extendedprice": 0.10, "l_discount": -0.08, "l_tax": 0.05}
+_flin = " + ".join(f"CAST({w!r} AS DOUBLE) * {c}" for c, w in _fw.items())
+q("flagship_tier_summary", f"""
+WITH li AS (SELECT *, {LINE_ID} AS lid FROM lineitem), {standardized_cte('li', 'li', LNUM, 'lid')},
+sc AS (SELECT s.id, greatest(least(0.5 + ({_flin}), 1.0), 0.0) AS score FROM scaled s),
+j AS (SELECT score, y FROM sc JOIN (SELECT {LINE_ID} AS id, l_tax * 10 AS y FROM lineitem) l ON sc.id = l.id)
+SELECT CASE WHEN score > 0.7 THEN 'High' WHEN score > 0.4 THEN 'Medium' ELSE 'Low' END AS tier, count(*) AS n,
+  {r6('avg(score)')} AS mean_score, {r6('min(score)')} AS min_score, {r6('max(score)')} AS max_score,
+  {r6('sqrt(avg((score - y) * (score - y)))')} AS rmse, {r6('avg(abs(score - y))')} AS mae
+FROM j GROUP BY 1""")

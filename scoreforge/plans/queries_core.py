@@ -250,3 +250,9 @@ def e6(spark, sf_dir):
     names = V.LINE_CATEGORICAL + V.LINE_NUMERIC
     aligned = c.select("id", F.posexplode(E.align_names(shap, values, names)).alias("idx", "item"))
     return _round_doubles(aligned.select("id", "idx", "item.feature", "item.value", "item.shap"))
+
+
+@query("flagship_tier_summary")
+def flagship_q(spark, sf_dir):
+    from .flagship import flagship
+    return flagship(spark, sf_dir)
