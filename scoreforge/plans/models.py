@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ def prepare_cases(t: Tables, val_pct: int = 10, test_pct: int = 20) -> Prepared:
     cases = MD.hash_split(V.cases(t, with_target=True), "case_id", test_pct, val_pct)
     fitted = case_pipeline().fit(cases.where(F.col("split") == "train"))
     data = fitted.transform(cases).select("case_id", "split", "features", V.CASE_TARGET)
+    # iterative fits and explanations re-read this frame many times: persist it once
+    data = data.persist(StorageLevel.MEMORY_AND_DISK)
     return Prepared(data, fitted, fitted.feature_names())
 
 
@@ -55,7 +58,6 @@ def train_job(spark: SparkSession, t: Tables, params: dict | None = None, out: s
     """Features -> fit with validation -> test metrics -> importance ->
     save -> reload check; returns a (metric, value) table."""
     p = prepare_cases(t)
-    p.data.persist()
     fm = fit_model(p, params)
     test = fm.predict(p.data.where(F.col("split") == "test"))
     metrics = M.regression_metrics(test, V.CASE_TARGET, "prediction").first().asDict()
