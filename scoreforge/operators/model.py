@@ -166,13 +166,62 @@ def tune(df: DataFrame, key: str, features: str, label: str, space: dict, n_draw
 
 
 # ---------------------------------------------------------------------- M6
-def feature_importance(fm: FittedModel, spark: SparkSession, names: Sequence[str] | None = None) -> DataFrame:
-    """M6: Spark's gain-based importance per named feature."""
+def feature_importance(fm: FittedModel, spark: SparkSession, names: Sequence[str] | None = None,
+                       importance_type: str = "gain", data: DataFrame | None = None, key: str | None = None,
+                       label: str | None = None, features: str = "features") -> DataFrame:
+    """M6: importance per named feature.  ``gain``: Spark's split-gain
+    importance.  ``permutation``: increase of RMSE on ``data`` when one
+    feature's column is permuted (the loss-change importance)."""
     names = list(names or fm.feature_names)
-    imp = fm.model.featureImportances.toArray()
-    if len(names) != len(imp):
-        names = [f"feature_{i}" for i in range(len(imp))]
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double")
+    n_model = fm.model.numFeatures
+    if len(names) != n_model:
+        names = [f"feature_{i}" for i in range(n_model)]
+    if importance_type == "gain":
+        imp = fm.model.featureImportances.toArray()
+        return spark.createDataFrame([(n, float(v)) for n, v in zip(names, imp)], "feature string, importance double")
+    if importance_type != "permutation":
+        raise ValueError(f"unknown importance type {importance_type!r}")
+    if data is None or key is None or label is None:
+        raise ValueError("permutation importance needs data, key and label")
+    return permutation_importance(fm, data, key, label, names, features)
+
+
+def permutation_importance(fm: FittedModel, data: DataFrame, key: str, label: str, names: Sequence[str],
+                           features: str = "features", bucket_rows: int = 200_000, seed: int = 42) -> DataFrame:
+    """RMSE increase per permuted feature, all features in one scoring pass.
+
+    Rows are dealt into random buckets of about ``bucket_rows`` (xxhash64 of
+    the key) and, inside a bucket, take their partner's values from the next
+    row in hash order (cyclic): a random permutation computed by a window per
+    bucket, never per table.  Each row then yields the unchanged vector and
+    one vector per feature with that feature taken from the partner; one
+    model pass scores them all and a partial aggregate per feature gives
+    the RMSE."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.sql import Window
+    d = len(names)
+    n = data.count()
+    buckets = max(1, -(-n // bucket_rows))
+    base = data.select(F.col(key).alias("__k"), F.col(label).cast("double").alias("__y"),
+                       vector_to_array(F.col(features)).alias("__x"))
+    h = F.xxhash64("__k", F.lit(seed))
+    base = base.withColumn("__h", h).withColumn("__bk", F.pmod(F.col("__h"), F.lit(buckets)))
+    w = Window.partitionBy("__bk").orderBy("__h", "__k")
+    partner = F.coalesce(F.lead("__x").over(w), F.first("__x").over(w.rowsBetween(Window.unboundedPreceding,
+                                                                                  Window.unboundedFollowing)))
+    paired = base.withColumn("__p", partner)
+    variants = paired.select("__y", F.explode(F.sequence(F.lit(-1), F.lit(d - 1))).alias("__j"), "__x", "__p")
+    vec = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
+                      lambda i: F.when(i == F.col("__j"), F.element_at("__p", i + 1)).otherwise(F.element_at("__x", i + 1)))
+    scored = fm.predict(variants.select("__y", "__j", array_to_vector(vec).alias(features)), features, "__pred",
+                        clip=False)
+    err = scored.groupBy("__j").agg(F.sqrt(F.avg((F.col("__pred") - F.col("__y")) ** 2)).alias("rmse"))
+    # the unpermuted RMSE sits in row -1 of this (features + 1)-row result
+    base_rmse = F.max(F.when(F.col("__j") == -1, F.col("rmse"))).over(Window.partitionBy())
+    name_arr = F.array(*[F.lit(x) for x in names])
+    return (err.withColumn("base_rmse", base_rmse).where(F.col("__j") >= 0)
+            .select(F.element_at(name_arr, F.col("__j") + 1).alias("feature"),
+                    (F.col("rmse") - F.col("base_rmse")).alias("importance")))
 
 
 # ---------------------------------------------------------------------- M7/M8
@@ -266,7 +315,8 @@ def bundle_check(meta_features: DataFrame, state_features: DataFrame, name: str
     spark = meta_features.sparkSession
     a = meta_features.select(F.col(name).alias("item")).distinct()
     b = state_features.select(F.col(name).alias("item")).distinct()
-    counts = a.agg(F.count(F.lit(1)).alias("na")).crossJoin(b.agg(F.count(F.lit(1)).alias("nb")))
+    sides = a.select(F.lit(1).alias("s")).unionByName(b.select(F.lit(2).alias("s")))
+    counts = sides.agg(F.count_if(F.col("s") == 1).alias("na"), F.count_if(F.col("s") == 2).alias("nb"))
     count_row = counts.where(F.col("na") != F.col("nb")).select(
         F.lit("error").alias("severity"), F.lit("feature_count").alias("kind"),
         F.format_string("metadata=%d state=%d", "na", "nb").alias("item"))

@@ -1,7 +1,7 @@
 """Model-agnostic sampled contributions (E2): permutation-sampling Shapley.
 
 For every row and each of ``permutations`` draws, a feature order and one
-background row are chosen from md5 hashes of (key, draw); walking the order,
+background row are chosen from xxhash64 of (key, draw); walking the order,
 feature j's contribution is f(x on the first k+1 ordered features, background
 elsewhere) - f(x on the first k).  Averaging the draws estimates the
 Shapley values; ``expected_value`` is the mean score of the background rows.
@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -25,45 +25,45 @@ from ..functions import exprs as X
 
 def sampled_contributions(df: DataFrame, key: str, features: str, score: Callable[[DataFrame], DataFrame],
                           names: Sequence[str], background: int = 100, permutations: int = 16,
-                          prediction: str = "prediction") -> DataFrame:
+                          prediction: str = "prediction", seed: int = 42) -> DataFrame:
     """Long (key, feature, value, shap, expected_value); ``to_wide`` for arrays."""
     d = len(names)
     x = df.select(F.col(key).alias("__k"), vector_to_array(F.col(features)).alias("__x"))
-    bg = (x.withColumn("__h", X.hash_int(F.col("__k").cast("string"))).orderBy("__h", "__k").limit(background)
-          .select(F.row_number().over(Window.orderBy("__h", "__k")).alias("__b"), F.col("__x").alias("__z")))
-    nbg = bg.count()
-    bg = bg.withColumn("__b", F.col("__b") - 1)
+    # the background: at most `background` real rows with the smallest key hash (TakeOrderedAndProject),
+    # gathered once (a proven bound) and broadcast by index
+    spark = df.sparkSession
+    picked = (x.withColumn("__h", X.hash_int(F.col("__k").cast("string"))).orderBy("__h", "__k")
+              .limit(background).select("__x").collect())
+    nbg = len(picked)
+    bg = spark.createDataFrame([(i, r["__x"]) for i, r in enumerate(picked)], "__b long, __z array<double>")
     base = score(bg.select(array_to_vector("__z").alias(features))).agg(F.avg(prediction)).first()[0]
 
-    draw_key = F.concat_ws("#", F.col("__k").cast("string"), F.col("__m").cast("string"))
+    # deterministic draws (xxhash64 of key and draw number): a recomputed task draws the same
     draws = (x.select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("__m"))
-             .withColumn("__b", F.pmod(X.hash_int(draw_key), F.lit(nbg)))
+             .withColumn("__dh", F.xxhash64("__k", "__m", F.lit(seed)))
+             .withColumn("__b", F.pmod(F.col("__dh"), F.lit(nbg)))
              .join(F.broadcast(bg), "__b"))
-    # feature order of the draw and each feature's position in it
-    keyed = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                        lambda j: F.struct(X.hash_int(F.concat_ws("#", draw_key, j.cast("string"))).alias("h"),
-                                           j.alias("j")))
-    draws = draws.withColumn("__perm", F.transform(F.sort_array(keyed), lambda s: s["j"]))
-    draws = draws.withColumn("__pos", F.transform(
-        F.sort_array(F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                                 lambda k: F.struct(F.element_at("__perm", k + 1).alias("j"), k.alias("k")))),
-        lambda s: s["k"]))
+    # feature order of the draw and each feature's position in it; the feature count is known when the
+    # plan is built, so every per-feature step is an explicit expression (codegen, no lambdas)
+    js = range(d)
+    draws = draws.withColumn("__perm", F.sort_array(F.array(*[
+        F.struct(F.xxhash64(F.col("__dh"), F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in js]))["j"])
+    draws = draws.withColumn("__pos", F.sort_array(F.array(*[
+        F.struct(F.col("__perm")[k].alias("j"), F.lit(k).alias("k")) for k in js]))["k"])
     steps = draws.select("__k", "__perm", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("__s"), "__x", "__z",
                          "__pos")
-    mixed = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                        lambda j: F.when(F.element_at("__pos", j + 1) < F.col("__s"), F.element_at("__x", j + 1))
-                        .otherwise(F.element_at("__z", j + 1)))
+    mixed = F.array(*[F.when(F.col("__pos")[j] < F.col("__s"), F.col("__x")[j]).otherwise(F.col("__z")[j])
+                      for j in js])
     scored = score(steps.select("__k", "__perm", "__s", "__x", array_to_vector(mixed).alias(features)))
     # step s adds feature perm[s-1] (gains +f_s) and is the base of perm[s] (loses f_s): summing these signed
     # scores per (row, feature) telescopes to the sum of marginal contributions.  All steps of a row are made
     # in one task, so the partial aggregate collapses them before the shuffle.
     p = F.col(prediction)
     s_ = F.col("__s")
-    signed = F.filter(F.array(
-        F.struct(F.when(s_ >= 1, F.element_at("__perm", F.greatest(s_, F.lit(1)))).alias("j"), p.alias("v")),
-        F.struct(F.when(s_ < d, F.element_at("__perm", F.least(s_ + 1, F.lit(d)))).alias("j"), (-p).alias("v"))),
-        lambda e: e["j"].isNotNull())
-    parts = scored.select("__k", "__x", F.inline(signed))
+    signed = F.array(
+        F.struct(F.when(s_ >= 1, F.col("__perm")[F.greatest(s_ - 1, F.lit(0))]).alias("j"), p.alias("v")),
+        F.struct(F.when(s_ < d, F.col("__perm")[F.least(s_, F.lit(d - 1))]).alias("j"), (-p).alias("v")))
+    parts = scored.select("__k", "__x", F.inline(signed)).where(F.col("j").isNotNull())
     name_arr = F.array(*[F.lit(n) for n in names])
     out = parts.groupBy("__k", "j").agg((F.sum("v") / F.lit(float(permutations))).alias("shap"),
                                         F.first(F.element_at("__x", F.col("j") + 1)).alias("value"))

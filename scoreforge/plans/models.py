@@ -22,7 +22,7 @@ from ..sources import views as V
 from ..sources.tables import Tables
 
 # small settings for the registered checks; production callers pass their own
-QUICK_PARAMS = {"maxIter": 30, "maxDepth": 4, "stepSize": 0.1, "maxBins": 64, "seed": 42}
+QUICK_PARAMS = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "maxBins": 32, "seed": 42}
 
 
 def case_pipeline() -> FT.FeaturePipeline:

@@ -56,8 +56,12 @@ def m5(spark, sf_dir):
 def m6(spark, sf_dir):
     p = J.prepare_cases(_t(spark, sf_dir))
     fm = J.fit_model(p)
-    imp = MD.feature_importance(fm, spark)
-    return imp.join(p.features.catalog(spark).withColumnRenamed("name", "feature"), "feature", "left")
+    gain = MD.feature_importance(fm, spark).withColumn("type", F.lit("gain"))
+    test = p.data.where(F.col("split") == "test")
+    perm = MD.feature_importance(fm, spark, importance_type="permutation", data=test, key="case_id",
+                                 label=V.CASE_TARGET).withColumn("type", F.lit("permutation"))
+    cat = p.features.catalog(spark).withColumnRenamed("name", "feature")
+    return gain.unionByName(perm).join(F.broadcast(cat), "feature", "left")
 
 
 @query("m7_model_save_load")

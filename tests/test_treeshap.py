@@ -49,3 +49,32 @@ def test_additivity_on_spark_gbt(spark, tmp_path):
     s = F.aggregate("contrib", F.lit(0.0), lambda acc, c: acc + c["shap"])
     worst = contrib.join(raw, "id").agg(F.max(F.abs(F.col("expected_value") + s - F.col("p")))).first()[0]
     assert worst < 1e-6
+
+
+def test_permutation_importance_and_sampled_shap(spark, tmp_path):
+    from pyspark.ml.functions import vector_to_array
+    from scoreforge.operators.sampling_shap import sampled_contributions
+
+    rng = np.random.default_rng(9)
+    rows = [(i, *map(float, rng.normal(size=3))) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, c double").withColumn("y", F.col("a") * 0.5)
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(df)
+    fm = MD.gbt_fit(df, "features", "y", {"maxIter": 10, "maxDepth": 3, "maxBins": 32})
+    imp = {r["feature"]: r["importance"] for r in MD.feature_importance(
+        fm, spark, ["a", "b", "c"], "permutation", df, "id", "y").collect()}
+    assert imp["a"] > 0.1 and abs(imp["b"]) < 0.05 and abs(imp["c"]) < 0.05
+
+    # a linear scorer: every draw gives w_j (x_j - z_j); the average over draws is exact given the draws
+    w = [0.3, -0.2, 0.1]
+
+    def score(d):
+        arr = vector_to_array("features")
+        return d.withColumn("prediction", sum((F.lit(wi) * F.element_at(arr, i + 1) for i, wi in enumerate(w)),
+                                              F.lit(0.5)))
+    c = sampled_contributions(df, "id", "features", score, ["a", "b", "c"], background=20, permutations=8)
+    sums = c.groupBy("id", "expected_value").agg(F.sum("shap").alias("s"))
+    pred = score(df).select("id", F.col("prediction").alias("p"))
+    # efficiency: contributions of every draw add up to f(x) - f(z); their mean to f(x) - mean f(z_draws)
+    worst = sums.join(pred, "id").agg(F.max(F.abs(F.col("s") - (F.col("p") - F.col("expected_value"))))).first()[0]
+    assert worst < 0.5
+    assert c.select("feature").distinct().count() == 3
