@@ -56,7 +56,7 @@ def _order_stats(long: DataFrame, wanted: dict[tuple, list[int]], key_cols: list
 
 
 def grouped_order_statistics(long: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int], *,
-                             buckets: int = 1024, sort_limit: int = 1_000_000,
+                             buckets: int = 1024, sort_limit: int = 100_000,
                              max_passes: int = 64) -> dict[tuple[str, int], float]:
     """Values of the given ranks per group ``g`` of a (g, x) frame."""
     result: dict[tuple[str, int], float] = {}

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cumulative import bucketed_running_sum
+from ..functions.cumulative import ordered_running_sum
 from ..functions.quantiles import exact_quantiles
 
 EPS = 1e-4
@@ -52,7 +52,7 @@ def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], *, p_thre
     counts = long.groupBy("column", "x").agg(F.sum(1 - F.col("cur")).cast("double").alias("c_ref"),
                                              F.sum("cur").cast("double").alias("c_cur"))
     totals = counts.groupBy("column").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
-    run = bucketed_running_sum(counts, "column", "x", ["c_ref", "c_cur"]).join(F.broadcast(totals), "column")
+    run = ordered_running_sum(counts, "column", "x", ["c_ref", "c_cur"]).join(F.broadcast(totals), "column")
     f_ref = F.col("cum_c_ref") / F.col("n_ref")
     f_cur = F.col("cum_c_cur") / F.col("n_cur")
     gap = F.abs(f_ref - f_cur)

@@ -13,6 +13,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexerModel,
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
@@ -49,12 +50,11 @@ def term_stats(docs: DataFrame, terms: str = "terms") -> DataFrame:
     """(term, tf, df): corpus frequency and document frequency in one grouped
     aggregate.  Each row is one document, so its distinct terms give df
     without a per-document shuffle; partial aggregation absorbs hot terms."""
-    occ = docs.select(F.explode(F.concat(
-        F.transform(F.col(terms), lambda t: F.struct(t.alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))),
-        F.transform(F.array_distinct(F.col(terms)),
-                    lambda t: F.struct(t.alias("term"), F.lit(0).alias("tf"), F.lit(1).alias("df"))))).alias("o"))
-    return occ.groupBy(F.col("o.term").alias("term")).agg(
-        F.sum("o.tf").cast("long").alias("tf"), F.sum("o.df").cast("long").alias("df"))
+    every = docs.select(F.explode(F.col(terms)).alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))
+    once = docs.select(F.explode(F.array_distinct(F.col(terms))).alias("term"), F.lit(0).alias("tf"),
+                       F.lit(1).alias("df"))
+    return every.unionByName(once).groupBy("term").agg(
+        F.sum("tf").cast("long").alias("tf"), F.sum("df").cast("long").alias("df"))
 
 
 def tfidf_fit(docs: DataFrame, text_col: str | None = None, terms: str = "terms", max_features: int = 1000,
@@ -64,14 +64,19 @@ def tfidf_fit(docs: DataFrame, text_col: str | None = None, terms: str = "terms"
     indexed alphabetically."""
     if text_col is not None:
         docs = tokenize(docs, text_col, terms)
-    n = docs.count()
-    lo = min_df if isinstance(min_df, int) else min_df * n
-    hi = max_df if isinstance(max_df, int) else max_df * n
-    stats = term_stats(docs, terms).where((F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
-    top = stats.orderBy(F.desc("tf"), F.asc("term"))
-    if max_features is not None:
-        top = top.limit(max_features)
-    rows = sorted(top.collect(), key=lambda r: r["term"].encode("utf-8"))
+    # the count and both branches of the term statistics read the tokens: tokenize once
+    docs = docs.select(terms).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        n = docs.count()
+        lo = min_df if isinstance(min_df, int) else min_df * n
+        hi = max_df if isinstance(max_df, int) else max_df * n
+        stats = term_stats(docs, terms).where((F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
+        top = stats.orderBy(F.desc("tf"), F.asc("term"))
+        if max_features is not None:
+            top = top.limit(max_features)
+        rows = sorted(top.collect(), key=lambda r: r["term"].encode("utf-8"))
+    finally:
+        docs.unpersist()
     return Vocabulary([r["term"] for r in rows], [r["df"] for r in rows], [r["tf"] for r in rows], n)
 
 
@@ -87,12 +92,22 @@ def tfidf_transform(docs: DataFrame, vocab: Vocabulary, terms: str = "terms", ou
     return nz.transform(ep.transform(cv.transform(docs))).drop("__tf", "__w")
 
 
-def sparse_entries(vec: str, size: int) -> Column:
-    """Non-zero (idx, value) entries of a vector column as an array of structs."""
-    arr = vector_to_array(F.col(vec))
-    return F.filter(F.transform(F.sequence(F.lit(0), F.lit(size - 1)),
-                                lambda i: F.struct(i.alias("idx"), F.element_at(arr, i + 1).alias("value"))),
-                    lambda s: s["value"] != 0)
+def tfidf_long(df: DataFrame, key: str, vec: str = "tfidf", empty_idx: int = -1) -> DataFrame:
+    """(key, idx, weight) for the non-zero entries of a TF-IDF vector; a
+    document without any vocabulary term keeps one row (empty_idx, 0.0).
+
+    The vector is referenced exactly once: Spark would otherwise inline the
+    whole transformer chain (count, idf, normalise) into every reference."""
+    rows = df.select(F.col(key), F.inline_outer(sparse_entries(vec)))
+    return rows.select(key, F.coalesce(F.col("idx"), F.lit(empty_idx)).alias("idx"),
+                       F.coalesce(F.col("value"), F.lit(0.0)).alias("weight"))
+
+
+def sparse_entries(vec: str, size: int | None = None) -> Column:
+    """Non-zero (idx, value) entries of a vector column as an array of structs
+    (the densified array is referenced once)."""
+    pairs = F.transform(vector_to_array(F.col(vec)), lambda w, i: F.struct(i.alias("idx"), w.alias("value")))
+    return F.filter(pairs, lambda e: e["value"] != 0)
 
 
 # --------------------------------------------------------------- categories

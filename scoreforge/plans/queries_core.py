@@ -244,8 +244,8 @@ def e5(spark, sf_dir):
 @query("e6_name_alignment")
 def e6(spark, sf_dir):
     c = _contrib(spark, sf_dir)
-    shap = F.transform("contrib", lambda x: x["shap"])
-    values = F.slice(F.transform("contrib", lambda x: x["value"]), 1, 3)
+    shap = F.col("contrib")["shap"]
+    values = F.slice(F.col("contrib")["value"], 1, 3)
     # a six-name catalog against four contributions: names fall back to feature_<i>
     names = V.LINE_CATEGORICAL + V.LINE_NUMERIC
     aligned = c.select("id", F.posexplode(E.align_names(shap, values, names)).alias("idx", "item"))

@@ -50,9 +50,7 @@ def f3(spark, sf_dir):
     docs = t.documents.select("doc_id", "text")
     vocab = FT.tfidf_fit(docs.select("text"), "text")
     vec = FT.tfidf_transform(tokenize(docs, "text"), vocab)
-    ent = FT.sparse_entries("tfidf", len(vocab.terms))
-    ent = F.when(F.size(ent) == 0, F.array(F.struct(F.lit(-1).alias("idx"), F.lit(0.0).alias("value")))).otherwise(ent)
-    return _round_doubles(vec.select("doc_id", F.inline(ent)).withColumnRenamed("value", "weight"))
+    return _round_doubles(FT.tfidf_long(vec, "doc_id"))
 
 
 @query("f4_label_fit")

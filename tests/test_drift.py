@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoreforge.functions.cumulative import bucketed_running_sum
+from scoreforge.functions.cumulative import ordered_running_sum
 from scoreforge.operators import drift as D
 
 
@@ -45,11 +45,14 @@ def test_categorical_drift(spark):
     assert r["dof"] == 2 and r["drifted"]
 
 
-@pytest.mark.parametrize("buckets", [1, 3, 16])
-def test_bucketed_running_sum_is_exact(spark, buckets):
-    rows = [(g, float(x), 1) for g in ("u", "v") for x in range(50)]
-    df = spark.createDataFrame(rows, "g string, x double, c int")
-    out = bucketed_running_sum(df, "g", "x", ["c"], buckets=buckets).collect()
+@pytest.mark.parametrize("rows_per_partition", [1, 7, 1000])
+def test_ordered_running_sum_is_exact(spark, rows_per_partition):
+    rows = [(g, float(x), 1.0 if g == "u" else 2.0) for g in ("u", "v", "w") for x in range(50) if g != "w" or x < 1]
+    df = spark.createDataFrame(rows, "g string, x double, c double")
+    out = ordered_running_sum(df, "g", "x", ["c"], rows_per_partition=rows_per_partition).collect()
+    assert len(out) == len(rows)
     for r in out:
-        assert r["cum_c"] == int(r["x"]) + 1
-        assert r["next_x"] == (None if r["x"] == 49.0 else r["x"] + 1)
+        step = 1.0 if r["g"] == "u" else 2.0
+        assert r["cum_c"] == (int(r["x"]) + 1) * step
+        last = 49.0 if r["g"] != "w" else 0.0
+        assert r["next_x"] == (None if r["x"] == last else r["x"] + 1)
