@@ -211,8 +211,11 @@ def permutation_importance(fm: FittedModel, data: DataFrame, key: str, label: st
                                                                                   Window.unboundedFollowing)))
     paired = base.withColumn("__p", partner)
     variants = paired.select("__y", F.explode(F.sequence(F.lit(-1), F.lit(d - 1))).alias("__j"), "__x", "__p")
-    vec = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                      lambda i: F.when(i == F.col("__j"), F.element_at("__p", i + 1)).otherwise(F.element_at("__x", i + 1)))
+    # variant j: x with entry j taken from the partner (native slice/concat, no per-entry lambda)
+    j = F.col("__j")
+    swapped = F.concat(F.slice("__x", F.lit(1), j), F.array(F.element_at("__p", F.greatest(j, F.lit(0)) + 1)),
+                       F.slice("__x", j + 2, F.greatest(F.lit(d) - j - 1, F.lit(0))))
+    vec = F.when(j < 0, F.col("__x")).otherwise(swapped)
     scored = fm.predict(variants.select("__y", "__j", array_to_vector(vec).alias(features)), features, "__pred",
                         clip=False)
     err = scored.groupBy("__j").agg(F.sqrt(F.avg((F.col("__pred") - F.col("__y")) ** 2)).alias("rmse"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +42,8 @@ def daily_job(spark: SparkSession, t: Tables, window_days: int = 90, keep_days:
     li = t.lineitem.withColumn("id", V.line_id())
     day = li.agg(F.max(F.to_date("l_shipdate")).alias("d")).first()["d"]
     start = F.date_sub(F.lit(day), window_days)
-    batch = li.where(F.to_date("l_shipdate") > start)
+    # the day's batch feeds the append, the scoring, the log and the drift: read it once
+    batch = li.where(F.to_date("l_shipdate") > start).persist(StorageLevel.MEMORY_AND_DISK)
     ref = li.where(F.to_date("l_shipdate") <= start)
     ds = day.isoformat()
     n_new = IO.append_cases(batch, f"{out}/train_data", V.LINE_NUMERIC + V.LINE_CATEGORICAL, gid="id",
@@ -62,7 +64,9 @@ def daily_job(spark: SparkSession, t: Tables, window_days: int = 90, keep_days:
     parts = spark.read.schema(IO.LOG_TABLE_SCHEMA + ", ds string").parquet(f"{out}/inference_logs") \
         .groupBy("ds").agg(F.count(F.lit(1)).alias("n_rows"))
     expired = IO.retention_filter(parts, ds, keep_days).where(F.col("status") == "expired").count()
-    return spark.createDataFrame([(ds, n_new, rows.count(), summary["n_columns"], summary["n_drifted"],
+    n_logged = rows.count()
+    batch.unpersist()
+    return spark.createDataFrame([(ds, n_new, n_logged, summary["n_columns"], summary["n_drifted"],
                                    float(summary["share_drifted"]), bool(summary["dataset_drift"]), expired,
                                    bool(summary["dataset_drift"]))],
                                  "ds string, n_batch long, n_logged long, n_columns long, n_drifted long, "
