@@ -220,7 +220,7 @@ SELECT o_orderkey,
        WHEN '4-NOT SPECIFIED' THEN 0.2 ELSE 0.0 END AS DOUBLE) AS priority_weight
 FROM orders""")
 
-q("p12_weighted_score", f"WITH {CASES_BASE.strip()} SELECT case_id, {_score_sql()} AS g2g_score FROM cases_base")
+q("p12_weighted_score", f"WITH {CASES_BASE.strip()} SELECT case_id, {_score_sql()} AS case_score FROM cases_base")
 
 q("p13_render_text", f"WITH {CASES.strip()} SELECT case_id, description FROM cases")
 

@@ -31,7 +31,7 @@ def case_pipeline() -> FT.FeaturePipeline:
 
 @dataclass
 class Prepared:
-    data: DataFrame            # case_id, split, features, g2g_score
+    data: DataFrame            # case_id, split, features, case_score
     features: FT.FittedFeatures
     names: list
 

@@ -145,7 +145,7 @@ def p11(spark, sf_dir):
 @query("p12_weighted_score")
 def p12(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return V.cases(t, with_description=False).select("case_id", X.weighted_score().alias("g2g_score"))
+    return V.cases(t, with_description=False).select("case_id", X.weighted_score().alias("case_score"))
 
 
 @query("p13_render_text")

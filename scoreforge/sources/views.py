@@ -18,7 +18,7 @@ CASE_NUMERIC = [
     "customer_satisfaction", "operational_efficiency", "regulatory_violations", "audit_score",
 ]
 CASE_TEXT = "description"
-CASE_TARGET = "g2g_score"
+CASE_TARGET = "case_score"
 
 LINE_NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 LINE_CATEGORICAL = ["l_returnflag", "l_linestatus"]
