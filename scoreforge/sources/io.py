@@ -147,7 +147,13 @@ def recent_log_query(log: DataFrame, payload_schema: T.StructType | str, limit:
     if end:
         out = out.where(F.col("created_at") <= F.lit(end))
     out = out.orderBy(F.desc(order_key)).limit(int(limit))
-    return out.withColumn("payload", F.from_json("payload_json", payload_schema, {"mode": "PERMISSIVE"}))
+    return out.withColumn("payload", parse_payload(F.col("payload_json"), payload_schema))
+
+
+def parse_payload(text: Column, schema: T.StructType | str) -> Column:
+    """JSON text -> struct; text that is not valid JSON gives null (PERMISSIVE
+    ``from_json`` alone would give a struct of nulls)."""
+    return F.when(F.try_parse_json(text).isNotNull(), F.from_json(text, schema, {"mode": "PERMISSIVE"}))
 
 
 # ------------------------------------------------------------------- S9
