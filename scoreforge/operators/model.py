@@ -116,19 +116,25 @@ def rmse(df: DataFrame, y: str, p: str) -> float:
 
 # ---------------------------------------------------------------------- M4
 def cross_validate(df: DataFrame, key: str, features: str, label: str, params: dict | None = None,
-                   k: int = 5) -> DataFrame:
+                   k: int = 5, parallelism: int = 4) -> DataFrame:
     """M4: k hash folds; per fold fit on the others, score the fold; rows
-    (fold, rmse, mae, r2) - mean and std are a one-line aggregate on top."""
+    (fold, rmse, mae, r2) - mean and std are a one-line aggregate on top.
+    Folds are fitted concurrently from ``parallelism`` driver threads (as
+    ``CrossValidator(parallelism=...)`` does); each fit is a distributed job."""
+    from concurrent.futures import ThreadPoolExecutor
     folded = hash_folds(df, key, k)
-    rows = []
-    for f in range(k):
+
+    def one(f: int):
         fm = gbt_fit(folded.where(F.col("fold") != f), features, label, params)
         scored = fm.predict(folded.where(F.col("fold") == f), features, clip=False)
         m = scored.agg(F.sqrt(F.avg((F.col("prediction") - F.col(label)) ** 2)).alias("rmse"),
                        F.avg(F.abs(F.col("prediction") - F.col(label))).alias("mae"),
                        (1 - F.sum((F.col("prediction") - F.col(label)) ** 2)
                         / (F.var_pop(label) * F.count(F.lit(1)))).alias("r2")).first()
-        rows.append((f, float(m["rmse"]), float(m["mae"]), float(m["r2"])))
+        return (f, float(m["rmse"]), float(m["mae"]), float(m["r2"]))
+
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
+        rows = list(pool.map(one, range(k)))
     spark = df.sparkSession
     return spark.createDataFrame(rows, "fold int, rmse double, mae double, r2 double")
 
@@ -149,15 +155,22 @@ def param_grid(space: dict, n_draws: int | None = None, seed: int = 42) -> list[
 
 
 def tune(df: DataFrame, key: str, features: str, label: str, space: dict, n_draws: int | None = None,
-         k: int = 5, base: dict | None = None, seed: int = 42) -> tuple[DataFrame, dict, FittedModel]:
+         k: int = 5, base: dict | None = None, seed: int = 42,
+         parallelism: int = 4) -> tuple[DataFrame, dict, FittedModel]:
     """M5: score every candidate by k-fold mean squared error (neg-MSE
-    ordering), then refit the winner on all rows."""
-    rows = []
-    for i, cand in enumerate(param_grid(space, n_draws, seed)):
+    ordering), then refit the winner on all rows.  Candidates run
+    concurrently from driver threads; folds inside a candidate run in turn."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def one(item):
+        i, cand = item
         params = {**(base or {}), **cand}
-        cv = cross_validate(df, key, features, label, params, k)
+        cv = cross_validate(df, key, features, label, params, k, parallelism=1)
         mse = float(cv.agg(F.avg(F.col("rmse") ** 2)).first()[0])
-        rows.append((i, json.dumps(cand, sort_keys=True), -mse))
+        return (i, json.dumps(cand, sort_keys=True), -mse)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        rows = list(pool.map(one, enumerate(param_grid(space, n_draws, seed))))
     spark = df.sparkSession
     res = spark.createDataFrame(rows, "candidate int, params string, neg_mse double")
     best = max(rows, key=lambda r: (r[2], -r[0]))

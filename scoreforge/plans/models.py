@@ -44,6 +44,7 @@ def prepare_cases(t: Tables, val_pct: int = 10, test_pct: int = 20) -> Prepared:
     data = fitted.transform(cases).select("case_id", "split", "features", V.CASE_TARGET)
     # iterative fits and explanations re-read this frame many times: persist it once
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data.count()  # materialise before concurrent fits read it
     return Prepared(data, fitted, fitted.feature_names())
 
 
