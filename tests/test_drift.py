@@ -56,3 +56,22 @@ def test_ordered_running_sum_is_exact(spark, rows_per_partition):
         assert r["cum_c"] == (int(r["x"]) + 1) * step
         last = 49.0 if r["g"] != "w" else 0.0
         assert r["next_x"] == (None if r["x"] == last else r["x"] + 1)
+
+
+def test_drift_and_quantiles_do_not_depend_on_partitioning(spark):
+    from scoreforge.functions.quantiles import exact_quantiles
+    rng = np.random.default_rng(11)
+    rows = [(float(x), float(y)) for x, y in zip(np.round(rng.normal(size=500), 2), rng.exponential(size=500))]
+    df = spark.createDataFrame(rows, "a double, b double")
+    ref, cur = df.limit(0).unionByName(df.where(F.col("b") < 1.0)), df.where(F.col("b") >= 1.0)
+    results = []
+    for n in (1, 16):
+        r, c = ref.repartition(n), cur.repartition(n)
+        drift = sorted(tuple(x) for x in D.numeric_drift(r, c, ["a"]).collect())
+        q = exact_quantiles(df.repartition(n), ["a", "b"], [0.1, 0.5, 0.9], sort_limit=50, buckets=4)
+        results.append((drift, q))
+    (d1, q1), (d2, q2) = results
+    assert q1 == q2
+    for x, y in zip(d1, d2):
+        for u, v in zip(x, y):
+            assert u == pytest.approx(v, rel=1e-12, abs=1e-12) if isinstance(u, float) else u == v
