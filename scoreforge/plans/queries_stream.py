@@ -62,7 +62,7 @@ def t7(spark, sf_dir):
 @query("d4_daily_job")
 def d4(spark, sf_dir):
     from .daily import daily_job
-    return daily_job(spark, _t(spark, sf_dir))
+    return _round_doubles(daily_job(spark, _t(spark, sf_dir)))
 
 
 @query("s12_json_summary_sink")
