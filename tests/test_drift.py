@@ -75,3 +75,18 @@ def test_drift_and_quantiles_do_not_depend_on_partitioning(spark):
     for x, y in zip(d1, d2):
         for u, v in zip(x, y):
             assert u == pytest.approx(v, rel=1e-12, abs=1e-12) if isinstance(u, float) else u == v
+
+
+def test_running_sum_carries_across_arrow_batches(spark):
+    prev = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        rows = [(g, float(x), 1.0) for g in ("u", "v") for x in range(20)]
+        df = spark.createDataFrame(rows, "g string, x double, c double")
+        out = ordered_running_sum(df, "g", "x", ["c"], rows_per_partition=1000, min_partitions=1).collect()
+        assert len(out) == 40
+        for r in out:
+            assert r["cum_c"] == r["x"] + 1
+            assert r["next_x"] == (None if r["x"] == 19.0 else r["x"] + 1)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
