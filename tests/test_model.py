@@ -47,3 +47,20 @@ def test_batch_score_echoes_ids_and_rejects_invalid(spark):
         else:
             assert r["status"] == "scored" and 0.0 <= r["prediction"] <= 1.0
         assert r["gid"] == (f"C{r['case_id']}" if r["case_id"] % 10 else f"batch_{r['case_id']}")
+
+
+def test_label_fit_refuses_high_cardinality(spark):
+    import pytest
+    from scoreforge.operators import features as FT
+    df = spark.createDataFrame([(str(i),) for i in range(5)], "c string")
+    with pytest.raises(ValueError):
+        FT.label_fit(df, ["c"], max_categories=3)
+
+
+def test_hash_split_is_stable_under_repartitioning(spark):
+    df = spark.range(2000).withColumnRenamed("id", "k")
+    a = {r["k"]: r["split"] for r in MD.hash_split(df.repartition(1), "k", 20, 10).collect()}
+    b = {r["k"]: r["split"] for r in MD.hash_split(df.repartition(13), "k", 20, 10).collect()}
+    assert a == b
+    share = sum(v == "train" for v in a.values()) / len(a)
+    assert 0.65 < share < 0.75
