@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..sources.tables import read_table
-from . import quality, simhash
+from . import decontaminate, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,6 +25,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+@query
+def op2_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document holds with at most a tenth of its characters edited."""
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document at 3-word shingles and 3 bits."""
@@ -32,6 +38,13 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", simhash.fingerprint_hex("fp").alias("fingerprint"), "component_id")
 
 
+@query
+def op7_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secret counts and spans of every document."""
+    found = secrets.scan_secrets(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "secrets.*")
+
+
 @query
 def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; the held-out fold never trains."""
