@@ -15,14 +15,14 @@ CHUNK_ROWS = 512
 CHUNK_CHARS = 4_000_000
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` to the shared work folder and read it back.
 
     Cuts the lineage at a table every executor can read again, so a lost
     executor costs a re-read and not a re-computation.
     """
     path = work_path(df.sparkSession, "llm", name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..sources.tables import read_table
-from . import decontaminate, quality, secrets, simhash
+from . import decontaminate, packing, quality, secrets, simhash
+
+#: The vocabulary the packing query and stage use.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -25,6 +29,12 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return run
 
 
+@query
+def op1_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 4096 ids."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 @query
 def op2_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item that a document holds with at most a tenth of its characters edited."""

@@ -68,7 +68,7 @@ def marginal_bytes(before: str, candidate: str, after: str) -> int:
     """Compressed bytes that ``candidate`` adds to its surroundings, identifiers being known."""
     dictionary = zstandard.ZstdCompressionDict(
         IDENTIFIERS + (after + "\n" + before).encode("utf-8", "replace"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    press = zstandard.ZstdCompressor(level=19, dict_data=dictionary, write_content_size=False, write_dict_id=False)
+    press = zstandard.ZstdCompressor(level=9, dict_data=dictionary, write_content_size=False, write_dict_id=False)
     plain = before[-32:].encode("utf-8", "replace")
     return len(press.compress(plain + candidate.encode())) - len(press.compress(plain))
 
