@@ -17,8 +17,10 @@ equal scores go to the document that comes first by token key and row hash.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,51 +37,70 @@ _PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_
 _TELLING = 32
 
 
-class WordIds:
-    """Ids of texts through a bounded store of the ids of their words.
+_MARK = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
+
+
+def words_of(text: str) -> list[bytes]:
+    """Parts of a text whose ids, one after the other, are the text's ids.
 
     No alternative of the tokenizer's pattern, none of its added tokens and no
-    canonical composition crosses ASCII white space, so a text's ids are those of
-    its white-space separated words, one after the other.
+    canonical composition crosses ASCII white space.  ASCII letters are
+    lower-cased by the tokenizer anyway, and a single full stop or comma between a
+    letter and white space is a part of its own to it; both are done here, which
+    leaves fewer different words.  Texts that could hold an added token are only split.
     """
+    raw = text.encode("utf-8", "surrogatepass")
+    return raw.split() if b"<|" in raw else _MARK.sub(rb" \1", raw.lower()).split()
 
-    def __init__(self, path: str, most: int = 300_000):
+
+class WordIds:
+    """Ids of texts through a bounded store of the ids of their words."""
+
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self._clear()
-
-    def _clear(self):
         self.index: dict[bytes, int] = {}
-        self.ids, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.begin = self.size = self.used = np.zeros(0, np.int64)
+
+    def _forget(self):
+        """Keep the words used again since they came in, and half of the store at most."""
+        order = np.argsort(-self.used, kind="stable")[:self.most // 2]
+        keep = np.sort(order[self.used[order] > 1])
+        names = list(self.index)
+        self.index = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.ids, self.size = self._ids(keep), self.size[keep]
+        self.begin = np.cumsum(self.size) - self.size
+        self.used = np.zeros(len(keep), np.int64)
 
     def _learn(self, words: list[bytes]):
         found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
         lists = [e.ids for e in found]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        begin = len(self.ids) + np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(sizes) else np.zeros(0, np.int64)
-        for w in words:
-            self.index[w] = len(self.index)
-        self.ids = np.concatenate([self.ids, np.array([i for x in lists for i in x], np.uint32)])
-        self.begin, self.size = np.concatenate([self.begin, begin]), np.concatenate([self.size, sizes])
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32)])
+        self.size = np.concatenate([self.size, np.fromiter(map(len, lists), np.int64, len(lists))])
+        self.begin = np.cumsum(self.size) - self.size
+        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+
+    def _ids(self, at: np.ndarray) -> np.ndarray:
+        size = self.size[at]
+        ends = np.cumsum(size)
+        return self.ids[np.repeat(self.begin[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def encode(self, values: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without the end id."""
-        split = [(v or "").encode("utf-8", "surrogatepass").split() for v in values]
-        unknown = list({w for words in split for w in words if w not in self.index})
+        split = [words_of(v or "") for v in values]
+        different = set().union(*split)
+        unknown = [w for w in different if w not in self.index]
         if len(self.index) + len(unknown) > self.most:
-            self._clear()
-            unknown = list({w for words in split for w in words})
+            self._forget()
+            unknown = [w for w in different if w not in self.index]
         self._learn(unknown)
-        out = []
         get = self.index.__getitem__
-        for words in split:
-            at = np.fromiter(map(get, words), np.int64, len(words))
-            size = self.size[at]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            out.append(self.ids[np.repeat(self.begin[at] - ends + size, size) + np.arange(total)])
-        return out
+        places = [np.fromiter(map(get, words), np.int64, len(words)) for words in split]
+        self.used += np.bincount(np.concatenate([np.zeros(0, np.int64), *places]), minlength=len(self.used))
+        return [self._ids(at) for at in places]
 
 
 _WORDS: dict[str, WordIds] = {}
