@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..sources.tables import read_table
-from . import decontaminate, packing, quality, secrets, simhash
+from . import decontaminate, fingerprints, packing, quality, secrets, sharding, simhash, warc
 
 #: The vocabulary the packing query and stage use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +41,20 @@ def op2_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op4_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of near equal bytes, tokens and rows."""
+    placed = sharding.shard_documents(read_table(spark, sf_dir, "documents"), shards=40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"), "tokens")
+
+
+@query
+def op5_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness."""
+    return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document at 3-word shingles and 3 bits."""
@@ -55,6 +69,13 @@ def op7_secret_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "secrets.*")
 
 
+@query
+def op8_zipped_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a WARC record into ZIP packages and read back by ranges."""
+    pages = read_table(spark, sf_dir, "pages")
+    return warc.read_packages(warc.write_packages(pages, warc.packages_folder(pages)))
+
+
 @query
 def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document; the held-out fold never trains."""
