@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..sources.tables import read_table
-from . import decontaminate, fingerprints, packing, quality, secrets, sharding, simhash, warc
+from . import decontaminate, fingerprints, htmltext, packing, quality, secrets, sharding, simhash, warc
 
 #: The vocabulary the packing query and stage use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +41,14 @@ def op2_edit_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op3_tree_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = read_table(spark, sf_dir, "pages")
+    found = htmltext.extract_text(pages.select("page_id", "url", "html"), htmltext.fit_pages(pages))
+    return found.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op4_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes, tokens and rows."""
