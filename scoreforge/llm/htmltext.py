@@ -66,7 +66,7 @@ FEATURES = ("bias", "landmark", "heading", "prose", "list", "table", "aside", "o
 #: Costs along an edge: content below other, other below content; for elements, then for text blocks.
 EDGES = ("element_in_other", "element_in_content", "text_in_other", "text_in_content")
 #: Prior means of the weights, in the order of FEATURES, then EDGES.
-PRIOR = np.array([-0.5, 30.0, 0.5, 1.0, 0.0, 0.0, -200.0, -200.0, 8.0, 1.0, 1.0, -5.0, 1.0, 0.5, 0.0, 5.0, 5.0, 3.0, 6.0, 6.0])
+PRIOR = np.array([-0.5, 30.0, 0.5, 1.0, 0.0, 0.0, -200.0, -200.0, 8.0, 1.0, 1.0, -4.0, 1.0, 0.5, 0.0, 5.0, 5.0, 3.0, 6.0, 6.0])
 #: How strongly they are held: as much as so many undecided nodes; edges more, as few pages show every pair.
 HOLD = np.array([500.0] * len(FEATURES) + [5000.0] * len(EDGES))
 #: Page-wide elements, whose names describe the page and not themselves.
@@ -203,7 +203,7 @@ def features(tree: Tree, plain_landmarks: bool = False) -> np.ndarray:
     if not plain_landmarks:
         for i in range(1, n):
             p = tree.parent[i]
-            x[i, 15] = x[p, 15] or tree.kind[p] == "landmark"
+            x[i, 15] = (x[p, 15] or tree.kind[p] == "landmark") and tree.kind[p] != "aside" and not tree.other[p]
     return x
 
 
