@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..sources.tables import read_table
-from . import decontaminate, fingerprints, htmltext, packing, quality, secrets, sharding, simhash, warc
+from . import decontaminate, fingerprints, htmltext, packing, passages, quality, secrets, sharding, simhash, warc
 
 #: The vocabulary the packing query and stage use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -92,3 +92,9 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score_quality(docs, forest)
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score",
                          F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query
+def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that near-repeat across documents."""
+    return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
