@@ -205,7 +205,7 @@ def edited_fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = min(most_buckets, 4 * partitions_of(docs))
     found = rows.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)
-    edges = [-float("inf"), *sorted(set(found or [])), float("inf")]
+    edges = [-float("inf"), *sorted(set(found) or {0.0}), float("inf")]
     dealt = Bucketizer(splits=edges, inputCol="_id", outputCol="_bucket", handleInvalid="keep").transform(
         rows.withColumn("_id", F.col("doc_id").cast("double")))
     # Bucketizer puts nulls into a last bucket of their own; they come first here
