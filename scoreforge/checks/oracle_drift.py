@@ -48,9 +48,8 @@ res AS (
   JOIN psi p ON k."column" = p."column")
 SELECT "column", CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur, {r6('ks_statistic')} AS ks_statistic,
   {r6('ks_p_value')} AS ks_p_value, {r6('wasserstein_norm')} AS wasserstein_norm, {r6('psi')} AS psi,
-  CASE WHEN n_ref <= 1000 THEN 'ks' ELSE 'wasserstein' END AS stattest,
-  {r6("CASE WHEN n_ref <= 1000 THEN ks_p_value ELSE wasserstein_norm END")} AS drift_score,
-  CASE WHEN n_ref <= 1000 THEN ks_p_value < 0.05 ELSE wasserstein_norm >= 0.1 END AS drifted
+  ks_p_value < 0.05 AS drifted_p, wasserstein_norm >= 0.1 AS drifted_distance, 'wasserstein' AS stattest,
+  {r6("wasserstein_norm")} AS drift_score, wasserstein_norm >= 0.1 AS drifted
 FROM res"""
 
 
@@ -79,9 +78,8 @@ res AS (SELECT *, CAST(k - 1 AS INTEGER) AS dof, {CHI2_P.format(x='chi2_statisti
         FROM agg)
 SELECT "column", CAST(n_ref AS BIGINT) AS n_ref, CAST(n_cur AS BIGINT) AS n_cur, {r6('chi2_statistic')} AS chi2_statistic,
   dof, {r6('chi2_p_value')} AS chi2_p_value, {r6('js_distance')} AS js_distance, {r6('psi')} AS psi,
-  CASE WHEN n_ref <= 1000 THEN 'chisquare' ELSE 'jensenshannon' END AS stattest,
-  {r6("CASE WHEN n_ref <= 1000 THEN chi2_p_value ELSE js_distance END")} AS drift_score,
-  CASE WHEN n_ref <= 1000 THEN chi2_p_value < 0.05 ELSE js_distance >= 0.1 END AS drifted
+  chi2_p_value < 0.05 AS drifted_p, js_distance >= 0.1 AS drifted_distance, 'jensenshannon' AS stattest,
+  {r6("js_distance")} AS drift_score, js_distance >= 0.1 AS drifted
 FROM res"""
 
 
@@ -103,12 +101,20 @@ q("d5_output_drift", numeric_drift_sql(SHIP_SPLIT, ["y_hat"], {
 q("d3_dataset_drift", f"""
 WITH num AS ({numeric_drift_sql(SHIP_SPLIT, LNUM)}),
 cat AS ({categorical_drift_sql(SHIP_SPLIT, ['l_returnflag', 'l_linestatus'])}),
-allc AS (SELECT "column", drifted FROM num UNION ALL SELECT "column", drifted FROM cat)
+allc AS (SELECT "column", drifted, drifted_p FROM num UNION ALL SELECT "column", drifted, drifted_p FROM cat)
 SELECT count(*) AS n_columns, count(*) FILTER (WHERE drifted) AS n_drifted,
+  count(*) FILTER (WHERE drifted_p) AS n_drifted_p,
   {r6('avg(CAST(drifted AS DOUBLE))')} AS share_drifted, avg(CAST(drifted AS DOUBLE)) >= 0.5 AS dataset_drift
 FROM allc""")
 
-q("s12_json_summary_sink", numeric_drift_sql(SHIP_SPLIT, LNUM))
+q("s12_json_summary_sink", f"""
+WITH num AS ({numeric_drift_sql(SHIP_SPLIT, LNUM)}),
+cat AS ({categorical_drift_sql(SHIP_SPLIT, ['l_returnflag', 'l_linestatus'])})
+SELECT "column", n_ref, n_cur, ks_statistic, ks_p_value, wasserstein_norm, CAST(NULL AS DOUBLE) AS chi2_statistic,
+  CAST(NULL AS DOUBLE) AS chi2_p_value, CAST(NULL AS DOUBLE) AS js_distance, psi, stattest, drift_score, drifted FROM num
+UNION ALL
+SELECT "column", n_ref, n_cur, NULL, NULL, NULL, chi2_statistic, chi2_p_value, js_distance, psi, stattest, drift_score,
+  drifted FROM cat""")
 
 # The daily job's summary row; batch = the last 90 days of ship dates, reference = before
 DAILY_SPLIT = """li AS (SELECT *, CAST(l_shipdate AS DATE) AS d FROM lineitem),

@@ -1,14 +1,13 @@
 """Exact running sums over a sorted column without one task per group.
 
 A window ``PARTITION BY g ORDER BY x`` moves every row of a group into one
-task.  ``ordered_running_sum`` instead range-partitions the rows by
-(g, x) - Spark samples the bounds and places rows by binary search, so every
-partition holds a bounded, contiguous slice of the global order - sorts
-within partitions, and computes the running sums of each slice with pandas
-inside the task.  The exact offset of a slice is the total of all earlier
-slices of the same group, taken from a small (partition x group) table.
-Row counts per partition are set from the data size (``rows_per_partition``),
-so the task size does not grow with the table.
+task.  ``ordered_running_sum`` range-partitions the rows by (g, x) and writes
+them once to the shared work folder with the number of their slice, so that
+every later read sees the same slices: nothing depends on a shuffle being
+reused or on sampled bounds coming out alike twice.  Running sums inside a slice
+are a window over (g, slice), which holds a bounded number of rows; the
+offset of a slice is the total of all earlier slices of its group, from
+a (slice x group) aggregate.
 """
 
 from __future__ import annotations
@@ -16,11 +15,39 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..session import written
+
+
+def ordered_slices(df: DataFrame, group: str, order: str, rows_per_partition: int = 2_000_000,
+                   min_partitions: int | None = None) -> DataFrame:
+    """``df`` (rows unique per group and order) written with ``__slice``, a number rising with (group, order)."""
+    spark = df.sparkSession
+    table = written(df, "slice-input")
+    base = min_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, base, math.ceil(table.count() / rows_per_partition))
+    return written(table.repartitionByRange(parts, group, order).withColumn("__slice", F.spark_partition_id()), "slices")
+
+
+def running_sums(sliced: DataFrame, group: str, order: str, sums: Sequence[str]) -> DataFrame:
+    """Adds ``cum_<s>`` and ``next_<order>`` to the rows of ``ordered_slices``."""
+    inside = Window.partitionBy(group, "__slice").orderBy(order)
+    upto = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = sliced.select("*", *[F.sum(s).over(upto).alias(f"__c_{s}") for s in sums],
+                          F.lead(order).over(inside).alias("__next"))
+    totals = sliced.groupBy("__slice", group).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums],
+                                                  F.min(order).alias("__first"))
+    slices = Window.partitionBy(group).orderBy("__slice")
+    before = slices.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("__slice", group,
+                            *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums],
+                            F.lead("__first").over(slices).alias("__next_first"))
+    joined = local.join(offsets, ["__slice", group])
+    return joined.select(group, order, *sums,
+                         *[(F.col(f"__c_{s}") + F.col(f"__o_{s}")).alias(f"cum_{s}") for s in sums],
+                         F.coalesce(F.col("__next"), F.col("__next_first")).alias(f"next_{order}"))
 
 
 def ordered_running_sum(df: DataFrame, group: str, order: str, sums: Sequence[str],
@@ -28,70 +55,5 @@ def ordered_running_sum(df: DataFrame, group: str, order: str, sums: Sequence[st
     """Adds ``cum_<s>`` (inclusive running sum of each ``s`` ordered by
     ``order`` within ``group``) and ``next_<order>`` (next larger value in
     the group, null for the last) to rows unique per (group, order)."""
-    spark = df.sparkSession
-    n = df.count()
-    base = min_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, base, math.ceil(n / rows_per_partition))
-    cols = [group, order, *sums]
-    ranged = (df.select(*cols).repartitionByRange(parts, group, order)
-              .sortWithinPartitions(group, order).withColumn("__pid", F.spark_partition_id()))
-    sum_types = {s: df.schema[s].dataType for s in sums}
-    fields = [df.schema[group], df.schema[order]] + [df.schema[s] for s in sums] + \
-             [T.StructField("__pid", T.IntegerType())] + \
-             [T.StructField(f"__c_{s}", sum_types[s]) for s in sums] + \
-             [T.StructField("__next", df.schema[order].dataType)]
-    out_schema = T.StructType(fields)
-
-    def local(batches):
-        # the whole sorted partition, in Arrow batches: carry the running sums across batches
-        carry: dict = {}
-        pending = None
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            frame = pdf if pending is None else pd.concat([pending, pdf], ignore_index=True)
-            # keep the last row back until the next batch tells its successor
-            pending = frame.iloc[[-1]].copy()
-            frame = frame.iloc[:-1]
-            if not frame.empty:
-                yield _emit(frame, carry, group, order, sums, pending)
-        if pending is not None:
-            yield _emit(pending, carry, group, order, sums, None)
-
-    local_sums = ranged.mapInPandas(local, out_schema)
-    # slice totals and first values per (partition, group): partitions x groups rows
-    tot = ranged.groupBy("__pid", group).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums],
-                                             F.min(order).alias("__first"))
-    w = Window.partitionBy(group).orderBy("__pid")
-    offs = tot.select("__pid", group,
-                      *[F.coalesce(F.sum(f"__t_{s}").over(w.rowsBetween(Window.unboundedPreceding, -1)),
-                                   F.lit(0)).alias(f"__o_{s}") for s in sums],
-                      F.lead("__first").over(w).alias("__next_first"))
-    j = local_sums.join(F.broadcast(offs), ["__pid", group])
-    return j.select(group, order, *sums,
-                    *[(F.col(f"__c_{s}") + F.col(f"__o_{s}")).alias(f"cum_{s}") for s in sums],
-                    F.coalesce(F.col("__next"), F.col("__next_first")).alias(f"next_{order}"))
-
-
-def _emit(frame: pd.DataFrame, carry: dict, group: str, order: str, sums: Sequence[str],
-          successor: pd.DataFrame | None) -> pd.DataFrame:
-    """Vectorised running sums of one sorted chunk; groups are contiguous, so
-    only the chunk's first group can continue from the previous chunk."""
-    out = frame.reset_index(drop=True).copy()
-    gcol = out[group]
-    first_g, last_g = gcol.iloc[0], gcol.iloc[-1]
-    in_first = (gcol == first_g).to_numpy()
-    for s in sums:
-        cum = out.groupby(group, sort=False)[s].cumsum().to_numpy()
-        cum = cum + np.where(in_first, carry.get((s, first_g), 0), 0)
-        carry[(s, last_g)] = cum[-1]
-        out[f"__c_{s}"] = cum
-    nxt = out[order].shift(-1)
-    same = (gcol.shift(-1) == gcol)
-    if successor is not None:
-        last_same = bool(successor[group].iloc[0] == last_g)
-        if last_same:
-            nxt.iloc[-1] = successor[order].iloc[0]
-        same.iloc[-1] = last_same
-    out["__next"] = nxt.where(same, None)
-    return out[[group, order, *sums, "__pid", *[f"__c_{s}" for s in sums], "__next"]]
+    sliced = ordered_slices(df.select(group, order, *sums), group, order, rows_per_partition, min_partitions)
+    return running_sums(sliced, group, order, sums)

@@ -1,16 +1,12 @@
-"""Exact quantiles without gathering a large group into one task.
+"""Exact quantiles by sketched brackets and one counting pass.
 
-Per group (a column, or any key):
-
-* groups of at most ``sort_limit`` rows are sorted JVM-side inside one task
-  (``array_sort(collect_list(x))``, bounded by the limit) and only the needed
-  order statistics leave the executors;
-* larger groups use repeated histogram narrowing: each pass counts the rows
-  of every open interval in ``buckets`` equal-width buckets (a partial
-  aggregate, tiny shuffle), keeps the bucket holding the wanted rank and
-  shrinks the interval to that bucket's min/max.  Once an interval holds at
-  most ``sort_limit`` rows it is sorted like a small group.  No pass moves
-  more than ``intervals x buckets`` rows.
+One algorithm at every size.  A sketch (``percentile_approx``) brackets each wanted rank
+between two values; a pass then counts, per rank, the rows below and on the
+bracket's ends and takes what lies strictly between.  The counts prove the bracket, so
+the result is exact whatever the sketch's error.  Should more than ``sort_limit`` rows lie
+between, they are sketched again: every round keeps at most a share of
+the rows, and values only are compared, so infinities and heavy ties (which sit on
+the ends) cost no extra round.  What is gathered is at most ``sort_limit`` values per rank.
 
 Values are interpolated linearly between neighbouring order statistics, as
 ``quantile_cont`` and pandas ``quantile`` do.  Nulls and NaN are left out.
@@ -20,10 +16,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+LEAST_ACCURACY = 16
 
 
 def long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -33,89 +31,82 @@ def long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.where(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def _order_stats(long: DataFrame, wanted: dict[tuple, list[int]], key_cols: list[str]) -> dict[tuple, dict[int, float]]:
-    """For each key (tuple of key column values) the values at the given
-    zero-based ranks, from one sort per key inside one task."""
-    if not wanted:
-        return {}
-    keys = list(wanted)
-    kschema = T.StructType([T.StructField(f"k{i}", long.schema[c].dataType) for i, c in enumerate(key_cols)]
-                           + [T.StructField("ranks", T.ArrayType(T.IntegerType()))])
-    ranks = long.sparkSession.createDataFrame([(*k, sorted(set(wanted[k]))) for k in keys], kschema)
-    cond = [long[c] == ranks[f"k{i}"] for i, c in enumerate(key_cols)]
-    joined = long.join(F.broadcast(ranks), cond).select(*[F.col(f"k{i}") for i in range(len(key_cols))], "ranks", "x")
-    per = joined.groupBy(*[f"k{i}" for i in range(len(key_cols))], "ranks").agg(
-        F.array_sort(F.collect_list("x")).alias("xs"))
-    got = per.select(*[f"k{i}" for i in range(len(key_cols))], "ranks",
-                     F.transform("ranks", lambda r: F.element_at("xs", r + 1)).alias("vals")).collect()
-    out: dict[tuple, dict[int, float]] = {}
-    for r in got:
-        k = tuple(r[f"k{i}"] for i in range(len(key_cols)))
-        out[k] = dict(zip(r["ranks"], r["vals"]))
-    return out
-
-
-def grouped_order_statistics(long: DataFrame, wanted: dict[str, list[int]], counts: dict[str, int], *,
-                             buckets: int = 1024, sort_limit: int = 100_000,
-                             max_passes: int = 64) -> dict[tuple[str, int], float]:
-    """Values of the given ranks per group ``g`` of a (g, x) frame."""
-    result: dict[tuple[str, int], float] = {}
-    small = {g: r for g, r in wanted.items() if counts[g] <= sort_limit}
-    for (g,), vals in _order_stats(long, {(g,): r for g, r in small.items()}, ["g"]).items():
-        for rank, v in vals.items():
-            result[(g, rank)] = v
-    big = {g: r for g, r in wanted.items() if counts[g] > sort_limit}
-    if not big:
-        return result
-    spark = long.sparkSession
-    stats = {r["g"]: (r["lo"], r["hi"]) for r in long.where(F.col("g").isin(list(big)))
-             .groupBy("g").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).collect()}
-    # target (g, rank) -> interval [a, b] with `below` rows under a and `count` rows inside
-    targets = {(g, rank): (stats[g][0], stats[g][1], 0, counts[g]) for g, rs in big.items() for rank in rs}
-    schema = T.StructType([T.StructField("iid", T.IntegerType()), T.StructField("g", T.StringType()),
-                           T.StructField("a", T.DoubleType()), T.StructField("b", T.DoubleType())])
-    for _ in range(max_passes):
-        open_ = {k: v for k, v in targets.items() if v[0] != v[1] and v[3] > sort_limit}
-        for k, v in targets.items():
-            if v[0] == v[1]:
-                result[k] = v[0]
-        if not open_:
-            break
-        intervals = sorted({(k[0], v[0], v[1]) for k, v in open_.items()})
-        iid = {iv: i for i, iv in enumerate(intervals)}
-        ivals = spark.createDataFrame([(i, g, float(a), float(b)) for (g, a, b), i in iid.items()], schema)
-        hits = long.join(F.broadcast(ivals), "g").where((F.col("x") >= F.col("a")) & (F.col("x") <= F.col("b")))
-        bucket = F.least(F.floor((F.col("x") - F.col("a")) / (F.col("b") - F.col("a")) * F.lit(buckets)).cast("int"),
-                         F.lit(buckets - 1))
-        hist: dict[int, list] = {}
-        for r in (hits.groupBy("iid", bucket.alias("k"))
-                  .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()):
-            hist.setdefault(r["iid"], []).append((r["k"], r["n"], r["lo"], r["hi"]))
-        for k, (a, b, below, _) in open_.items():
-            acc = below
-            for _, n, lo, hi in sorted(hist[iid[(k[0], a, b)]]):
-                if acc + n > k[1]:
-                    targets[k] = (lo, hi, acc, n)
-                    break
-                acc += n
-        targets = {k: v for k, v in targets.items() if k not in result}
-    # remaining intervals are small: sort each once
-    rest = {k: v for k, v in targets.items() if k not in result}
-    if rest:
-        sub_wanted: dict[tuple, list[int]] = {}
-        for (g, rank), (a, b, below, _) in rest.items():
-            sub_wanted.setdefault((g, a, b), []).append(rank - below)
-        keyed = long.join(F.broadcast(spark.createDataFrame(
-            [(g, float(a), float(b)) for g, a, b in sub_wanted], "g string, a double, b double")), "g") \
-            .where((F.col("x") >= F.col("a")) & (F.col("x") <= F.col("b")))
-        got = _order_stats(keyed, sub_wanted, ["g", "a", "b"])
-        for (g, rank), (a, b, below, _) in rest.items():
-            result[(g, rank)] = got[(g, a, b)][rank - below]
+@dataclass
+class _Target:
+    """A rank of a group between two values; None: no bound yet."""
+
+    group: object
+    rank: int
+    size: int                      # rows that can hold it
+    offset: int = 0                # rows of the group at or below ``low``
+    low: float | None = None
+    high: float | None = None
+
+    def inside(self, g: Column, x: Column) -> Column:
+        cond = g == F.lit(self.group)
+        if self.low is not None:
+            cond = cond & (x > F.lit(self.low))
+        if self.high is not None:
+            cond = cond & (x < F.lit(self.high))
+        return cond
+
+
+def grouped_order_statistics(long: DataFrame, wanted: dict, counts: dict, *, buckets: int = 10_000,
+                             sort_limit: int = 100_000) -> dict[tuple, float]:
+    """Values of the given ranks per group ``g`` of a (g, x) frame; ``buckets`` is the sketch's accuracy."""
+    accuracy = max(buckets, LEAST_ACCURACY)
+    g, x = F.col("g"), F.col("x")
+    result: dict[tuple, float] = {}
+    open_ = [_Target(group, rank, counts[group]) for group, ranks in wanted.items() for rank in sorted(set(ranks))]
+    while open_:
+        # bracket each rank by a sketch of the rows that can hold it
+        asked = []
+        for t in open_:
+            share = (t.rank - t.offset + 1) / t.size
+            low, high = share - 2 / accuracy - 1 / t.size, share + 2 / accuracy + 1 / t.size
+            asked.append((max(low, 0.0), min(high, 1.0)))
+        row = long.agg(*[F.percentile_approx(F.when(t.inside(g, x), x), [a, b], F.lit(accuracy)).alias(f"s{i}")
+                         for i, (t, (a, b)) in enumerate(zip(open_, asked))]).first()
+        ends = [(row[f"s{i}"][0], row[f"s{i}"][1]) for i in range(len(open_))]
+        # count around the brackets, and gather what lies between where that is little
+        expect = [t.size * (b - a + 2 / accuracy) for t, (a, b) in zip(open_, asked)]
+        aggs = []
+        for i, (t, (low, high), n) in enumerate(zip(open_, ends, expect)):
+            own = t.inside(g, x)
+            between = own & (x > F.lit(low)) & (x < F.lit(high))
+            aggs += [F.count_if(own & (x < F.lit(low))).alias(f"b{i}"), F.count_if(own & (x == F.lit(low))).alias(f"l{i}"),
+                     F.count_if(between).alias(f"m{i}"), F.count_if(own & (x == F.lit(high))).alias(f"h{i}")]
+            if n <= sort_limit:
+                aggs.append(F.sort_array(F.collect_list(F.when(between, x))).alias(f"v{i}"))
+        row = long.agg(*aggs).first()
+        left = []
+        for i, (t, (low, high), n) in enumerate(zip(open_, ends, expect)):
+            at = t.rank - t.offset
+            below, on_low, between, on_high = (row[f"{k}{i}"] for k in "blmh")
+            if low == high:
+                on_high = 0
+            key = (t.group, t.rank)
+            if at < below:                     # the sketch was further off than it says: what is below remains
+                left.append(_Target(t.group, t.rank, below, t.offset, t.low, low))
+            elif at < below + on_low:
+                result[key] = low
+            elif at < below + on_low + between:
+                at -= below + on_low
+                if n <= sort_limit:
+                    result[key] = row[f"v{i}"][at]
+                else:
+                    left.append(_Target(t.group, t.rank, between, t.rank - at, low, high))
+            elif at < below + on_low + between + on_high:
+                result[key] = high
+            else:
+                passed = below + on_low + between + on_high
+                left.append(_Target(t.group, t.rank, t.size - passed, t.offset + passed, high, t.high))
+        open_ = left
     return result
 
 
 def grouped_quantiles(long: DataFrame, probs: Sequence[float], **kw) -> dict[tuple[str, float], float | None]:
-    """{(g, p): value} for every group of a (g, x) frame."""
+    """{(g, p): value} for every group of a (g, x) frame; meant for few groups, such as columns."""
     counts = {r["g"]: r["n"] for r in long.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     return _interpolate(long, counts, list(counts), probs, **kw)
 
@@ -142,7 +133,7 @@ def _interpolate(long, counts, groups, probs, **kw):
             continue
         r0, r1, frac = pl
         x0, x1 = stats[(g, r0)], stats[(g, r1)]
-        out[(g, p)] = x0 + (x1 - x0) * frac
+        out[(g, p)] = x0 if x0 == x1 else x0 + (x1 - x0) * frac
     return out
 
 

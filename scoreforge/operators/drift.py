@@ -3,15 +3,15 @@
 Numeric columns: two-sample Kolmogorov-Smirnov statistic and asymptotic
 p-value, Wasserstein-1 distance divided by the reference population std, and
 PSI over reference deciles.  Categorical columns: chi-square statistic,
-Jensen-Shannon distance and PSI.  The test that decides drift follows the
-usual default: with at most ``small_sample`` reference rows, KS (numeric) or
-chi-square (categorical) p-value below ``p_threshold``; above it,
-Wasserstein (numeric) or Jensen-Shannon (categorical) at or above
-``distance_threshold``.  Dataset drift: share of drifted columns reaches
+Jensen-Shannon distance and PSI.  Both decisions are reported: the p-value (KS or
+chi-square) below ``p_threshold``, and the distance (Wasserstein or
+Jensen-Shannon) at or above ``distance_threshold``; ``decide`` says
+which of them is the column's ``drifted``.  Dataset drift: share of drifted columns reaches
 ``drift_share``.
 
-Everything is grouped aggregation on (column, value) pairs, so the shuffles
-carry distinct values with partial counts, never raw rows.
+A numeric comparison reads its inputs once, into one written table of
+(column, value, reference count, current count) in slices by value; row counts, spread,
+deciles, PSI, KS and Wasserstein all come from that table.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.cumulative import ordered_running_sum
-from ..functions.quantiles import exact_quantiles
+from ..functions.cumulative import ordered_slices, running_sums
+from ..session import written
 
 EPS = 1e-4
 
@@ -45,55 +45,69 @@ def _long(df: DataFrame, cols: Sequence[str], flag: int, cast: str) -> DataFrame
 
 
 def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], *, p_threshold: float = 0.05,
-                  distance_threshold: float = 0.1, small_sample: int = 1000, psi_bins: int = 10) -> DataFrame:
-    """One row per column with KS, Wasserstein, PSI and the drift flag."""
-    long = _long(ref, cols, 0, "double").unionByName(_long(cur, cols, 1, "double")) \
-        .where(~F.isnan("x"))
+                  distance_threshold: float = 0.1, decide: str = "distance", psi_bins: int = 10) -> DataFrame:
+    """One row per column with KS, Wasserstein, PSI and the drift flags."""
+    _known(decide)
+    long = _long(ref, cols, 0, "double").unionByName(_long(cur, cols, 1, "double")).where(~F.isnan("x"))
     counts = long.groupBy("column", "x").agg(F.sum(1 - F.col("cur")).cast("double").alias("c_ref"),
                                              F.sum("cur").cast("double").alias("c_cur"))
-    totals = counts.groupBy("column").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"))
-    run = ordered_running_sum(counts, "column", "x", ["c_ref", "c_cur"]).join(F.broadcast(totals), "column")
-    f_ref = F.col("cum_c_ref") / F.col("n_ref")
-    f_cur = F.col("cum_c_cur") / F.col("n_cur")
-    gap = F.abs(f_ref - f_cur)
-    ks = run.groupBy("column").agg(
+    sliced = ordered_slices(counts, "column", "x")
+    # one row per column from here on, so these are broadcast
+    totals = sliced.groupBy("column").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"),
+                                          F.sum(F.col("c_ref") * F.col("x")).alias("_sum"))
+    run = running_sums(sliced, "column", "x", ["c_ref", "c_cur"]).join(F.broadcast(totals), "column")
+    gap = F.abs(F.try_divide("cum_c_ref", "n_ref") - F.try_divide("cum_c_cur", "n_cur"))
+    off = F.col("x") - F.try_divide("_sum", "n_ref")
+    probs = [i / psi_bins for i in range(1, psi_bins)]
+    ranks = [(p, F.floor(F.lit(p) * (F.col("n_ref") - 1)).cast("double")) for p in probs]
+    stats = run.groupBy("column", "n_ref", "n_cur").agg(
         F.max(gap).alias("ks_statistic"),
         F.sum(F.when(F.col("next_x").isNotNull(), (F.col("next_x") - F.col("x")) * gap).otherwise(0.0))
-        .alias("wasserstein"))
-    # reference spread (population std) for the normalised distance
-    spread = ref.agg(*[F.stddev_pop(F.col(c).cast("double")).alias(c) for c in cols])
-    spread = spread.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("ref_std"))
-                                               for c in cols])).alias("r")).select("r.*")
-    # PSI over reference deciles (exact quantiles, bounded state)
-    probs = [i / psi_bins for i in range(1, psi_bins)]
-    q = exact_quantiles(ref, cols, probs)
-    edges = F.create_map(*[v for c in cols for v in
-                           (F.lit(c), F.array(*[F.lit(q[(c, p)]).cast("double") for p in probs]))])
-    binned = long.withColumn("bin", F.size(F.filter(F.element_at(edges, F.col("column")),
-                                                    lambda e: F.col("x") > e)))
-    psi = _psi(binned, "column", "bin")
-    out = (ks.join(totals, "column").join(spread, "column").join(psi, "column")
+        .alias("wasserstein"),
+        # reference spread (population std) for the normalised distance
+        F.sqrt(F.try_divide(F.sum(F.col("c_ref") * off * off), F.first("n_ref"))).alias("ref_std"),
+        # the two order statistics around each reference decile
+        *[F.min(F.when(F.col("cum_c_ref") > r + k, F.col("x"))).alias(f"_q{i}_{k}")
+          for i, (_, r) in enumerate(ranks) for k in (0, 1)])
+    edges = [F.col(f"_q{i}_0") + (F.coalesce(F.col(f"_q{i}_1"), F.col(f"_q{i}_0")) - F.col(f"_q{i}_0"))
+             * (F.lit(p) * (F.col("n_ref") - 1) - r) for i, (p, r) in enumerate(ranks)]
+    stats = written(stats.select("column", "n_ref", "n_cur", "ks_statistic", "wasserstein", "ref_std",
+                                 F.array(*edges).alias("edges")), "drift-columns")
+    binned = sliced.join(F.broadcast(stats.select("column", "edges")), "column").select(
+        "column", "c_ref", "c_cur", F.size(F.filter("edges", lambda e: F.col("x") > e)).alias("bin"))
+    psi = _psi(binned, "column", "bin", "c_ref", "c_cur")
+    out = (stats.join(F.broadcast(psi), "column")
            .withColumn("ks_p_value", ks_pvalue(F.col("ks_statistic"), F.col("n_ref"), F.col("n_cur")))
            .withColumn("wasserstein_norm",
                        F.when(F.col("ref_std") > 0, F.col("wasserstein") / F.col("ref_std"))
                        .otherwise(F.when(F.col("wasserstein") > 0, F.lit(float("inf"))).otherwise(F.lit(0.0)))))
-    small = F.col("n_ref") <= F.lit(small_sample)
     return out.select(
         "column", F.col("n_ref").cast("long").alias("n_ref"), F.col("n_cur").cast("long").alias("n_cur"),
         "ks_statistic", "ks_p_value", "wasserstein_norm", "psi",
-        F.when(small, F.lit("ks")).otherwise(F.lit("wasserstein")).alias("stattest"),
-        F.when(small, F.col("ks_p_value")).otherwise(F.col("wasserstein_norm")).alias("drift_score"),
-        F.when(small, F.col("ks_p_value") < F.lit(p_threshold))
-        .otherwise(F.col("wasserstein_norm") >= F.lit(distance_threshold)).alias("drifted"))
+        *_decisions(decide, "ks", "ks_p_value", p_threshold, "wasserstein", "wasserstein_norm", distance_threshold))
+
+
+def _known(decide: str) -> None:
+    if decide not in ("distance", "p_value"):
+        raise ValueError(f"unknown decision {decide!r}")
+
+
+def _decisions(decide: str, p_test: str, p_value: str, p_threshold: float, test: str, distance: str,
+               threshold: float) -> list[Column]:
+    """Both flags, and the test, score and flag that ``decide`` names."""
+    by_p, by_distance = F.col(p_value) < F.lit(p_threshold), F.col(distance) >= F.lit(threshold)
+    use_p = decide == "p_value"
+    return [by_p.alias("drifted_p"), by_distance.alias("drifted_distance"), F.lit(p_test if use_p else test).alias("stattest"),
+            F.col(p_value if use_p else distance).alias("drift_score"), (by_p if use_p else by_distance).alias("drifted")]
 
 
-def _psi(binned: DataFrame, group: str, key: str) -> DataFrame:
+def _psi(binned: DataFrame, group: str, key: str, ref: str, cur: str) -> DataFrame:
     """PSI = sum (p_cur - p_ref) * ln(p_cur / p_ref), shares floored at 1e-4."""
-    c = binned.groupBy(group, key).agg(F.sum(1 - F.col("cur")).alias("a"), F.sum("cur").alias("b"))
+    c = binned.groupBy(group, key).agg(F.sum(ref).alias("a"), F.sum(cur).alias("b"))
     tot = c.groupBy(group).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     p = c.join(F.broadcast(tot), group) \
-        .withColumn("pa", F.greatest(F.col("a") / F.col("na"), F.lit(EPS))) \
-        .withColumn("pb", F.greatest(F.col("b") / F.col("nb"), F.lit(EPS)))
+        .withColumn("pa", F.greatest(F.try_divide("a", "na"), F.lit(EPS))) \
+        .withColumn("pb", F.greatest(F.try_divide("b", "nb"), F.lit(EPS)))
     return p.groupBy(group).agg(F.sum((F.col("pb") - F.col("pa")) * F.log(F.col("pb") / F.col("pa"))).alias("psi"))
 
 
@@ -147,10 +161,10 @@ def chi2_pvalue(stat: Column, dof: Column) -> Column:
 
 
 def categorical_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], *, p_threshold: float = 0.05,
-                      distance_threshold: float = 0.1, small_sample: int = 1000,
-                      with_p_value: bool = True) -> DataFrame:
+                      distance_threshold: float = 0.1, decide: str = "distance") -> DataFrame:
     """Chi-square on the dataset x value table, Jensen-Shannon distance
     (natural log) and PSI over the union of values."""
+    _known(decide)
     long = _long(ref, cols, 0, "string").unionByName(_long(cur, cols, 1, "string"))
     c = long.groupBy("column", "x").agg(F.sum(1 - F.col("cur")).cast("double").alias("a"),
                                         F.sum("cur").cast("double").alias("b"))
@@ -169,30 +183,20 @@ def categorical_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], *, p_
         F.sqrt(F.greatest(F.lit(0.0), F.sum(F.lit(0.5) * kl(pa) + F.lit(0.5) * kl(pb)))).alias("js_distance"),
         F.sum((psb - psa) * F.log(psb / psa)).alias("psi"))
     agg = agg.withColumn("dof", (F.col("k") - 1).cast("int"))
-    small = F.col("n_ref") <= F.lit(small_sample)
-    if with_p_value:
-        agg = agg.withColumn("chi2_p_value", chi2_pvalue(F.col("chi2_statistic"), F.col("dof")))
-        score = F.when(small, F.col("chi2_p_value")).otherwise(F.col("js_distance"))
-        flag = F.when(small, F.col("chi2_p_value") < F.lit(p_threshold)) \
-            .otherwise(F.col("js_distance") >= F.lit(distance_threshold))
-    else:
-        score = F.col("js_distance")
-        flag = F.col("js_distance") >= F.lit(distance_threshold)
-    extra = ["chi2_p_value"] if with_p_value else []
+    agg = agg.withColumn("chi2_p_value", chi2_pvalue(F.col("chi2_statistic"), F.col("dof")))
     return agg.select(
         "column", F.col("n_ref").cast("long").alias("n_ref"), F.col("n_cur").cast("long").alias("n_cur"),
-        "chi2_statistic", "dof", *extra, "js_distance", "psi",
-        F.when(small, F.lit("chisquare")).otherwise(F.lit("jensenshannon")).alias("stattest"),
-        score.alias("drift_score"), flag.alias("drifted"))
+        "chi2_statistic", "dof", "chi2_p_value", "js_distance", "psi",
+        *_decisions(decide, "chisquare", "chi2_p_value", p_threshold, "jensenshannon", "js_distance", distance_threshold))
 
 
 def dataset_drift(*column_results: DataFrame, drift_share: float = 0.5) -> DataFrame:
-    """D3: one row: columns checked, drifted, share and the dataset flag."""
+    """D3: one row: columns checked, drifted (by the decision and by p-value), share and the dataset flag."""
     allc = None
     for r in column_results:
-        part = r.select("column", "drifted")
+        part = r.select("column", "drifted", "drifted_p")
         allc = part if allc is None else allc.unionByName(part)
     return allc.agg(F.count(F.lit(1)).alias("n_columns"),
-                    F.count_if("drifted").alias("n_drifted"),
+                    F.count_if("drifted").alias("n_drifted"), F.count_if("drifted_p").alias("n_drifted_p"),
                     F.avg(F.col("drifted").cast("double")).alias("share_drifted")) \
         .withColumn("dataset_drift", F.col("share_drifted") >= F.lit(drift_share))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import drift as D
 from ..operators import features as FT
-from ..session import work_path
+from ..session import work_path, written
 from ..sources import io as IO
 from ..sources import views as V
 from ..sources.tables import Tables
@@ -19,16 +19,23 @@ from .models import LINEAR_INTERCEPT
 WEIGHTS = {"l_quantity": 0.02, "l_extendedprice": 0.05, "l_discount": -0.04, "l_tax": 0.01}
 
 
+#: Per-column entry of the JSON summary; the tests that do not apply to a column are null.
+TESTS_SCHEMA = ("struct<ks: struct<statistic: double, p_value: double>, wasserstein_norm: double, "
+                "chisquare: struct<statistic: double, p_value: double>, jensenshannon: double, psi: double>")
+
+
 def drift_summary(num: DataFrame, cat: DataFrame) -> DataFrame:
-    """Nested per-column summary for the JSON sink."""
-    n = num.select("column", "n_ref", "n_cur", F.struct(
-        F.struct(F.col("ks_statistic").alias("statistic"), F.col("ks_p_value").alias("p_value")).alias("ks"),
-        F.col("wasserstein_norm").alias("wasserstein_norm"), F.col("psi").alias("psi")).alias("tests"),
-        "stattest", "drift_score", "drifted")
-    c = cat.select("column", "n_ref", "n_cur", F.struct(
-        F.struct(F.col("chi2_statistic").alias("statistic"), F.col("chi2_p_value").alias("p_value")).alias("ks"),
-        F.col("js_distance").alias("wasserstein_norm"), F.col("psi").alias("psi")).alias("tests"),
-        "stattest", "drift_score", "drifted")
+    """Nested per-column summary for the JSON sink (S12), every test under its own name."""
+    none = F.lit(None).cast("double")
+    pair = lambda a, b: F.struct(a.alias("statistic"), b.alias("p_value"))
+
+    def entry(df, ks, wasserstein, chisquare, jensenshannon):
+        tests = F.struct(ks.alias("ks"), wasserstein.alias("wasserstein_norm"), chisquare.alias("chisquare"),
+                         jensenshannon.alias("jensenshannon"), F.col("psi").alias("psi")).alias("tests")
+        return df.select("column", "n_ref", "n_cur", tests, "stattest", "drift_score", "drifted")
+
+    n = entry(num, pair(F.col("ks_statistic"), F.col("ks_p_value")), F.col("wasserstein_norm"), pair(none, none), none)
+    c = entry(cat, pair(none, none), none, pair(F.col("chi2_statistic"), F.col("chi2_p_value")), F.col("js_distance"))
     return n.unionByName(c)
 
 
@@ -55,8 +62,9 @@ def daily_job(spark: SparkSession, t: Tables, window_days: int = 90, keep_days:
     rows = IO.inference_log_rows(scored, "id", F.lit(None).cast("string"), "prediction",
                                  created_at=F.lit(f"{ds} 00:00:00").cast("timestamp"))
     IO.append_inference_log(rows, f"{out}/inference_logs")
-    num = D.numeric_drift(ref, batch, V.LINE_NUMERIC)
-    cat = D.categorical_drift(ref, batch, V.LINE_CATEGORICAL)
+    # read by the decision and by the report
+    num = written(D.numeric_drift(ref, batch, V.LINE_NUMERIC), "daily-numeric")
+    cat = written(D.categorical_drift(ref, batch, V.LINE_CATEGORICAL), "daily-categorical")
     summary = D.dataset_drift(num, cat).first()
     IO.dated_partition_write(scored.withColumn("run_ts", F.lit(f"{ds} 00:00:00").cast("timestamp")),
                              f"{out}/scored", "run_ts")

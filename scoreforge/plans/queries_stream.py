@@ -67,21 +67,18 @@ def d4(spark, sf_dir):
 
 @query("s12_json_summary_sink")
 def s12(spark, sf_dir):
-    """D1's result written as nested JSON, read back and flattened."""
+    """D1's and D2's results written as nested JSON, read back and flattened."""
     from ..operators import drift as D
-    from .daily import drift_summary
-    t = _t(spark, sf_dir)
-    ref, cur = V.ship_split(t)
-    num = D.numeric_drift(ref, cur, V.LINE_NUMERIC)
+    from .daily import TESTS_SCHEMA, drift_summary
+    ref, cur = V.ship_split(_t(spark, sf_dir))
     path = work_path(spark, "reports", "drift")
-    IO.json_summary_sink(drift_summary(num, num.limit(0).select(
-        "column", "n_ref", "n_cur", F.col("ks_statistic").alias("chi2_statistic"),
-        F.col("ks_p_value").alias("chi2_p_value"), F.col("wasserstein_norm").alias("js_distance"), "psi",
-        "stattest", "drift_score", "drifted")), path)
-    schema = ("column string, n_ref long, n_cur long, tests struct<ks: struct<statistic: double, p_value: double>, "
-              "wasserstein_norm: double, psi: double>, stattest string, drift_score double, drifted boolean")
+    IO.json_summary_sink(drift_summary(D.numeric_drift(ref, cur, V.LINE_NUMERIC),
+                                       D.categorical_drift(ref, cur, V.LINE_CATEGORICAL)), path)
+    schema = (f"column string, n_ref long, n_cur long, tests {TESTS_SCHEMA}, stattest string, drift_score double, "
+              "drifted boolean")
     back = spark.read.schema(schema).json(path)
-    return _round_doubles(back.select("column", "n_ref", "n_cur", F.col("tests.ks.statistic").alias("ks_statistic"),
-                                      F.col("tests.ks.p_value").alias("ks_p_value"),
-                                      F.col("tests.wasserstein_norm").alias("wasserstein_norm"),
-                                      F.col("tests.psi").alias("psi"), "stattest", "drift_score", "drifted"))
+    return _round_doubles(back.select(
+        "column", "n_ref", "n_cur", F.col("tests.ks.statistic").alias("ks_statistic"), F.col("tests.ks.p_value").alias("ks_p_value"),
+        "tests.wasserstein_norm", F.col("tests.chisquare.statistic").alias("chi2_statistic"),
+        F.col("tests.chisquare.p_value").alias("chi2_p_value"), F.col("tests.jensenshannon").alias("js_distance"), "tests.psi",
+        "stattest", "drift_score", "drifted"))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "scoreforge") -> SparkSession:
@@ -21,6 +21,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -39,7 +40,8 @@ def prepare(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the session has none (local tests) is a folder of our own set.
+    Only a local master may go without one, as in tests: it then gets a
+    temporary folder.  Elsewhere that folder would be another one on each machine.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,6 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not conf:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         conf = tempfile.mkdtemp(prefix="scoreforge-ckpt-")
     sc.setCheckpointDir(conf)
     return sc.getCheckpointDir()
@@ -61,6 +65,13 @@ def work_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     return f"{base}/scoreforge/{name}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared work folder and read back: every reader sees the same rows."""
+    path = work_path(df.sparkSession, "tables", name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for the Python side of local tests."""
     return path[5:] if path.startswith("file:") else path

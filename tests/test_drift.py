@@ -21,11 +21,28 @@ def test_numeric_drift_statistics(spark):
     b = np.round(rng.normal(0.3, 1, 200), 2)
     ref = spark.createDataFrame([(float(x),) for x in a], "x double")
     cur = spark.createDataFrame([(float(x),) for x in b], "x double")
-    r = D.numeric_drift(ref, cur, ["x"]).first()
+    r = D.numeric_drift(ref, cur, ["x"], decide="p_value").first()
     d, w = _ks(a, b)
     assert r["ks_statistic"] == pytest.approx(d)
     assert r["wasserstein_norm"] == pytest.approx(w / np.std(a))
-    assert r["stattest"] == "ks" and r["drifted"] == (r["ks_p_value"] < 0.05)
+    assert r["stattest"] == "ks" and r["drifted"] == r["drifted_p"] == (r["ks_p_value"] < 0.05)
+    other = D.numeric_drift(ref, cur, ["x"]).first()
+    assert other["stattest"] == "wasserstein" and other["drifted"] == r["drifted_distance"] == (w / np.std(a) >= 0.1)
+
+
+@pytest.mark.parametrize("reuse", ["true", "false"])
+def test_drift_does_not_depend_on_exchange_reuse(spark, reuse):
+    """On the largest table, against DuckDB, with and without reused shuffles."""
+    from scoreforge.checks.compare import compare, duck
+    import __spark_entry__ as entry
+    sf = "/root/testdata/sf0.1"
+    spark.conf.set("spark.sql.exchange.reuse", reuse)
+    try:
+        res = compare(spark, sf, "d1_numeric_drift", entry.queries()["d1_numeric_drift"],
+                      entry.oracle_sql()["d1_numeric_drift"], duck(sf))
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert res["cols_match"] and res["values_match"], res
 
 
 def test_chi2_survival_known_values():

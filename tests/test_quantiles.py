@@ -32,3 +32,17 @@ def test_grouped(spark):
     df = spark.createDataFrame([(float(i),) for i in range(11)], "a double")
     got = grouped_quantiles(long_form(df, ["a"]), [0.5], sort_limit=4, buckets=2)
     assert got[("a", 0.5)] == 5.0
+
+
+@pytest.mark.parametrize("kw", [{}, {"sort_limit": 3, "buckets": 2}])
+def test_infinities_and_wide_ranges(spark, kw):
+    inf = float("inf")
+    values = [-inf, *(10.0 ** e for e in range(-300, 300, 5)), *([1.5] * 200), inf, inf, inf]
+    df = spark.createDataFrame([(v,) for v in values], "a double")
+    probs = [0.0, 0.003, 0.25, 0.5, 0.9, 1.0]
+    got = exact_quantiles(df, ["a"], probs, **kw)
+    ranked = sorted(values)
+    for p in probs:
+        at = p * (len(ranked) - 1)
+        x, y = ranked[int(at)], ranked[min(int(at) + 1, len(ranked) - 1)]
+        assert got[("a", p)] == (x if x == y else pytest.approx(x + (y - x) * (at - int(at)), nan_ok=True))
