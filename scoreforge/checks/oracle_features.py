@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from .. import constants as K
-from ..functions.text import accent_table
 from .oracle_sql import HASH, LINE_ID, CASES, q, r6, sql_list
 
-_src, _dst = accent_table()
 STOP = sql_list(K.ENGLISH_STOP_WORDS)
 PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -15,7 +13,7 @@ def tokens_cte(table: str, key: str, text: str, prefix: str = "") -> str:
     """<prefix>terms(key, terms): unigrams after stop words, then bigrams."""
     return f"""
 {prefix}tok AS (
-  SELECT {key} AS key, list_filter(regexp_extract_all(translate(lower(coalesce({text}, '')), '{_src}', '{_dst}'),
+  SELECT {key} AS key, list_filter(regexp_extract_all(strip_accents(lower(coalesce({text}, ''))),
          '{PATTERN}'), lambda x: NOT list_contains({STOP}, x)) AS t
   FROM {table}),
 {prefix}terms AS (

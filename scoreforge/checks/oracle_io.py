@@ -68,7 +68,7 @@ SELECT batch_id, pos, coalesce(nullif(gid, ''), 'batch_' || CAST(pos AS VARCHAR)
 
 q("s10_dated_partition_write", f"""
 SELECT event_id, event_type, {r6('value')} AS value, strftime(ts, '%Y-%m-%d') AS ds
-FROM events WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-15'""")
+FROM events""")
 
 q("s11_retention_filter", """
 SELECT ds, n_rows,

@@ -7,13 +7,13 @@ All steps are JVM-side: SQL string functions plus Spark ML's
 
 from __future__ import annotations
 
+import sys
 import unicodedata
 from functools import lru_cache
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import NGram, SQLTransformer, StopWordsRemover
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from .. import constants as K
 
@@ -22,27 +22,25 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 @lru_cache(maxsize=1)
 def accent_table() -> tuple[str, str]:
-    """(from, to) for ``translate``: every Latin-1 / Latin Extended-A/B letter
-    whose compatibility decomposition is one ASCII letter plus combining marks
-    maps to that letter.  Built from the Unicode database, not typed in."""
-    src, dst = [], []
-    for cp in range(0x00C0, 0x0250):
+    """(from, to) for ``translate``, over all of Unicode: a character whose
+    compatibility decomposition without combining marks is one other character maps to
+    it; combining marks have no partner and are removed.  Built from the
+    Unicode database, not typed in.  Characters that decompose to several (ligatures) stay."""
+    src, dst, gone = [], [], []
+    for cp in range(0x80, sys.maxunicode + 1):
+        if 0xAC00 <= cp < 0xD7A4 or 0xD800 <= cp < 0xE000:      # Hangul syllables decompose to several; surrogates
+            continue
         ch = chr(cp)
+        if unicodedata.combining(ch):
+            gone.append(ch)
+            continue
+        if not unicodedata.decomposition(ch):
+            continue
         base = "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
-        if len(base) == 1 and base.isascii() and base.isalpha() and base != ch:
+        if len(base) == 1 and base != ch and base.isalnum():
             src.append(ch)
-            dst.append(base)
-    return "".join(src), "".join(dst)
-
-
-def fold(text: Column) -> Column:
-    """Null -> '', lower-case, accents folded."""
-    src, dst = accent_table()
-    return F.translate(F.lower(F.coalesce(text, F.lit(""))), src, dst)
-
-
-def words(text: Column) -> Column:
-    return F.regexp_extract_all(fold(text), F.lit(TOKEN_PATTERN), 0)
+            dst.append(base.lower())
+    return "".join(src + gone), "".join(dst)
 
 
 def tokenizer(text_col: str, out: str = "terms", stop_words=None, ngram: bool = True) -> PipelineModel:

@@ -1,9 +1,9 @@
 """Feature operators (F2-F12): fit = one aggregate pass into a small state,
 transform = JVM-side expressions / Spark ML transformers (no shuffle).
 
-State sizes are bounded by construction: the vocabulary by ``max_features``,
-the label lists by ``max_categories`` (checked, an error beyond it), the
-numeric statistics by the column count.  Only these states reach the driver.
+What reaches the driver is the vocabulary (``max_features`` terms), the label
+lists of the fitted pipeline and a few numbers per column.  Columns with very many
+values keep their labels in a table (``label_table``, ``label_join``).
 """
 
 from __future__ import annotations
@@ -13,10 +13,9 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexerModel,
                                 VectorAssembler)
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +23,10 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import exprs as X
+from ..functions.cumulative import ordered_running_sum
 from ..functions.text import tokenize
-from .profile import iqr_bounds
+from ..session import written
+from .profile import iqr_bounds, number
 
 
 # ------------------------------------------------------------------ TF-IDF
@@ -46,14 +47,16 @@ class Vocabulary:
         return spark.createDataFrame(rows, "term string, idx int, df long, tf long, idf double")
 
 
-def term_stats(docs: DataFrame, terms: str = "terms") -> DataFrame:
+def term_stats(docs: DataFrame, terms: str = "terms", count_docs: bool = False) -> DataFrame:
     """(term, tf, df): corpus frequency and document frequency in one grouped
-    aggregate.  Each row is one document, so its distinct terms give df
-    without a per-document shuffle; partial aggregation absorbs hot terms."""
-    every = docs.select(F.explode(F.col(terms)).alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("df"))
-    once = docs.select(F.explode(F.array_distinct(F.col(terms))).alias("term"), F.lit(0).alias("tf"),
-                       F.lit(1).alias("df"))
-    return every.unionByName(once).groupBy("term").agg(
+    aggregate over one explode.  Each row is one document, so its distinct terms
+    give df without a shuffle per document; partial aggregation absorbs hot
+    terms.  ``count_docs`` adds a row with a null term and the number of documents as df."""
+    row = lambda t, tf, df: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
+    parts = [F.transform(terms, lambda t: row(t, 1, 0)), F.transform(F.array_distinct(terms), lambda t: row(t, 0, 1))]
+    if count_docs:
+        parts.append(F.array(row(F.lit(None).cast("string"), 0, 1)))
+    return docs.select(F.inline(F.concat(*parts))).groupBy("term").agg(
         F.sum("tf").cast("long").alias("tf"), F.sum("df").cast("long").alias("df"))
 
 
@@ -64,19 +67,16 @@ def tfidf_fit(docs: DataFrame, text_col: str | None = None, terms: str = "terms"
     indexed alphabetically."""
     if text_col is not None:
         docs = tokenize(docs, text_col, terms)
-    # the count and both branches of the term statistics read the tokens: tokenize once
-    docs = docs.select(terms).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = docs.count()
-        lo = min_df if isinstance(min_df, int) else min_df * n
-        hi = max_df if isinstance(max_df, int) else max_df * n
-        stats = term_stats(docs, terms).where((F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
-        top = stats.orderBy(F.desc("tf"), F.asc("term"))
-        if max_features is not None:
-            top = top.limit(max_features)
-        rows = sorted(top.collect(), key=lambda r: r["term"].encode("utf-8"))
-    finally:
-        docs.unpersist()
+    # one row per term and the document count under a null term: the corpus is tokenized once
+    stats = written(term_stats(docs.select(terms), terms, count_docs=True), "term-stats")
+    n = stats.where("term is null").agg(F.sum("df")).first()[0] or 0
+    lo = min_df if isinstance(min_df, int) else min_df * n
+    hi = max_df if isinstance(max_df, int) else max_df * n
+    top = stats.where(F.col("term").isNotNull() & (F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
+    top = top.orderBy(F.desc("tf"), F.asc("term"))
+    if max_features is not None:
+        top = top.limit(max_features)
+    rows = sorted(top.collect(), key=lambda r: r["term"].encode("utf-8"))
     return Vocabulary([r["term"] for r in rows], [r["df"] for r in rows], [r["tf"] for r in rows], n)
 
 
@@ -84,8 +84,8 @@ def tfidf_transform(docs: DataFrame, vocab: Vocabulary, terms: str = "terms", ou
     """counts x idf, L2-normalised; out-of-vocabulary terms ignored, a
     document with no hit gets the zero vector.  Row-local: the vocabulary
     lives in a broadcast hash map inside ``CountVectorizerModel``."""
-    if not vocab.terms:
-        return docs.withColumn(out, F.lit(None))
+    if not vocab.terms:                        # nothing to hit: every document is the zero vector
+        return docs.withColumn(out, array_to_vector(F.array(F.lit(0.0))))
     cv = CountVectorizerModel.from_vocabulary(vocab.terms, inputCol=terms, outputCol="__tf")
     ep = ElementwiseProduct(scalingVec=Vectors.dense(vocab.idf), inputCol="__tf", outputCol="__w")
     nz = Normalizer(p=2.0, inputCol="__w", outputCol=out)
@@ -120,22 +120,45 @@ class Labels:
         return spark.createDataFrame(rows, "column string, value string, code int")
 
 
-def label_fit(df: DataFrame, cols: Sequence[str], max_categories: int = 100_000) -> Labels:
-    """sorted distinct values per column, null read as 'Unknown'.  The
-    distinct values come from one grouped aggregate; a column with more than
-    ``max_categories`` values is refused (it is not a categorical)."""
-    if not cols:
-        return Labels({})
+def label_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """F4 for any number of values: (column, value, code) as a table.
+
+    Codes are the ranks of the distinct values in byte order, from running sums
+    over written slices; nothing is collected.
+    """
+    distinct = _distinct_values(df, cols).withColumn("one", F.lit(1).cast("long"))
+    ranked = ordered_running_sum(distinct, "column", "value", ["one"])
+    return ranked.select("column", "value", (F.col("cum_one") - 1).cast("int").alias("code"))
+
+
+def label_join(df: DataFrame, labels: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
+    """F5 against a label table: one size-checked equi-join per column (Spark broadcasts small label sets)."""
+    for c in cols:
+        own = labels.where(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
+        unknown = own.agg(F.coalesce(F.max(F.when(F.col("__v") == K.UNKNOWN_CATEGORY, F.col("__code"))),
+                                     F.count(F.lit(1)).cast("int")).alias("__unknown"))
+        value = F.coalesce(F.col(c).cast("string"), F.lit(K.UNKNOWN_CATEGORY))
+        df = (df.withColumn("__value", value).join(own, F.col("__value") == F.col("__v"), "left")
+              .join(F.broadcast(unknown))           # one row
+              .withColumn(c + suffix, F.coalesce("__code", "__unknown")).drop("__value", "__v", "__code", "__unknown"))
+    return df
+
+
+def _distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                                   F.coalesce(F.col(c).cast("string"), F.lit(K.UNKNOWN_CATEGORY))
                                                   .alias("value")) for c in cols])).alias("r"))
-    distinct = long.groupBy("r.column", "r.value").agg(F.count(F.lit(1)).alias("n"))
-    sizes = {r["column"]: r["k"] for r in distinct.groupBy("column").agg(F.count(F.lit(1)).alias("k")).collect()}
-    too_big = {c: k for c, k in sizes.items() if k > max_categories}
-    if too_big:
-        raise ValueError(f"too many categories for label encoding: {too_big}")
+    return long.groupBy("r.column", "r.value").agg(F.count(F.lit(1)).alias("n")).select("column", "value")
+
+
+def label_fit(df: DataFrame, cols: Sequence[str]) -> Labels:
+    """sorted distinct values per column, null read as 'Unknown', from one
+    grouped aggregate.  They become driver-side state of the fitted pipeline;
+    ``label_table`` / ``label_join`` keep a very large value set in a table instead."""
+    if not cols:
+        return Labels({})
     vals: dict[str, list[str]] = {c: [] for c in cols}
-    for r in distinct.select("column", "value").collect():
+    for r in _distinct_values(df, cols).collect():
         vals[r["column"]].append(r["value"])
     return Labels({c: sorted(v, key=lambda s: s.encode("utf-8")) for c, v in vals.items()})
 
@@ -149,15 +172,17 @@ def label_transform(df: DataFrame, labels: Labels, suffix: str = "") -> DataFram
     cols = list(labels.values)
     prepared = df
     for c in cols:
-        known = labels.values[c]
-        v = F.coalesce(F.col(c).cast("string"), F.lit(K.UNKNOWN_CATEGORY))
-        prepared = prepared.withColumn(f"__{c}", F.when(v.isin(*known), v).otherwise(F.lit(K.UNKNOWN_CATEGORY)))
+        prepared = prepared.withColumn(f"__{c}", F.coalesce(F.col(c).cast("string"), F.lit(K.UNKNOWN_CATEGORY)))
     model = StringIndexerModel.from_arrays_of_labels(
         [labels.values[c] for c in cols], inputCols=[f"__{c}" for c in cols],
         outputCols=[f"__{c}_code" for c in cols], handleInvalid="keep")
     out = model.transform(prepared)
     for c in cols:
-        out = out.withColumn(c + suffix, F.col(f"__{c}_code").cast("int")).drop(f"__{c}", f"__{c}_code")
+        # the model gives any unseen value n; that is the code of 'Unknown' unless the fit saw one
+        known, code = labels.values[c], F.col(f"__{c}_code").cast("int")
+        if K.UNKNOWN_CATEGORY in known:
+            code = F.when(code == len(known), F.lit(known.index(K.UNKNOWN_CATEGORY))).otherwise(code)
+        out = out.withColumn(c + suffix, code).drop(f"__{c}", f"__{c}_code")
     return out
 
 
@@ -180,15 +205,16 @@ def iqr_cap(df: DataFrame, bounds: dict[str, tuple]) -> DataFrame:
 
 def numeric_fit(df: DataFrame, cols: Sequence[str], factor: float = 1.5, cap: bool = True) -> NumericState:
     """F6 + F7 fit: fences from exact quartiles, then mean and population std
-    of the capped columns in one aggregate."""
+    of the capped columns in one aggregate, NaN left out; a column without a
+    number gets mean 0 and std 1."""
     bounds = iqr_bounds(df, cols, factor) if cap else {c: (None, None, None, None) for c in cols}
     capped = iqr_cap(df, bounds) if cap else df
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.avg(x).alias(f"m_{c}"), F.stddev_pop(x).alias(f"s_{c}")]
     row = capped.agg(*aggs).first()
-    mean = {c: row[f"m_{c}"] for c in cols}
+    mean = {c: row[f"m_{c}"] or 0.0 for c in cols}
     std = {c: (row[f"s_{c}"] if row[f"s_{c}"] not in (None, 0.0) else 1.0) for c in cols}
     return NumericState(bounds, mean, std)
 

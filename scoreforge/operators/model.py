@@ -365,9 +365,10 @@ def run_log_rows(runs: DataFrame, run_id: str, params: dict[str, str], metrics:
     return runs.select(F.col(run_id).alias("run_id"), F.inline(F.array(*items)))
 
 
-def best_runs(log: DataFrame, metric: str = "rmse", ascending: bool = True) -> DataFrame:
-    """Runs ranked by one logged metric (window over runs, not rows)."""
+def best_runs(log: DataFrame, metric: str = "rmse", ascending: bool = True, n: int = 1000) -> DataFrame:
+    """The ``n`` best runs by one logged metric, ranked: a per-task top-n, then a window over those rows."""
     from pyspark.sql import Window
     m = log.where((F.col("kind") == "metric") & (F.col("key") == metric)).select("run_id", F.col("value").alias(metric))
     order = F.asc(metric) if ascending else F.desc(metric)
-    return m.withColumn("rank", F.row_number().over(Window.orderBy(order, F.asc("run_id"))))
+    top = m.orderBy(order, F.asc("run_id")).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(order, F.asc("run_id"))))

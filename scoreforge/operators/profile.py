@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import exact_quantiles
@@ -16,12 +16,18 @@ def _long_one_row(row_df: DataFrame, cols: Sequence[str], stats: Sequence[str])
     return row_df.select(F.inline(F.array(*parts)))
 
 
+def number(column: str) -> Column:
+    """The column as a double; NaN reads as null, so that it does not spoil an aggregate."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def numeric_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """A1: mean, sample std, min, max per numeric column in one pass (no unpivot
     of the data: only the one-row result is turned into long form)."""
     aggs = []
     for c in cols:
-        x = F.col(c).cast("double")
+        x = number(c)
         aggs += [F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__std"),
                  F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max")]
     return _long_one_row(df.agg(*aggs), cols, ["mean", "std", "min", "max"])
@@ -31,7 +37,7 @@ def target_profile(df: DataFrame, target: str, probs: Sequence[float] = (0.25, 0
     """A2: count, mean, std, min, max and exact quartiles of the target."""
     spark = df.sparkSession
     q = exact_quantiles(df, [target], probs)
-    x = F.col(target).cast("double")
+    x = number(target)
     base = df.agg(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
                   F.min(x).alias("min"), F.max(x).alias("max"))
     for p in probs:
@@ -68,7 +74,7 @@ def iqr_bounds(df: DataFrame, cols: Sequence[str], factor: float = 1.5) -> dict[
 def outlier_report(df: DataFrame, cols: Sequence[str], factor: float = 1.5) -> DataFrame:
     """A4: quartiles, fences and the number of rows strictly outside them."""
     b = iqr_bounds(df, cols, factor)
-    aggs = [F.count_if((F.col(c) < F.lit(b[c][2])) | (F.col(c) > F.lit(b[c][3]))).alias(f"{c}__n_outliers")
+    aggs = [F.count_if((number(c) < F.lit(b[c][2])) | (number(c) > F.lit(b[c][3]))).alias(f"{c}__n_outliers")
             for c in cols]
     counted = df.agg(*aggs)
     for c in cols:

@@ -39,7 +39,8 @@ def _checks(c: Constraint) -> list[Column]:
     if isinstance(c, Range):
         out = []
         if c.ge is not None:
-            out.append(F.when(x < F.lit(c.ge), F.lit(f"{c.column}:ge")))
+            # NaN sorts above every number in Spark, but is in no range
+            out.append(F.when((x < F.lit(c.ge)) | F.isnan(x.cast("double")), F.lit(f"{c.column}:ge")))
         if c.le is not None:
             out.append(F.when(x > F.lit(c.le), F.lit(f"{c.column}:le")))
         return out

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,7 +54,7 @@ def append_cases(df: DataFrame, path: str, payload_cols: Sequence[str], gid: str
     """S3: append rows as (gid, payload_json, target, created_at).
 
     One batch timestamp for all rows (a literal, the same on every executor);
-    the count comes from the written frame, not from a second scan.
+    the rows are counted by an observation while they are written.
     """
     stamp = F.lit(created_at) if created_at is not None else F.date_format(F.current_timestamp(), ISO_FORMAT)
     rows = df.select(
@@ -63,8 +63,9 @@ def append_cases(df: DataFrame, path: str, payload_cols: Sequence[str], gid: str
         (F.lit(None).cast("double") if target is None else
          (F.col(target) if isinstance(target, str) else target).cast("double")).alias("target"),
         stamp.alias("created_at"))
-    rows.write.mode("append").parquet(path)
-    return rows.count()
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    return seen.get["n"]
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
@@ -135,17 +136,23 @@ def read_inference_log(spark: SparkSession, path: str) -> DataFrame:
 # ------------------------------------------------------------------- S8
 def recent_log_query(log: DataFrame, payload_schema: T.StructType | str, limit: int = 50, gid: str | None = None,
                      start: str | None = None, end: str | None = None, order_key: str = "id") -> DataFrame:
-    """Optional gid / time filters (inclusive, text comparison of ISO
-    times, empty = no filter), newest first by the id, first ``limit`` rows;
-    an unparsable payload becomes null.  Filters reach the scan; the ordered
-    limit is a TakeOrderedAndProject (per-task top-n, no global sort)."""
+    """Optional gid / time filters (inclusive, compared as times, empty = no
+    filter), newest first by the id, first ``limit`` rows; an unparsable payload
+    becomes null.  On a log partitioned by day the times also prune ``ds``; the
+    ordered limit is a TakeOrderedAndProject (per-task top-n, no global sort)."""
     out = log
     if gid:
         out = out.where(F.col("gid") == F.lit(gid))
+    at = F.try_to_timestamp(F.col("created_at"))
     if start:
-        out = out.where(F.col("created_at") >= F.lit(start))
+        out = out.where(at >= F.to_timestamp(F.lit(start)))
     if end:
-        out = out.where(F.col("created_at") <= F.lit(end))
+        out = out.where(at <= F.to_timestamp(F.lit(end)))
+    if "ds" in log.columns:
+        if start:
+            out = out.where(F.col("ds") >= F.lit(str(start)[:10]))
+        if end:
+            out = out.where(F.col("ds") <= F.lit(str(end)[:10]))
     out = out.orderBy(F.desc(order_key)).limit(int(limit))
     return out.withColumn("payload", parse_payload(F.col("payload_json"), payload_schema))
 
@@ -192,14 +199,8 @@ def read_batch_json(spark: SparkSession, path: str, schema: T.StructType | None
 # ------------------------------------------------------------ S10 - S12
 def dated_partition_write(df: DataFrame, path: str, ts_col: str, ds: str = "ds") -> None:
     """Write under the day of ``ts_col``; only the days present are replaced."""
-    spark = df.sparkSession
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        (df.withColumn(ds, F.date_format(F.col(ts_col), "yyyy-MM-dd"))
-         .write.mode("overwrite").partitionBy(ds).parquet(path))
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    (df.withColumn(ds, F.date_format(F.col(ts_col), "yyyy-MM-dd")).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(ds).parquet(path))
 
 
 def retention_filter(parts: DataFrame, asof: str, keep_days: int = 30, ds: str = "ds") -> DataFrame:

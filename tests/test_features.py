@@ -84,3 +84,35 @@ def test_pipeline_errors_and_round_trip(spark, tmp_path):
     c = sorted(tuple(r) for r in fitted.long_form(df.repartition(7), "id").collect())
     assert a == c
     assert fitted.feature_names()[-2:] == ["c", "n"]
+
+
+def test_nan_spoils_no_aggregate(spark):
+    from scoreforge.operators.profile import numeric_profile, outlier_report, target_profile
+    from scoreforge.operators.quality import Range, violations
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, None), (3.0, nan), (4.0, 2.0), (nan, nan)], "x double, y double")
+    state = FT.numeric_fit(df, ["x"], cap=False)
+    assert state.mean["x"] == 2.5 and state.std["x"] == pytest.approx(np.std([1, 2, 3, 4]))
+    out = [r["x"] for r in FT.standardize(df, state).collect()]
+    assert sum(math.isnan(v) for v in out) == 1
+    row, = numeric_profile(df, ["x"]).collect()
+    assert (row["mean"], row["min"], row["max"]) == (2.5, 1.0, 4.0)
+    assert target_profile(df, "x").first()["mean"] == 2.5 and target_profile(df, "x").first()["count"] == 4
+    assert outlier_report(df, ["x"]).first()["n_outliers"] == 0
+    bad = df.select(violations([Range("x", ge=0.0)]).alias("v")).collect()
+    assert [r["v"] for r in bad] == [[], [], [], [], ["x:ge"]]
+    empty = FT.numeric_fit(df.select(F.lit(nan).alias("z")), ["z"])
+    assert empty.mean["z"] == 0.0 and empty.std["z"] == 1.0
+
+
+def test_an_empty_vocabulary_gives_zero_vectors(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, None)], "doc_id long, text string")
+    v = FT.tfidf_fit(docs, "text", min_df=2)
+    assert v.terms == [] and v.n_docs == 2
+    out = FT.tfidf_transform(tokenize(docs, "text"), v).select(vector_to_array("tfidf").alias("w")).collect()
+    assert all(not any(r["w"]) for r in out)
+
+
+def test_accents_of_all_scripts_are_folded(spark):
+    df = spark.createDataFrame([(1, "việt re\u0301sume\u0301 ＡＢＣ ά")], "id long, text string")
+    assert tokenize(df, "text", ngram=False).first()["terms"] == ["viet", "resume", "abc"]

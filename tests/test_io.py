@@ -42,3 +42,22 @@ def test_csv_round_trip_and_append_count(spark, tmp_path):
     rows = IO.read_cases(spark, str(tmp_path / "t")).collect()
     assert n == n2 == 2 and len(rows) == 4
     assert sum(r["target"] is None for r in rows) == 3
+
+
+def test_recent_log_end_with_and_without_fractions(spark):
+    rows = [(1, "2024-01-20T12:00:00.000000"), (2, "2024-01-20T12:00:00.000001"), (3, "2024-01-09T23:59:59.999999")]
+    log = spark.createDataFrame([(i, "g", "{}", t, t[:10]) for i, t in rows],
+                                "id long, gid string, payload_json string, created_at string, ds string")
+    out = IO.recent_log_query(log, "k int", start="2024-01-10", end="2024-01-20T12:00:00").collect()
+    assert [r["id"] for r in out] == [1]
+
+
+def test_append_counts_while_writing_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def touch(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    df = spark.range(5, numPartitions=1).mapInArrow(touch, "id long")
+    assert IO.append_cases(df, str(tmp_path / "t"), ["id"], gid="id") == 5 and seen.value == 5

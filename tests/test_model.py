@@ -49,12 +49,17 @@ def test_batch_score_echoes_ids_and_rejects_invalid(spark):
         assert r["gid"] == (f"C{r['case_id']}" if r["case_id"] % 10 else f"batch_{r['case_id']}")
 
 
-def test_label_fit_refuses_high_cardinality(spark):
-    import pytest
+def test_any_number_of_categories_as_a_table(spark):
     from scoreforge.operators import features as FT
-    df = spark.createDataFrame([(str(i),) for i in range(5)], "c string")
-    with pytest.raises(ValueError):
-        FT.label_fit(df, ["c"], max_categories=3)
+    df = spark.createDataFrame([(f"v{i % 700:03d}" if i % 7 else None,) for i in range(3000)], "c string")
+    labels = FT.label_fit(df, ["c"])
+    table = FT.label_table(df, ["c"])
+    assert {(r["value"], r["code"]) for r in table.collect()} == {(v, i) for i, v in enumerate(labels.values["c"])}
+    new = spark.createDataFrame([("v001",), ("never seen",), (None,), ("v699",)], "c string")
+    want = [r["c"] for r in FT.label_transform(new, labels).collect()]
+    assert sorted(r["c"] for r in FT.label_join(new, table, ["c"]).collect()) == sorted(want)
+    without = spark.createDataFrame([("b",), ("a",)], "c string")
+    assert sorted(r["c"] for r in FT.label_join(new, FT.label_table(without, ["c"]), ["c"]).collect()) == [2, 2, 2, 2]
 
 
 def test_hash_split_is_stable_under_repartitioning(spark):
