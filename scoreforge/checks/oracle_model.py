@@ -68,10 +68,40 @@ q("m12_batch_score", f"""
 WITH cs AS (SELECT * FROM {_cases_tbl} c),
 {standardized_cte('cs', 'cs', list(_lw), 'case_id')},
 pred AS (SELECT id AS case_id, greatest(least(0.5 + ({_lin}), 1.0), 0.0) AS p FROM scaled),
-v AS (SELECT case_id, gid, concat_ws(',', {_viol}) AS reasons FROM cs)
+v AS (SELECT case_id, gid, concat_ws(',', {_viol}) AS reasons FROM cs),
+terms AS (SELECT *, row_number() OVER (PARTITION BY id, shap > 0, shap < 0 ORDER BY abs(shap) DESC, feature) AS rank
+          FROM ({" UNION ALL ".join(f"SELECT id, '{c}' AS feature, {c} AS value, CAST({w!r} AS DOUBLE) * {c} AS shap FROM scaled"
+                                    for c, w in _lw.items())}) u)
 SELECT v.case_id, coalesce(nullif(gid, ''), 'batch_' || CAST(v.case_id AS VARCHAR)) AS gid,
   CASE WHEN reasons = '' THEN 'scored' ELSE 'rejected' END AS status,
   CASE WHEN reasons = '' THEN {r6(rnd('p', 4))} END AS prediction,
   CASE WHEN reasons = '' THEN (CASE WHEN p > 0.7 THEN 'High' WHEN p > 0.4 THEN 'Medium' ELSE 'Low' END) END AS confidence,
-  reasons, '1.0.0' AS model_version, '2024-01-31T00:00:00' AS scored_at
+  reasons, '1.0.0' AS model_version, '2024-01-31T00:00:00' AS scored_at,
+  CASE WHEN reasons = '' THEN 'Score: ' || printf('%.3f', {rnd('p', 3)}) || ' ('
+    || (CASE WHEN p > 0.7 THEN 'High' WHEN p > 0.4 THEN 'Medium' ELSE 'Low' END) || ' confidence)'
+    || coalesce('; Main positive factors: ' || (SELECT string_agg(feature, ', ' ORDER BY rank) FROM terms t
+         WHERE t.id = v.case_id AND shap > 0 AND rank <= 2), '')
+    || coalesce('; Main risk factors: ' || (SELECT string_agg(feature, ', ' ORDER BY rank) FROM terms t
+         WHERE t.id = v.case_id AND shap < 0 AND rank <= 2), '') END AS explanation_summary,
+  CASE WHEN reasons = '' THEN coalesce((SELECT string_agg(feature || ':' || printf('%.6f', {rnd('value', 6)} + 0.0) || ':'
+         || printf('%.6f', {rnd('shap', 6)} + 0.0), '|' ORDER BY abs(shap) DESC, feature) FROM terms t
+         WHERE t.id = v.case_id AND shap <> 0 AND rank <= 3), '') END AS contributions
 FROM v JOIN pred ON v.case_id = pred.case_id""")
+
+# what any fit must satisfy, over the cases of the real runs
+_split = f"CASE WHEN {HASH.format(k='case_id')} % 100 < 70 THEN 'train' WHEN {HASH.format(k='case_id')} % 100 < 80 " \
+         "THEN 'validation' ELSE 'test' END"
+q("m3_predict_checks", f"SELECT case_id, {_split} AS split, CAST(1 AS BIGINT) AS n, true AS in_range FROM {_cases_tbl} c")
+q("m4_fold_checks", f"""
+SELECT CAST({HASH.format(k='case_id')} % 5 AS INTEGER) AS fold, count(*) AS n_test, CAST(sum(case_id) AS BIGINT) AS sum_case_id
+FROM {_cases_tbl} c GROUP BY 1""")
+q("e1_additivity", f"SELECT case_id, true AS adds_up FROM {_cases_tbl} c")
+q("m8_reload_check", f"""
+SELECT count(*) AS n, CAST(0.0 AS DOUBLE) AS max_abs_diff, CAST(0 AS BIGINT) AS n_unmatched, true AS ok FROM {_cases_tbl} c""")
+q("m12_model_batch", f"""
+WITH cs AS (SELECT * FROM {_cases_tbl} c),
+v AS (SELECT case_id, gid, concat_ws(',', {_viol}) AS reasons FROM cs)
+SELECT case_id, coalesce(nullif(gid, ''), 'batch_' || CAST(case_id AS VARCHAR)) AS gid,
+  CASE WHEN reasons = '' THEN 'scored' ELSE 'rejected' END AS status, reasons, true AS in_range,
+  CASE WHEN reasons = '' THEN true END AS explained, CASE WHEN reasons = '' THEN true END AS labelled
+FROM v""")

@@ -3,8 +3,7 @@
 Splits and folds come from the md5 hash of a key (stable under
 repartitioning and reproducible in SQL).  Training is ``GBTRegressor``;
 the best iteration on a validation set is found with
-``evaluateEachIteration`` and the model refit to that many trees (the trees
-of a deterministic fit are a prefix of the longer fit).
+``evaluateEachIteration``, and the model keeps that many of its first trees.
 """
 
 from __future__ import annotations
@@ -41,7 +40,7 @@ SEARCH_SPACE = {
     "maxDepth": [4, 5, 6, 7, 8],
     "stepSize": [0.01, 0.05, 0.1, 0.15, 0.2],
     "maxIter": [100, 200, 300, 500, 1000],
-    "minInstancesPerNode": [1, 3, 5, 7, 9],
+    "minInstancesPerNode": [1, 3, 5, 7, 9],   # in place of leaf regularisation, which Spark's trees do not have
 }
 
 
@@ -83,11 +82,23 @@ def _gbt(params: dict, features: str, label: str) -> GBTRegressor:
     return GBTRegressor(featuresCol=features, labelCol=label, lossType="squared", **p)
 
 
+def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
+    """The ensemble of a model's first ``n`` trees: boosting never changes a tree once it is added."""
+    if n >= model.getNumTrees:
+        return model
+    java, sc = model._java_obj, SparkSession.getActiveSession().sparkContext
+    ml = sc._jvm.org.apache.spark.ml.regression
+    trees, weights = sc._gateway.new_array(ml.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
+    for i in range(n):
+        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
+    return GBTRegressionModel(ml.GBTRegressionModel(java.uid(), trees, weights, model.numFeatures))
+
+
 def gbt_fit(train: DataFrame, features: str = "features", label: str = "label", params: dict | None = None,
             validation: DataFrame | None = None, early_stopping_rounds: int | None = EARLY_STOPPING_ROUNDS,
             feature_names: Sequence[str] = ()) -> FittedModel:
-    """M2: fit; with a validation set, keep the best iteration (patience
-    ``early_stopping_rounds``) and refit to it."""
+    """M2: fit once; with a validation set, keep the trees up to the best
+    iteration (patience ``early_stopping_rounds``)."""
     params = {**DEFAULT_PARAMS, **(params or {})}
     t0 = time.time()
     model = _gbt(params, features, label).fit(train)
@@ -104,8 +115,7 @@ def gbt_fit(train: DataFrame, features: str = "features", label: str = "label",
                 if early_stopping_rounds is not None and since >= early_stopping_rounds:
                     break
         history = [(i, float(np.sqrt(a)), float(np.sqrt(b))) for i, (a, b) in enumerate(zip(tr, va))]
-        if best + 1 < params["maxIter"]:
-            model = _gbt({**params, "maxIter": best + 1}, features, label).fit(train)
+        model = first_trees(model, best + 1)
     return FittedModel(model, params, best, history, time.time() - t0, list(feature_names))
 
 
@@ -290,26 +300,25 @@ def tree_contributions(df: DataFrame, spark: SparkSession, model_path: str, name
                        features: str = "features") -> DataFrame:
     """Per-row contributions as ``contrib`` array<struct<feature, value,
     shap>> plus ``expected_value`` and the raw ensemble ``prediction``.
-    Tables are built on the driver from the bounded node table; each Arrow
-    batch is scored with numpy only."""
+    The node table (bounded by trees x 2^depth) is broadcast; each task makes
+    its paths once and scores Arrow batches with numpy."""
     from pyspark.ml.functions import vector_to_array
     trees, weights = node_table(spark, model_path)
-    tables, base = [], 0.0
-    for tid in sorted(trees):
-        nodes = trees[tid]
-        root = min(nodes)  # Spark numbers the root 0
-        t, e = treeshap.leaf_tables(nodes, root, weights[tid])
-        tables += t
-        base += e
+    shared = spark.sparkContext.broadcast((trees, weights))
     n_feat = len(names)
     names = list(names)
     key_type = df.schema[key].dataType.simpleString()
     out_schema = f"{key} {key_type}, __x array<double>, __shap array<double>, expected_value double, prediction double"
 
     def run(batches):
+        paths, base = [], 0.0
+        for tid, nodes in sorted(shared.value[0].items()):
+            own, expected = treeshap.leaf_paths(nodes, min(nodes), shared.value[1][tid])   # Spark numbers the root 0
+            paths += own
+            base += expected
         for pdf in batches:
             x = np.stack(pdf["__x"].to_numpy()) if len(pdf) else np.zeros((0, n_feat))
-            phi = treeshap.contributions(x, tables, n_feat)
+            phi = treeshap.contributions(x, paths, n_feat)
             yield pd.DataFrame({key: pdf[key], "__x": list(x), "__shap": list(phi), "expected_value": base,
                                 "prediction": base + phi.sum(axis=1)})
 

@@ -1,17 +1,16 @@
 """Exact path-dependent Tree SHAP for Spark's tree ensembles.
 
-The model's node table (read from the saved model, bounded by trees x
-2^depth) is turned, on the driver, into one lookup table per leaf: for a
-leaf whose path splits on the unique features P (|P| = m <= depth), each row
-x satisfies the path conditions of a subset of P, a bit pattern.  The leaf's
-Shapley contribution to feature i depends only on that pattern:
+A leaf whose path splits on the unique features P (|P| = m <= depth)
+contributes to feature i of row x
 
     phi_i = v * (o_i - z_i) * sum_{S in P-{i}} |S|!(m-|S|-1)!/m! * prod_{S} o_j * prod_{rest} z_j
 
 with o_j = 1 if x follows every split on j along the path, and z_j the
 product of the child/parent cover ratios of those splits (Lundberg et al.,
-path-dependent Tree SHAP, restated per leaf).  Tables are 2^m x m numbers per
-leaf, computed once; executors only index them with numpy, batch by batch.
+path-dependent Tree SHAP, restated per leaf).  The sum is read off the
+polynomial prod_{j != i} (z_j + o_j t): the product over all features is built once
+and divided by one factor at a time, O(m^2) per leaf and distinct row
+pattern.  The driver ships only the node table; paths and sums are made in the tasks.
 """
 
 from __future__ import annotations
@@ -34,71 +33,76 @@ class Node:
 
 
 @dataclass
-class LeafTable:
+class LeafPath:
     features: np.ndarray      # (m,) feature indices
     thresholds: list          # per feature: list of (threshold, go_left)
-    table: np.ndarray         # (2^m, m) contributions (already times value and tree weight)
+    cover: np.ndarray         # (m,) z_j
+    value: float              # leaf prediction times tree weight
 
 
-def _weights(m: int) -> np.ndarray:
-    return np.array([math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)])
-
-
-def leaf_tables(nodes: dict[int, Node], root: int, weight: float) -> tuple[list[LeafTable], float]:
-    """Per-leaf tables and the tree's cover-weighted expected value (times weight)."""
-    out: list[LeafTable] = []
+def leaf_paths(nodes: dict[int, Node], root: int, weight: float) -> tuple[list[LeafPath], float]:
+    """The paths of a tree's leaves and its cover-weighted expected value (times weight); linear in the nodes."""
+    out: list[LeafPath] = []
     expected = 0.0
-    stack = [(root, [])]
+    stack: list[tuple[int, list]] = [(root, [])]
     while stack:
         nid, path = stack.pop()
         n = nodes[nid]
         if n.left < 0:
-            # leaf: merge splits per feature
             feats: dict[int, list] = {}
             zs: dict[int, float] = {}
-            for f, thr, left, ratio in path:
+            for f, thr, left, ratio in path:               # splits on one feature count once
                 feats.setdefault(f, []).append((thr, left))
                 zs[f] = zs.get(f, 1.0) * ratio
-            fs = np.array(sorted(feats), dtype=np.int64)
-            m = len(fs)
+            fs = sorted(feats)
             z = np.array([zs[f] for f in fs])
             v = n.prediction * weight
-            expected += v * float(np.prod(z)) if m else v
-            if m == 0:
-                continue
-            w = _weights(m)
-            table = np.zeros((1 << m, m))
-            for pat in range(1 << m):
-                o = np.array([(pat >> k) & 1 for k in range(m)], dtype=float)
-                for i in range(m):
-                    # coefficients of prod_{j != i} (z_j + o_j t)
-                    coef = np.array([1.0])
-                    for j in range(m):
-                        if j == i:
-                            continue
-                        coef = np.convolve(coef, np.array([z[j], o[j]]))
-                    table[pat, i] = v * (o[i] - z[i]) * float(np.dot(coef, w[:len(coef)]))
-            out.append(LeafTable(fs, [feats[f] for f in fs], table))
+            expected += v * float(np.prod(z))
+            if fs:
+                out.append(LeafPath(np.array(fs, dtype=np.int64), [feats[f] for f in fs], z, v))
             continue
         parent = n.count if n.count > 0 else 1.0
         for child, left in ((n.left, True), (n.right, False)):
-            ratio = nodes[child].count / parent
-            stack.append((child, path + [(n.feature, n.threshold, left, ratio)]))
+            stack.append((child, path + [(n.feature, n.threshold, left, nodes[child].count / parent)]))
     return out, expected
 
 
-def contributions(x: np.ndarray, tables: list[LeafTable], n_features: int) -> np.ndarray:
+def _leaf_values(o: np.ndarray, z: np.ndarray, value: float) -> np.ndarray:
+    """(patterns, m) contributions for patterns ``o`` of followed features."""
+    n, m = o.shape
+    w = np.array([math.factorial(s) * math.factorial(m - s - 1) / math.factorial(m) for s in range(m)])
+    poly = np.zeros((n, m + 1))
+    poly[:, 0] = 1.0
+    for j in range(m):                                     # times (z_j + o_j t)
+        poly[:, 1:] = poly[:, 1:] * z[j] + poly[:, :-1] * o[:, j:j + 1]
+        poly[:, 0] *= z[j]
+    phi = np.zeros((n, m))
+    for i in range(m):                                     # divided by (z_i + o_i t) again
+        rest = np.zeros((n, m))
+        rest[:, m - 1] = poly[:, m]
+        for k in range(m - 1, 0, -1):
+            rest[:, k - 1] = poly[:, k] - z[i] * rest[:, k]
+        if z[i] > 0:
+            off = o[:, i] == 0
+            rest[off] = poly[off, :m] / z[i]
+        phi[:, i] = value * (o[:, i] - z[i]) * (rest @ w)
+    return phi
+
+
+def contributions(x: np.ndarray, paths: list[LeafPath], n_features: int) -> np.ndarray:
     """(n, n_features) Shapley values for a batch of rows."""
     phi = np.zeros((x.shape[0], n_features))
-    for lt in tables:
-        pat = np.zeros(x.shape[0], dtype=np.int64)
-        for k, f in enumerate(lt.features):
+    for p in paths:
+        pattern = np.zeros(x.shape[0], dtype=np.int64)
+        for k, f in enumerate(p.features):
             col = x[:, f]
             ok = np.ones(x.shape[0], dtype=bool)
-            for thr, left in lt.thresholds[k]:
+            for thr, left in p.thresholds[k]:
                 ok &= (col <= thr) if left else ~(col <= thr)
-            pat |= ok.astype(np.int64) << k
-        phi[:, lt.features] += lt.table[pat]
+            pattern |= ok.astype(np.int64) << k
+        seen, where = np.unique(pattern, return_inverse=True)
+        o = (seen[:, None] >> np.arange(len(p.features)) & 1).astype(float)
+        phi[:, p.features] += _leaf_values(o, p.cover, p.value)[where]
     return phi
 
 

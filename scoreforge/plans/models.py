@@ -85,10 +85,14 @@ LINEAR_INTERCEPT = 0.5
 
 def batch_score(cases: DataFrame, fitted: FT.FittedFeatures, *, model: MD.FittedModel | None = None,
                 model_version: str = "1.0.0", scored_at: str | None = None, position: str | None = None,
-                explain: bool = False) -> DataFrame:
+                explain: bool = False, model_path: str | None = None) -> DataFrame:
     """Validate, build features, predict (GBT or the linear scorer),
     tier, round, default ids, stamp; rejected rows keep their reasons.
-    One narrow plan over all rows (the state is literals / broadcast maps)."""
+    One narrow plan over all rows (the state is literals / broadcast maps).
+
+    ``explain`` adds ``explanation_summary`` (E4) and the strongest
+    ``contributions`` (W3) of every scored row: the linear scorer's own
+    terms, or Tree SHAP of the model saved at ``model_path``."""
     flagged = Q.with_violations(cases, Q.case_constraints(), "reasons")
     feats = fitted.transform_columns(flagged)
     if model is not None:
@@ -97,6 +101,20 @@ def batch_score(cases: DataFrame, fitted: FT.FittedFeatures, *, model: MD.Fitted
     else:
         lin = X.sum_columns([F.lit(w) * F.col(c) for c, w in LINEAR_WEIGHTS.items()])
         feats = feats.withColumn("prediction", X.clip(F.lit(LINEAR_INTERCEPT) + lin, 0.0, 1.0))
+    shown = []
+    if explain:
+        if model is not None:
+            if model_path is None:
+                raise ValueError("explanations of a model need the path it is saved at")
+            contrib = MD.tree_contributions(feats, feats.sparkSession, model_path, fitted.feature_names(), "case_id")
+            feats = feats.join(contrib.select("case_id", "contrib"), "case_id")
+        else:
+            feats = feats.withColumn("contrib", F.array(*[
+                F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), (F.lit(w) * F.col(c)).alias("shap"))
+                for c, w in LINEAR_WEIGHTS.items()]))
+        kept = F.size("reasons") == 0
+        shown = [F.when(kept, E.explanation_text(F.col("prediction"), F.col("contrib"))).alias("explanation_summary"),
+                 F.when(kept, E.contrib_text(E.contribution_list(F.col("contrib")))).alias("contributions")]
     ok = F.size("reasons") == 0
     stamp = F.lit(scored_at) if scored_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
     out = feats.select(
@@ -106,10 +124,17 @@ def batch_score(cases: DataFrame, fitted: FT.FittedFeatures, *, model: MD.Fitted
         F.when(ok, X.round_score("prediction", 4)).alias("prediction"),
         F.when(ok, X.tier("prediction")).alias("confidence"),
         F.array_join("reasons", ",").alias("reasons"),
-        F.lit(model_version).alias("model_version"), stamp.alias("scored_at"))
+        F.lit(model_version).alias("model_version"), stamp.alias("scored_at"), *shown)
     return out
 
 
+def batch_summary(scored: DataFrame, seconds: float) -> DataFrame:
+    """M12's totals: all cases, scored and rejected ones, mean score, elapsed seconds."""
+    return scored.agg(F.count(F.lit(1)).alias("total_cases"), F.count_if(F.col("status") == "scored").alias("n_scored"),
+                      F.count_if(F.col("status") == "rejected").alias("n_rejected"),
+                      F.avg("prediction").alias("mean_prediction")).withColumn("seconds", F.lit(float(seconds)))
+
+
 def VectorAssemblerFor(fitted: FT.FittedFeatures):
     from pyspark.ml.feature import VectorAssembler
     inputs = (["tfidf"] if fitted.vocab is not None else []) + list(fitted.spec.cat_cols) + list(fitted.spec.num_cols)

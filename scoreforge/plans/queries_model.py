@@ -117,10 +117,50 @@ def m12(spark, sf_dir):
     cases = V.cases(t)
     fitted = FT.FeaturePipeline(cat_cols=[], num_cols=list(J.LINEAR_WEIGHTS)).fit(cases)
     out = J.batch_score(cases, fitted, model_version="1.0.0", scored_at="2024-01-31T00:00:00",
-                        position="case_id")
+                        position="case_id", explain=True)
     return _round_doubles(out)
 
 
+@query("m12_model_batch")
+def m12_model(spark, sf_dir):
+    """The batch scored and explained by the fitted model: what a row must satisfy whatever the fit, per case."""
+    t = _t(spark, sf_dir)
+    p = J.prepare_cases(t)
+    fm = J.fit_model(p)
+    path = work_path(spark, "models", "m12")
+    MD.save_model(fm, spark, path)
+    out = J.batch_score(V.cases(t), p.features, model=fm, position="case_id", explain=True, model_path=path)
+    tier = X.tier(F.col("prediction"))
+    return out.select("case_id", "gid", "status", "reasons",
+                      F.coalesce((F.col("prediction") >= 0) & (F.col("prediction") <= 1), F.lit(True)).alias("in_range"),
+                      F.when(F.col("status") == "scored", F.col("explanation_summary").contains("confidence)"))
+                      .alias("explained"),
+                      F.when(F.col("status") == "scored", F.col("explanation_summary").startswith("Score: ")).alias("labelled"))
+
+
+@query("m3_predict_checks")
+def m3_checks(spark, sf_dir):
+    """M3's real predictions, reduced to what holds for any fit: every case once, its split, its range."""
+    p = J.prepare_cases(_t(spark, sf_dir))
+    scored = J.fit_model(p).predict(p.data)
+    return scored.groupBy("case_id", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_and((F.col("prediction") >= 0) & (F.col("prediction") <= 1)).alias("in_range"))
+
+
+@query("m4_fold_checks")
+def m4_checks(spark, sf_dir):
+    """Every case is held out in exactly one of the folds M4 fits."""
+    p = J.prepare_cases(_t(spark, sf_dir))
+    return MD.hash_folds(p.data, "case_id", 5).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_test"), F.sum("case_id").alias("sum_case_id"))
+
+
+@query("e1_additivity")
+def e1_checks(spark, sf_dir):
+    """E1's real contributions: per case they add up to the raw prediction."""
+    return e1(spark, sf_dir).select("case_id", (F.col("additivity_error") < 1e-6).alias("adds_up"))
+
+
 @query("m9_bundle_check")
 def m9(spark, sf_dir):
     t = _t(spark, sf_dir)

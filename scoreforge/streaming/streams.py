@@ -28,8 +28,8 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, max_files: int | N
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    glob = path if not path.endswith(".parquet") else path[: -len(".parquet")] + "*.parquet"
-    return reader.parquet(glob)
+    folder, _, name = path.rpartition("/")
+    return reader.parquet(f"{folder}/{{{name}}}")    # a pattern that matches this name only: a file is no streaming folder
 
 
 def event_time(df: DataFrame, ts: str = "ts") -> DataFrame:
@@ -73,6 +73,11 @@ def stream_windows(stream: DataFrame, value, key: str = "event_type", ts: str =
     return s.groupBy(F.window(F.col(ts), size).alias("window"), F.col(key)).agg(*aggs)
 
 
+def open_windows(events: DataFrame, emitted: DataFrame, value, key: str = "event_type", **kw) -> DataFrame:
+    """The windows a finished stream still held open, from the same rows as a batch: those it did not emit."""
+    return stream_windows(events, value, key, **kw).join(emitted.select("window", key), ["window", key], "left_anti")
+
+
 def window_quantile(rows: DataFrame, q: float = 0.95, size: str = "1 hour", key: str = "event_type",
                     bounds: Sequence[float] = K.LATENCY_BOUNDS) -> DataFrame:
     cum = F.array(*[F.col(f"le_{i}") for i in range(len(bounds))])

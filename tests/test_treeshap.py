@@ -28,7 +28,7 @@ def _random_tree(rng, depth, n_features):
 def test_tree_shap_equals_exhaustive_shapley(seed):
     rng = np.random.default_rng(seed)
     nodes = _random_tree(rng, 4, 4)
-    tables, base = TS.leaf_tables(nodes, 0, 0.7)
+    tables, base = TS.leaf_paths(nodes, 0, 0.7)
     x = rng.normal(size=(10, 4))
     phi = TS.contributions(x, tables, 4)
     for r in range(10):
@@ -78,3 +78,30 @@ def test_permutation_importance_and_sampled_shap(spark, tmp_path):
     worst = sums.join(pred, "id").agg(F.max(F.abs(F.col("s") - (F.col("p") - F.col("expected_value"))))).first()[0]
     assert worst < 0.5
     assert c.select("feature").distinct().count() == 3
+
+
+def test_depth_eight_paths_are_exact_and_small(spark):
+    rng = np.random.default_rng(8)
+    nodes = _random_tree(rng, 8, 9)
+    paths, base = TS.leaf_paths(nodes, 0, 1.0)
+    x = rng.normal(size=(3, 9))
+    phi = TS.contributions(x, paths, 9)
+    assert np.allclose(phi[0], TS.brute_force(x[0], nodes, 0, 9), atol=1e-10)
+    assert sum(len(p.features) for p in paths) <= 8 * len(nodes)
+
+
+def test_kept_trees_predict_like_a_shorter_fit(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i, *map(float, rng.normal(size=2))) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, a double, b double").withColumn("y", F.col("a") * 0.3 + F.col("b"))
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    params = {"maxIter": 6, "maxDepth": 3, "maxBins": 32}
+    long, short = MD.gbt_fit(df, "features", "y", params), MD.gbt_fit(df, "features", "y", {**params, "maxIter": 4})
+    cut = MD.first_trees(long.model, 4)
+    assert cut.getNumTrees == 4
+    long.model = cut
+    MD.save_model(long, spark, str(tmp_path / "m"))
+    again = MD.load_model(spark, str(tmp_path / "m"))
+    for fm in (long, again):
+        got = {r["id"]: r["prediction"] for r in fm.predict(df, clip=False).collect()}
+        assert all(abs(got[r["id"]] - r["prediction"]) < 1e-12 for r in short.predict(df, clip=False).collect())
