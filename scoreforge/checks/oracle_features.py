@@ -205,3 +205,21 @@ SELECT CASE WHEN score > 0.7 THEN 'High' WHEN score > 0.4 THEN 'Medium' ELSE 'Lo
   {r6('avg(score)')} AS mean_score, {r6('min(score)')} AS min_score, {r6('max(score)')} AS max_score,
   {r6('sqrt(avg((score - y) * (score - y)))')} AS rmse, {r6('avg(abs(score - y))')} AS mae
 FROM j GROUP BY 1""")
+
+
+_ew = {"l_returnflag": 0.0, "l_linestatus": 0.0, "l_quantity": 0.02, "l_extendedprice": 0.05, "l_discount": -0.04, "l_tax": 0.01}
+_avg = ", ".join(f"avg(bg.{c}) AS {c}" for c in _ew)
+_exp = " + ".join(f"CAST({w!r} AS DOUBLE) * avg({c})" for c, w in _ew.items())
+_codes = ", ".join(f"{c}_c AS (SELECT {c} AS v, CAST(row_number() OVER (ORDER BY {c}) - 1 AS DOUBLE) AS code "
+                   f"FROM (SELECT DISTINCT {c} FROM lineitem))" for c in ("l_returnflag", "l_linestatus"))
+# E2 with a linear scorer: a feature's share is its weight times its distance from the background rows drawn
+q("e2_sampled_contributions", f"""
+WITH li AS (SELECT *, {LINE_ID} AS lid FROM lineitem), {standardized_cte('li', 'li', LNUM, 'lid')}, {_codes},
+x AS (SELECT s.id, a.code AS l_returnflag, b.code AS l_linestatus, {', '.join(f's.{c}' for c in LNUM)}
+      FROM scaled s JOIN li ON s.id = li.lid JOIN l_returnflag_c a ON a.v = li.l_returnflag
+      JOIN l_linestatus_c b ON b.v = li.l_linestatus),
+bg AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {HASH.format(k='id')}, id) - 1 AS b FROM x) WHERE b < 100),
+draw AS (SELECT id, {HASH.format(k="(id || '-' || m)")} % (SELECT count(*) FROM bg) AS b FROM x, range(16) r(m)),
+z AS (SELECT draw.id, {_avg} FROM draw JOIN bg ON draw.b = bg.b GROUP BY draw.id),
+e AS (SELECT 0.5 + {_exp} AS expected_value FROM bg)
+{" UNION ALL ".join(f"SELECT x.id, '{c}' AS feature, {r6('x.' + c)} AS value, {r6(f'CAST({w!r} AS DOUBLE) * (x.{c} - z.{c}) + 0.0')} AS shap, {r6('expected_value')} AS expected_value FROM x JOIN z ON x.id = z.id, e" for c, w in _ew.items())}""")

@@ -1,74 +1,88 @@
 """Model-agnostic sampled contributions (E2): permutation-sampling Shapley.
 
 For every row and each of ``permutations`` draws, a feature order and one
-background row are chosen from xxhash64 of (key, draw); walking the order,
+background row are chosen from hashes of (key, draw); walking the order,
 feature j's contribution is f(x on the first k+1 ordered features, background
 elsewhere) - f(x on the first k).  Averaging the draws estimates the
 Shapley values; ``expected_value`` is the mean score of the background rows.
 
-Work is bounded per row: draws x (features + 1) model evaluations.  The
-background is ``background`` rows picked by smallest key hash (real rows, a
-proven bound), broadcast-joined by index; the only shuffles are grouping the
-(draws x features+1) predictions of one row-draw and the per-row average.
+Work is bounded per row: draws x (features + 1) model evaluations, made with
+numpy inside the Arrow batch the row came in, a bounded block of rows at a
+time.  No row is exploded before it is scored and nothing is shuffled; the
+background is ``background`` real rows, broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 
+#: Numbers in one block of mixed rows.
+BLOCK_VALUES = 4_000_000
 
-def sampled_contributions(df: DataFrame, key: str, features: str, score: Callable[[DataFrame], DataFrame],
-                          names: Sequence[str], background: int = 100, permutations: int = 16,
-                          prediction: str = "prediction", seed: int = 42) -> DataFrame:
-    """Long (key, feature, value, shap, expected_value); ``to_wide`` for arrays."""
-    d = len(names)
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser: a fair order for any two keys."""
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def walk(x: np.ndarray, z: np.ndarray, seeds: np.ndarray, score: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """(n, d) contributions of rows ``x`` (n, d) against background rows ``z`` (n, draws, d)."""
+    n, draws, d = z.shape
+    with np.errstate(over="ignore"):
+        keys = _mixed(seeds[:, None, None] + np.arange(draws, dtype=np.uint64)[None, :, None] * np.uint64(0x9E3779B97F4A7C15)
+                      + np.arange(d, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    order = np.argsort(keys, axis=2, kind="stable")
+    place = np.argsort(order, axis=2, kind="stable")
+    known = place[:, :, None, :] < np.arange(d + 1)[None, None, :, None]
+    rows = np.where(known, x[:, None, None, :], z[:, :, None, :])
+    scores = score(rows.reshape(-1, d)).reshape(n, draws, d + 1)
+    gains = np.empty((n, draws, d))
+    np.put_along_axis(gains, order, np.diff(scores, axis=2), axis=2)
+    return gains.mean(axis=1)
+
+
+def sampled_contributions(df: DataFrame, key: str, features: str, score: Callable[[np.ndarray], np.ndarray],
+                          names: Sequence[str], background: int = 100, permutations: int = 16) -> DataFrame:
+    """Long (key, feature, value, shap, expected_value); ``to_wide`` for arrays.
+
+    ``score`` maps a (rows, features) matrix to scores, as ``treeshap.tree_scorer`` does for a fitted ensemble.
+    """
+    d, names = len(names), list(names)
     x = df.select(F.col(key).alias("__k"), vector_to_array(F.col(features)).alias("__x"))
-    # the background: at most `background` real rows with the smallest key hash (TakeOrderedAndProject),
-    # gathered once (a proven bound) and broadcast by index
-    spark = df.sparkSession
+    # the background: at most `background` real rows with the smallest key hash (TakeOrderedAndProject)
     picked = (x.withColumn("__h", X.hash_int(F.col("__k").cast("string"))).orderBy("__h", "__k")
               .limit(background).select("__x").collect())
-    nbg = len(picked)
-    bg = spark.createDataFrame([(i, r["__x"]) for i, r in enumerate(picked)], "__b long, __z array<double>")
-    base = score(bg.select(array_to_vector("__z").alias(features))).agg(F.avg(prediction)).first()[0]
-
-    # deterministic draws (xxhash64 of key and draw number): a recomputed task draws the same
-    draws = (x.select("*", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("__m"))
-             .withColumn("__dh", F.xxhash64("__k", "__m", F.lit(seed)))
-             .withColumn("__b", F.pmod(F.col("__dh"), F.lit(nbg)))
-             .join(F.broadcast(bg), "__b"))
-    # feature order of the draw and each feature's position in it; the feature count is known when the
-    # plan is built, so every per-feature step is an explicit expression (codegen, no lambdas)
-    js = range(d)
-    draws = draws.withColumn("__perm", F.sort_array(F.array(*[
-        F.struct(F.xxhash64(F.col("__dh"), F.lit(j)).alias("h"), F.lit(j).alias("j")) for j in js]))["j"])
-    draws = draws.withColumn("__pos", F.sort_array(F.array(*[
-        F.struct(F.col("__perm")[k].alias("j"), F.lit(k).alias("k")) for k in js]))["k"])
-    steps = draws.select("__k", "__perm", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("__s"), "__x", "__z",
-                         "__pos")
-    mixed = F.array(*[F.when(F.col("__pos")[j] < F.col("__s"), F.col("__x")[j]).otherwise(F.col("__z")[j])
-                      for j in js])
-    scored = score(steps.select("__k", "__perm", "__s", "__x", array_to_vector(mixed).alias(features)))
-    # step s adds feature perm[s-1] (gains +f_s) and is the base of perm[s] (loses f_s): summing these signed
-    # scores per (row, feature) telescopes to the sum of marginal contributions.  All steps of a row are made
-    # in one task, so the partial aggregate collapses them before the shuffle.
-    p = F.col(prediction)
-    s_ = F.col("__s")
-    signed = F.array(
-        F.struct(F.when(s_ >= 1, F.col("__perm")[F.greatest(s_ - 1, F.lit(0))]).alias("j"), p.alias("v")),
-        F.struct(F.when(s_ < d, F.col("__perm")[F.least(s_, F.lit(d - 1))]).alias("j"), (-p).alias("v")))
-    parts = scored.select("__k", "__x", F.inline(signed)).where(F.col("j").isNotNull())
-    name_arr = F.array(*[F.lit(n) for n in names])
-    out = parts.groupBy("__k", "j").agg((F.sum("v") / F.lit(float(permutations))).alias("shap"),
-                                        F.first(F.element_at("__x", F.col("j") + 1)).alias("value"))
-    return out.select(F.col("__k").alias(key), F.element_at(name_arr, F.col("j") + 1).alias("feature"), "value",
-                      "shap", F.lit(float(base)).alias("expected_value"))
+    z = np.array([r["__x"] for r in picked], dtype=float).reshape(len(picked), d)
+    expected = float(score(z).mean()) if len(z) else 0.0
+    shared = df.sparkSession.sparkContext.broadcast(z)
+    text = F.col("__k").cast("string")
+    draws = x.select("__k", "__x", F.xxhash64("__k").alias("__seed"), F.array(*[
+        X.hash_mod(F.concat(text, F.lit(f"-{m}")), max(len(z), 1)).cast("int") for m in range(permutations)]).alias("__b"))
+    block = max(1, BLOCK_VALUES // max(1, permutations * (d + 1) * d))
+    kind = x.schema["__k"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), block):
+                part = pdf.iloc[at:at + block]
+                own = np.stack(part["__x"].to_numpy())
+                phi = walk(own, shared.value[np.stack(part["__b"].to_numpy())],
+                           part["__seed"].to_numpy().view(np.uint64), score)
+                yield pd.DataFrame({"__k": np.repeat(part["__k"].to_numpy(), d), "feature": names * len(part),
+                                    "value": own.ravel(), "shap": phi.ravel()})
+
+    out = draws.mapInPandas(run, f"__k {kind}, feature string, value double, shap double")
+    return out.select(F.col("__k").alias(key), "feature", "value", "shap", F.lit(expected).alias("expected_value"))
 
 
 def to_wide(long: DataFrame, key: str) -> DataFrame:

@@ -52,7 +52,6 @@ def test_additivity_on_spark_gbt(spark, tmp_path):
 
 
 def test_permutation_importance_and_sampled_shap(spark, tmp_path):
-    from pyspark.ml.functions import vector_to_array
     from scoreforge.operators.sampling_shap import sampled_contributions
 
     rng = np.random.default_rng(9)
@@ -64,20 +63,42 @@ def test_permutation_importance_and_sampled_shap(spark, tmp_path):
         fm, spark, ["a", "b", "c"], "permutation", df, "id", "y").collect()}
     assert imp["a"] > 0.1 and abs(imp["b"]) < 0.05 and abs(imp["c"]) < 0.05
 
-    # a linear scorer: every draw gives w_j (x_j - z_j); the average over draws is exact given the draws
-    w = [0.3, -0.2, 0.1]
-
-    def score(d):
-        arr = vector_to_array("features")
-        return d.withColumn("prediction", sum((F.lit(wi) * F.element_at(arr, i + 1) for i, wi in enumerate(w)),
-                                              F.lit(0.5)))
-    c = sampled_contributions(df, "id", "features", score, ["a", "b", "c"], background=20, permutations=8)
-    sums = c.groupBy("id", "expected_value").agg(F.sum("shap").alias("s"))
-    pred = score(df).select("id", F.col("prediction").alias("p"))
-    # efficiency: contributions of every draw add up to f(x) - f(z); their mean to f(x) - mean f(z_draws)
-    worst = sums.join(pred, "id").agg(F.max(F.abs(F.col("s") - (F.col("p") - F.col("expected_value"))))).first()[0]
-    assert worst < 0.5
-    assert c.select("feature").distinct().count() == 3
+    # a linear scorer: every draw gives w_j (x_j - z_j); contributions add up to f(x) - mean f(z drawn)
+    w = np.array([0.3, -0.2, 0.1])
+    c = sampled_contributions(df, "id", "features", lambda x: 0.5 + x @ w, ["a", "b", "c"], background=20, permutations=8)
+    got = {}
+    for r in c.collect():
+        got.setdefault(r["id"], {})[r["feature"]] = r
+    assert len(got) == 400 and all(len(v) == 3 for v in got.values())
+    for i, *x in rows:
+        total = sum(r["shap"] for r in got[i].values())
+        assert abs(total - (0.5 + float(np.dot(w, x)) - got[i]["a"]["expected_value"])) < 0.5
+        assert [got[i][f]["value"] for f in "abc"] == x
+    # a tree ensemble as the scorer: the same raw predictions, and sampled values near the exact ones
+    path = str(tmp_path / "m")
+    MD.save_model(fm, spark, path)
+    score = TS.tree_scorer(*MD.node_table(spark, path))
+    raw = {r["id"]: r["prediction"] for r in fm.predict(df, clip=False).collect()}
+    mine = score(np.array([x for _, *x in rows]))
+    assert np.allclose(mine, [raw[i] for i, *_ in rows], atol=1e-9)
+
+
+def test_walk_equals_exhaustive_shapley_over_all_orders():
+    rng = np.random.default_rng(4)
+    x, z = rng.normal(size=(1, 3)), rng.normal(size=3)
+    score = lambda m: m[:, 0] * m[:, 1] + np.maximum(m[:, 2], m[:, 0])
+    draws = 6000
+    from scoreforge.operators.sampling_shap import walk
+    phi = walk(x, np.broadcast_to(z, (1, draws, 3)), np.array([7], np.uint64), score)[0]
+    import itertools
+    want = np.zeros(3)
+    for order in itertools.permutations(range(3)):
+        row = z.copy()
+        for j in order:
+            before = score(row[None])[0]
+            row[j] = x[0, j]
+            want[j] += (score(row[None])[0] - before) / 6
+    assert np.allclose(phi, want, atol=0.1) and abs(phi.sum() - (score(x)[0] - score(z[None])[0])) < 1e-9
 
 
 def test_depth_eight_paths_are_exact_and_small(spark):
