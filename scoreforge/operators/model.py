@@ -258,11 +258,23 @@ def save_model(fm: FittedModel, spark: SparkSession, path: str, extra: dict | No
     fm.model.write().overwrite().save(f"{path}/model")
     meta = {"model_type": "GBTRegressionModel", "params": fm.params, "best_iteration": fm.best_iteration,
             "history": fm.history, "elapsed_s": fm.elapsed_s, "feature_names": fm.feature_names,
-            "n_features": fm.model.numFeatures, "versions": {"pyspark": pyspark.__version__},
+            "n_features": fm.model.numFeatures, "n_trees": fm.model.getNumTrees, "versions": {"pyspark": pyspark.__version__},
             **fm.meta, **(extra or {})}
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
+def model_info(spark: SparkSession, path: str, n_names: int = 20) -> DataFrame:
+    """One row of what the saved bundle says of itself: type, version, features, settings and history."""
+    text = spark.read.text(f"{path}/meta").first()[0]
+    meta = json.loads(text)
+    names = meta["feature_names"]
+    return spark.createDataFrame(
+        [(meta["model_type"], meta.get("model_version"), meta["n_features"], ",".join(names[:n_names]),
+          json.dumps(meta["params"], sort_keys=True), meta["best_iteration"], len(meta["history"]), True)],
+        "model_type string, model_version string, n_features int, first_features string, params string, "
+        "best_iteration int, n_history int, is_fitted boolean")
+
+
 def load_model(spark: SparkSession, path: str) -> FittedModel:
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
     model = GBTRegressionModel.load(f"{path}/model")

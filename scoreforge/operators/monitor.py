@@ -88,6 +88,14 @@ def latency_quantile(events: DataFrame, ts: str, value: Column, key: str, size:
                       histogram_quantile(q, _cum_array(bounds), F.col("__total"), bounds).alias(f"p{int(q * 100)}"))
 
 
+def latency_percentile(events: DataFrame, ts: str, value: Column, key: str, size: str = "5 minutes", q: float = 0.95) -> DataFrame:
+    """T3, exact form: the interpolated percentile of the raw values per key and
+    window (``percentile`` merges value counts, so a task holds the distinct values of its windows)."""
+    return events.groupBy(F.window(F.col(ts), size).alias("window"), F.col(key)).agg(
+        F.count(value).alias("total"), F.percentile(value, F.lit(float(q))).alias(f"p{int(q * 100)}")).select(
+        F.date_format("window.start", TS_TEXT).alias("window_start"), key, "total", f"p{int(q * 100)}")
+
+
 def sustained_alert(events: DataFrame, ts: str, value: Column, key: str, threshold: float = 0.5,
                     lookback: str = "5 minutes", every: str = "1 minute", hold: str = "5 minutes",
                     q: float = 0.95, bounds: Sequence[float] = K.LATENCY_BOUNDS) -> DataFrame:

@@ -187,12 +187,13 @@ def m10(spark, sf_dir):
 
 @query("m11_model_info")
 def m11(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    fitted = J.case_pipeline().fit(V.cases(t))
-    names = fitted.feature_names()
-    return spark.createDataFrame([("GBTRegressionModel", "1.0.0", len(names), ",".join(names[:20]), True)],
-                                 "model_type string, model_version string, n_features int, first_features string, "
-                                 "is_fitted boolean")
+    """From a saved bundle; the best iteration itself follows the fit and is left to M2."""
+    p = J.prepare_cases(_t(spark, sf_dir))
+    path = work_path(spark, "models", "m11")
+    MD.save_model(J.fit_model(p), spark, path, {"model_version": "1.0.0"})
+    return MD.model_info(spark, path).select(
+        "model_type", "model_version", "n_features", "first_features", "params",
+        (F.col("best_iteration") < F.col("n_history")).alias("best_in_history"), "n_history", "is_fitted")
 
 
 @query("e2_sampled_contributions")
