@@ -184,8 +184,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id:
                         "array<double>")
     rows = (docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
             .join(F.broadcast(chosen), "_id")
-            .orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text")).limit(sample)
-            .select("_y", stats("_text").alias("_x")).collect())
+            .select("_y", "_id", F.xxhash64("_text").alias("_t"), stats("_text").alias("_x"))
+            .orderBy(F.xxhash64("_id"), "_id", "_t").limit(sample).select("_y", "_x").collect())
     x = np.array([r["_x"] for r in rows]).reshape(len(rows), len(FEATURES))
     return fit_forest(x, np.array([r["_y"] for r in rows], dtype=np.float64), **params)
 
