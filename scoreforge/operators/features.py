@@ -103,11 +103,20 @@ def tfidf_long(df: DataFrame, key: str, vec: str = "tfidf", empty_idx: int = -1)
                        F.coalesce(F.col("value"), F.lit(0.0)).alias("weight"))
 
 
-def sparse_entries(vec: str, size: int | None = None) -> Column:
-    """Non-zero (idx, value) entries of a vector column as an array of structs
-    (the densified array is referenced once)."""
-    pairs = F.transform(vector_to_array(F.col(vec)), lambda w, i: F.struct(i.alias("idx"), w.alias("value")))
-    return F.filter(pairs, lambda e: e["value"] != 0)
+def sparse_entries(vec: str) -> Column:
+    """Non-zero (idx, value) entries of a vector column as an array of structs.
+
+    SQL cannot open a vector, but its JSON form lists the stored entries only, so a
+    sparse vector is never made dense; doubles keep their shortest exact text.
+    """
+    form = "v struct<indices: array<int>, values: array<double>>"
+    opened = F.from_json(F.to_json(F.struct(F.col(vec).alias("v"))), form)["v"]
+    entry = lambda i, w: F.struct(i.alias("idx"), w.alias("value"))
+    # bound once, as the parsed value is used several times
+    entries = F.transform(F.array(opened), lambda v: F.when(
+        v["indices"].isNotNull(), F.zip_with(v["indices"], v["values"], entry)).otherwise(
+        F.transform(v["values"], lambda w, i: entry(i, w))))[0]
+    return F.filter(entries, lambda e: e["value"] != 0)
 
 
 # --------------------------------------------------------------- categories
@@ -309,7 +318,7 @@ class FittedFeatures:
         n_text = len(self.vocab.terms) if self.vocab else 0
         parts = []
         if self.vocab is not None:
-            parts.append(F.transform(sparse_entries("tfidf", n_text), lambda s: F.struct(
+            parts.append(F.transform(sparse_entries("tfidf"), lambda s: F.struct(
                 s["idx"].alias("idx"), F.concat(F.lit("text_tfidf_"), s["idx"].cast("string")).alias("name"),
                 s["value"].alias("value"))))
         fixed = [F.struct(F.lit(n_text + i).alias("idx"), F.lit(c).alias("name"), F.col(c).cast("double").alias("value"))
