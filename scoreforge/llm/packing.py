@@ -3,7 +3,7 @@
 Every document becomes its tokenizer's ids and an end id.  Whole windows of a
 long document are sequences of their own; the rest of each document is packed.
 Document frequencies are counted over all documents; the rests are
-range-partitioned by their most telling token, so alike ones are near, and each
+range-partitioned by their most telling token (frequent there, late in the vocabulary), so alike ones are near, and each
 task takes them in shards.  A shard has an inverted index (token -> documents
 with BM25 weights).  A window starts with a seed, is filled with the seed's
 best-scoring unused neighbours, and the one that overflows is cut: what is left of it
@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import deque
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -34,10 +34,9 @@ WINDOW = 4096
 END = 2
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
-_TELLING = 32
 
 
-_MARK = re.compile(rb"(?<=[a-z])([.,])(?=\s|\Z)")
+_MARK = re.compile(rb"([.,])(?<=[a-z][.,])(?=\s|\Z)")
 
 
 def words_of(text: str) -> list[bytes]:
@@ -56,7 +55,7 @@ def words_of(text: str) -> list[bytes]:
 class WordIds:
     """Ids of texts through a bounded store of the ids of their words."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
@@ -91,17 +90,24 @@ class WordIds:
     def encode(self, values: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without the end id."""
         split = [words_of(v or "") for v in values]
-        different = set().union(*split)
-        unknown = [w for w in different if w not in self.index]
+        places = [self._places(words) for words in split]
+        missing = [np.flatnonzero(at < 0) for at in places]
+        unknown = list({words[i] for words, gaps in zip(split, missing) for i in gaps.tolist()})
         if len(self.index) + len(unknown) > self.most:
             self._forget()
-            unknown = [w for w in different if w not in self.index]
-        self._learn(unknown)
-        get = self.index.__getitem__
-        places = [np.fromiter(map(get, words), np.int64, len(words)) for words in split]
+            unknown = list(set().union(*split).difference(self.index))
+            places, missing = [np.zeros(len(w), np.int64) for w in split], [np.arange(len(w)) for w in split]
+        if unknown:
+            self._learn(unknown)
+        for words, at, gaps in zip(split, places, missing):
+            at[gaps] = self._places([words[i] for i in gaps.tolist()])
         self.used += np.bincount(np.concatenate([np.zeros(0, np.int64), *places]), minlength=len(self.used))
         return [self._ids(at) for at in places]
 
+    def _places(self, words: list[bytes]) -> np.ndarray:
+        """Place of each word in the store, -1 if it is not there."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+
 
 _WORDS: dict[str, WordIds] = {}
 
@@ -120,13 +126,14 @@ def _crc(ids: np.ndarray) -> int:
 def _tokenize(path: str):
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                         ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()),
-                        ("offset", pa.int64()), ("ids", pa.binary()), ("tokens", pa.list_(pa.int32())),
-                        ("counts", pa.list_(pa.int64()))])
+                        ("offset", pa.int64()), ("ids", pa.binary()), ("telling", pa.int32()),
+                        ("tokens", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches):
-        """kind 0: a whole window; 1: a document's rest, with its most frequent ids; 2: this task's document counts."""
+        """kind 0: a whole window; 1: a document's rest, with its most telling id; 2: this task's document counts."""
         words, task, made = word_ids(path), TaskContext.get().partitionId(), 0
         seen = np.zeros(words.tokenizer.get_vocab_size(), np.int64)
+        telling = np.log1p(np.arange(len(seen)))     # ids are in the order of merges, common ones first
         for batch in all_chunks(batches, "text"):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
@@ -134,27 +141,24 @@ def _tokenize(path: str):
                 n, at = len(ids), 0
                 for at in range(0, n - WINDOW + 1, WINDOW):
                     sequence = (1 << 62) | (task << 36) | made
-                    rows.append((0, doc, at, WINDOW, _crc(ids[at:at + WINDOW]), n, sequence, 0, None, None, None))
+                    rows.append((0, doc, at, WINDOW, _crc(ids[at:at + WINDOW]), n, sequence, 0, None, None, None, None))
                     made += 1
-                own, counts = np.unique(ids, return_counts=True)
-                seen[own] += 1
+                counts = np.bincount(ids, minlength=len(seen))
+                np.add(seen, counts > 0, out=seen)
                 rest = n // WINDOW * WINDOW
                 if rest < n:
-                    if rest:
-                        own, counts = np.unique(ids[rest:], return_counts=True)
-                    top = np.argsort(-counts, kind="stable")[:_TELLING]
                     rows.append((1, doc, rest, n - rest, None, n, None, None, ids[rest:].astype("<u4").tobytes(),
-                                 own[top].tolist(), counts[top].tolist()))
+                                 int(np.argmax(counts * telling)), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         own = np.flatnonzero(seen)
         if len(own):
-            last = (2, None, None, None, None, None, None, None, None, own.tolist(), seen[own].tolist())
+            last = (2, None, None, None, None, None, None, None, None, None, own.tolist(), seen[own].tolist())
             yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(last, schema)], schema=schema)
     return run
 
 
 _TOKENIZED = ("kind int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-              "offset long, ids binary, tokens array<int>, counts array<long>")
+              "offset long, ids binary, telling int, tokens array<int>, counts array<long>")
 
 
 class Shard:
@@ -315,14 +319,9 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
         idf[r["token"]] = np.log(1 + (max(n, r["docs"]) - r["docs"] + 0.5) / (r["docs"] + 0.5))
     shared = spark.sparkContext.broadcast(idf)
 
-    def telling(owned, counts):
-        out = []
-        for t, c in zip(owned.to_pylist(), counts.to_pylist()):
-            out.append(t[int(np.argmax(shared.value[t] * np.array(c)))])
-        return pa.array(out, pa.int32())
-
-    dealt = (rests.withColumn("_key", F.arrow_udf(telling, "int")("tokens", "counts"))
-             .withColumn("_row", F.xxhash64("doc_id", "start", "ids")).drop("tokens", "counts")
-             .repartitionByRange(int(tokens // task_tokens) + 1, "_key", "_row").sortWithinPartitions("_key", "_row"))
+    dealt = (rests.withColumn("_row", F.xxhash64("doc_id", "start", "ids"))
+             .select("telling", "_row", "doc_id", "start", "ids", "doc_tokens")
+             .repartitionByRange(int(tokens // task_tokens) + 1, "telling", "_row")
+             .sortWithinPartitions("telling", "_row"))
     packed = dealt.select("doc_id", "start", "ids", "doc_tokens").mapInArrow(_pack(shared, tokens / n, shard_docs), PIECE)
     return whole.unionByName(packed)
