@@ -217,8 +217,10 @@ FROM lineitem""")
 q("p11_map_lookup", """
 SELECT o_orderkey,
   CAST(CASE o_orderpriority WHEN '1-URGENT' THEN 1.0 WHEN '2-HIGH' THEN 0.8 WHEN '3-MEDIUM' THEN 0.5
-       WHEN '4-NOT SPECIFIED' THEN 0.2 ELSE 0.0 END AS DOUBLE) AS priority_weight
-FROM orders""")
+       WHEN '4-NOT SPECIFIED' THEN 0.2 ELSE 0.0 END AS DOUBLE) AS priority_weight,
+  m.weight AS joined_weight, CASE WHEN m.weight IS NULL THEN 'o_orderpriority:unknown_key' ELSE '' END AS violations
+FROM orders LEFT JOIN (VALUES ('1-URGENT', CAST(1.0 AS DOUBLE)), ('2-HIGH', 0.8), ('3-MEDIUM', 0.5), ('4-NOT SPECIFIED', 0.2))
+  m(priority, weight) ON o_orderpriority = m.priority""")
 
 q("p12_weighted_score", f"WITH {CASES_BASE.strip()} SELECT case_id, {_score_sql()} AS case_score FROM cases_base")
 
@@ -294,6 +296,6 @@ q("e6_name_alignment", f"""
 WITH {CONTRIB.strip()},
 pos AS (SELECT *, CASE feature WHEN 'l_quantity' THEN 0 WHEN 'l_extendedprice' THEN 1 WHEN 'l_discount' THEN 2
                   ELSE 3 END AS idx FROM contributions)
-SELECT id, idx, 'feature_' || CAST(idx AS VARCHAR) AS feature,
+SELECT catalog, id, idx, CASE WHEN catalog = 'fitting' THEN feature ELSE 'feature_' || CAST(idx AS VARCHAR) END AS feature,
   {r6('CASE WHEN idx < 3 THEN value ELSE 0.0 END')} AS value, {r6('shap')} AS shap
-FROM pos""")
+FROM pos, (VALUES ('other'), ('fitting')) k(catalog)""")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -103,6 +103,13 @@ def map_lookup(c: str | Column, mapping: Mapping, default=None) -> Column:
     return v if default is None else F.coalesce(v, F.lit(default))
 
 
+def map_join(df: DataFrame, column: str, mapping: DataFrame, key: str, value: str, out: str, default=None) -> DataFrame:
+    """The lookup for a map held as data: a left equi-join on unique keys (Spark broadcasts a small map)."""
+    pairs = mapping.select(F.col(key).alias("__key"), F.col(value).alias("__value")).dropDuplicates(["__key"])
+    found = F.col("__value") if default is None else F.coalesce("__value", F.lit(default))
+    return df.join(pairs, df[column] == F.col("__key"), "left").withColumn(out, found).drop("__key", "__value")
+
+
 def pick(options: Sequence[str], index: Column) -> Column:
     """``options[index]`` for a zero-based integer column."""
     return F.element_at(F.array(*[F.lit(o) for o in options]), (index + 1).cast("int"))

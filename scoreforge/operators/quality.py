@@ -31,7 +31,14 @@ class Required:
     column: str
 
 
-Constraint = Range | Domain | Required
+@dataclass(frozen=True)
+class Known:
+    """Every value, null too, must be a key of the lookup that will be applied to the column."""
+    column: str
+    keys: tuple
+
+
+Constraint = Range | Domain | Required | Known
 
 
 def _checks(c: Constraint) -> list[Column]:
@@ -46,6 +53,8 @@ def _checks(c: Constraint) -> list[Column]:
         return out
     if isinstance(c, Domain):
         return [F.when(x.isNotNull() & ~x.isin(*c.allowed), F.lit(f"{c.column}:domain"))]
+    if isinstance(c, Known):
+        return [F.when(x.isNull() | ~x.isin(*c.keys), F.lit(f"{c.column}:unknown_key"))]
     if isinstance(c, Required):
         return [F.when(x.isNull(), F.lit(f"{c.column}:null"))]
     raise TypeError(c)

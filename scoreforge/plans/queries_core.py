@@ -139,7 +139,11 @@ def p11(spark, sf_dir):
     t = _t(spark, sf_dir)
     # fixed values: priority weights of the lookup example
     weights = {"1-URGENT": 1.0, "2-HIGH": 0.8, "3-MEDIUM": 0.5, "4-NOT SPECIFIED": 0.2}
-    return t.orders.select("o_orderkey", X.map_lookup("o_orderpriority", weights, 0.0).alias("priority_weight"))
+    table = spark.createDataFrame(list(weights.items()), "priority string, weight double")
+    joined = X.map_join(t.orders, "o_orderpriority", table, "priority", "weight", "joined_weight")
+    return joined.select(
+        "o_orderkey", X.map_lookup("o_orderpriority", weights, 0.0).alias("priority_weight"), "joined_weight",
+        F.array_join(Q.violations([Q.Known("o_orderpriority", tuple(weights))]), ",").alias("violations"))
 
 
 @query("p12_weighted_score")
@@ -246,10 +250,13 @@ def e6(spark, sf_dir):
     c = _contrib(spark, sf_dir)
     shap = F.col("contrib")["shap"]
     values = F.slice(F.col("contrib")["value"], 1, 3)
-    # a six-name catalog against four contributions: names fall back to feature_<i>
-    names = V.LINE_CATEGORICAL + V.LINE_NUMERIC
-    aligned = c.select("id", F.posexplode(E.align_names(shap, values, names)).alias("idx", "item"))
-    return _round_doubles(aligned.select("id", "idx", "item.feature", "item.value", "item.shap"))
+    # a six-name catalog against four contributions: names fall back to feature_<i>; a fitting one is used
+    out = None
+    for kind, names in (("other", V.LINE_CATEGORICAL + V.LINE_NUMERIC), ("fitting", V.LINE_NUMERIC)):
+        part = c.select("id", F.posexplode(E.align_names(shap, values, names)).alias("idx", "item")).select(
+            F.lit(kind).alias("catalog"), "id", "idx", "item.feature", "item.value", "item.shap")
+        out = part if out is None else out.unionByName(part)
+    return _round_doubles(out)
 
 
 @query("flagship_tier_summary")
