@@ -31,6 +31,14 @@ def partitions_of(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front as long as a column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """Python strings of a text column; null reads as empty."""
     return ["" if t is None else t for t in column.to_pylist()]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import fresh_name, texts
 
 _RUN = re.compile(r"[^\W_]+")
 _OTHER = re.compile(r"[^\w\x00-\x7f]+")
@@ -304,6 +304,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text: s
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text: str = "text") -> DataFrame:
     """``docs`` without those that hold a benchmark item; no shuffle."""
+    leaks = fresh_name(docs, "_leaks")
     for block in benchmark_blocks(benchmark):
-        docs = with_leaks(docs, block, rate, text).where(F.size("_leaks") == 0).drop("_leaks")
+        docs = with_leaks(docs, block, rate, text, to=leaks).where(F.size(leaks) == 0).drop(leaks)
     return docs

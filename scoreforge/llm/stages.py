@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import read_table
 from . import decontaminate, packing, quality, secrets, simhash
+from .common import fresh_name
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents the quality classifier accepts (score of 0.7 or more)."""
     forest = quality.fit_quality(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score_quality(docs, forest, to="_score").where(F.col("_score") >= 0.7).drop("_score")
+    score = fresh_name(docs, "_score")
+    return quality.score_quality(docs, forest, to=score).where(F.col(score) >= 0.7).drop(score)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

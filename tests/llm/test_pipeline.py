@@ -55,3 +55,21 @@ def test_run_equals_its_stages(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert rows.count() > 0
+
+
+def test_stages_take_odd_rows_and_columns_with_clashing_names(spark, make_docs):
+    from .conftest import ODD
+    clash = make_docs(ODD)
+    for name in ("_score", "score", "_leaks", "secrets", "fp", "component_id", "least", "th", "bucket", "kind", "ids", "_y"):
+        clash = clash.withColumn(name, F.lit(None).cast("string"))
+    empty = clash.limit(0)
+    for docs in (clash, empty):
+        before = docs
+        for name, stage in corpus_pipeline.STAGES:
+            after = stage(spark, before, SF)
+            if name != "packing":
+                assert after.columns == docs.columns
+                before = after
+            else:
+                kept = {r["doc_id"] for r in before.collect()}
+                assert {r["doc_id"] for r in after.collect()} == kept
