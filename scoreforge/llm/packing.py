@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import deque
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -52,14 +52,27 @@ def words_of(text: str) -> list[bytes]:
     return raw.split() if b"<|" in raw else _MARK.sub(rb" \1", raw.lower()).split()
 
 
+class _Places(dict):
+    """Word -> place; a word not seen before gets the next place and is noted as fresh."""
+
+    def __init__(self, words=()):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        self.fresh.append(word)
+        return place
+
+
 class WordIds:
-    """Ids of texts through a bounded store of the ids of their words."""
+    """Ids of texts through a store of the ids of their words, of ``most`` words and those of one call at most."""
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.index: dict[bytes, int] = {}
+        self.index = _Places()
         self.ids = np.zeros(0, np.uint32)
         self.begin = self.size = self.used = np.zeros(0, np.int64)
 
@@ -68,19 +81,20 @@ class WordIds:
         order = np.argsort(-self.used, kind="stable")[:self.most // 2]
         keep = np.sort(order[self.used[order] > 1])
         names = list(self.index)
-        self.index = {names[i]: k for k, i in enumerate(keep.tolist())}
+        self.index = _Places(names[i] for i in keep.tolist())
         self.ids, self.size = self._ids(keep), self.size[keep]
         self.begin = np.cumsum(self.size) - self.size
         self.used = np.zeros(len(keep), np.int64)
 
-    def _learn(self, words: list[bytes]):
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+    def _learn(self):
+        """Tokenize the fresh words, in the order of their places."""
+        words = [w.decode("utf-8", "replace") for w in self.index.fresh]
+        self.index.fresh.clear()
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32)])
         self.size = np.concatenate([self.size, np.fromiter(map(len, lists), np.int64, len(lists))])
         self.begin = np.cumsum(self.size) - self.size
-        self.used = np.concatenate([self.used, np.zeros(len(words), np.int64)])
+        self.used = np.concatenate([self.used, np.zeros(len(lists), np.int64)])
 
     def _ids(self, at: np.ndarray) -> np.ndarray:
         size = self.size[at]
@@ -89,25 +103,17 @@ class WordIds:
 
     def encode(self, values: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without the end id."""
-        split = [words_of(v or "") for v in values]
-        places = [self._places(words) for words in split]
-        missing = [np.flatnonzero(at < 0) for at in places]
-        unknown = list({words[i] for words, gaps in zip(split, missing) for i in gaps.tolist()})
-        if len(self.index) + len(unknown) > self.most:
+        if len(self.index) > self.most:
             self._forget()
-            unknown = list(set().union(*split).difference(self.index))
-            places, missing = [np.zeros(len(w), np.int64) for w in split], [np.arange(len(w)) for w in split]
-        if unknown:
-            self._learn(unknown)
-        for words, at, gaps in zip(split, places, missing):
-            at[gaps] = self._places([words[i] for i in gaps.tolist()])
+        place = self.index.__getitem__
+        places = []
+        for v in values:
+            words = words_of(v or "")
+            places.append(np.fromiter(map(place, words), np.int64, len(words)))
+        self._learn()
         self.used += np.bincount(np.concatenate([np.zeros(0, np.int64), *places]), minlength=len(self.used))
         return [self._ids(at) for at in places]
 
-    def _places(self, words: list[bytes]) -> np.ndarray:
-        """Place of each word in the store, -1 if it is not there."""
-        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-
 
 _WORDS: dict[str, WordIds] = {}
 
@@ -143,12 +149,12 @@ def _tokenize(path: str):
                     sequence = (1 << 62) | (task << 36) | made
                     rows.append((0, doc, at, WINDOW, _crc(ids[at:at + WINDOW]), n, sequence, 0, None, None, None, None))
                     made += 1
-                counts = np.bincount(ids, minlength=len(seen))
-                np.add(seen, counts > 0, out=seen)
+                own, counts = np.unique(ids, return_counts=True)
+                seen[own] += 1
                 rest = n // WINDOW * WINDOW
                 if rest < n:
                     rows.append((1, doc, rest, n - rest, None, n, None, None, ids[rest:].astype("<u4").tobytes(),
-                                 int(np.argmax(counts * telling)), None, None))
+                                 int(own[np.argmax(counts * telling[own])]), None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         own = np.flatnonzero(seen)
         if len(own):
@@ -176,15 +182,16 @@ class Shard:
         self.term = term
         order = np.argsort(term, kind="stable")
         self.posting, self.weight = self.doc[order], weight[order]
-        self.vocabulary, begin = np.unique(term[order], return_index=True)
+        present, begin = np.unique(term[order], return_index=True)
         self.begin = np.append(begin, len(order))
+        self.place = np.full(len(idf), -1, np.int64)
+        self.place[present] = np.arange(len(present))
         self.n = n
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         """BM25 score of every document of the shard for a set of tokens."""
-        at = np.searchsorted(self.vocabulary, terms)
-        at = at[(at < len(self.vocabulary))]
-        at = at[np.isin(self.vocabulary[at], terms)]
+        at = self.place[terms]
+        at = at[at >= 0]
         size = self.begin[at + 1] - self.begin[at]
         ends = np.cumsum(size)
         where = np.repeat(self.begin[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
