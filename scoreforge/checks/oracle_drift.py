@@ -121,7 +121,8 @@ DAILY_SPLIT = """li AS (SELECT *, CAST(l_shipdate AS DATE) AS d FROM lineitem),
 mx AS (SELECT max(d) AS m FROM li),
 s AS (SELECT li.*, CASE WHEN d > m - 90 THEN 1 ELSE 0 END AS cur FROM li, mx)"""
 q("d4_daily_job", f"""
-WITH num AS ({numeric_drift_sql(DAILY_SPLIT, LNUM)}),
+WITH {DAILY_SPLIT},
+num AS ({numeric_drift_sql(DAILY_SPLIT, LNUM)}),
 cat AS ({categorical_drift_sql(DAILY_SPLIT, ['l_returnflag', 'l_linestatus'])}),
 allc AS (SELECT "column", drifted FROM num UNION ALL SELECT "column", drifted FROM cat),
 summ AS (SELECT count(*) AS n_columns, count(*) FILTER (WHERE drifted) AS n_drifted,
@@ -131,5 +132,5 @@ b AS (SELECT count(*) AS n FROM lineitem, (SELECT max(CAST(l_shipdate AS DATE))
 SELECT (SELECT strftime(max(CAST(l_shipdate AS DATE)), '%Y-%m-%d') FROM lineitem) AS ds,
   CAST(b.n AS BIGINT) AS n_batch, CAST(b.n AS BIGINT) AS n_logged, CAST(n_columns AS BIGINT) AS n_columns,
   CAST(n_drifted AS BIGINT) AS n_drifted, {r6('share')} AS share_drifted, share >= 0.5 AS dataset_drift,
-  CAST(0 AS BIGINT) AS n_expired_partitions, share >= 0.5 AS alert
+  (SELECT count(DISTINCT d) FROM li, mx WHERE d > m - 90 AND d < m - 30) AS n_expired_partitions, share >= 0.5 AS alert
 FROM summ, b""")

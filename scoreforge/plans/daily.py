@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -49,8 +48,8 @@ def daily_job(spark: SparkSession, t: Tables, window_days: int = 90, keep_days:
     li = t.lineitem.withColumn("id", V.line_id())
     day = li.agg(F.max(F.to_date("l_shipdate")).alias("d")).first()["d"]
     start = F.date_sub(F.lit(day), window_days)
-    # the day's batch feeds the append, the scoring, the log and the drift: read it once
-    batch = li.where(F.to_date("l_shipdate") > start).persist(StorageLevel.MEMORY_AND_DISK)
+    # the day's batch feeds the append, the scoring, the log and the drift: it is read once and written
+    batch = written(li.where(F.to_date("l_shipdate") > start), "daily-batch")
     ref = li.where(F.to_date("l_shipdate") <= start)
     ds = day.isoformat()
     n_new = IO.append_cases(batch, f"{out}/train_data", V.LINE_NUMERIC + V.LINE_CATEGORICAL, gid="id",
@@ -60,8 +59,9 @@ def daily_job(spark: SparkSession, t: Tables, window_days: int = 90, keep_days:
     lin = X.sum_columns([F.lit(w) * F.col(c) for c, w in WEIGHTS.items()])
     scored = cols.withColumn("prediction", X.round_score(X.clip(F.lit(LINEAR_INTERCEPT) + lin, 0.0, 1.0), 4))
     rows = IO.inference_log_rows(scored, "id", F.lit(None).cast("string"), "prediction",
-                                 created_at=F.lit(f"{ds} 00:00:00").cast("timestamp"))
-    IO.append_inference_log(rows, f"{out}/inference_logs")
+                                 created_at=F.col("l_shipdate").cast("timestamp"))
+    logged = Observation()
+    IO.append_inference_log(rows.observe(logged, F.count(F.lit(1)).alias("n")), f"{out}/inference_logs")
     # read by the decision and by the report
     num = written(D.numeric_drift(ref, batch, V.LINE_NUMERIC), "daily-numeric")
     cat = written(D.categorical_drift(ref, batch, V.LINE_CATEGORICAL), "daily-categorical")
@@ -72,8 +72,7 @@ def daily_job(spark: SparkSession, t: Tables, window_days: int = 90, keep_days:
     parts = spark.read.schema(IO.LOG_TABLE_SCHEMA + ", ds string").parquet(f"{out}/inference_logs") \
         .groupBy("ds").agg(F.count(F.lit(1)).alias("n_rows"))
     expired = IO.retention_filter(parts, ds, keep_days).where(F.col("status") == "expired").count()
-    n_logged = rows.count()
-    batch.unpersist()
+    n_logged = logged.get["n"]
     return spark.createDataFrame([(ds, n_new, n_logged, summary["n_columns"], summary["n_drifted"],
                                    float(summary["share_drifted"]), bool(summary["dataset_drift"]), expired,
                                    bool(summary["dataset_drift"]))],
