@@ -22,6 +22,7 @@ error must occur exactly, as whole words.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 
@@ -246,11 +247,17 @@ def _in_text(text: str, start: int, stop: int) -> tuple[int, int]:
     return (out or 0), end
 
 
-_MATCHERS: dict[int, Matcher] = {}
+#: The last automaton of this worker, by the contents it was built from: a list's address is taken again by the next.
+_MATCHERS: dict[tuple[str, float], Matcher] = {}
 
 
-def _matcher(shared, rate: float) -> Matcher:
-    key = id(shared.value)
+def digest(items: list[tuple[int, str]]) -> str:
+    """Names a block by what it holds."""
+    return hashlib.sha256(repr(items).encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def _matcher(shared, name: str, rate: float) -> Matcher:
+    key = (name, rate)
     if key not in _MATCHERS:
         _MATCHERS.clear()
         _MATCHERS[key] = Matcher(shared.value, rate)
@@ -278,10 +285,10 @@ _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("
 def with_leaks(docs: DataFrame, items: list[tuple[int, str]], rate: float = 0.1, text: str = "text",
                to: str = "_leaks") -> DataFrame:
     """``docs`` with the items of one block that each text holds."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), digest(items)
 
     def find(column):
-        matcher, values, out = _matcher(shared, rate), texts(column), []
+        matcher, values, out = _matcher(shared, name, rate), texts(column), []
         for at in range(0, len(values), 256):
             for hits in matcher.find(values[at:at + 256]):
                 out.append([dict(zip(("item_id", "distance", "start", "end"), h)) for h in sorted(hits, key=str)])
@@ -291,12 +298,12 @@ def with_leaks(docs: DataFrame, items: list[tuple[int, str]], rate: float = 0.1,
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text: str = "text",
-               doc_id: str = "doc_id") -> DataFrame:
+               doc_id: str = "doc_id", block_chars: int = 8_000_000) -> DataFrame:
     """One row per document and item it holds: doc_id, item_id, distance, start, end."""
     spark = docs.sparkSession
     out = spark.createDataFrame([], "doc_id long, item_id long, distance int, start int, end int")
     narrow = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    for block in benchmark_blocks(benchmark):
+    for block in benchmark_blocks(benchmark, block_chars=block_chars):
         hits = with_leaks(narrow, block, rate).select("doc_id", F.explode("_leaks").alias("h")).select("doc_id", "h.*")
         out = out.unionByName(hits)
     return out

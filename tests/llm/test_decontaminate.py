@@ -1,3 +1,4 @@
+import pickle
 import random
 
 from scoreforge.llm import decontaminate as D
@@ -83,3 +84,32 @@ def test_items_of_the_table_are_found_and_few_else(spark):
     items = [(r["item_id"], D.normal(r["text"])) for r in bench.collect()]
     exact = {(r["doc_id"], i) for r in docs.collect() for i, t in items if t in D.normal(r["text"])}
     assert exact <= found and len(found) <= len(exact) + 2
+
+
+class Shared:
+    """A broadcast whose list is loaded anew, as a reused worker does."""
+
+    def __init__(self, items):
+        self.items = items
+
+    @property
+    def value(self):
+        return pickle.loads(pickle.dumps(self.items))
+
+
+def test_a_worker_never_searches_another_blocks_items():
+    for k in range(50):
+        items = [(k, f"item number {k} of the benchmark")]
+        assert D._matcher(Shared(items), D.digest(items), 0.1).patterns[0].item == k
+    assert D._matcher(Shared(items), D.digest(items), 0.2).patterns[0].budget > \
+        D._matcher(Shared(items), D.digest(items), 0.1).patterns[0].budget
+
+
+def test_many_blocks_and_two_benchmarks_in_one_session(spark, make_docs):
+    line = lambda k: " ".join(f"w{k}x{i}" for i in range(8))
+    docs = make_docs([(k, f"before {line(k)} after") for k in range(24)])
+    for shift in (0, 100):
+        bench = spark.createDataFrame([(k + shift, line(k)) for k in range(24)], "item_id long, text string")
+        assert len(D.benchmark_blocks(bench, block_chars=200)) > 3
+        rows = D.find_leaks(docs, bench, block_chars=200).collect()
+        assert sorted((r["doc_id"], r["item_id"]) for r in rows) == [(k, k + shift) for k in range(24)]
