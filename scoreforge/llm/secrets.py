@@ -5,8 +5,10 @@ them, a mixed string of letters and digits after a sensitive word is a candidate
 Its novelty is the marginal number of compressed bytes: the size
 of zstandard's output for surroundings plus candidate, less that for the surroundings
 alone, the compressor being primed with a dictionary of identifiers and the
-code around it.  A candidate that costs nearly its own length cannot be told
-from its context or from common names, and is reported as ``novel``.
+code around it.  A candidate that costs about what random symbols of its own alphabet
+cost cannot be told from its context or from common names, and is reported as ``novel``.
+The next line of a reported string is a candidate too, and the body of a private key block is
+reported whole.  Of a candidate that base spans cover in part, the rest is reported.
 
 Defined cases: null text reads as empty and has no spans; spans of different
 kinds may overlap, but a novel span never overlaps another; copies and repeated rows
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from math import log2
 
 import pyarrow as pa
 import zstandard
@@ -39,6 +42,11 @@ CONTEXT = re.compile(r"auth|bearer|credential|private|passphrase|pass|pwd|secret
 CONTEXT_WORDS = ("auth", "bearer", "credential", "private", "pass", "pwd", "secret", "token", "key", "cookie", "session",
                  "signature", "salt")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What may stand between the lines of one string.
+JOIN = re.compile(r"""[\s"'\\+,>#*]*(?:\\[nr][\s"'\\+,>#*]*)*""")
+#: A private key block: its body without header lines.
+BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----\s*(?:[A-Za-z-]+:[^\n]*\n\s*)*"
+                   r"([A-Za-z0-9+/=\s\\]*?)\s*-----END")
 #: Identifiers and code that prime the compressor, most likely last.
 IDENTIFIERS = (
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 1234567890 0000000000000000 aaaaaaaaaaaaaaaa "
@@ -73,27 +81,59 @@ def marginal_bytes(before: str, candidate: str, after: str) -> int:
     return len(press.compress(plain + candidate.encode())) - len(press.compress(plain))
 
 
+def costly(cost: int, candidate: str, least: float = 0.7) -> bool:
+    """Whether ``cost`` bytes are what random symbols of the candidate's alphabet (16 at the least) would take."""
+    return cost >= min(least, log2(max(16, len(set(candidate)))) / 8) * len(candidate)
+
+
+def _mixed(part: str) -> bool:
+    return any(map(str.isdigit, part)) and any(map(str.isalpha, part))
+
+
+def _uncovered(text: str, a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Parts of [a, b) outside ``taken``; beside an assignment only those that would be candidates alone."""
+    parts = _rest(a, b, taken)
+    values = {e for k, x, y in taken if k for e in (x, y)}
+    return [(x, y) for x, y in parts if x in values or y in values or (y - x >= 16 and _mixed(text[x:y]))]
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], around: int = 160, reach: int = 48,
                 least: float = 0.7) -> list[tuple[int, int, int]]:
-    """Incompressible candidates within ``reach`` characters after a sensitive word."""
+    """Incompressible candidates within ``reach`` characters after a sensitive word, or on the line after one reported."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    spans, busy = [], sorted((a, b) for _, a, b in taken)
-    at = 0
+    blocks = [m.span(1) for m in BLOCK.finditer(text) if m.group(1)] if "PRIVATE KEY" in text else []
+    spans = [(3, x, y) for a, b in blocks for x, y in _rest(a, b, taken)]
+    busy = sorted(taken, key=lambda s: s[1:])
+    at, last = 0, -1                           # last: where the string reported before ends
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
         found = m.group()
-        if not (any(map(str.isdigit, found)) and any(map(str.isalpha, found))):
+        if any(a < y and b > x for x, y in blocks):
             continue
-        while at < len(busy) and busy[at][1] <= a:
+        while at < len(busy) and busy[at][2] <= a:
+            last = max(last, busy[at][2]) if busy[at][0] else last
             at += 1
-        if any(x < b and y > a for x, y in busy[max(0, at - 2):at + 2]) or not CONTEXT.search(text, max(0, a - reach), a):
+        follows = 0 <= last <= a and JOIN.fullmatch(text, last, a) is not None
+        if not (_mixed(found) or follows) or not (follows or CONTEXT.search(text, max(0, a - reach), a)):
             continue
-        cost = marginal_bytes(text[max(0, a - around):a], found, text[b:b + around])
-        if cost >= least * len(found):
-            spans.append((3, a, b))
-    return spans
+        touched = [s for s in busy[at:] if s[1] < b and s[2] > a] if at < len(busy) and busy[at][1] < b else []
+        parts = _uncovered(text, a, b, touched) if touched else [(a, b)]
+        if parts and costly(marginal_bytes(text[max(0, a - around):a], found, text[b:b + around]), found, least):
+            spans += [(3, x, y) for x, y in parts]
+            last = b
+    return sorted(spans)
+
+
+def _rest(a: int, b: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """[a, b) without the base spans inside it."""
+    parts, at = [], a
+    for x, y in sorted((x, y) for _, x, y in taken if x < b and y > a):
+        if x > at:
+            parts.append((at, x))
+        at = max(at, y)
+    return parts + [(at, b)] if at < b else parts
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -42,6 +42,39 @@ def test_novel_strings_are_reported_and_known_ones_not():
     assert S.marginal_bytes(seen[:40], fresh, "") < S.marginal_bytes("and again auth: ", fresh, "")
 
 
+def test_keys_over_small_alphabets_are_reported_at_every_length():
+    random.seed(6)
+    for alphabet in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", string.ascii_letters + string.digits + "+/"):
+        for n in (32, 96, 160, 512):
+            for _ in range(20):
+                key = "".join(random.choices(alphabet, k=n))
+                text = f"the private_key {key} was used"
+                assert [text[a:b] for _, a, b in S.scan(text)[1]] == [key]
+    for known in ("a" * 60 + "1", "your_api_key_here_1234567890", "0000000000000000000000000000000a"):
+        assert S.scan(f"the private_key {known} was used")[1] == []
+
+
+def test_every_line_of_a_key_is_reported():
+    random.seed(7)
+    lines = ["".join(random.choices(string.ascii_letters + string.digits + "+/", k=64)) for _ in range(24)] + ["Zm9v+a=="]
+    for left, right in (("-----BEGIN RSA PRIVATE KEY-----\n", "\n-----END RSA PRIVATE KEY-----"),
+                        ("-----BEGIN PRIVATE KEY-----\\n", "\\n-----END PRIVATE KEY-----")):
+        clean = S.redacted("see " + left + ("\n" if "\\" not in left else "\\n").join(lines) + right + " end")
+        assert clean.startswith("see -----BEGIN") and clean.endswith(" end") and not any(line in clean for line in lines)
+    body = "session key:\n  " + "\n  ".join(lines[:-1]) + "\nand plain words follow"
+    clean = S.redacted(body)
+    assert not any(line in clean for line in lines[:-1]) and clean.endswith("and plain words follow")
+
+
+def test_parts_beside_a_base_span_are_reported():
+    random.seed(8)
+    tail = "".join(random.choices(string.ascii_uppercase + "+/", k=30))
+    text = f"auth {'9f86d081884c7d659a2feaa0c55ad015'}{tail} end"
+    base, novel = S.scan(text)
+    assert [text[a:b] for _, a, b in base] == ["9f86d081884c7d659a2feaa0c55ad015"]
+    assert [text[a:b] for _, a, b in novel] == [tail]
+
+
 def test_report_and_redaction(spark, make_docs):
     text = 'a token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e" b'
     rows = {r["doc_id"]: r["secrets"] for r in S.scan_secrets(make_docs([*ODD, (50, text)])).collect()}
