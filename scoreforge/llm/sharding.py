@@ -1,8 +1,8 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly over the shards.
 
-Groups (equal texts) are the items.  A group that holds more than a small share of
-any total is split first, so no item is too large to balance.  Items are
-dealt to cells; in a cell they are taken in descending size and each goes to the
+Groups (equal texts) are the items; only a group that exceeds a shard's own share of some
+total is split.  Large groups are whole too: they are few, and are given their shards first.
+Items are dealt to cells; in a cell they are taken in descending size and each goes to the
 bin where the dot product of its size vector with the bins' residual
 capacities is highest.  A cell's bins are then matched to the shards the same
 way, the largest first, which evens out what the cells left.  Only the bins'
@@ -34,24 +34,43 @@ def best_bin(item: np.ndarray, residual: np.ndarray) -> int:
     return int(np.argmax(residual @ item))
 
 
-def _place(totals: np.ndarray, shards: int):
+def settle(groups: list[tuple], totals: np.ndarray, shards: int) -> tuple[dict[int, int], np.ndarray]:
+    """Shard of each (group, size, tokens, rows), largest first, and what is then free of each shard's share."""
+    room, out = np.ones((shards, 3)), {}
+    scale = shards / np.maximum(totals, 1.0)
+    for group, *sums in sorted(groups, key=lambda g: (-(np.array(g[1:]) * scale).max(), g[0])):
+        item = np.array(sums) * scale
+        out[group] = best_bin(item, room)
+        room[out[group]] -= item
+    return out, room
+
+
+def _place(totals: np.ndarray, shards: int, room: np.ndarray):
     def run(batches):
-        """Rows sorted by unit, units in descending size: all rows of a unit go to one bin."""
+        """Rows sorted by unit, units in descending size: all rows of a unit go to one bin.
+
+        Rows of a settled group go to its shard, as cells below zero.
+        """
         cell = TaskContext.get().partitionId()
-        residual = np.ones((shards, 3))        # of each shard's equal share of the totals
-        used = np.zeros(shards, np.int64)
+        residual = room.copy()                 # this cell's part of what is free of each shard's share
+        used, used_settled = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
         scale = shards / np.maximum(totals, 1.0)
         open_unit, target = None, 0
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            group, salt = (batch.column(c).to_numpy() for c in ("group", "salt"))
+            group, salt, settled = (batch.column(c).to_numpy() for c in ("group", "salt", "settled"))
             sums = np.stack([batch.column("unit_" + d).to_numpy() for d in _DIMENSIONS], axis=1) * scale
             starts = np.concatenate([[0], np.flatnonzero((np.diff(group) != 0) | (np.diff(salt) != 0)) + 1])
             ends = np.append(starts[1:], n)
             bins, at = np.zeros(n, np.int32), np.zeros(n, np.int64)
             for a, b in zip(starts.tolist(), ends.tolist()):
+                if settled[a] >= 0:
+                    bins[a:b] = settled[a]
+                    at[a:b] = used_settled[settled[a]] + np.arange(b - a)
+                    used_settled[settled[a]] += b - a
+                    continue
                 unit = (group[a], salt[a])
                 if unit != open_unit:          # else it goes on from the batch before
                     open_unit, target = unit, best_bin(sums[a], residual)
@@ -61,19 +80,22 @@ def _place(totals: np.ndarray, shards: int):
                 used[target] += b - a
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("size"), batch.column("text_crc32"), batch.column("tokens"),
-                 pa.array(np.full(n, cell, np.int32)), pa.array(bins), pa.array(at)], schema=_PLACED_ARROW)
+                 pa.array(np.where(settled < 0, cell, -1 - cell).astype(np.int32)), pa.array(bins), pa.array(at)], schema=_PLACED_ARROW)
     return run
 
 
 def match_bins(loads: dict[int, np.ndarray], counts: dict[int, np.ndarray], totals: np.ndarray,
                shards: int) -> list[tuple[int, int, int, int]]:
-    """(cell, bin, shard, rows of that shard before): every cell's bins to different shards, largest bin first."""
+    """(cell, bin, shard, rows of that shard before): every cell's bins to different shards, largest bin first.
+
+    A cell below zero holds settled groups, whose bins are shards already.
+    """
     residual, before, out = np.ones((shards, 3)), np.zeros(shards, np.int64), []
     for cell in sorted(loads):
         load = loads[cell] * (shards / np.maximum(totals, 1.0))
         free = np.ones(shards, bool)
         for b in np.argsort(-load.max(axis=1), kind="stable").tolist():
-            shard = int(np.argmax(np.where(free, residual @ load[b] + 1e-9 * residual.sum(axis=1), -np.inf)))
+            shard = b if cell < 0 else int(np.argmax(np.where(free, residual @ load[b] + 1e-9 * residual.sum(axis=1), -np.inf)))
             free[shard] = False
             residual[shard] -= load[b]
             out.append((cell, b, shard, int(before[shard])))
@@ -86,8 +108,9 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", doc_i
                     most_cells: int = 4096) -> DataFrame:
     """Per row: doc_id, size, text_crc32, tokens, shard, slot (gapless from 0 in its shard).
 
-    ``share``: a group with more than this part of a shard's share of any total is
-    split into items of that size; such groups number at most 3 * shards / share.
+    ``share``: a group with more than this part of a shard's share of any total is large; such groups
+    number at most 3 * shards / share.  One that fits a shard's share gets one shard, one that
+    exceeds it is split into items of that size.
     ``tokens`` counts white space characters plus one.
     """
     spark = docs.sparkSession
@@ -106,17 +129,22 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", doc_i
     limit = np.maximum(totals * share / shards, 1.0)
     by_group = rows.groupBy("group").agg(*(s.alias(d) for s, d in zip(sums, _DIMENSIONS)))
     parts = F.ceil(F.greatest(*(F.col(d) / F.lit(float(x)) for d, x in zip(_DIMENSIONS, limit)))).cast("long")
-    large = by_group.where("rows > 1").select("group", parts.alias("parts")).where("parts > 1")
-    # pmod by parts: a group's rows over its items; the groups that are split are few whatever the input
+    large = by_group.where("rows > 1").withColumn("parts", parts).where("parts > 1").collect()
+    fitting = [(r["group"], *(r[d] for d in _DIMENSIONS)) for r in large if all(r[d] * shards <= t for d, t in zip(_DIMENSIONS, totals))]
+    shard_of, room = settle(fitting, totals, shards)
+    large = spark.createDataFrame([(r["group"], r["parts"], shard_of.get(r["group"], -1)) for r in large],
+                                  "group long, parts long, settled int")
+    # pmod by parts: a large group's rows over several tasks, also where its shard is settled
     rows = rows.join(F.broadcast(large), "group", "left").withColumn(
-        "salt", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))).drop("parts")
+        "salt", F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0))).withColumn(
+        "settled", F.coalesce("settled", F.lit(-1))).drop("parts")
     unit = Window.partitionBy("group", "salt")
     cells = int(min(most_cells, max(1, -(-int(totals[2]) // cell_rows))))
     sized = rows.repartition(cells, "group", "salt").select("*", *(
         s.over(unit).alias("unit_" + d) for s, d in zip(sums, _DIMENSIONS)))
     weight = F.greatest(*(F.col("unit_" + d) / F.lit(float(max(x, 1.0))) for d, x in zip(_DIMENSIONS, totals)))
     ordered = sized.sortWithinPartitions(weight.desc(), "group", "salt", "row")
-    placed = materialise(ordered.mapInArrow(_place(totals, shards), _PLACED), "shard-placed")
+    placed = materialise(ordered.mapInArrow(_place(totals, shards, room / cells), _PLACED), "shard-placed")
     loads: dict[int, np.ndarray] = {}
     counts: dict[int, np.ndarray] = {}
     for r in placed.groupBy("cell", "bin").agg(*(s.alias(d) for s, d in zip(sums, _DIMENSIONS))).collect():

@@ -45,6 +45,23 @@ def test_small_groups_stay_together(spark, make_docs):
     assert all(where[i] == where[i + 1] for i in range(0, 4000, 2))
 
 
+def test_groups_that_fit_a_shard_are_whole_at_every_table_size(spark, make_docs):
+    rng = np.random.default_rng(1)
+    for n, cell_rows in ((200, 20_000), (2000, 500)):
+        docs = [(i, f"text {i} " + "x" * int(rng.integers(0, 60))) for i in range(n)]
+        copies = {f"copied {k} " + "y" * 20: max(2, int(n / 10 * part)) for k, part in enumerate((0.1, 0.3, 0.6, 0.7))}
+        for text, count in copies.items():
+            docs += [(len(docs) + i, text) for i in range(count)]
+        rows = S.shard_documents(make_docs(docs), shards=10, cell_rows=cell_rows).collect()
+        check(rows, docs)
+        of, where = dict(docs), defaultdict(set)
+        for r in rows:
+            where[of[r["doc_id"]]].add(r["shard"])
+        assert all(len(where[text]) == 1 for text in copies)
+        sums = [sum(r["size"] for r in own) for own in shards_of(rows).values()]
+        assert len(sums) == 10 and np.abs(sums - np.mean(sums)).max() < 0.2 * np.mean(sums)
+
+
 def test_odd_rows(spark, make_docs):
     check(S.shard_documents(make_docs(ODD)).collect(), ODD)
     assert S.shard_documents(make_docs([])).count() == 0
