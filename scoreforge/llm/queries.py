@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from ..session import prepare
 from ..sources.tables import read_table
-from . import decontaminate, fingerprints, htmltext, packing, passages, quality, secrets, sharding, simhash, warc
+from . import (decontaminate, divergence, fingerprints, htmltext, innerproduct, packing, passages, periodic, quality, secrets,
+               sharding, simhash, warc)
 
 #: The vocabulary the packing query and stage use.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
-#: No operator of this list has a full SQL form; they are tested against brute force in tests/llm.
+#: SQL of the queries that have a full SQL form; the others are tested against brute force in tests/llm.
 ORACLE_SQL: dict[str, str] = {}
 
 
@@ -98,3 +99,69 @@ def op9_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that near-repeat across documents."""
     return passages.repeated_passages(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every source from the others of its language, and its 50 most overused terms."""
+    return divergence.audit_sources(read_table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+@query
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 best inner products of every hundredth vector."""
+    return innerproduct.top_products(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of 12 words and more of every document, every tenth with a repeated tail."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    edited = docs.withColumn("text", periodic.repeated_tails(F.col("text"), F.col("doc_id")))
+    return periodic.run_report(periodic.periodic_runs(edited, least=12))
+
+
+ORACLE_SQL["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+occ AS (SELECT lang, source, r, unnest(terms) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS n FROM occ GROUP BY lang, term HAVING count(DISTINCT r) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+own AS (SELECT lang, source, term, count(*) AS n FROM occ SEMI JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(n) AS total FROM own GROUP BY ALL),
+dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(o.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(o.n, 0) + 5)) // (coalesce(s.total, 0) + 5 * l.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (k.n + 5)) // (l.total + 5 * l.v)::HUGEINT AS q
+  FROM groups g JOIN kept k USING (lang) JOIN langs l USING (lang)
+  LEFT JOIN own o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term
+  LEFT JOIN sums s ON s.lang = g.lang AND s.source = g.source),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM dense a JOIN dense b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+  FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+terms AS (SELECT lang, source, 'term' AS part, term AS item, p - q AS value FROM dense WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank
+  FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms))
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+ORACLE_SQL["op12_exact_topk"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
