@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .oracle_features import standardized_cte, tokens_cte, vocab_cte
-from .oracle_sql import CASES, HASH, r6, rnd, q
+from .oracle_sql import CASES, HASH, LINE_ID, q, r6, rnd
 
 q("m1_split", f"""
 SELECT o_orderkey, CASE WHEN {HASH.format(k='o_orderkey')} % 100 < 80 THEN 'train' ELSE 'test' END AS split
@@ -106,3 +106,70 @@ SELECT case_id, coalesce(nullif(gid, ''), 'batch_' || CAST(case_id AS VARCHAR))
   CASE WHEN reasons = '' THEN 'scored' ELSE 'rejected' END AS status, reasons, true AS in_range,
   CASE WHEN reasons = '' THEN true END AS explained, CASE WHEN reasons = '' THEN true END AS labelled
 FROM v""")
+
+
+# one-split trees: the split of the largest squared-error gain among the midpoints of neighbouring values
+def best_split(name: str, rows: str, y: str, by: str | None = None) -> str:
+    """CTE ``name``: (by, feature, threshold, lo, hi) of the best single split of ``rows`` on target ``y``."""
+    own = f"{by} AS by_, " if by else "0 AS by_, "
+    return f"""
+{name}_vals AS (SELECT by_, feature, v, count(*) AS n, sum(y) AS s FROM (
+    SELECT {own}unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature,
+      unnest([CAST(l_quantity AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_tax AS DOUBLE)]) AS v, {y} AS y FROM {rows})
+  GROUP BY by_, feature, v),
+{name}_cuts AS (SELECT by_, feature, (v + lead(v) OVER o) / 2 AS threshold,
+    sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(n) OVER w AS n, sum(s) OVER w AS s FROM {name}_vals
+  WINDOW o AS (PARTITION BY by_, feature ORDER BY v), w AS (PARTITION BY by_, feature)),
+{name} AS (SELECT by_, feature, threshold, sl / nl AS lo, (s - sl) / (n - nl) AS hi FROM {name}_cuts
+  WHERE threshold IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY by_ ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, feature) = 1)"""
+
+
+def leaf(t: str) -> str:
+    return (f"(CASE WHEN (CASE {t}.feature WHEN 'l_quantity' THEN CAST(l_quantity AS DOUBLE) WHEN 'l_discount' "
+            f"THEN CAST(l_discount AS DOUBLE) ELSE CAST(l_tax AS DOUBLE) END) <= {t}.threshold THEN {t}.lo ELSE {t}.hi END)")
+
+
+_ONE = f"""one AS (SELECT {LINE_ID} AS id, l_quantity, l_discount, l_tax,
+  greatest(least(l_extendedprice / 100000, 1.0), 0.0) AS label FROM lineitem)"""
+_FOLDS = f"""{_ONE},
+folded AS (SELECT *, CAST({HASH.format(k='id')} % 5 AS INTEGER) AS fold FROM one),
+others AS (SELECT t.*, f.fold AS held FROM folded t JOIN (SELECT unnest(range(5)) AS fold) f ON t.fold <> f.fold),
+{best_split('s1', 'others', 'label', 'held').strip()}"""
+
+q("m3_one_split", f"""
+WITH {_ONE}, {best_split('s1', 'one', 'label').strip()}
+SELECT id, {r6('greatest(least(' + leaf('s1') + ', 1.0), 0.0)')} AS prediction, s1.feature, {r6('s1.threshold')} AS threshold
+FROM one, s1""")
+
+q("m4_one_split", f"""
+WITH {_FOLDS},
+e AS (SELECT fold, label, {leaf('s1')} - label AS e FROM folded JOIN s1 ON s1.by_ = fold)
+SELECT fold, {r6('sqrt(avg(e * e))')} AS rmse, {r6('avg(abs(e))')} AS mae,
+  {r6('1 - sum(e * e) / (var_pop(label) * count(*))')} AS r2 FROM e GROUP BY fold""")
+
+# boosting's second tree is fitted to twice the residual and counts by the step size
+q("m5_one_split", f"""
+WITH {_FOLDS},
+left1 AS (SELECT o.*, 2 * (label - {leaf('s1')}) AS r FROM others o JOIN s1 ON s1.by_ = held),
+{best_split('s2', 'left1', 'r', 'held').strip()},
+p AS (SELECT fold, label, {leaf('s1')} AS t1, {leaf('s2')} AS t2 FROM folded JOIN s1 ON s1.by_ = fold JOIN s2 ON s2.by_ = fold),
+cand AS (SELECT * FROM (VALUES (0, 1, 0.1), (1, 1, 0.5), (2, 2, 0.1), (3, 2, 0.5)) c(candidate, trees, step)),
+m AS (SELECT candidate, trees, step, fold, avg((t1 + (trees - 1) * step * t2 - label) ** 2) AS mse FROM p, cand
+      GROUP BY ALL),
+c AS (SELECT candidate, trees, step, -avg(mse) AS neg_mse FROM m GROUP BY ALL)
+SELECT CAST(candidate AS INTEGER) AS candidate, '{{"maxIter": ' || trees || ', "stepSize": ' || step || '}}' AS params,
+  {r6('neg_mse')} AS neg_mse, row_number() OVER (ORDER BY neg_mse DESC, candidate) = 1 AS is_best FROM c""")
+
+_H1 = HASH.format(k="id || '-42'")
+q("m6_one_split", f"""
+WITH {_ONE}, {best_split('s1', 'one', 'label').strip()},
+o AS (SELECT *, row_number() OVER (ORDER BY {_H1}, id) AS place, count(*) OVER () AS n FROM one),
+paired AS (SELECT a.label, a.l_quantity, a.l_discount, a.l_tax, b.l_quantity AS q, b.l_discount AS d, b.l_tax AS t
+           FROM o a JOIN o b ON b.place = a.place % a.n + 1),
+e AS (SELECT {leaf('s1')} - label AS e,
+  CASE WHEN (CASE s1.feature WHEN 'l_quantity' THEN CAST(q AS DOUBLE) WHEN 'l_discount' THEN CAST(d AS DOUBLE)
+             ELSE CAST(t AS DOUBLE) END) <= s1.threshold THEN s1.lo ELSE s1.hi END - label AS f FROM paired, s1),
+g AS (SELECT sqrt(avg(f * f)) - sqrt(avg(e * e)) AS gain FROM e)
+SELECT x.feature, CASE WHEN x.feature = s1.feature THEN {r6('gain')} ELSE 0.0 END AS importance, x.feature <> s1.feature AS is_zero
+FROM (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature) x, s1, g""")

@@ -1,9 +1,9 @@
 """Model operators (M1-M12) on Spark ML's gradient-boosted trees.
 
 Splits and folds come from the md5 hash of a key (stable under
-repartitioning and reproducible in SQL).  Training is ``GBTRegressor``;
-the best iteration on a validation set is found with
-``evaluateEachIteration``, and the model keeps that many of its first trees.
+repartitioning and reproducible in SQL).  Training is ``GBTRegressor``; with a
+validation set it goes in growing rounds until a number of trees brought nothing, and the
+model keeps the trees up to the best one.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exprs as X
+from ..session import work_path
 from . import treeshap
+from .ensemble import Ensemble, matrix, partnered, permutation_errors
 
 # fixed values: default boosted-tree settings (reference parameter names in comments)
 DEFAULT_PARAMS = {
@@ -35,12 +37,11 @@ DEFAULT_PARAMS = {
     "seed": 42,            # random_seed
 }
 EARLY_STOPPING_ROUNDS = 50
-# fixed values: random-search space (4 parameters x 5 values)
+# fixed values: search space of the three parameters that Spark's trees share
 SEARCH_SPACE = {
     "maxDepth": [4, 5, 6, 7, 8],
     "stepSize": [0.01, 0.05, 0.1, 0.15, 0.2],
-    "maxIter": [100, 200, 300, 500, 1000],
-    "minInstancesPerNode": [1, 3, 5, 7, 9],   # in place of leaf regularisation, which Spark's trees do not have
+    "maxIter": [500, 750, 1000, 1250, 1500],
 }
 
 
@@ -68,6 +69,7 @@ class FittedModel:
     elapsed_s: float = 0.0
     feature_names: list = field(default_factory=list)
     meta: dict = field(default_factory=dict)
+    ensemble: Ensemble | None = None                 # flat arrays of the trees, made when first needed
 
     def predict(self, df: DataFrame, features: str = "features", out: str = "prediction",
                 clip: bool = True) -> DataFrame:
@@ -82,41 +84,62 @@ def _gbt(params: dict, features: str, label: str) -> GBTRegressor:
     return GBTRegressor(featuresCol=features, labelCol=label, lossType="squared", **p)
 
 
+def _assembled(trees: list, weights: list[float], n_features: int, uid: str) -> GBTRegressionModel:
+    """An ensemble model of fitted trees (Java objects) and their weights."""
+    sc = SparkSession.getActiveSession().sparkContext
+    ml = sc._jvm.org.apache.spark.ml.regression
+    own, size = sc._gateway.new_array(ml.DecisionTreeRegressionModel, len(trees)), sc._gateway.new_array(sc._jvm.double, len(trees))
+    for i, (tree, weight) in enumerate(zip(trees, weights)):
+        own[i], size[i] = tree, weight
+    return GBTRegressionModel(ml.GBTRegressionModel(uid, own, size, n_features))
+
+
 def first_trees(model: GBTRegressionModel, n: int) -> GBTRegressionModel:
     """The ensemble of a model's first ``n`` trees: boosting never changes a tree once it is added."""
     if n >= model.getNumTrees:
         return model
-    java, sc = model._java_obj, SparkSession.getActiveSession().sparkContext
-    ml = sc._jvm.org.apache.spark.ml.regression
-    trees, weights = sc._gateway.new_array(ml.DecisionTreeRegressionModel, n), sc._gateway.new_array(sc._jvm.double, n)
-    for i in range(n):
-        trees[i], weights[i] = java.trees()[i], java.treeWeights()[i]
-    return GBTRegressionModel(ml.GBTRegressionModel(java.uid(), trees, weights, model.numFeatures))
+    java = model._java_obj
+    return _assembled([java.trees()[i] for i in range(n)], [java.treeWeights()[i] for i in range(n)],
+                      model.numFeatures, java.uid())
 
 
 def gbt_fit(train: DataFrame, features: str = "features", label: str = "label", params: dict | None = None,
             validation: DataFrame | None = None, early_stopping_rounds: int | None = EARLY_STOPPING_ROUNDS,
             feature_names: Sequence[str] = ()) -> FittedModel:
-    """M2: fit once; with a validation set, keep the trees up to the best
-    iteration (patience ``early_stopping_rounds``)."""
+    """M2: fit once.  With a validation set, keep the trees up to the best iteration (patience
+    ``early_stopping_rounds``).
+
+    Training then goes in rounds of twice as many trees, from twice the patience on, and ends with the first one in
+    which the patience ran out: far fewer trees than ``maxIter`` when it comes early.  A longer round grows the
+    same first trees again, so the result is that of one fit of ``maxIter`` trees."""
     params = {**DEFAULT_PARAMS, **(params or {})}
     t0 = time.time()
-    model = _gbt(params, features, label).fit(train)
-    history, best = [], None
-    if validation is not None:
-        tr = model.evaluateEachIteration(train, "squared")
-        va = model.evaluateEachIteration(validation, "squared")
-        best_err, best, since = float("inf"), 0, 0
-        for i, e in enumerate(va):
-            if e < best_err:
-                best_err, best, since = e, i, 0
-            else:
-                since += 1
-                if early_stopping_rounds is not None and since >= early_stopping_rounds:
-                    break
-        history = [(i, float(np.sqrt(a)), float(np.sqrt(b))) for i, (a, b) in enumerate(zip(tr, va))]
-        model = first_trees(model, best + 1)
-    return FittedModel(model, params, best, history, time.time() - t0, list(feature_names))
+    if validation is None:
+        model = _gbt(params, features, label).fit(train)
+        return FittedModel(model, params, None, [], time.time() - t0, list(feature_names))
+    most = params["maxIter"]
+    grown = most if early_stopping_rounds is None else min(most, max(20, 2 * early_stopping_rounds))
+    while True:
+        model = _gbt({**params, "maxIter": grown}, features, label).fit(train)
+        held_out = model.evaluateEachIteration(validation, "squared")
+        best, stopped = stopping_point(held_out, early_stopping_rounds)
+        if stopped or grown >= most:
+            break
+        grown = min(most, 2 * grown)
+    own = model.evaluateEachIteration(train, "squared")
+    history = [(i, float(np.sqrt(a)), float(np.sqrt(b))) for i, (a, b) in enumerate(zip(own, held_out))]
+    return FittedModel(first_trees(model, best + 1), params, best, history, time.time() - t0, list(feature_names))
+
+
+def stopping_point(errors: Sequence[float], patience: int | None) -> tuple[int, bool]:
+    """Place of the least error before ``patience`` trees went by without a lesser one, and whether they did."""
+    best = 0
+    for i, e in enumerate(errors):
+        if e < errors[best]:
+            best = i
+        elif patience is not None and i - best >= patience:
+            return best, True
+    return best, False
 
 
 # ---------------------------------------------------------------------- A5 helper
@@ -125,28 +148,66 @@ def rmse(df: DataFrame, y: str, p: str) -> float:
 
 
 # ---------------------------------------------------------------------- M4
+def prefix_errors(fm: FittedModel, df: DataFrame, features: str, label: str, prefixes: Sequence[int]) -> list[dict]:
+    """Held-out errors of the model's first n trees for every n of ``prefixes``, from one pass.
+
+    A batch is walked tree by tree; running sums over the trees give each prefix's score.  A
+    task hands on a handful of sums per prefix."""
+    from pyspark.ml.functions import vector_to_array
+    spark = df.sparkSession
+    shared = spark.sparkContext.broadcast(ensemble_of(fm, spark))
+    at = [min(n, len(shared.value.trees)) for n in prefixes]
+
+    def run(batches):
+        sums = np.zeros((len(at), 5))
+        for pdf in batches:
+            x, y = matrix(pdf["x"], 0), pdf["y"].to_numpy(dtype=float)
+            score, done = np.zeros(len(y)), 0
+            for place, n in sorted(enumerate(at), key=lambda e: e[1]):
+                for t in range(done, n):
+                    score += shared.value.trees[t].walk(x)
+                done = n
+                off = score - y
+                sums[place] += (len(y), off @ off, np.abs(off).sum(), y.sum(), y @ y)
+        yield pd.DataFrame({"place": range(len(at)), "n": sums[:, 0].astype(np.int64), "sse": sums[:, 1], "sae": sums[:, 2],
+                            "sy": sums[:, 3], "syy": sums[:, 4]})
+
+    rows = df.where(F.col(label).isNotNull()).select(vector_to_array(F.col(features)).alias("x"), F.col(label).alias("y"))
+    parts = rows.mapInPandas(run, "place int, n long, sse double, sae double, sy double, syy double")
+    found = {r["place"]: r for r in parts.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("n", "sse", "sae", "sy", "syy")])
+             .collect()}
+    out = []
+    for place, n in enumerate(prefixes):
+        r = found[place] if place in found else None
+        rows_n = r["n"] if r else 0
+        spread = r["syy"] - r["sy"] ** 2 / rows_n if rows_n else 0.0
+        out.append({"trees": n, "n": rows_n, "rmse": (r["sse"] / rows_n) ** 0.5 if rows_n else float("nan"),
+                    "mae": r["sae"] / rows_n if rows_n else float("nan"),
+                    "r2": 1 - r["sse"] / spread if spread > 0 else float("nan")})
+    return out
+
+
+def _in_threads(fn, items: list, parallelism: int) -> list:
+    """``fn`` of each item from ``parallelism`` driver threads (each fit is a distributed job of its own)."""
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, len(items)))) as pool:
+        return list(pool.map(fn, items))
+
+
 def cross_validate(df: DataFrame, key: str, features: str, label: str, params: dict | None = None,
                    k: int = 5, parallelism: int = 4) -> DataFrame:
     """M4: k hash folds; per fold fit on the others, score the fold; rows
     (fold, rmse, mae, r2) - mean and std are a one-line aggregate on top.
-    Folds are fitted concurrently from ``parallelism`` driver threads (as
-    ``CrossValidator(parallelism=...)`` does); each fit is a distributed job."""
-    from concurrent.futures import ThreadPoolExecutor
+    Folds are fitted concurrently (as ``CrossValidator(parallelism=...)`` does)."""
     folded = hash_folds(df, key, k)
 
     def one(f: int):
         fm = gbt_fit(folded.where(F.col("fold") != f), features, label, params)
-        scored = fm.predict(folded.where(F.col("fold") == f), features, clip=False)
-        m = scored.agg(F.sqrt(F.avg((F.col("prediction") - F.col(label)) ** 2)).alias("rmse"),
-                       F.avg(F.abs(F.col("prediction") - F.col(label))).alias("mae"),
-                       (1 - F.sum((F.col("prediction") - F.col(label)) ** 2)
-                        / (F.var_pop(label) * F.count(F.lit(1)))).alias("r2")).first()
-        return (f, float(m["rmse"]), float(m["mae"]), float(m["r2"]))
-
-    with ThreadPoolExecutor(max_workers=max(1, min(parallelism, k))) as pool:
-        rows = list(pool.map(one, range(k)))
-    spark = df.sparkSession
-    return spark.createDataFrame(rows, "fold int, rmse double, mae double, r2 double")
+        m = prefix_errors(fm, folded.where(F.col("fold") == f), features, label, [fm.model.getNumTrees])[0]
+        return (f, m["rmse"], m["mae"], m["r2"])
+
+    return df.sparkSession.createDataFrame(_in_threads(one, list(range(k)), parallelism),
+                                           "fold int, rmse double, mae double, r2 double")
 
 
 def cv_summary(cv: DataFrame) -> DataFrame:
@@ -164,28 +225,50 @@ def param_grid(space: dict, n_draws: int | None = None, seed: int = 42) -> list[
     return random.Random(seed).sample(grid, n_draws)
 
 
-def tune(df: DataFrame, key: str, features: str, label: str, space: dict, n_draws: int | None = None,
-         k: int = 5, base: dict | None = None, seed: int = 42,
-         parallelism: int = 4) -> tuple[DataFrame, dict, FittedModel]:
-    """M5: score every candidate by k-fold mean squared error (neg-MSE
-    ordering), then refit the winner on all rows.  Candidates run
-    concurrently from driver threads; folds inside a candidate run in turn."""
-    from concurrent.futures import ThreadPoolExecutor
+@dataclass
+class Search:
+    """What a search found: (candidate, params, neg_mse) and (candidate, fold, rmse, mae, r2) tables."""
 
-    def one(item):
-        i, cand = item
-        params = {**(base or {}), **cand}
-        cv = cross_validate(df, key, features, label, params, k, parallelism=1)
-        mse = float(cv.agg(F.avg(F.col("rmse") ** 2)).first()[0])
-        return (i, json.dumps(cand, sort_keys=True), -mse)
+    results: DataFrame
+    folds: DataFrame
+    best_params: dict
+    n_fits: int                                    # per fold
+    model: FittedModel | None = None
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        rows = list(pool.map(one, enumerate(param_grid(space, n_draws, seed))))
+
+def tune(df: DataFrame, key: str, features: str, label: str, space: dict, n_draws: int | None = None,
+         k: int = 5, base: dict | None = None, seed: int = 42, parallelism: int = 4, refit: bool = True) -> Search:
+    """M5: score every candidate by k-fold mean squared error (neg-MSE ordering, ties to the first), then
+    refit the winner on all rows.
+
+    Candidates that differ only in ``maxIter`` are nested: boosting never changes a tree, so the shorter
+    ones are the first trees of the longest.  Each such family is fitted once per fold and scored at all its lengths in
+    one pass over the fold."""
+    candidates = [{**(base or {}), **c} for c in param_grid(space, n_draws, seed)]
+    families: dict[str, list[int]] = {}
+    for i, c in enumerate(candidates):
+        families.setdefault(json.dumps({n: v for n, v in c.items() if n != "maxIter"}, sort_keys=True), []).append(i)
+    folded = hash_folds(df, key, k)
+
+    def one(job):
+        members, f = job
+        lengths = [candidates[i].get("maxIter", DEFAULT_PARAMS["maxIter"]) for i in members]
+        longest = {**candidates[members[0]], "maxIter": max(lengths)}
+        fm = gbt_fit(folded.where(F.col("fold") != f), features, label, longest)
+        scores = prefix_errors(fm, folded.where(F.col("fold") == f), features, label, lengths)
+        return [(i, f, m["rmse"], m["mae"], m["r2"]) for i, m in zip(members, scores)]
+
+    jobs = [(members, f) for members in families.values() for f in range(k)]
+    rows = sorted(r for found in _in_threads(one, jobs, parallelism) for r in found)
+    mse = [float(np.mean([r[2] ** 2 for r in rows if r[0] == i])) for i in range(len(candidates))]
+    best = min(range(len(candidates)), key=lambda i: (mse[i], i))
     spark = df.sparkSession
-    res = spark.createDataFrame(rows, "candidate int, params string, neg_mse double")
-    best = max(rows, key=lambda r: (r[2], -r[0]))
-    best_params = {**(base or {}), **json.loads(best[1])}
-    return res, best_params, gbt_fit(df, features, label, best_params)
+    results = spark.createDataFrame(
+        [(i, json.dumps({n: c[n] for n in space}, sort_keys=True), -mse[i], i == best) for i, c in enumerate(candidates)],
+        "candidate int, params string, neg_mse double, is_best boolean")
+    folds = spark.createDataFrame(rows, "candidate int, fold int, rmse double, mae double, r2 double")
+    model = gbt_fit(df, features, label, candidates[best]) if refit else None
+    return Search(results, folds, candidates[best], len(families), model)
 
 
 # ---------------------------------------------------------------------- M6
@@ -210,44 +293,31 @@ def feature_importance(fm: FittedModel, spark: SparkSession, names: Sequence[str
 
 
 def permutation_importance(fm: FittedModel, data: DataFrame, key: str, label: str, names: Sequence[str],
-                           features: str = "features", bucket_rows: int = 200_000, seed: int = 42) -> DataFrame:
-    """RMSE increase per permuted feature, all features in one scoring pass.
-
-    Rows are dealt into random buckets of about ``bucket_rows`` (xxhash64 of
-    the key) and, inside a bucket, take their partner's values from the next
-    row in hash order (cyclic): a random permutation computed by a window per
-    bucket, never per table.  Each row then yields the unchanged vector and
-    one vector per feature with that feature taken from the partner; one
-    model pass scores them all and a partial aggregate per feature gives
-    the RMSE."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.sql import Window
-    d = len(names)
-    n = data.count()
-    buckets = max(1, -(-n // bucket_rows))
-    base = data.select(F.col(key).alias("__k"), F.col(label).cast("double").alias("__y"),
-                       vector_to_array(F.col(features)).alias("__x"))
-    h = F.xxhash64("__k", F.lit(seed))
-    base = base.withColumn("__h", h).withColumn("__bk", F.pmod(F.col("__h"), F.lit(buckets)))
-    w = Window.partitionBy("__bk").orderBy("__h", "__k")
-    partner = F.coalesce(F.lead("__x").over(w), F.first("__x").over(w.rowsBetween(Window.unboundedPreceding,
-                                                                                  Window.unboundedFollowing)))
-    paired = base.withColumn("__p", partner)
-    variants = paired.select("__y", F.explode(F.sequence(F.lit(-1), F.lit(d - 1))).alias("__j"), "__x", "__p")
-    # variant j: x with entry j taken from the partner (native slice/concat, no per-entry lambda)
-    j = F.col("__j")
-    swapped = F.concat(F.slice("__x", F.lit(1), j), F.array(F.element_at("__p", F.greatest(j, F.lit(0)) + 1)),
-                       F.slice("__x", j + 2, F.greatest(F.lit(d) - j - 1, F.lit(0))))
-    vec = F.when(j < 0, F.col("__x")).otherwise(swapped)
-    scored = fm.predict(variants.select("__y", "__j", array_to_vector(vec).alias(features)), features, "__pred",
-                        clip=False)
-    err = scored.groupBy("__j").agg(F.sqrt(F.avg((F.col("__pred") - F.col("__y")) ** 2)).alias("rmse"))
-    # the unpermuted RMSE sits in row -1 of this (features + 1)-row result
-    base_rmse = F.max(F.when(F.col("__j") == -1, F.col("rmse"))).over(Window.partitionBy())
-    name_arr = F.array(*[F.lit(x) for x in names])
-    return (err.withColumn("base_rmse", base_rmse).where(F.col("__j") >= 0)
-            .select(F.element_at(name_arr, F.col("__j") + 1).alias("feature"),
-                    (F.col("rmse") - F.col("base_rmse")).alias("importance")))
+                           features: str = "features", seed: int = 42, buckets: int | None = None) -> DataFrame:
+    """RMSE increase per permuted feature, from one scoring of each row.
+
+    Rows with a label are dealt once by the hash of their key; a row's partner is the next one in that order.  A
+    batch is scored tree by tree; permuting a feature walks again only the trees that split on it, for the rows
+    whose value changes.  No row is copied per feature, a feature no tree splits on has importance 0
+    exactly, and a task hands on one number per feature."""
+    spark = data.sparkSession
+    model = ensemble_of(fm, spark)
+    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    err = permutation_errors(model, partnered(data, key, label, features, seed, buckets), len(names))
+    rows = {r["feature"]: (r["sse"], r["n"]) for r in err.collect()}          # one row per feature
+    sse, n = rows.get(-1, (0.0, 0))
+    base = (sse / n) ** 0.5 if n else 0.0
+    gain = [((rows[i][0] / n) ** 0.5 - base if n and i in rows else 0.0) for i in range(len(names))]
+    return spark.createDataFrame(list(zip(names, gain)), "feature string, importance double")
+
+
+def ensemble_of(fm: FittedModel, spark: SparkSession) -> Ensemble:
+    """The fitted trees as flat arrays, by way of a saved copy in the work folder (made once per model)."""
+    if fm.ensemble is None:
+        path = work_path(spark, "models", "ensemble")
+        fm.model.write().save(f"{path}/model")
+        fm.ensemble = Ensemble(*node_table(spark, path))
+    return fm.ensemble
 
 
 # ---------------------------------------------------------------------- M7/M8

@@ -7,10 +7,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import written
 
 TS_TEXT = "yyyy-MM-dd HH:mm:ss"
 _UNITS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
@@ -102,22 +103,55 @@ def sustained_alert(events: DataFrame, ts: str, value: Column, key: str, thresho
     """T4: every ``every`` the quantile over the last ``lookback`` is compared
     with ``threshold`` (strict); an alert fires once breaches have held for
     ``hold`` (first and last breaching evaluation that far apart).  A minute
-    without data ends a run.  Runs come from gaps-and-islands on the
-    per-window rows (windows x keys, not events)."""
+    without data ends a run.  Runs are merged from summaries of time slices
+    (``merged_runs``), so an endpoint holding all rows is many small groups."""
     step = interval_seconds(every)
     need = interval_seconds(hold) // step
     evals = (events.groupBy(F.window(F.col(ts), lookback, every).alias("window"), F.col(key))
              .agg(*_bucket_aggs(value, bounds))
-             .select(F.col("window.end").alias("at"), key,
+             .select(F.unix_seconds(F.col("window.end").cast("timestamp")).alias("at"), key,
                      histogram_quantile(q, _cum_array(bounds), F.col("__total"), bounds).alias("qv")))
-    breach = evals.where(F.col("qv") > F.lit(float(threshold)))
-    slot = (F.unix_seconds(F.col("at").cast("timestamp")) / F.lit(step)).cast("long")
-    w = Window.partitionBy(key).orderBy("at")
-    runs = breach.select(key, "at", (slot - F.row_number().over(w)).alias("island"))
-    grouped = runs.groupBy(key, "island").agg(F.min("at").alias("run_start"), F.max("at").alias("run_end"),
-                                              F.count(F.lit(1)).alias("n_evaluations"))
-    fired = grouped.where(F.col("n_evaluations") > F.lit(need))
-    return fired.select(key, F.date_format("run_start", TS_TEXT).alias("run_start"),
-                        F.date_format("run_end", TS_TEXT).alias("run_end"), "n_evaluations",
-                        F.date_format(F.col("run_start") + F.expr(f"INTERVAL {interval_seconds(hold)} SECONDS"),
-                                      TS_TEXT).alias("fired_at"))
+    breach = evals.where(F.col("qv") > F.lit(float(threshold))).select(key, F.floor(F.col("at") / step).alias("slot"))
+    fired = merged_runs(breach, key, "slot").where(F.col("last") - F.col("first") >= F.lit(need))
+    text = lambda slot, more=0: F.date_format(F.timestamp_seconds(slot * step + more), TS_TEXT)
+    return fired.select(key, text(F.col("first")).alias("run_start"), text(F.col("last")).alias("run_end"),
+                        (F.col("last") - F.col("first") + 1).alias("n_evaluations"),
+                        text(F.col("first"), interval_seconds(hold)).alias("fired_at"))
+
+
+def merged_runs(slots: DataFrame, key: str, slot: str, fan: int = 64) -> DataFrame:
+    """(key, first, last): maximal runs of consecutive ``slot`` numbers per key, from mergeable summaries.
+
+    A slice of ``fan`` slots is summed up by its runs: those that touch neither end are final, and at most two are
+    open (a prefix and a suffix, or one run through the whole slice).  The open ones of ``fan`` slices are combined
+    into a slice of the next width, and so on until one slice holds the whole time range.  The
+    combination is associative; a group never holds more than 2 ``fan`` rows, whatever share of them a key has.
+    A null key is a key like any other; null slots are left out and repeated ones count once."""
+    rows = written(slots.where(F.col(slot).isNotNull()).select(F.col(key), F.col(slot).cast("long").alias("first"),
+                                                               F.col(slot).cast("long").alias("last")).distinct(), "alert-slots")
+    span = rows.agg(F.min("first").alias("a"), F.max("first").alias("b")).first()
+    closed, width = rows.where("false"), 1
+    while span["a"] is not None:
+        width *= fan
+        since, until = F.col("first") - span["a"], F.col("last") - span["a"]
+        rows = rows.groupBy(key, F.floor(since / width).alias("slice")).agg(
+            F.array_sort(F.collect_list(F.struct("first", "last"))).alias("runs"))
+        rows = rows.select(key, F.inline(_joined(F.col("runs"))))
+        if span["b"] - span["a"] < width:
+            break                                            # one slice holds everything: nothing is open
+        rows = written(rows, "alert-runs")
+        is_open = (since % width == 0) | ((until + 1) % width == 0)
+        closed = closed.unionByName(rows.where(~is_open))
+        rows = rows.where(is_open)
+    return closed.unionByName(rows)
+
+
+def _joined(runs: Column) -> Column:
+    """Sorted (first, last) runs with adjoining ones made one."""
+    def add(done, r):
+        last = F.try_element_at(done, F.lit(-1))
+        grown = F.struct(last["first"].alias("first"), r["last"].alias("last"))
+        return F.when((F.size(done) > 0) & (last["last"] + 1 == r["first"]),
+                      F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(
+            F.concat(done, F.array(r)))
+    return F.aggregate(runs, F.array().cast("array<struct<first: bigint, last: bigint>>"), add)

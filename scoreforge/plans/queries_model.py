@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -45,12 +46,56 @@ def m4(spark, sf_dir):
 
 @query("m5_tune")
 def m5(spark, sf_dir):
+    """Nested search: 12 candidates over the three searched parameters, 4 families, 3 folds."""
     p = J.prepare_cases(_t(spark, sf_dir))
-    space = {"maxDepth": [3, 4], "stepSize": [0.1, 0.2]}
-    res, best, _ = MD.tune(p.data, "case_id", "features", V.CASE_TARGET, space, n_draws=2, k=2,
-                           base={**J.QUICK_PARAMS, "maxIter": 10})
-    return res.withColumn("is_best", F.col("params") == F.lit(__import__("json").dumps(
-        {k: best[k] for k in space}, sort_keys=True)))
+    space = {"maxDepth": [3, 4], "stepSize": [0.1, 0.2], "maxIter": [5, 10, 20]}
+    return MD.tune(p.data, "case_id", "features", V.CASE_TARGET, space, k=3, base=J.QUICK_PARAMS, refit=False).results
+
+
+def one_split(t):
+    """lineitem with three features of few values and a price label: SQL can state its best single splits."""
+    li = t.lineitem.select(V.line_id().alias("id"), *[F.col(c).cast("double") for c in ONE_SPLIT_FEATURES],
+                           X.clip(F.col("l_extendedprice") / 100000, 0.0, 1.0).alias("label"))
+    return VectorAssembler(inputCols=ONE_SPLIT_FEATURES, outputCol="features").transform(li).select("id", "features", "label")
+
+
+ONE_SPLIT_FEATURES = ["l_quantity", "l_discount", "l_tax"]
+ONE_SPLIT_PARAMS = {"maxIter": 1, "maxDepth": 1, "maxBins": 64, "stepSize": 0.1, "seed": 42}
+
+
+@query("m3_one_split")
+def m3_one_split(spark, sf_dir):
+    """M2 and M3 by value: one boosted tree of one split, its prediction for every row, split and leaves."""
+    data = one_split(_t(spark, sf_dir))
+    fm = MD.gbt_fit(data, params=ONE_SPLIT_PARAMS, feature_names=ONE_SPLIT_FEATURES)
+    tree = MD.ensemble_of(fm, spark).trees[0]
+    scored = fm.predict(data).select("id", "prediction")
+    return _round_doubles(scored.withColumn("feature", F.lit(ONE_SPLIT_FEATURES[int(tree.feature[0])]))
+                          .withColumn("threshold", F.lit(float(tree.threshold[0]))))
+
+
+@query("m4_one_split")
+def m4_one_split(spark, sf_dir):
+    """M4 by value: five fits of one split, each fold's errors."""
+    cv = MD.cross_validate(one_split(_t(spark, sf_dir)), "id", "features", "label", ONE_SPLIT_PARAMS, k=5)
+    return _round_doubles(cv)
+
+
+@query("m5_one_split")
+def m5_one_split(spark, sf_dir):
+    """M5 by value: candidates of one and two trees at two step sizes, two fits a fold, scores and winner."""
+    found = MD.tune(one_split(_t(spark, sf_dir)), "id", "features", "label", {"maxIter": [1, 2], "stepSize": [0.1, 0.5]},
+                    k=5, base=ONE_SPLIT_PARAMS, refit=False)
+    return _round_doubles(found.results)
+
+
+@query("m6_one_split")
+def m6_one_split(spark, sf_dir):
+    """M6 by value: permutation importance of a one-split tree; features it never splits on are exactly 0."""
+    data = one_split(_t(spark, sf_dir))
+    fm = MD.gbt_fit(data, params=ONE_SPLIT_PARAMS, feature_names=ONE_SPLIT_FEATURES)
+    imp = MD.feature_importance(fm, spark, importance_type="permutation", data=data, key="id", label="label")
+    return _round_doubles(imp.withColumn("is_zero", F.col("importance") == 0.0))
 
 
 @query("m6_feature_importance")
@@ -150,7 +195,7 @@ def m3_checks(spark, sf_dir):
 
 @query("m4_fold_checks")
 def m4_checks(spark, sf_dir):
-    """Every case is held out in exactly one of the folds M4 fits."""
+    """The folds of M4: every case is held out in exactly one of them (m4_one_split checks their fits)."""
     p = J.prepare_cases(_t(spark, sf_dir))
     return MD.hash_folds(p.data, "case_id", 5).groupBy("fold").agg(
         F.count(F.lit(1)).alias("n_test"), F.sum("case_id").alias("sum_case_id"))

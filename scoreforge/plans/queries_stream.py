@@ -52,13 +52,12 @@ def t6(spark, sf_dir):
 
 @query("t7_stream_windows")
 def t7(spark, sf_dir):
+    """All windows, open ones included, from the stream itself."""
     out, ckpt = work_path(spark, "streams", "windows"), work_path(spark, "checkpoints", "windows")
-    ev = S.stream_table(spark, sf_dir, "events")
-    q = S.run_to_parquet(S.stream_windows(ev, F.col("value") / 100.0), out, ckpt)
-    q.awaitTermination()
-    emitted = spark.read.parquet(out)
-    rest = S.open_windows(_t(spark, sf_dir).events, emitted, F.col("value") / 100.0)
-    return _round_doubles(S.window_quantile(emitted.unionByName(rest.select(emitted.columns))))
+    windows = S.stream_windows(S.stream_table(spark, sf_dir, "events"), F.col("value") / 100.0)
+    keys = ["window", "event_type"]
+    S.run_upserts(windows, out, ckpt, keys).awaitTermination()
+    return _round_doubles(S.window_quantile(S.read_upserts(spark, out, windows.schema, keys)))
 
 
 @query("d4_daily_job")

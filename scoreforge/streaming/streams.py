@@ -3,7 +3,7 @@
 Sources are file streams over the table folders (``readStream`` with an
 explicit schema); sinks are Parquet file sinks with a checkpoint in the
 shared folder, which makes them exactly-once across restarts and lost
-executors.  ``available_now`` runs a stream over what is present and stops.
+executors; changing windows go to a keyed table by idempotent upserts.  ``available_now`` runs a stream over what is present and stops.
 """
 
 from __future__ import annotations
@@ -64,18 +64,51 @@ def stream_log(stream: DataFrame, key: str, gid, payload, prediction, ts: str =
 
 def stream_windows(stream: DataFrame, value, key: str = "event_type", ts: str = "ts", size: str = "1 hour",
                    watermark: str = "10 minutes", bounds: Sequence[float] = K.LATENCY_BOUNDS) -> DataFrame:
-    """Windowed request counts and cumulative latency buckets in append
-    mode; rows later than the watermark are dropped.  The p95 is computed
-    from the emitted buckets (``window_quantile``)."""
+    """Windowed request counts and cumulative latency buckets; rows later than the
+    watermark are dropped.  Append mode gives closed windows once, update mode every change of one (``run_upserts``).
+    The p95 is computed from the buckets (``window_quantile``)."""
     s = event_time(stream, ts).withWatermark(ts, watermark)
     aggs = [F.count(F.lit(1)).alias("n")] + \
            [F.count_if(value <= F.lit(float(b))).alias(f"le_{i}") for i, b in enumerate(bounds)]
     return s.groupBy(F.window(F.col(ts), size).alias("window"), F.col(key)).agg(*aggs)
 
 
-def open_windows(events: DataFrame, emitted: DataFrame, value, key: str = "event_type", **kw) -> DataFrame:
-    """The windows a finished stream still held open, from the same rows as a batch: those it did not emit."""
-    return stream_windows(events, value, key, **kw).join(emitted.select("window", key), ["window", key], "left_anti")
+def run_upserts(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], merge_every: int = 64,
+                available_now: bool = True) -> StreamingQuery:
+    """A stream in update mode into a keyed table: the newest row of each key counts (``read_upserts``).
+
+    Every micro-batch replaces its own partition, named by the batch id, so one that is run again after a
+    restart or a lost driver leaves the same rows.  Each ``merge_every``-th batch also
+    carries all rows that still count, and readers start from there; older partitions are left to retention."""
+    def put(batch: DataFrame, number: int):
+        rows = batch
+        if number and number % merge_every == 0:
+            before = _newest(_partitions(df.sparkSession, path, df.schema, number - merge_every, number), keys).drop("batch")
+            rows = before.join(batch.select(*keys), list(keys), "left_anti").select(batch.columns).unionByName(batch)
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    w = df.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="15 seconds")).start()
+
+
+def _partitions(spark: SparkSession, path: str, schema, first: int, end: int | None = None) -> DataFrame:
+    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).parquet(path)
+    rows = rows.where(F.col("batch") >= first)
+    return rows if end is None else rows.where(F.col("batch") < end)
+
+
+def _newest(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The row of the greatest batch for each key: a partial maximum, then one row per key and task."""
+    rest = [c for c in rows.columns if c not in keys]
+    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r"))
+    return newest.select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
+def read_upserts(spark: SparkSession, path: str, schema, keys: Sequence[str], merge_every: int = 64) -> DataFrame:
+    """The rows that count of a table written by ``run_upserts``: closed and still open windows alike."""
+    every = _partitions(spark, path, schema, 0)
+    last = every.agg(F.max("batch")).first()[0] or 0
+    return _newest(_partitions(spark, path, schema, last // merge_every * merge_every), keys).drop("batch")
 
 
 def window_quantile(rows: DataFrame, q: float = 0.95, size: str = "1 hour", key: str = "event_type",
