@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .oracle_sql import q, r6
+from .oracle_model import scored_lines
+from .oracle_sql import LINE_ID, q, r6, rnd
 
 KS_P = ("CASE WHEN {lam} <= 0 THEN 1.0 ELSE greatest(least(2.0 * list_sum(list_transform(range(1, 101), "
         "lambda k: pow(-1.0, k - 1) * exp(-2.0 * k * k * {lam} * {lam}))), 1.0), 0.0) END")
@@ -125,12 +126,15 @@ WITH {DAILY_SPLIT},
 num AS ({numeric_drift_sql(DAILY_SPLIT, LNUM)}),
 cat AS ({categorical_drift_sql(DAILY_SPLIT, ['l_returnflag', 'l_linestatus'])}),
 allc AS (SELECT "column", drifted FROM num UNION ALL SELECT "column", drifted FROM cat),
+ref_rows AS (SELECT *, {LINE_ID} AS lid FROM s WHERE cur = 0), new_rows AS (SELECT *, {LINE_ID} AS lid FROM s WHERE cur = 1),
+{scored_lines('new_rows', 'ref_rows')},
 summ AS (SELECT count(*) AS n_columns, count(*) FILTER (WHERE drifted) AS n_drifted,
                 avg(CAST(drifted AS DOUBLE)) AS share FROM allc),
 b AS (SELECT count(*) AS n FROM lineitem, (SELECT max(CAST(l_shipdate AS DATE)) AS m FROM lineitem) x
       WHERE CAST(l_shipdate AS DATE) > x.m - 90)
 SELECT (SELECT strftime(max(CAST(l_shipdate AS DATE)), '%Y-%m-%d') FROM lineitem) AS ds,
-  CAST(b.n AS BIGINT) AS n_batch, CAST(b.n AS BIGINT) AS n_logged, CAST(n_columns AS BIGINT) AS n_columns,
+  CAST(b.n AS BIGINT) AS n_batch, CAST(b.n AS BIGINT) AS n_logged, CAST(1 AS BIGINT) AS model_version,
+  (SELECT {r6('avg(' + rnd('p', 4) + ')')} FROM scored_l) AS mean_prediction, CAST(n_columns AS BIGINT) AS n_columns,
   CAST(n_drifted AS BIGINT) AS n_drifted, {r6('share')} AS share_drifted, share >= 0.5 AS dataset_drift,
   (SELECT count(DISTINCT d) FROM li, mx WHERE d > m - 90 AND d < m - 30) AS n_expired_partitions, share >= 0.5 AS alert
 FROM summ, b""")

@@ -188,13 +188,6 @@ q("f12_state_save_load", long_form_sql("lineitem", _li_train, LINE_ID, ["l_retur
 
 _lw = {"l_quantity": 0.02, "l_extendedprice": 0.05, "l_discount": -0.04, "l_tax": 0.01}
 _lin = " + ".join(f"CAST({w!r} AS DOUBLE) * {c}" for c, w in _lw.items())
-q("t5_stream_score", f"""
-WITH li AS (SELECT *, {LINE_ID} AS lid FROM lineitem), {standardized_cte('li', 'li', LNUM, 'lid')},
-p AS (SELECT id, greatest(least(0.5 + ({_lin}), 1.0), 0.0) AS p FROM scaled)
-SELECT id, {r6('round(p * 10000.0) / 10000.0')} AS prediction,
-  CASE WHEN p > 0.7 THEN 'High' WHEN p > 0.4 THEN 'Medium' ELSE 'Low' END AS confidence
-FROM p""")
-
 _fw = {"l_quantity": 0.12, "l_extendedprice": 0.10, "l_discount": -0.08, "l_tax": 0.05}
 _flin = " + ".join(f"CAST({w!r} AS DOUBLE) * {c}" for c, w in _fw.items())
 q("flagship_tier_summary", f"""

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .oracle_features import standardized_cte, tokens_cte, vocab_cte
-from .oracle_sql import CASES, HASH, LINE_ID, q, r6, rnd
+from .oracle_features import capped_expr, standardized_cte, tokens_cte, vocab_cte
+from .oracle_sql import CASES, HASH, LINE_ID, _score_sql, q, r6, rnd
 
 q("m1_split", f"""
 SELECT o_orderkey, CASE WHEN {HASH.format(k='o_orderkey')} % 100 < 80 THEN 'train' ELSE 'test' END AS split
@@ -39,11 +39,11 @@ WITH base AS (SELECT *, case_id AS __id FROM {_cases_tbl} c WHERE {HASH.format(k
 {tokens_cte('base', '__id', 'description', 'f_').strip()}, {vocab_cte('base', 'f_').strip()},
 names AS (SELECT 'text_tfidf_' || CAST(idx AS VARCHAR) AS n, idx AS o FROM f_vocab
           UNION ALL SELECT unnest([{_names}]), (SELECT count(*) FROM f_vocab) + unnest(range({len(_cat) + len(_num)})))
-SELECT 'GBTRegressionModel' AS model_type, '1.0.0' AS model_version,
+SELECT 'GBTRegressionModel' AS model_type, '1' AS model_version,
   CAST((SELECT count(*) FROM names) AS INTEGER) AS n_features,
   (SELECT string_agg(n, ',' ORDER BY o) FROM (SELECT * FROM names ORDER BY o LIMIT 20)) AS first_features,
-  '{{"maxBins": 32, "maxDepth": 4, "maxIter": 20, "seed": 42, "stepSize": 0.1, "subsamplingRate": 1.0}}' AS params,
-  true AS best_in_history, CAST(20 AS INTEGER) AS n_history, true AS is_fitted""")
+  '{{"maxBins": 64, "maxDepth": 6, "maxIter": 40, "seed": 42, "stepSize": 0.1, "subsamplingRate": 1.0}}' AS params,
+  true AS best_in_history, true AS is_fitted""")
 
 _lw = {"credit_score": 0.05, "debt_to_equity_ratio": -0.03, "liquidity_ratio": 0.02, "audit_score": 0.02}
 _lin = " + ".join(f"CAST({w!r} AS DOUBLE) * {c}" for c, w in _lw.items())
@@ -109,25 +109,30 @@ FROM v""")
 
 
 # one-split trees: the split of the largest squared-error gain among the midpoints of neighbouring values
-def best_split(name: str, rows: str, y: str, by: str | None = None) -> str:
-    """CTE ``name``: (by, feature, threshold, lo, hi) of the best single split of ``rows`` on target ``y``."""
-    own = f"{by} AS by_, " if by else "0 AS by_, "
+LINE_SPLITS = ("l_quantity", "l_discount", "l_tax")
+
+
+def best_split(name: str, rows: str, y: str, by: str | None = None, feats=LINE_SPLITS) -> str:
+    """CTE ``name``: (by_, feature, threshold, lo, hi, nl, n) of the best single split of ``rows`` on target ``y``."""
     return f"""
 {name}_vals AS (SELECT by_, feature, v, count(*) AS n, sum(y) AS s FROM (
-    SELECT {own}unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature,
-      unnest([CAST(l_quantity AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_tax AS DOUBLE)]) AS v, {y} AS y FROM {rows})
+    SELECT {by or 0} AS by_, unnest([{", ".join(f"'{c}'" for c in feats)}]) AS feature,
+      unnest([{", ".join(f"CAST({c} AS DOUBLE)" for c in feats)}]) AS v, {y} AS y FROM {rows})
   GROUP BY by_, feature, v),
 {name}_cuts AS (SELECT by_, feature, (v + lead(v) OVER o) / 2 AS threshold,
     sum(n) OVER o AS nl, sum(s) OVER o AS sl, sum(n) OVER w AS n, sum(s) OVER w AS s FROM {name}_vals
   WINDOW o AS (PARTITION BY by_, feature ORDER BY v), w AS (PARTITION BY by_, feature)),
-{name} AS (SELECT by_, feature, threshold, sl / nl AS lo, (s - sl) / (n - nl) AS hi FROM {name}_cuts
+{name} AS (SELECT by_, feature, threshold, sl / nl AS lo, (s - sl) / (n - nl) AS hi, nl, n FROM {name}_cuts
   WHERE threshold IS NOT NULL
   QUALIFY row_number() OVER (PARTITION BY by_ ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) DESC, feature) = 1)"""
 
 
-def leaf(t: str) -> str:
-    return (f"(CASE WHEN (CASE {t}.feature WHEN 'l_quantity' THEN CAST(l_quantity AS DOUBLE) WHEN 'l_discount' "
-            f"THEN CAST(l_discount AS DOUBLE) ELSE CAST(l_tax AS DOUBLE) END) <= {t}.threshold THEN {t}.lo ELSE {t}.hi END)")
+def split_value(t: str, feats=LINE_SPLITS) -> str:
+    return f"(CASE {t}.feature " + " ".join(f"WHEN '{c}' THEN CAST({c} AS DOUBLE)" for c in feats) + " END)"
+
+
+def leaf(t: str, feats=LINE_SPLITS) -> str:
+    return f"(CASE WHEN {split_value(t, feats)} <= {t}.threshold THEN {t}.lo ELSE {t}.hi END)"
 
 
 _ONE = f"""one AS (SELECT {LINE_ID} AS id, l_quantity, l_discount, l_tax,
@@ -173,3 +178,45 @@ e AS (SELECT {leaf('s1')} - label AS e,
 g AS (SELECT sqrt(avg(f * f)) - sqrt(avg(e * e)) AS gain FROM e)
 SELECT x.feature, CASE WHEN x.feature = s1.feature THEN {r6('gain')} ELSE 0.0 END AS importance, x.feature <> s1.feature AS is_zero
 FROM (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature) x, s1, g""")
+
+# M12 by a served one-split model: its contribution is the leaf less the cover-weighted mean of the leaves
+_CF = ["debt_to_equity_ratio", "liquidity_ratio", "audit_score", "regulatory_violations"]
+q("m12_one_split", f"""
+WITH cs AS (SELECT *, {_score_sql()} AS case_score FROM {_cases_tbl} c),
+{standardized_cte('cs', 'cs', _CF, 'case_id')},
+train AS (SELECT scaled.*, case_score FROM scaled JOIN cs ON cs.case_id = scaled.id),
+{best_split('s1', 'train', 'case_score', None, _CF).strip()},
+p AS (SELECT id, {leaf('s1', _CF)} AS raw, (nl * lo + (n - nl) * hi) / n AS base, s1.feature,
+        {split_value('s1', _CF)} AS value FROM scaled, s1),
+v AS (SELECT case_id, gid, concat_ws(',', {_viol}) AS reasons FROM cs),
+asked AS (SELECT case_id, case_id AS own FROM cs UNION ALL SELECT case_id, case_id FROM cs WHERE case_id % 10 = 0
+          UNION ALL SELECT NULL, case_id FROM cs WHERE case_id % 10 = 1),
+r AS (SELECT a.case_id, v.gid, reasons, greatest(least(raw, 1.0), 0.0) AS p, raw - base AS shap, feature, value
+      FROM asked a JOIN v ON v.case_id = a.own JOIN p ON p.id = a.own)
+SELECT case_id, coalesce(nullif(gid, ''), 'batch_' || CAST(case_id AS VARCHAR)) AS gid,
+  CASE WHEN reasons = '' THEN 'scored' ELSE 'rejected' END AS status,
+  CASE WHEN reasons = '' THEN {r6(rnd('p', 4))} END AS prediction,
+  CASE WHEN reasons = '' THEN (CASE WHEN p > 0.7 THEN 'High' WHEN p > 0.4 THEN 'Medium' ELSE 'Low' END) END AS confidence,
+  reasons, '1.0.0' AS model_version, '2024-01-31T00:00:00' AS scored_at,
+  CASE WHEN reasons = '' THEN 'Score: ' || printf('%.3f', {rnd('p', 3)}) || ' ('
+    || (CASE WHEN p > 0.7 THEN 'High' WHEN p > 0.4 THEN 'Medium' ELSE 'Low' END) || ' confidence)'
+    || (CASE WHEN shap > 0 THEN '; Main positive factors: ' ELSE '; Main risk factors: ' END) || feature END AS explanation_summary,
+  CASE WHEN reasons = '' THEN feature || ':' || printf('%.6f', {rnd('value', 6)} + 0.0) || ':'
+    || printf('%.6f', {rnd('shap', 6)} + 0.0) END AS contributions
+FROM r""")
+
+
+def scored_lines(rows: str, fit_rows: str) -> str:
+    """CTE ``scored_l`` (id, p): ``rows`` scored by the one-split line model fitted on ``fit_rows`` (both with lid)."""
+    return f"""{standardized_cte(rows, fit_rows, LINE_SPLITS, 'lid')},
+fit_rows AS (SELECT lid, {', '.join(f"({capped_expr(c)} - st.m_{c}) / (CASE WHEN st.s_{c} IS NULL OR st.s_{c} = 0 THEN 1.0 ELSE st.s_{c} END) AS {c}" for c in LINE_SPLITS)},
+  greatest(least(l_extendedprice / 100000, 1.0), 0.0) AS label FROM {fit_rows}, fences, st),
+{best_split('s1', 'fit_rows', 'label').strip()},
+scored_l AS (SELECT id, greatest(least({leaf('s1')}, 1.0), 0.0) AS p FROM scaled, s1)"""
+
+
+q("t5_stream_score", f"""
+WITH li AS (SELECT *, {LINE_ID} AS lid FROM lineitem), {scored_lines('li', 'li')}
+SELECT id, {r6(rnd('p', 4))} AS prediction, CASE WHEN {rnd('p', 4)} > 0.7 THEN 'High' WHEN {rnd('p', 4)} > 0.4 THEN 'Medium'
+  ELSE 'Low' END AS confidence, CAST(1 AS BIGINT) AS model_version
+FROM scored_l""")

@@ -44,13 +44,18 @@ def _long(df: DataFrame, cols: Sequence[str], flag: int, cast: str) -> DataFrame
         .select("r.column", "r.x", F.lit(flag).alias("cur")).where(F.col("x").isNotNull())
 
 
-def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], *, p_threshold: float = 0.05,
-                  distance_threshold: float = 0.1, decide: str = "distance", psi_bins: int = 10) -> DataFrame:
+def numeric_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], **settings) -> DataFrame:
     """One row per column with KS, Wasserstein, PSI and the drift flags."""
-    _known(decide)
     long = _long(ref, cols, 0, "double").unionByName(_long(cur, cols, 1, "double")).where(~F.isnan("x"))
-    counts = long.groupBy("column", "x").agg(F.sum(1 - F.col("cur")).cast("double").alias("c_ref"),
-                                             F.sum("cur").cast("double").alias("c_cur"))
+    return numeric_drift_of(long.groupBy("column", "x").agg(F.sum(1 - F.col("cur")).alias("c_ref"), F.sum("cur").alias("c_cur")),
+                            **settings)
+
+
+def numeric_drift_of(counts: DataFrame, *, p_threshold: float = 0.05, distance_threshold: float = 0.1,
+                     decide: str = "distance", psi_bins: int = 10) -> DataFrame:
+    """D1 from value counts (column, x, c_ref, c_cur), which add up over any parts of the rows."""
+    _known(decide)
+    counts = counts.select("column", "x", F.col("c_ref").cast("double"), F.col("c_cur").cast("double"))
     sliced = ordered_slices(counts, "column", "x")
     # one row per column from here on, so these are broadcast
     totals = sliced.groupBy("column").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"),
@@ -160,14 +165,19 @@ def chi2_pvalue(stat: Column, dof: Column) -> Column:
     return F.pandas_udf(_chi2_batch, "double")(stat, dof)
 
 
-def categorical_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], *, p_threshold: float = 0.05,
-                      distance_threshold: float = 0.1, decide: str = "distance") -> DataFrame:
+def categorical_drift(ref: DataFrame, cur: DataFrame, cols: Sequence[str], **settings) -> DataFrame:
     """Chi-square on the dataset x value table, Jensen-Shannon distance
     (natural log) and PSI over the union of values."""
-    _known(decide)
     long = _long(ref, cols, 0, "string").unionByName(_long(cur, cols, 1, "string"))
-    c = long.groupBy("column", "x").agg(F.sum(1 - F.col("cur")).cast("double").alias("a"),
-                                        F.sum("cur").cast("double").alias("b"))
+    return categorical_drift_of(long.groupBy("column", "x").agg(F.sum(1 - F.col("cur")).alias("c_ref"),
+                                                                F.sum("cur").alias("c_cur")), **settings)
+
+
+def categorical_drift_of(counts: DataFrame, *, p_threshold: float = 0.05, distance_threshold: float = 0.1,
+                         decide: str = "distance") -> DataFrame:
+    """D2 from value counts (column, x, c_ref, c_cur)."""
+    _known(decide)
+    c = counts.select("column", "x", F.col("c_ref").cast("double").alias("a"), F.col("c_cur").cast("double").alias("b"))
     tot = c.groupBy("column").agg(F.sum("a").alias("n_ref"), F.sum("b").alias("n_cur"), F.count(F.lit(1)).alias("k"))
     j = c.join(F.broadcast(tot), "column")
     n = F.col("n_ref") + F.col("n_cur")
@@ -200,3 +210,56 @@ def dataset_drift(*column_results: DataFrame, drift_share: float = 0.5) -> DataF
                     F.count_if("drifted").alias("n_drifted"), F.count_if("drifted_p").alias("n_drifted_p"),
                     F.avg(F.col("drifted").cast("double")).alias("share_drifted")) \
         .withColumn("dataset_drift", F.col("share_drifted") >= F.lit(drift_share))
+
+
+class DayCounts:
+    """Value counts per day, kept as a table: (column, x, v, n) by ``ds``, ``x`` for numbers and ``v`` for categories.
+
+    Counts add up, so any two spans of days are compared from the kept rows alone; no table row is read twice.
+    History goes in once (``backfill``); after that a day's job reads its own rows and replaces its own partition
+    (``put``), which is the same however often it runs.  A day put later takes the place of the one backfilled.
+    """
+
+    SCHEMA = "column string, x double, v string, n long, ds string"
+
+    def __init__(self, spark, path: str, numeric: Sequence[str], categorical: Sequence[str] = ()):
+        self.spark, self.path, self.numeric, self.categorical = spark, path, list(numeric), list(categorical)
+
+    def counts(self, df: DataFrame, *by: str) -> DataFrame:
+        """One pass: counts of every value of every column; nulls and NaN are left out."""
+        entry = lambda c, x, v: F.struct(F.lit(c).alias("column"), x.alias("x"), v.alias("v"))
+        none = F.lit(None)
+        parts = [entry(c, F.col(c).cast("double"), none.cast("string")) for c in self.numeric]
+        parts += [entry(c, none.cast("double"), F.col(c).cast("string")) for c in self.categorical]
+        long = df.select(*by, F.inline(F.array(*parts))).where((F.col("x").isNotNull() & ~F.isnan("x")) | F.col("v").isNotNull())
+        return long.groupBy(*by, "column", "x", "v").agg(F.count(F.lit(1)).alias("n"))
+
+    def backfill(self, df: DataFrame, day: Column) -> None:
+        """Counts of all days of ``df``, sorted by day within the files, so that a span of days reads its row groups."""
+        rows = self.counts(df.withColumn("ds", day), "ds")
+        rows.repartitionByRange("ds", "column", "x", "v").sortWithinPartitions("ds").write.mode("overwrite").parquet(
+            f"{self.path}/history")
+
+    def put(self, df: DataFrame, ds: str) -> None:
+        """Counts of one day's rows, in place of what that day had."""
+        self.counts(df).write.mode("overwrite").parquet(f"{self.path}/days/ds={ds}")
+
+    def put_all(self, df: DataFrame, day: Column) -> None:
+        """Several days at once; only the days present are replaced."""
+        (self.counts(df.withColumn("ds", day), "ds").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("ds").parquet(f"{self.path}/days"))
+
+    def read(self) -> DataFrame:
+        days = self.spark.read.schema(self.SCHEMA).option("basePath", f"{self.path}/days").parquet(f"{self.path}/days")
+        history = self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/history")
+        put = days.select("ds").distinct()                   # one row per partition
+        return history.join(F.broadcast(put), "ds", "left_anti").unionByName(days)
+
+    def compared(self, since: str, until: str | None = None) -> tuple[DataFrame, DataFrame]:
+        """(numeric, categorical) counts of the days before ``since`` and from it (to ``until``), ready for D1 and D2."""
+        rows = self.read() if until is None else self.read().where(F.col("ds") <= until)
+        current = F.col("ds") >= since
+        sums = (F.sum(F.when(current, 0).otherwise(F.col("n"))).alias("c_ref"),
+                F.sum(F.when(current, F.col("n")).otherwise(0)).alias("c_cur"))
+        number = rows.where("v is null").groupBy("column", "x").agg(*sums)
+        return number, rows.where("v is not null").groupBy("column", F.col("v").alias("x")).agg(*sums)

@@ -87,7 +87,8 @@ def predictions(ensemble: Ensemble, spark, features: Column, lo: float | None =
     @F.pandas_udf("double")
     def score(x: pd.Series) -> pd.Series:
         return pd.Series(shared.value.predict(matrix(x, 0)))
-    return X.clip(score(vector_to_array(features)), lo, hi)
+    raw = score(vector_to_array(features))
+    return raw if lo is None and hi is None else X.clip(raw, lo, hi)
 
 
 # ------------------------------------------------------------------ permutation importance

@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from ..functions import exprs as X
 from ..session import work_path
 from . import treeshap
-from .ensemble import Ensemble, matrix, partnered, permutation_errors
+from .ensemble import Ensemble, matrix, partnered, permutation_errors, predictions
 
 # fixed values: default boosted-tree settings (reference parameter names in comments)
 DEFAULT_PARAMS = {
@@ -384,33 +384,13 @@ def tree_contributions(df: DataFrame, spark: SparkSession, model_path: str, name
     shap>> plus ``expected_value`` and the raw ensemble ``prediction``.
     The node table (bounded by trees x 2^depth) is broadcast; each task makes
     its paths once and scores Arrow batches with numpy."""
-    from pyspark.ml.functions import vector_to_array
+    from .serving import contribution_column
     trees, weights = node_table(spark, model_path)
-    shared = spark.sparkContext.broadcast((trees, weights))
-    n_feat = len(names)
-    names = list(names)
-    key_type = df.schema[key].dataType.simpleString()
-    out_schema = f"{key} {key_type}, __x array<double>, __shap array<double>, expected_value double, prediction double"
-
-    def run(batches):
-        paths, base = [], 0.0
-        for tid, nodes in sorted(shared.value[0].items()):
-            own, expected = treeshap.leaf_paths(nodes, min(nodes), shared.value[1][tid])   # Spark numbers the root 0
-            paths += own
-            base += expected
-        for pdf in batches:
-            x = np.stack(pdf["__x"].to_numpy()) if len(pdf) else np.zeros((0, n_feat))
-            phi = treeshap.contributions(x, paths, n_feat)
-            yield pd.DataFrame({key: pdf[key], "__x": list(x), "__shap": list(phi), "expected_value": base,
-                                "prediction": base + phi.sum(axis=1)})
-
-    arr = df.select(key, vector_to_array(F.col(features)).alias("__x"))
-    raw = arr.mapInPandas(run, out_schema)
-    name_arr = F.array(*[F.lit(n) for n in names])
-    contrib = F.filter(F.transform(F.sequence(F.lit(0), F.lit(n_feat - 1)), lambda i: F.struct(
-        F.element_at(name_arr, i + 1).alias("feature"), F.element_at("__x", i + 1).alias("value"),
-        F.element_at("__shap", i + 1).alias("shap"))), lambda c: (c["shap"] != 0) | (c["value"] != 0))
-    return raw.select(key, contrib.alias("contrib"), "expected_value", "prediction")
+    base = sum(treeshap.leaf_paths(own, min(own), weights[tid])[1] for tid, own in sorted(trees.items()))
+    x = F.col(features)
+    return df.select(key, contribution_column(spark, trees, weights, names, x).alias("contrib"),
+                     F.lit(float(base)).alias("expected_value"),
+                     predictions(Ensemble(trees, weights), spark, x, None, None).alias("prediction"))
 
 
 # ---------------------------------------------------------------------- M9

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..operators import features as FT
 from ..operators import model as MD
+from ..operators import serving as SV
 from ..session import work_path
 from ..sources import views as V
 from . import models as J
@@ -23,17 +24,15 @@ def m1(spark, sf_dir):
 
 @query("m2_gbt_fit")
 def m2(spark, sf_dir):
-    p = J.prepare_cases(_t(spark, sf_dir))
-    fm = J.fit_model(p)
+    fm = J.trained(spark, sf_dir).model
     return spark.createDataFrame(fm.history, "iteration int, train_rmse double, validation_rmse double") \
         .withColumn("best_iteration", F.lit(fm.best_iteration))
 
 
 @query("m3_predict_clipped")
 def m3(spark, sf_dir):
-    p = J.prepare_cases(_t(spark, sf_dir))
-    fm = J.fit_model(p)
-    return fm.predict(p.data).select("case_id", "split", "prediction")
+    job = J.trained(spark, sf_dir)
+    return job.model.predict(job.prepared.data).select("case_id", "split", "prediction")
 
 
 @query("m4_cross_validate")
@@ -54,30 +53,26 @@ def m5(spark, sf_dir):
 
 def one_split(t):
     """lineitem with three features of few values and a price label: SQL can state its best single splits."""
-    li = t.lineitem.select(V.line_id().alias("id"), *[F.col(c).cast("double") for c in ONE_SPLIT_FEATURES],
+    li = t.lineitem.select(V.line_id().alias("id"), *[F.col(c).cast("double") for c in J.ONE_SPLIT_FEATURES],
                            X.clip(F.col("l_extendedprice") / 100000, 0.0, 1.0).alias("label"))
-    return VectorAssembler(inputCols=ONE_SPLIT_FEATURES, outputCol="features").transform(li).select("id", "features", "label")
-
-
-ONE_SPLIT_FEATURES = ["l_quantity", "l_discount", "l_tax"]
-ONE_SPLIT_PARAMS = {"maxIter": 1, "maxDepth": 1, "maxBins": 64, "stepSize": 0.1, "seed": 42}
+    return VectorAssembler(inputCols=J.ONE_SPLIT_FEATURES, outputCol="features").transform(li).select("id", "features", "label")
 
 
 @query("m3_one_split")
 def m3_one_split(spark, sf_dir):
     """M2 and M3 by value: one boosted tree of one split, its prediction for every row, split and leaves."""
     data = one_split(_t(spark, sf_dir))
-    fm = MD.gbt_fit(data, params=ONE_SPLIT_PARAMS, feature_names=ONE_SPLIT_FEATURES)
+    fm = MD.gbt_fit(data, params=J.ONE_SPLIT_PARAMS, feature_names=J.ONE_SPLIT_FEATURES)
     tree = MD.ensemble_of(fm, spark).trees[0]
     scored = fm.predict(data).select("id", "prediction")
-    return _round_doubles(scored.withColumn("feature", F.lit(ONE_SPLIT_FEATURES[int(tree.feature[0])]))
+    return _round_doubles(scored.withColumn("feature", F.lit(J.ONE_SPLIT_FEATURES[int(tree.feature[0])]))
                           .withColumn("threshold", F.lit(float(tree.threshold[0]))))
 
 
 @query("m4_one_split")
 def m4_one_split(spark, sf_dir):
     """M4 by value: five fits of one split, each fold's errors."""
-    cv = MD.cross_validate(one_split(_t(spark, sf_dir)), "id", "features", "label", ONE_SPLIT_PARAMS, k=5)
+    cv = MD.cross_validate(one_split(_t(spark, sf_dir)), "id", "features", "label", J.ONE_SPLIT_PARAMS, k=5)
     return _round_doubles(cv)
 
 
@@ -85,7 +80,7 @@ def m4_one_split(spark, sf_dir):
 def m5_one_split(spark, sf_dir):
     """M5 by value: candidates of one and two trees at two step sizes, two fits a fold, scores and winner."""
     found = MD.tune(one_split(_t(spark, sf_dir)), "id", "features", "label", {"maxIter": [1, 2], "stepSize": [0.1, 0.5]},
-                    k=5, base=ONE_SPLIT_PARAMS, refit=False)
+                    k=5, base=J.ONE_SPLIT_PARAMS, refit=False)
     return _round_doubles(found.results)
 
 
@@ -93,18 +88,18 @@ def m5_one_split(spark, sf_dir):
 def m6_one_split(spark, sf_dir):
     """M6 by value: permutation importance of a one-split tree; features it never splits on are exactly 0."""
     data = one_split(_t(spark, sf_dir))
-    fm = MD.gbt_fit(data, params=ONE_SPLIT_PARAMS, feature_names=ONE_SPLIT_FEATURES)
+    fm = MD.gbt_fit(data, params=J.ONE_SPLIT_PARAMS, feature_names=J.ONE_SPLIT_FEATURES)
     imp = MD.feature_importance(fm, spark, importance_type="permutation", data=data, key="id", label="label")
     return _round_doubles(imp.withColumn("is_zero", F.col("importance") == 0.0))
 
 
 @query("m6_feature_importance")
 def m6(spark, sf_dir):
-    p = J.prepare_cases(_t(spark, sf_dir))
-    fm = J.fit_model(p)
-    gain = MD.feature_importance(fm, spark).withColumn("type", F.lit("gain"))
+    job = J.trained(spark, sf_dir)
+    p = job.prepared
+    gain = MD.feature_importance(job.model, spark).withColumn("type", F.lit("gain"))
     test = p.data.where(F.col("split") == "test")
-    perm = MD.feature_importance(fm, spark, importance_type="permutation", data=test, key="case_id",
+    perm = MD.feature_importance(job.model, spark, importance_type="permutation", data=test, key="case_id",
                                  label=V.CASE_TARGET).withColumn("type", F.lit("permutation"))
     cat = p.features.catalog(spark).withColumnRenamed("name", "feature")
     return gain.unionByName(perm).join(F.broadcast(cat), "feature", "left")
@@ -112,35 +107,33 @@ def m6(spark, sf_dir):
 
 @query("m7_model_save_load")
 def m7(spark, sf_dir):
-    p = J.prepare_cases(_t(spark, sf_dir))
-    fm = J.fit_model(p)
+    """What a reloaded bundle says: trees, history, settings, cross-validation scores, random state."""
+    job = J.trained(spark, sf_dir)
     path = work_path(spark, "models", "m7")
-    MD.save_model(fm, spark, path)
+    MD.save_model(job.model, spark, path, {"cv_scores": {"mean_rmse": 0.5}, "best_params": job.model.params,
+                                           "random_state": job.model.params["seed"]})
     back = MD.load_model(spark, path)
-    return spark.createDataFrame([(back.meta["model_type"], back.model.numFeatures, back.model.getNumTrees,
-                                   back.best_iteration, len(back.history), len(back.feature_names))],
-                                 "model_type string, n_features int, n_trees int, best_iteration int, "
-                                 "n_history int, n_names int")
+    return spark.createDataFrame(
+        [(back.meta["model_type"], back.model.numFeatures, back.model.getNumTrees, back.best_iteration, len(back.history),
+          len(back.feature_names), back.meta["cv_scores"]["mean_rmse"], back.meta["best_params"]["maxDepth"],
+          back.meta["random_state"])],
+        "model_type string, n_features int, n_trees int, best_iteration int, n_history int, n_names int, "
+        "cv_mean_rmse double, best_depth int, random_state int")
 
 
 @query("m8_reload_check")
 def m8(spark, sf_dir):
-    p = J.prepare_cases(_t(spark, sf_dir))
-    fm = J.fit_model(p)
-    path = work_path(spark, "models", "m8")
-    MD.save_model(fm, spark, path)
-    back = MD.load_model(spark, path)
-    return MD.reload_check(fm.predict(p.data), back.predict(p.data), "case_id")
+    job = J.trained(spark, sf_dir)
+    back = MD.load_model(spark, job.path)
+    return MD.reload_check(job.model.predict(job.prepared.data), back.predict(job.prepared.data), "case_id")
 
 
 @query("e1_tree_contributions")
 def e1(spark, sf_dir):
-    p = J.prepare_cases(_t(spark, sf_dir))
-    fm = J.fit_model(p)
-    path = work_path(spark, "models", "e1")
-    MD.save_model(fm, spark, path)
-    contrib = MD.tree_contributions(p.data, spark, path, p.names, "case_id")
-    raw = fm.predict(p.data, clip=False).select("case_id", F.col("prediction").alias("model_prediction"))
+    job = J.trained(spark, sf_dir)
+    data = job.prepared.data
+    contrib = MD.tree_contributions(data, spark, job.path, job.prepared.names, "case_id")
+    raw = job.model.predict(data, clip=False).select("case_id", F.col("prediction").alias("model_prediction"))
     shap_sum = F.aggregate(F.col("contrib"), F.lit(0.0), lambda a, c: a + c["shap"])
     return contrib.join(raw, "case_id").select(
         "case_id", "expected_value", "model_prediction", shap_sum.alias("shap_sum"), F.size("contrib").alias("n_nonzero"),
@@ -149,12 +142,12 @@ def e1(spark, sf_dir):
 
 @query("e7_evaluate_and_explain")
 def e7(spark, sf_dir):
-    return J.evaluate_and_explain(spark, _t(spark, sf_dir))
+    return J.evaluate_and_explain(spark, J.trained(spark, sf_dir))
 
 
 @query("m13_train_job")
 def m13(spark, sf_dir):
-    return J.train_job(spark, _t(spark, sf_dir))
+    return J.train_job(spark, _t(spark, sf_dir), J.QUICK_PARAMS)
 
 
 @query("m12_batch_score")
@@ -169,14 +162,8 @@ def m12(spark, sf_dir):
 
 @query("m12_model_batch")
 def m12_model(spark, sf_dir):
-    """The batch scored and explained by the fitted model: what a row must satisfy whatever the fit, per case."""
-    t = _t(spark, sf_dir)
-    p = J.prepare_cases(t)
-    fm = J.fit_model(p)
-    path = work_path(spark, "models", "m12")
-    MD.save_model(fm, spark, path)
-    out = J.batch_score(V.cases(t), p.features, model=fm, position="case_id", explain=True, model_path=path)
-    tier = X.tier(F.col("prediction"))
+    """The batch scored and explained by the trained model: what a row must satisfy whatever the fit, per case."""
+    out = J.batch_score(V.cases(_t(spark, sf_dir)), state=J.trained(spark, sf_dir).state, position="case_id", explain=True)
     return out.select("case_id", "gid", "status", "reasons",
                       F.coalesce((F.col("prediction") >= 0) & (F.col("prediction") <= 1), F.lit(True)).alias("in_range"),
                       F.when(F.col("status") == "scored", F.col("explanation_summary").contains("confidence)"))
@@ -184,12 +171,25 @@ def m12_model(spark, sf_dir):
                       F.when(F.col("status") == "scored", F.col("explanation_summary").startswith("Score: ")).alias("labelled"))
 
 
+@query("m12_one_split")
+def m12_one_split(spark, sf_dir):
+    """M12 by value: cases scored and explained by a served one-split model; null and repeated ids stay as they are."""
+    cases = V.cases(_t(spark, sf_dir), with_target=True)
+    fitted = FT.FeaturePipeline(num_cols=J.ONE_SPLIT_CASES).fit(cases)
+    data = fitted.transform(cases.withColumn("__y", F.col(V.CASE_TARGET))).select("features", F.col("__y").alias("label"))
+    fm = MD.gbt_fit(data, params=J.ONE_SPLIT_PARAMS, feature_names=J.ONE_SPLIT_CASES)
+    state = SV.publish(spark, work_path(spark, "models", "m12"), fm, fitted, 1)
+    asked = cases.unionByName(cases.where("case_id % 10 = 0")).unionByName(
+        cases.where("case_id % 10 = 1").withColumn("case_id", F.lit(None).cast("long")))
+    out = J.batch_score(asked, state=state, scored_at="2024-01-31T00:00:00", position="case_id", explain=True)
+    return _round_doubles(out)
+
+
 @query("m3_predict_checks")
 def m3_checks(spark, sf_dir):
     """M3's real predictions, reduced to what holds for any fit: every case once, its split, its range."""
-    p = J.prepare_cases(_t(spark, sf_dir))
-    scored = J.fit_model(p).predict(p.data)
-    return scored.groupBy("case_id", "split").agg(
+    job = J.trained(spark, sf_dir)
+    return job.model.predict(job.prepared.data).groupBy("case_id", "split").agg(
         F.count(F.lit(1)).alias("n"), F.bool_and((F.col("prediction") >= 0) & (F.col("prediction") <= 1)).alias("in_range"))
 
 
@@ -232,13 +232,10 @@ def m10(spark, sf_dir):
 
 @query("m11_model_info")
 def m11(spark, sf_dir):
-    """From a saved bundle; the best iteration itself follows the fit and is left to M2."""
-    p = J.prepare_cases(_t(spark, sf_dir))
-    path = work_path(spark, "models", "m11")
-    MD.save_model(J.fit_model(p), spark, path, {"model_version": "1.0.0"})
-    return MD.model_info(spark, path).select(
+    """From a saved bundle; the number of trees follows the fit and is left to M2."""
+    return MD.model_info(spark, J.trained(spark, sf_dir).path).select(
         "model_type", "model_version", "n_features", "first_features", "params",
-        (F.col("best_iteration") < F.col("n_history")).alias("best_in_history"), "n_history", "is_fitted")
+        (F.col("best_iteration") < F.col("n_history")).alias("best_in_history"), "is_fitted")
 
 
 @query("e2_sampled_contributions")

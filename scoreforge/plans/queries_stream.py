@@ -7,36 +7,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..operators import features as FT
+from ..operators.serving import Server, publish
 from ..session import work_path
 from ..sources import io as IO
 from ..sources import views as V
 from ..streaming import streams as S
-from .models import LINEAR_INTERCEPT
+from . import models as J
 from .queries_core import _round_doubles, _t
 from .registry import query
 
-# fixed values: linear scorer of the line stream (standardised inputs)
-LINE_WEIGHTS = {"l_quantity": 0.02, "l_extendedprice": 0.05, "l_discount": -0.04, "l_tax": 0.01}
-
-
-def line_scorer(fitted: FT.FittedFeatures):
-    def score(df):
-        cols = fitted.transform_columns(df.withColumn("id", V.line_id()))
-        lin = X.sum_columns([F.lit(w) * F.col(c) for c, w in LINE_WEIGHTS.items()])
-        p = X.clip(F.lit(LINEAR_INTERCEPT) + lin, 0.0, 1.0)
-        return cols.select("id", X.round_score(p, 4).alias("prediction"), X.tier(p).alias("confidence"))
-    return score
-
-
 @query("t5_stream_score")
 def t5(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    fitted = FT.FeaturePipeline(cat_cols=[], num_cols=V.LINE_NUMERIC).fit(t.lineitem)
+    """lineitem as a stream, scored by the served line model."""
+    fitted, fm = J.fit_lines(_t(spark, sf_dir).lineitem)
+    root = work_path(spark, "models", "t5")
+    publish(spark, root, fm, fitted, 1)
     out, ckpt = work_path(spark, "streams", "scores"), work_path(spark, "checkpoints", "scores")
-    q = S.run_to_parquet(S.stream_score(S.stream_table(spark, sf_dir, "lineitem"), line_scorer(fitted)), out, ckpt)
-    q.awaitTermination()
-    return _round_doubles(spark.read.parquet(out))
+    lines = S.stream_table(spark, sf_dir, "lineitem").withColumn("id", V.line_id())
+    S.run_scores(lines, Server(spark, root), ["id"], out, ckpt).awaitTermination()
+    return _round_doubles(spark.read.parquet(out).drop("batch"))
 
 
 @query("t6_stream_log")

@@ -65,6 +65,13 @@ def work_path(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     return f"{base}/scoreforge/{name}"
 
 
+def work_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` exists, asked of the file system Spark itself uses for it."""
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared work folder and read back: every reader sees the same rows."""
     path = work_path(df.sparkSession, "tables", name)

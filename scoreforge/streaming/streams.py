@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from .. import constants as K
 from ..functions import exprs as X
 from ..operators import monitor as T
+from ..operators.serving import Server, scored
 from ..sources import io as IO
 from ..sources.tables import table_path
 
@@ -54,6 +55,22 @@ def stream_score(stream: DataFrame, score: Callable[[DataFrame], DataFrame]) ->
     return score(stream)
 
 
+def run_scores(stream: DataFrame, server: Server, keep: Sequence[str], path: str, checkpoint: str, digits: int = 4,
+               available_now: bool = True) -> StreamingQuery:
+    """T5 by a served model: each micro-batch takes the newest published version, so a renewed model is used without
+    a restart.  Scores (``keep``, prediction, confidence, model_version) replace the batch's own partition: a batch that is run
+    again leaves the same rows."""
+    def put(batch: DataFrame, number: int):
+        state = server.current()
+        rows = scored(batch, state)
+        rows.select(*keep, X.round_score("prediction", digits).alias("prediction"), X.tier("prediction").alias("confidence"),
+                    F.lit(state.version).cast("long").alias("model_version")) \
+            .write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    w = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="15 seconds")).start()
+
+
 def stream_log(stream: DataFrame, key: str, gid, payload, prediction, ts: str = "ts",
                watermark: str = "10 minutes") -> DataFrame:
     """Log rows with duplicates of ``key`` inside the watermark dropped,
