@@ -211,8 +211,7 @@ WITH li AS (SELECT *, {LINE_ID} AS lid FROM lineitem), {standardized_cte('li', '
 x AS (SELECT s.id, a.code AS l_returnflag, b.code AS l_linestatus, {', '.join(f's.{c}' for c in LNUM)}
       FROM scaled s JOIN li ON s.id = li.lid JOIN l_returnflag_c a ON a.v = li.l_returnflag
       JOIN l_linestatus_c b ON b.v = li.l_linestatus),
-bg AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {HASH.format(k='id')}, id) - 1 AS b FROM x) WHERE b < 100),
-draw AS (SELECT id, {HASH.format(k="(id || '-' || m)")} % (SELECT count(*) FROM bg) AS b FROM x, range(16) r(m)),
-z AS (SELECT draw.id, {_avg} FROM draw JOIN bg ON draw.b = bg.b GROUP BY draw.id),
+bg AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {HASH.format(k='id')}, id) - 1 AS b FROM x) WHERE b < 20),
+z AS (SELECT {_avg} FROM bg),
 e AS (SELECT 0.5 + {_exp} AS expected_value FROM bg)
-{" UNION ALL ".join(f"SELECT x.id, '{c}' AS feature, {r6('x.' + c)} AS value, {r6(f'CAST({w!r} AS DOUBLE) * (x.{c} - z.{c}) + 0.0')} AS shap, {r6('expected_value')} AS expected_value FROM x JOIN z ON x.id = z.id, e" for c, w in _ew.items())}""")
+{" UNION ALL ".join(f"SELECT x.id, '{c}' AS feature, {r6('x.' + c)} AS value, {r6(f'CAST({w!r} AS DOUBLE) * (x.{c} - z.{c}) + 0.0')} AS shap, {r6('expected_value')} AS expected_value FROM x, z, e" for c, w in _ew.items())}""")

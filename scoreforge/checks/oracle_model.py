@@ -25,8 +25,9 @@ WITH s AS (SELECT 'run_' || l_returnflag AS run_id, l_tax * 10 AS y,
 r AS (SELECT run_id, sqrt(avg((p - y) * (p - y))) AS rmse, avg(abs(p - y)) AS mae,
         1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)) AS r2 FROM s GROUP BY run_id)
 SELECT run_id, {r6('rmse')} AS rmse, CAST(row_number() OVER (ORDER BY rmse, run_id) AS INTEGER) AS rank,
-  {r6('mae')} AS mae, {r6('r2')} AS r2
-FROM r""")
+  {r6('mae')} AS mae, {r6('r2')} AS r2, row_number() OVER (ORDER BY started DESC, run_id DESC) = 1 AS is_latest
+FROM r JOIN (SELECT 'run_' || l_returnflag AS run_id, max(CAST(l_shipdate AS DATE)) AS started FROM lineitem GROUP BY 1)
+  USING (run_id)""")
 
 _cases_tbl = f"(WITH {CASES.strip()} SELECT * FROM cases)"
 _cat = ["risk_category", "region", "business_type", "regulatory_status", "compliance_level"]
@@ -220,3 +221,16 @@ WITH li AS (SELECT *, {LINE_ID} AS lid FROM lineitem), {scored_lines('li', 'li')
 SELECT id, {r6(rnd('p', 4))} AS prediction, CASE WHEN {rnd('p', 4)} > 0.7 THEN 'High' WHEN {rnd('p', 4)} > 0.4 THEN 'Medium'
   ELSE 'Low' END AS confidence, CAST(1 AS BIGINT) AS model_version
 FROM scored_l""")
+
+_ordered = f"SELECT *, row_number() OVER (ORDER BY {HASH.format(k='id')}, id) AS place FROM one"
+q("e2_tree_contributions", f"""
+WITH {_ONE}, {best_split('s1', 'one', 'label').strip()},
+b AS (SELECT avg({leaf('s1')}) AS base FROM ({_ordered}), s1 WHERE place <= 20),
+f AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature)
+SELECT id, f.feature, {r6("CASE f.feature WHEN 'l_quantity' THEN CAST(l_quantity AS DOUBLE) WHEN 'l_discount' THEN CAST(l_discount AS DOUBLE) ELSE CAST(l_tax AS DOUBLE) END")} AS value,
+  {r6('CASE WHEN f.feature = s1.feature THEN ' + leaf('s1') + ' - base ELSE 0.0 END')} AS shap, {r6('base')} AS expected_value
+FROM one, s1, b, f""")
+
+q("m9_bundle_parts", """
+SELECT * FROM (VALUES ('error', 'missing_part', 'features/num_stats', 'spoilt'), ('error', 'rows', 'model/data', 'spoilt'),
+  ('error', 'checksum', 'model/data', 'spoilt'), ('warning', 'version', 'pyspark', 'spoilt')) v(severity, kind, item, bundle)""")

@@ -1,12 +1,13 @@
-"""Exact quantiles by sketched brackets and one counting pass.
+"""Exact quantiles by sketched brackets and one counting pass, all columns at once.
 
-One algorithm at every size.  A sketch (``percentile_approx``) brackets each wanted rank
-between two values; a pass then counts, per rank, the rows below and on the
-bracket's ends and takes what lies strictly between.  The counts prove the bracket, so
-the result is exact whatever the sketch's error.  Should more than ``sort_limit`` rows lie
-between, they are sketched again: every round keeps at most a share of
-the rows, and values only are compared, so infinities and heavy ties (which sit on
-the ends) cost no extra round.  What is gathered is at most ``sort_limit`` values per rank.
+One algorithm at every size.  Rows are (column, value); a grouped sketch (``percentile_approx``)
+gives each column a few edges around its wanted ranks.  A grouped pass then counts, per column, the rows
+on each edge and between neighbouring ones, and takes the values of the narrow gaps a rank should lie in.
+The counts prove where each rank lies, so the result is exact whatever the sketch's
+error.  A rank in a gap whose values were not taken goes on with the rows of that gap only:
+every round keeps at most a share of the rows, and values only are compared, so infinities and heavy ties
+(which sit on the edges) cost no extra round.  Work is one sketch and a handful of
+comparisons per value, linear in the columns; what is gathered is at most ``sort_limit`` values per gap.
 
 Values are interpolated linearly between neighbouring order statistics, as
 ``quantile_cont`` and pandas ``quantile`` do.  Nulls and NaN are left out.
@@ -18,7 +19,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LEAST_ACCURACY = 16
@@ -32,76 +33,74 @@ def long_form(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 @dataclass
-class _Target:
-    """A rank of a group between two values; None: no bound yet."""
+class _Gap:
+    """Rows of a group strictly between two values (None: no bound), and the ranks that lie there."""
 
     group: object
-    rank: int
-    size: int                      # rows that can hold it
+    ranks: list[int]
+    size: int
     offset: int = 0                # rows of the group at or below ``low``
     low: float | None = None
     high: float | None = None
 
-    def inside(self, g: Column, x: Column) -> Column:
-        cond = g == F.lit(self.group)
-        if self.low is not None:
-            cond = cond & (x > F.lit(self.low))
-        if self.high is not None:
-            cond = cond & (x < F.lit(self.high))
-        return cond
+
+#: Edges of a sketch whose ranks differ from group to group.
+EVEN = [i / 32 for i in range(33)]
+
+
+def _edges_asked(gaps: list[_Gap], accuracy: int) -> tuple[list[float], float | None]:
+    """Shares to ask of the sketch: both sides of each wanted share, or even ones if there are many; the gap's width."""
+    shares = sorted({round((r - g.offset + 0.5) / g.size, 4) for g in gaps for r in g.ranks})
+    if len(shares) > 16:
+        return EVEN, None
+    width = 3 / accuracy
+    return sorted({min(max(s + d, 0.0), 1.0) for s in shares for d in (-width, width)}), 2 * width
 
 
 def grouped_order_statistics(long: DataFrame, wanted: dict, counts: dict, *, buckets: int = 10_000,
                              sort_limit: int = 100_000) -> dict[tuple, float]:
     """Values of the given ranks per group ``g`` of a (g, x) frame; ``buckets`` is the sketch's accuracy."""
     accuracy = max(buckets, LEAST_ACCURACY)
-    g, x = F.col("g"), F.col("x")
+    spark = long.sparkSession
+    kind = long.schema["g"].dataType.simpleString()
+    x = F.col("x")
     result: dict[tuple, float] = {}
-    open_ = [_Target(group, rank, counts[group]) for group, ranks in wanted.items() for rank in sorted(set(ranks))]
-    while open_:
-        # bracket each rank by a sketch of the rows that can hold it
-        asked = []
-        for t in open_:
-            share = (t.rank - t.offset + 1) / t.size
-            low, high = share - 2 / accuracy - 1 / t.size, share + 2 / accuracy + 1 / t.size
-            asked.append((max(low, 0.0), min(high, 1.0)))
-        row = long.agg(*[F.percentile_approx(F.when(t.inside(g, x), x), [a, b], F.lit(accuracy)).alias(f"s{i}")
-                         for i, (t, (a, b)) in enumerate(zip(open_, asked))]).first()
-        ends = [(row[f"s{i}"][0], row[f"s{i}"][1]) for i in range(len(open_))]
-        # count around the brackets, and gather what lies between where that is little
-        expect = [t.size * (b - a + 2 / accuracy) for t, (a, b) in zip(open_, asked)]
-        aggs = []
-        for i, (t, (low, high), n) in enumerate(zip(open_, ends, expect)):
-            own = t.inside(g, x)
-            between = own & (x > F.lit(low)) & (x < F.lit(high))
-            aggs += [F.count_if(own & (x < F.lit(low))).alias(f"b{i}"), F.count_if(own & (x == F.lit(low))).alias(f"l{i}"),
-                     F.count_if(between).alias(f"m{i}"), F.count_if(own & (x == F.lit(high))).alias(f"h{i}")]
-            if n <= sort_limit:
-                aggs.append(F.sort_array(F.collect_list(F.when(between, x))).alias(f"v{i}"))
-        row = long.agg(*aggs).first()
+    gaps = [_Gap(group, sorted(set(ranks)), counts[group]) for group, ranks in wanted.items()]
+    while gaps:
+        ids = spark.createDataFrame([(i, t.group, t.low, t.high) for i, t in enumerate(gaps)],
+                                    f"id int, g {kind}, low double, high double")
+        rows = (long.join(F.broadcast(ids), "g")                          # one row per gap
+                .where((F.col("low").isNull() | (x > F.col("low"))) & (F.col("high").isNull() | (x < F.col("high"))))
+                .select("id", "x"))
+        asked, width = _edges_asked(gaps, accuracy)
+        found = {r["id"]: sorted(r["e"]) for r in
+                 rows.groupBy("id").agg(F.percentile_approx("x", asked, F.lit(accuracy)).alias("e")).collect()}
+        # all of a small gap is gathered, else what lies between the two edges around a wanted share
+        every = {i: t.size <= sort_limit for i, t in enumerate(gaps)}
+        narrow = {i: width is not None and t.size * width <= sort_limit for i, t in enumerate(gaps)}
+        edged = spark.createDataFrame([(i, found[i], every[i], narrow[i]) for i in found],
+                                      "id int, e array<double>, every boolean, narrow boolean")
+        below = F.size(F.filter("e", lambda v: v < x))
+        placed = rows.join(F.broadcast(edged), "id").select(
+            "id", "x", below.alias("b"), F.array_contains("e", x).alias("on"), "every", "narrow")
+        taken = ~F.col("on") & (F.col("every") | (F.col("narrow") & (F.col("b") % 2 == 1)))
+        slots = placed.groupBy("id", "b", "on").agg(F.count(F.lit(1)).alias("n"),
+                                                    F.sort_array(F.collect_list(F.when(taken, x))).alias("v")).collect()
         left = []
-        for i, (t, (low, high), n) in enumerate(zip(open_, ends, expect)):
-            at = t.rank - t.offset
-            below, on_low, between, on_high = (row[f"{k}{i}"] for k in "blmh")
-            if low == high:
-                on_high = 0
-            key = (t.group, t.rank)
-            if at < below:                     # the sketch was further off than it says: what is below remains
-                left.append(_Target(t.group, t.rank, below, t.offset, t.low, low))
-            elif at < below + on_low:
-                result[key] = low
-            elif at < below + on_low + between:
-                at -= below + on_low
-                if n <= sort_limit:
-                    result[key] = row[f"v{i}"][at]
-                else:
-                    left.append(_Target(t.group, t.rank, between, t.rank - at, low, high))
-            elif at < below + on_low + between + on_high:
-                result[key] = high
-            else:
-                passed = below + on_low + between + on_high
-                left.append(_Target(t.group, t.rank, t.size - passed, t.offset + passed, high, t.high))
-        open_ = left
+        for i, t in enumerate(gaps):
+            own, at = found[i], t.offset
+            # values between two edges come before those on the upper one
+            for r in sorted((r for r in slots if r["id"] == i), key=lambda r: (r["b"], r["on"])):
+                inside = [rank for rank in t.ranks if at <= rank < at + r["n"]]
+                if r["on"]:
+                    result.update({(t.group, rank): own[r["b"]] for rank in inside})
+                elif len(r["v"]) == r["n"]:
+                    result.update({(t.group, rank): r["v"][rank - at] for rank in inside})
+                elif inside:
+                    left.append(_Gap(t.group, inside, r["n"], at, own[r["b"] - 1] if r["b"] else t.low,
+                                     own[r["b"]] if r["b"] < len(own) else t.high))
+                at += r["n"]
+        gaps = left
     return result
 
 

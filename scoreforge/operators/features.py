@@ -1,9 +1,8 @@
 """Feature operators (F2-F12): fit = one aggregate pass into a small state,
 transform = JVM-side expressions / Spark ML transformers (no shuffle).
 
-What reaches the driver is the vocabulary (``max_features`` terms), the label
-lists of the fitted pipeline and a few numbers per column.  Columns with very many
-values keep their labels in a table (``label_table``, ``label_join``).
+What reaches the driver is the vocabulary (``max_features`` terms) and a few numbers
+per column.  Label dictionaries are tables of any size, applied by size-checked joins.
 """
 
 from __future__ import annotations
@@ -13,8 +12,7 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, Normalizer, StringIndexerModel,
-                                VectorAssembler)
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -84,8 +82,8 @@ def tfidf_transform(docs: DataFrame, vocab: Vocabulary, terms: str = "terms", ou
     """counts x idf, L2-normalised; out-of-vocabulary terms ignored, a
     document with no hit gets the zero vector.  Row-local: the vocabulary
     lives in a broadcast hash map inside ``CountVectorizerModel``."""
-    if not vocab.terms:                        # nothing to hit: every document is the zero vector
-        return docs.withColumn(out, array_to_vector(F.array(F.lit(0.0))))
+    if not vocab.terms:                        # nothing to hit: every document is the vector of no entries
+        return docs.withColumn(out, array_to_vector(F.array().cast("array<double>")))
     cv = CountVectorizerModel.from_vocabulary(vocab.terms, inputCol=terms, outputCol="__tf")
     ep = ElementwiseProduct(scalingVec=Vectors.dense(vocab.idf), inputCol="__tf", outputCol="__w")
     nz = Normalizer(p=2.0, inputCol="__w", outputCol=out)
@@ -104,16 +102,11 @@ def tfidf_long(df: DataFrame, key: str, vec: str = "tfidf", empty_idx: int = -1)
 
 
 def sparse_entries(vec: str) -> Column:
-    """Non-zero (idx, value) entries of a vector column as an array of structs.
-
-    SQL cannot open a vector, but its JSON form lists the stored entries only, so a
-    sparse vector is never made dense; doubles keep their shortest exact text.
-    """
-    form = "v struct<indices: array<int>, values: array<double>>"
-    opened = F.from_json(F.to_json(F.struct(F.col(vec).alias("v"))), form)["v"]
+    """Non-zero (idx, value) entries of a vector column as an array of structs, from its stored form: a
+    sparse vector is never made dense."""
     entry = lambda i, w: F.struct(i.alias("idx"), w.alias("value"))
-    # bound once, as the parsed value is used several times
-    entries = F.transform(F.array(opened), lambda v: F.when(
+    # bound once, as the opened value is used several times
+    entries = F.transform(F.array(F.unwrap_udt(vec)), lambda v: F.when(
         v["indices"].isNotNull(), F.zip_with(v["indices"], v["values"], entry)).otherwise(
         F.transform(v["values"], lambda w, i: entry(i, w))))[0]
     return F.filter(entries, lambda e: e["value"] != 0)
@@ -122,77 +115,53 @@ def sparse_entries(vec: str) -> Column:
 # --------------------------------------------------------------- categories
 @dataclass
 class Labels:
-    values: dict[str, list[str]]   # column -> sorted distinct values (null as 'Unknown')
-
-    def to_df(self, spark: SparkSession) -> DataFrame:
-        rows = [(c, v, i) for c, vs in self.values.items() for i, v in enumerate(vs)]
-        return spark.createDataFrame(rows, "column string, value string, code int")
+    """A label dictionary of any size: a written (column, value, code) table, and two numbers per column."""
 
+    table: DataFrame | None
+    sizes: dict[str, tuple[int, int]]   # column -> (labels, code of the unknown)
 
-def label_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """F4 for any number of values: (column, value, code) as a table.
-
-    Codes are the ranks of the distinct values in byte order, from running sums
-    over written slices; nothing is collected.
-    """
-    distinct = _distinct_values(df, cols).withColumn("one", F.lit(1).cast("long"))
-    ranked = ordered_running_sum(distinct, "column", "value", ["one"])
-    return ranked.select("column", "value", (F.col("cum_one") - 1).cast("int").alias("code"))
-
+    def to_df(self, spark: SparkSession) -> DataFrame:
+        return self.table if self.table is not None else spark.createDataFrame([], "column string, value string, code int")
 
-def label_join(df: DataFrame, labels: DataFrame, cols: Sequence[str], suffix: str = "") -> DataFrame:
-    """F5 against a label table: one size-checked equi-join per column (Spark broadcasts small label sets)."""
-    for c in cols:
-        own = labels.where(F.col("column") == c).select(F.col("value").alias("__v"), F.col("code").alias("__code"))
-        unknown = own.agg(F.coalesce(F.max(F.when(F.col("__v") == K.UNKNOWN_CATEGORY, F.col("__code"))),
-                                     F.count(F.lit(1)).cast("int")).alias("__unknown"))
-        value = F.coalesce(F.col(c).cast("string"), F.lit(K.UNKNOWN_CATEGORY))
-        df = (df.withColumn("__value", value).join(own, F.col("__value") == F.col("__v"), "left")
-              .join(F.broadcast(unknown))           # one row
-              .withColumn(c + suffix, F.coalesce("__code", "__unknown")).drop("__value", "__v", "__code", "__unknown"))
-    return df
+    @classmethod
+    def of_table(cls, table: DataFrame, cols: Sequence[str]) -> Labels:
+        """The dictionary of a table; the unknown's code is its own if it is a label, else one past the last."""
+        unknown = F.max(F.when(F.col("value") == K.UNKNOWN_CATEGORY, F.col("code")))
+        rows = {r["column"]: r for r in table.groupBy("column").agg(F.count(F.lit(1)).alias("n"), unknown.alias("u")).collect()}
+        sizes = {c: (rows[c]["n"], rows[c]["n"] if rows[c]["u"] is None else rows[c]["u"]) if c in rows else (0, 0) for c in cols}
+        return cls(table, sizes)
 
 
-def _distinct_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def label_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column, value, code): codes are the ranks of the distinct values in byte order, null read as 'Unknown',
+    from running sums over written slices; nothing is collected."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"),
                                                   F.coalesce(F.col(c).cast("string"), F.lit(K.UNKNOWN_CATEGORY))
                                                   .alias("value")) for c in cols])).alias("r"))
-    return long.groupBy("r.column", "r.value").agg(F.count(F.lit(1)).alias("n")).select("column", "value")
+    distinct = long.groupBy("r.column", "r.value").agg(F.lit(1).cast("long").alias("one")).select("column", "value", "one")
+    ranked = ordered_running_sum(distinct, "column", "value", ["one"])
+    return ranked.select("column", "value", (F.col("cum_one") - 1).cast("int").alias("code"))
 
 
 def label_fit(df: DataFrame, cols: Sequence[str]) -> Labels:
-    """sorted distinct values per column, null read as 'Unknown', from one
-    grouped aggregate.  They become driver-side state of the fitted pipeline;
-    ``label_table`` / ``label_join`` keep a very large value set in a table instead."""
+    """the dictionary of the columns' distinct values as a written table; the driver gets two numbers per column."""
     if not cols:
-        return Labels({})
-    vals: dict[str, list[str]] = {c: [] for c in cols}
-    for r in _distinct_values(df, cols).collect():
-        vals[r["column"]].append(r["value"])
-    return Labels({c: sorted(v, key=lambda s: s.encode("utf-8")) for c, v in vals.items()})
+        return Labels(None, {})
+    return Labels.of_table(written(label_table(df, cols), "labels"), cols)
 
 
 def label_transform(df: DataFrame, labels: Labels, suffix: str = "") -> DataFrame:
-    """known value -> code; null or unseen -> 'Unknown', whose code is its
-    own when 'Unknown' was seen at fit, else n (one past the last code).
-    ``StringIndexerModel`` does the lookup in a JVM hash map, row-local."""
-    if not labels.values:
-        return df
-    cols = list(labels.values)
-    prepared = df
-    for c in cols:
-        prepared = prepared.withColumn(f"__{c}", F.coalesce(F.col(c).cast("string"), F.lit(K.UNKNOWN_CATEGORY)))
-    model = StringIndexerModel.from_arrays_of_labels(
-        [labels.values[c] for c in cols], inputCols=[f"__{c}" for c in cols],
-        outputCols=[f"__{c}_code" for c in cols], handleInvalid="keep")
-    out = model.transform(prepared)
-    for c in cols:
-        # the model gives any unseen value n; that is the code of 'Unknown' unless the fit saw one
-        known, code = labels.values[c], F.col(f"__{c}_code").cast("int")
-        if K.UNKNOWN_CATEGORY in known:
-            code = F.when(code == len(known), F.lit(known.index(K.UNKNOWN_CATEGORY))).otherwise(code)
-        out = out.withColumn(c + suffix, code).drop(f"__{c}", f"__{c}_code")
-    return out
+    """known value -> code; null or unseen -> the code of the unknown.
+
+    One equi-join per column against the dictionary table: Spark broadcasts it when its size allows and otherwise
+    shuffles, splitting a value that holds a large share of the rows."""
+    for i, (c, (_, unknown)) in enumerate(labels.sizes.items()):
+        own = labels.table.where(F.col("column") == c).select(F.col("value").alias(f"__v{i}"), F.col("code").alias(f"__code{i}"))
+        value = F.coalesce(F.col(c).cast("string"), F.lit(K.UNKNOWN_CATEGORY))
+        df = (df.withColumn(f"__value{i}", value).join(own, F.col(f"__value{i}") == F.col(f"__v{i}"), "left")
+              .withColumn(c + suffix, F.coalesce(F.col(f"__code{i}"), F.lit(unknown)).cast("int"))
+              .drop(f"__value{i}", f"__v{i}", f"__code{i}"))
+    return df
 
 
 # ------------------------------------------------------------------ numbers
@@ -216,6 +185,8 @@ def numeric_fit(df: DataFrame, cols: Sequence[str], factor: float = 1.5, cap: bo
     """F6 + F7 fit: fences from exact quartiles, then mean and population std
     of the capped columns in one aggregate, NaN left out; a column without a
     number gets mean 0 and std 1."""
+    if not cols:
+        return NumericState({}, {}, {})
     bounds = iqr_bounds(df, cols, factor) if cap else {c: (None, None, None, None) for c in cols}
     capped = iqr_cap(df, bounds) if cap else df
     aggs = []
@@ -254,11 +225,11 @@ class FeaturePipeline:
 
     def fit(self, df: DataFrame) -> FittedFeatures:
         if self.scaler != "standard":
-            raise ValueError(f"Unsupported scaler type: {self.scaler}")
+            raise ValueError(f"no scaler is called {self.scaler!r}; there is 'standard'")
         required = ([self.text_col] if self.text_col else []) + list(self.cat_cols) + list(self.num_cols)
         missing = [c for c in required if c not in df.columns]
         if missing:
-            raise ValueError(f"Missing required columns: {missing}")
+            raise ValueError(f"the table lacks the columns {missing}")
         vocab = None
         if self.text_col:
             vocab = tfidf_fit(df.select(self.text_col), self.text_col, max_features=self.max_features,
@@ -268,7 +239,7 @@ class FeaturePipeline:
         return FittedFeatures(self, vocab, labels, num)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        raise ValueError("Preprocessor must be fitted before transform")
+        raise ValueError("a pipeline transforms by what fit() returns")
 
 
 @dataclass
@@ -298,7 +269,7 @@ class FittedFeatures:
             out = tfidf_transform(tokenize(out, self.spec.text_col, "__terms"), self.vocab, "__terms").drop("__terms")
         out = label_transform(out, self.labels)
         if self.spec.handle_outliers:
-            if self.spec.bounds == "batch":
+            if self.spec.bounds == "batch" and self.spec.num_cols:
                 bounds = iqr_bounds(out, list(self.spec.num_cols), self.spec.outlier_factor)
             else:
                 bounds = self.num.bounds
@@ -308,7 +279,10 @@ class FittedFeatures:
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
         """F8: one assembled vector in catalog order (text, categories, numbers)."""
         cols = self.transform_columns(df)
-        inputs = (["tfidf"] if self.vocab is not None else []) + list(self.spec.cat_cols) + list(self.spec.num_cols)
+        text = ["tfidf"] if self.vocab is not None and self.vocab.terms else []      # an empty block adds no entries
+        inputs = text + list(self.spec.cat_cols) + list(self.spec.num_cols)
+        if not inputs:
+            return cols.withColumn(out, array_to_vector(F.array().cast("array<double>")))
         return VectorAssembler(inputCols=inputs, outputCol=out, handleInvalid="keep").transform(cols)
 
     def long_form(self, df: DataFrame, id_col: str) -> DataFrame:
@@ -325,13 +299,16 @@ class FittedFeatures:
                  for i, c in enumerate(list(self.spec.cat_cols) + list(self.spec.num_cols))]
         if fixed:
             parts.append(F.array(*fixed))
+        if not parts:
+            return cols.select(F.col(id_col).alias("id"), F.lit(0).alias("idx"), F.lit("").alias("name"),
+                               F.lit(0.0).alias("value")).where("false")
         return cols.select(F.col(id_col).alias("id"), F.inline(F.concat(*parts)))
 
     # F12
     def save(self, spark: SparkSession, path: str) -> None:
         if self.vocab is not None:
             self.vocab.to_df(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
-        self.labels.to_df(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/labels")
+        self.labels.to_df(spark).write.mode("overwrite").parquet(f"{path}/labels")
         num_rows = [(c, *self.num.bounds[c], self.num.mean[c], self.num.std[c]) for c in self.spec.num_cols]
         spark.createDataFrame(num_rows, "column string, q1 double, q3 double, lo double, hi double, "
                                         "mean double, std double").coalesce(1).write.mode("overwrite").parquet(
@@ -352,18 +329,17 @@ class FittedFeatures:
             rows = sorted(spark.read.parquet(f"{path}/vocab").collect(), key=lambda r: r["idx"])
             vocab = Vocabulary([r["term"] for r in rows], [r["df"] for r in rows], [r["tf"] for r in rows],
                                meta["n_docs"])
-        lab: dict[str, list[str]] = {c: [] for c in spec.cat_cols}
-        for r in sorted(spark.read.parquet(f"{path}/labels").collect(), key=lambda r: (r["column"], r["code"])):
-            lab[r["column"]].append(r["value"])
+        labels = Labels.of_table(spark.read.schema("column string, value string, code int").parquet(f"{path}/labels"),
+                                 spec.cat_cols) if spec.cat_cols else Labels(None, {})
         nums = {r["column"]: r for r in spark.read.parquet(f"{path}/num_stats").collect()}
         num = NumericState({c: (nums[c]["q1"], nums[c]["q3"], nums[c]["lo"], nums[c]["hi"]) for c in spec.num_cols},
                            {c: nums[c]["mean"] for c in spec.num_cols}, {c: nums[c]["std"] for c in spec.num_cols})
         extra = {k: v for k, v in meta.items() if k not in ("spec", "n_docs", "feature_names")}
-        return FittedFeatures(spec, vocab, Labels(lab), num, extra)
+        return FittedFeatures(spec, vocab, labels, num, extra)
 
 
 def target_column(df: DataFrame, target: str, key: str | None = None) -> DataFrame:
     """the target (with its key), an error when the column is absent."""
     if target not in df.columns:
-        raise ValueError(f"Target column '{target}' not found in data")
+        raise ValueError(f"the table has no target {target!r}")
     return df.select(*([key] if key else []), F.col(target).cast("double").alias(target))

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -427,15 +427,22 @@ def grouped_metrics(df: DataFrame, group: str, y: str, p: str) -> DataFrame:
                                  (F.lit(1.0) - F.sum(e * e) / (F.var_pop(y) * F.count(F.lit(1)))).alias("r2"))
 
 
-def run_log_rows(runs: DataFrame, run_id: str, params: dict[str, str], metrics: Sequence[str]) -> DataFrame:
-    """Long (run_id, kind, key, value_text, value) rows for an append-only run log."""
-    items = [F.struct(F.lit("param").alias("kind"), F.lit(k).alias("key"), F.lit(v).alias("value_text"),
+def run_log_rows(runs: DataFrame, run_id: str, params: dict, metrics: Sequence[str]) -> DataFrame:
+    """Long (run_id, kind, key, value_text, value) rows for an append-only run log; a parameter is a text or a column."""
+    text = lambda v: v if isinstance(v, Column) else F.lit(v)
+    items = [F.struct(F.lit("param").alias("kind"), F.lit(k).alias("key"), text(v).alias("value_text"),
                       F.lit(None).cast("double").alias("value")) for k, v in params.items()]
     items += [F.struct(F.lit("metric").alias("kind"), F.lit(m).alias("key"), F.lit(None).cast("string")
                        .alias("value_text"), F.col(m).cast("double").alias("value")) for m in metrics]
     return runs.select(F.col(run_id).alias("run_id"), F.inline(F.array(*items)))
 
 
+def latest_run(log: DataFrame, stamp: str = "started_at") -> DataFrame:
+    """(run_id, started_at) of the newest run by a logged time, ties to the greatest id; no rows for an empty log."""
+    return (log.where((F.col("kind") == "param") & (F.col("key") == stamp)).select("run_id", F.col("value_text").alias(stamp))
+            .orderBy(F.desc(stamp), F.desc("run_id")).limit(1))
+
+
 def best_runs(log: DataFrame, metric: str = "rmse", ascending: bool = True, n: int = 1000) -> DataFrame:
     """The ``n`` best runs by one logged metric, ranked: a per-task top-n, then a window over those rows."""
     from pyspark.sql import Window

@@ -1,12 +1,13 @@
-"""Model-agnostic sampled contributions (E2): permutation-sampling Shapley.
+"""Model-agnostic contributions (E2): kernel-weighted least squares over coalitions of features.
 
-For every row and each of ``permutations`` draws, a feature order and one
-background row are chosen from hashes of (key, draw); walking the order,
-feature j's contribution is f(x on the first k+1 ordered features, background
-elsewhere) - f(x on the first k).  Averaging the draws estimates the
-Shapley values; ``expected_value`` is the mean score of the background rows.
+A coalition's value is the mean score of the row with the features outside it taken from the
+background rows.  Contributions are the weighted least-squares fit of a sum over features to those
+values, with the Shapley kernel as weights and the sum fixed to score less expected value.  With no more than
+``evaluations`` coalitions in all (2^d - 2) every one is taken and the fit is the Shapley value itself;
+beyond, whole sizes are taken from the outside in and the rest drawn in complementary pairs, the same
+for every row.  The design is then one matrix, made once, and a row's contributions are that matrix times its values.
 
-Work is bounded per row: draws x (features + 1) model evaluations, made with
+Work per row is bounded: coalitions x background rows evaluations, made with
 numpy inside the Arrow batch the row came in, a bounded block of rows at a
 time.  No row is exploded before it is scored and nothing is shuffled; the
 background is ``background`` real rows, broadcast.
@@ -14,6 +15,8 @@ background is ``background`` real rows, broadcast.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -28,47 +31,73 @@ from ..functions import exprs as X
 BLOCK_VALUES = 4_000_000
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser: a fair order for any two keys."""
-    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
-
-
-def walk(x: np.ndarray, z: np.ndarray, seeds: np.ndarray, score: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """(n, d) contributions of rows ``x`` (n, d) against background rows ``z`` (n, draws, d)."""
-    n, draws, d = z.shape
-    with np.errstate(over="ignore"):
-        keys = _mixed(seeds[:, None, None] + np.arange(draws, dtype=np.uint64)[None, :, None] * np.uint64(0x9E3779B97F4A7C15)
-                      + np.arange(d, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    order = np.argsort(keys, axis=2, kind="stable")
-    place = np.argsort(order, axis=2, kind="stable")
-    known = place[:, :, None, :] < np.arange(d + 1)[None, None, :, None]
-    rows = np.where(known, x[:, None, None, :], z[:, :, None, :])
-    scores = score(rows.reshape(-1, d)).reshape(n, draws, d + 1)
-    gains = np.empty((n, draws, d))
-    np.put_along_axis(gains, order, np.diff(scores, axis=2), axis=2)
-    return gains.mean(axis=1)
+def coalitions(d: int, evaluations: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """(coalitions, features) membership and kernel weights; neither the empty nor the full one."""
+    share = {s: (d - 1) / (s * (d - s)) for s in range(1, d)}        # kernel mass of all coalitions of a size
+    rows, weights, left = [], [], evaluations
+    open_sizes = list(range(1, d))
+    while open_sizes:
+        sizes = sorted({open_sizes[0], open_sizes[-1]})              # a size and its complement
+        count = sum(math.comb(d, s) for s in sizes)
+        if count > left:
+            break
+        for s in sizes:
+            rows += [c for c in itertools.combinations(range(d), s)]
+            weights += [share[s] / math.comb(d, s)] * math.comb(d, s)
+        left -= count
+        open_sizes = open_sizes[1:-1]
+    if open_sizes and left >= 2:
+        rng = np.random.default_rng(seed)
+        mass = np.array([share[s] for s in open_sizes])
+        drawn = [tuple(sorted(rng.choice(d, s, replace=False).tolist()))
+                 for s in rng.choice(open_sizes, left // 2, p=mass / mass.sum())]
+        both = drawn + [tuple(sorted(set(range(d)) - set(c))) for c in drawn]
+        rows += both
+        weights += [mass.sum() / len(both)] * len(both)
+    z = np.zeros((len(rows), d))
+    for i, c in enumerate(rows):
+        z[i, list(c)] = 1.0
+    return z, np.array(weights)
+
+
+def solver(z: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(A, c) with contributions = A (values - base) + c (score - base): the fit under the fixed sum."""
+    d = z.shape[1]
+    if d == 1:
+        return np.zeros((1, len(z))), np.ones(1)
+    inverse = np.linalg.pinv(z.T @ (weights[:, None] * z))
+    fit = inverse @ (z.T * weights)
+    ones = inverse.sum(axis=1) / inverse.sum()
+    return fit - np.outer(ones, fit.sum(axis=0)), ones
+
+
+def kernel_contributions(x: np.ndarray, background: np.ndarray, z: np.ndarray, design: tuple[np.ndarray, np.ndarray],
+                         score: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """(rows, features) contributions of ``x`` for the coalitions ``z``."""
+    n, d = x.shape
+    mixed = np.where(z[None, :, None, :] > 0, x[:, None, None, :], background[None, None, :, :])
+    values = score(mixed.reshape(-1, d)).reshape(n, len(z), len(background)).mean(axis=2)
+    base = float(score(background).mean())
+    a, c = design
+    return (values - base) @ a.T + np.outer(score(x) - base, c)
 
 
 def sampled_contributions(df: DataFrame, key: str, features: str, score: Callable[[np.ndarray], np.ndarray],
-                          names: Sequence[str], background: int = 100, permutations: int = 16) -> DataFrame:
+                          names: Sequence[str], background: int = 20, evaluations: int = 100) -> DataFrame:
     """Long (key, feature, value, shap, expected_value); ``to_wide`` for arrays.
 
-    ``score`` maps a (rows, features) matrix to scores, as ``treeshap.tree_scorer`` does for a fitted ensemble.
+    ``score`` maps a (rows, features) matrix to scores, as ``Ensemble.predict`` does for a fitted model.
     """
     d, names = len(names), list(names)
     x = df.select(F.col(key).alias("__k"), vector_to_array(F.col(features)).alias("__x"))
     # the background: at most `background` real rows with the smallest key hash (TakeOrderedAndProject)
     picked = (x.withColumn("__h", X.hash_int(F.col("__k").cast("string"))).orderBy("__h", "__k")
               .limit(background).select("__x").collect())
-    z = np.array([r["__x"] for r in picked], dtype=float).reshape(len(picked), d)
-    expected = float(score(z).mean()) if len(z) else 0.0
-    shared = df.sparkSession.sparkContext.broadcast(z)
-    text = F.col("__k").cast("string")
-    draws = x.select("__k", "__x", F.xxhash64("__k").alias("__seed"), F.array(*[
-        X.hash_mod(F.concat(text, F.lit(f"-{m}")), max(len(z), 1)).cast("int") for m in range(permutations)]).alias("__b"))
-    block = max(1, BLOCK_VALUES // max(1, permutations * (d + 1) * d))
+    rows = np.array([r["__x"] for r in picked], dtype=float).reshape(len(picked), d)
+    expected = float(score(rows).mean()) if len(rows) else 0.0
+    z, weights = coalitions(d, evaluations)
+    shared = df.sparkSession.sparkContext.broadcast((rows, z, solver(z, weights)))
+    block = max(1, BLOCK_VALUES // max(1, len(z) * len(rows) * d))
     kind = x.schema["__k"].dataType.simpleString()
 
     def run(batches):
@@ -76,12 +105,11 @@ def sampled_contributions(df: DataFrame, key: str, features: str, score: Callabl
             for at in range(0, len(pdf), block):
                 part = pdf.iloc[at:at + block]
                 own = np.stack(part["__x"].to_numpy())
-                phi = walk(own, shared.value[np.stack(part["__b"].to_numpy())],
-                           part["__seed"].to_numpy().view(np.uint64), score)
+                phi = kernel_contributions(own, *shared.value, score)
                 yield pd.DataFrame({"__k": np.repeat(part["__k"].to_numpy(), d), "feature": names * len(part),
                                     "value": own.ravel(), "shap": phi.ravel()})
 
-    out = draws.mapInPandas(run, f"__k {kind}, feature string, value double, shap double")
+    out = x.mapInPandas(run, f"__k {kind}, feature string, value double, shap double")
     return out.select(F.col("__k").alias(key), "feature", "value", "shap", F.lit(expected).alias("expected_value"))
 
 

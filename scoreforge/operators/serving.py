@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bundle
 from . import explain as E
 from . import features as FT
 from . import model as MD
@@ -52,6 +53,7 @@ def publish(spark: SparkSession, root: str, fm: MD.FittedModel, features: FT.Fit
     path = f"{root}/versions/{version}"
     MD.save_model(fm, spark, path, {"model_version": str(version)})
     features.save(spark, f"{path}/features")
+    bundle.write_manifest(spark, path)
     spark.createDataFrame([(version, path, published_at)], LOG).coalesce(1).write.mode("overwrite").parquet(
         f"{root}/log/entry={version}")
     return served(spark, version, features, path)

@@ -106,32 +106,6 @@ def contributions(x: np.ndarray, paths: list[LeafPath], n_features: int) -> np.n
     return phi
 
 
-def tree_scorer(trees: dict[int, dict[int, Node]], weights: list[float]):
-    """The raw ensemble as a numpy function: all rows step down a tree together."""
-    arrays = []
-    for tid, nodes in sorted(trees.items()):
-        ids = sorted(nodes)
-        at = {node: k for k, node in enumerate(ids)}
-        col = lambda f, dtype: np.array([f(nodes[i]) for i in ids], dtype=dtype)
-        arrays.append((col(lambda n: max(n.feature, 0), np.int64), col(lambda n: n.threshold, float),
-                       col(lambda n: at.get(n.left, -1), np.int64), col(lambda n: at.get(n.right, -1), np.int64),
-                       col(lambda n: n.prediction, float) * weights[tid]))
-
-    def score(x: np.ndarray) -> np.ndarray:
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for feature, threshold, left, right, value in arrays:
-            node = np.zeros(len(x), np.int64)
-            while True:
-                inner = left[node] >= 0
-                if not inner.any():
-                    break
-                down = np.where(x[rows, feature[node]] <= threshold[node], left[node], right[node])
-                node = np.where(inner, down, node)
-            total += value[node]
-        return total
-    return score
-
-
 def brute_force(x: np.ndarray, nodes: dict[int, Node], root: int, n_features: int) -> np.ndarray:
     """Exhaustive Shapley values of the cover-weighted conditional expectation
     game, for tests on tiny trees."""

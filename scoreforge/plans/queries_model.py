@@ -7,6 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..operators import bundle as B
 from ..operators import features as FT
 from ..operators import model as MD
 from ..operators import serving as SV
@@ -219,15 +220,18 @@ def m9(spark, sf_dir):
 @query("m10_run_log")
 def m10(spark, sf_dir):
     t = _t(spark, sf_dir)
+    started = t.lineitem.groupBy(F.concat(F.lit("run_"), "l_returnflag").alias("run_id")).agg(
+        F.date_format(F.max("l_shipdate"), "yyyy-MM-dd").alias("started_at"))
     scored = t.lineitem.select(F.concat(F.lit("run_"), "l_returnflag").alias("run_id"),
                                (F.col("l_tax") * 10).alias("y"), X.clip(F.col("l_discount") * 8, 0.0, 1.0).alias("p"))
-    runs = MD.grouped_metrics(scored, "run_id", "y", "p")
+    runs = MD.grouped_metrics(scored, "run_id", "y", "p").join(started, "run_id")
     path = work_path(spark, "tables", "run_log")
-    MD.run_log_rows(runs, "run_id", {"model": "linear"}, ["rmse", "mae", "r2"]).write.mode("append").parquet(path)
+    MD.run_log_rows(runs, "run_id", {"model": "linear", "started_at": F.col("started_at")}, ["rmse", "mae", "r2"]).write.mode("append").parquet(path)
     log = spark.read.parquet(path)
     ranked = MD.best_runs(log, "rmse")
     wide = log.where(F.col("kind") == "metric").groupBy("run_id").pivot("key", ["mae", "r2"]).agg(F.first("value"))
-    return _round_doubles(ranked.join(wide, "run_id"))
+    newest = MD.latest_run(log).select("run_id", F.lit(True).alias("is_latest"))
+    return _round_doubles(ranked.join(wide, "run_id").join(newest, "run_id", "left").na.fill(False, ["is_latest"]))
 
 
 @query("m11_model_info")
@@ -240,9 +244,7 @@ def m11(spark, sf_dir):
 
 @query("e2_sampled_contributions")
 def e2(spark, sf_dir):
-    """Sampled contributions of the fitted line scorer on lineitem (6 features,
-    16 draws = 112 evaluations per row).  For a linear scorer the estimate is
-    exact given the background rows drawn, so SQL can state it."""
+    """Kernel contributions of a linear scorer on lineitem (6 features: all 62 coalitions, 20 background rows)."""
     from ..operators.sampling_shap import sampled_contributions
     t = _t(spark, sf_dir)
     li = t.lineitem.withColumn("id", V.line_id())
@@ -252,3 +254,25 @@ def e2(spark, sf_dir):
     w = [0.0, 0.0, 0.02, 0.05, -0.04, 0.01]
     return _round_doubles(sampled_contributions(feats, "id", "features", lambda x: 0.5 + x @ np.array(w),
                                                 fitted.feature_names()))
+
+
+@query("e2_tree_contributions")
+def e2_tree(spark, sf_dir):
+    """Kernel contributions of a fitted tree (one split, three features): the whole difference is the split feature's."""
+    from ..operators.sampling_shap import sampled_contributions
+    data = one_split(_t(spark, sf_dir))
+    fm = MD.gbt_fit(data, params=J.ONE_SPLIT_PARAMS, feature_names=J.ONE_SPLIT_FEATURES)
+    model = MD.ensemble_of(fm, spark)
+    return _round_doubles(sampled_contributions(data, "id", "features", model.predict, J.ONE_SPLIT_FEATURES))
+
+
+@query("m9_bundle_parts")
+def m9_parts(spark, sf_dir):
+    """A published bundle against its manifest: as it is, and a copy with a missing, a changed and an older part."""
+    fitted, fm = J.fit_lines(_t(spark, sf_dir).lineitem)
+    root = work_path(spark, "models", "m9")
+    SV.publish(spark, root, fm, fitted, 1)
+    sound, spoilt = f"{root}/versions/1", f"{root}/spoilt"
+    B.copy_bundle(spark, sound, spoilt, leave_out=["features/num_stats"], cut=["model/data"], versions={"pyspark": "0.0"})
+    name = lambda df, n: df.withColumn("bundle", F.lit(n))
+    return name(B.check_parts(spark, sound), "sound").unionByName(name(B.check_parts(spark, spoilt), "spoilt"))

@@ -138,7 +138,8 @@ def recent_log_query(log: DataFrame, payload_schema: T.StructType | str, limit:
                      start: str | None = None, end: str | None = None, order_key: str = "id") -> DataFrame:
     """Optional gid / time filters (inclusive, compared as times, empty = no
     filter), newest first by the id, first ``limit`` rows; an unparsable payload
-    becomes null.  On a log partitioned by day the times also prune ``ds``; the
+    becomes null.  On a log partitioned by day the times (as days of UTC, whatever
+    offset they are given with) also prune ``ds``; the
     ordered limit is a TakeOrderedAndProject (per-task top-n, no global sort)."""
     out = log
     if gid:
@@ -150,9 +151,9 @@ def recent_log_query(log: DataFrame, payload_schema: T.StructType | str, limit:
         out = out.where(at <= F.to_timestamp(F.lit(end)))
     if "ds" in log.columns:
         if start:
-            out = out.where(F.col("ds") >= F.lit(str(start)[:10]))
+            out = out.where(F.col("ds") >= F.date_format(F.to_timestamp(F.lit(start)), "yyyy-MM-dd"))
         if end:
-            out = out.where(F.col("ds") <= F.lit(str(end)[:10]))
+            out = out.where(F.col("ds") <= F.date_format(F.to_timestamp(F.lit(end)), "yyyy-MM-dd"))
     out = out.orderBy(F.desc(order_key)).limit(int(limit))
     return out.withColumn("payload", parse_payload(F.col("payload_json"), payload_schema))
 

@@ -107,3 +107,37 @@ def test_running_sum_carries_across_arrow_batches(spark):
             assert r["next_x"] == (None if r["x"] == 19.0 else r["x"] + 1)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", prev)
+
+
+def test_kept_day_counts_equal_a_full_comparison(spark, tmp_path):
+    import random
+    from pyspark.sql import functions as F
+    from scoreforge.operators import drift as D
+    random.seed(3)
+    rows = [(f"2024-01-{1 + i % 20:02d}", random.choice([None, float("nan"), random.gauss(i % 20, 3)]), random.choice(["a", "b", None]))
+            for i in range(600)]
+    df = spark.createDataFrame(rows, "ds string, x double, c string")
+    kept = D.DayCounts(spark, str(tmp_path / "counts"), ["x"], ["c"])
+    kept.backfill(df.where("ds <= '2024-01-12'"), F.col("ds"))
+    for day in range(10, 21):                        # days 10 to 12 come again: they count once
+        ds = f"2024-01-{day:02d}"
+        for _ in range(1 + day % 2):                 # a day that runs again replaces itself
+            kept.put(df.where(F.col("ds") == ds).drop("ds"), ds)
+    for since, until in (("2024-01-15", None), ("2024-01-11", "2024-01-16")):
+        upto = df if until is None else df.where(F.col("ds") <= until)
+        ref, cur = upto.where(F.col("ds") < since), upto.where(F.col("ds") >= since)
+        number, category = kept.compared(since, until)
+        assert D.numeric_drift_of(number).collect() == D.numeric_drift(ref, cur, ["x"]).collect()
+        assert D.categorical_drift_of(category).collect() == D.categorical_drift(ref, cur, ["c"]).collect()
+
+
+def test_daily_job_reads_the_reference_once(spark, tmp_path):
+    from scoreforge.plans.daily import daily_job
+    from scoreforge.sources.tables import Tables
+    from conftest import SF001
+    out = str(tmp_path / "daily")
+    first = daily_job(spark, Tables(spark, SF001), out=out).first().asDict()
+    made = spark.read.parquet(f"{out}/counts/history").inputFiles()
+    again = daily_job(spark, Tables(spark, SF001), out=out).first().asDict()
+    assert spark.read.parquet(f"{out}/counts/history").inputFiles() == made
+    assert again == first

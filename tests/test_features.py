@@ -44,7 +44,8 @@ def test_tfidf_transform_l2_and_empty_docs(spark):
 def test_label_transform_unseen_and_unknown(spark):
     fit = spark.createDataFrame([("b",), ("a",), (None,)], "c string")
     labels = FT.label_fit(fit, ["c"])
-    assert labels.values["c"] == ["Unknown", "a", "b"]
+    assert [(r["value"], r["code"]) for r in labels.table.orderBy("code").collect()] == [("Unknown", 0), ("a", 1), ("b", 2)]
+    assert labels.sizes == {"c": (3, 0)}
     new = spark.createDataFrame([("a",), ("zz",), (None,), ("b",)], "c string")
     assert [r[0] for r in FT.label_transform(new, labels).collect()] == [1, 0, 0, 2]
     # no 'Unknown' at fit: unseen and null get n
@@ -110,7 +111,18 @@ def test_an_empty_vocabulary_gives_zero_vectors(spark):
     v = FT.tfidf_fit(docs, "text", min_df=2)
     assert v.terms == [] and v.n_docs == 2
     out = FT.tfidf_transform(tokenize(docs, "text"), v).select(vector_to_array("tfidf").alias("w")).collect()
-    assert all(not any(r["w"]) for r in out)
+    assert all(len(r["w"]) == 0 for r in out)
+
+
+def test_an_empty_vocabulary_passes_the_whole_pipeline(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two", 1.0), (2, None, 3.0)], "doc_id long, text string, x double")
+    for num in (["x"], []):
+        fitted = FT.FeaturePipeline(text_col="text", num_cols=num, min_df=2).fit(docs)
+        fitted.save(spark, str(tmp_path / f"state{len(num)}"))
+        for state in (fitted, FT.FittedFeatures.load(spark, str(tmp_path / f"state{len(num)}"))):
+            sizes = {r["features"].size for r in state.transform(docs).collect()}
+            assert sizes == {len(state.feature_names())} == {len(num)}
+            assert state.long_form(docs, "doc_id").count() == 2 * len(num)
 
 
 def test_accents_of_all_scripts_are_folded(spark):

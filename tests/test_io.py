@@ -61,3 +61,15 @@ def test_append_counts_while_writing_once(spark, tmp_path):
             yield b
     df = spark.range(5, numPartitions=1).mapInArrow(touch, "id long")
     assert IO.append_cases(df, str(tmp_path / "t"), ["id"], gid="id") == 5 and seen.value == 5
+
+
+def test_recent_log_day_pruning_follows_utc(spark):
+    from scoreforge.sources import io as IO
+    log = spark.createDataFrame([(1, "g", "{}", 0.5, "Low", None, "2024-01-11T02:00:00+00:00", "2024-01-11")],
+                                "id long, gid string, payload_json string, prediction double, confidence string, "
+                                "explanation_summary string, created_at string, ds string")
+    for end, n in (("2024-01-10T23:00:00-05:00", 1), ("2024-01-10T20:00:00-05:00", 0), ("2024-01-11T03:00:00Z", 1)):
+        assert IO.recent_log_query(log, "a int", end=end).count() == n
+        assert IO.recent_log_query(log.drop("ds"), "a int", end=end).count() == n
+    for start, n in (("2024-01-11T10:00:00+09:00", 1), ("2024-01-11T12:00:00+09:00", 0)):
+        assert IO.recent_log_query(log, "a int", start=start).count() == n

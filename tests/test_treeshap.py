@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
@@ -63,42 +66,60 @@ def test_permutation_importance_and_sampled_shap(spark, tmp_path):
         fm, spark, ["a", "b", "c"], "permutation", df, "id", "y").collect()}
     assert imp["a"] > 0.1 and abs(imp["b"]) < 0.05 and abs(imp["c"]) < 0.05
 
-    # a linear scorer: every draw gives w_j (x_j - z_j); contributions add up to f(x) - mean f(z drawn)
+    assert imp["b"] == 0.0 or "b" in {["a", "b", "c"][f] for f in MD.ensemble_of(fm, spark).trees_of}
+    # a linear scorer: w_j (x_j - mean of the background); contributions add up to f(x) - expected value
     w = np.array([0.3, -0.2, 0.1])
-    c = sampled_contributions(df, "id", "features", lambda x: 0.5 + x @ w, ["a", "b", "c"], background=20, permutations=8)
+    c = sampled_contributions(df, "id", "features", lambda x: 0.5 + x @ w, ["a", "b", "c"], background=20)
     got = {}
     for r in c.collect():
         got.setdefault(r["id"], {})[r["feature"]] = r
     assert len(got) == 400 and all(len(v) == 3 for v in got.values())
     for i, *x in rows:
         total = sum(r["shap"] for r in got[i].values())
-        assert abs(total - (0.5 + float(np.dot(w, x)) - got[i]["a"]["expected_value"])) < 0.5
+        assert abs(total - (0.5 + float(np.dot(w, x)) - got[i]["a"]["expected_value"])) < 1e-9
         assert [got[i][f]["value"] for f in "abc"] == x
-    # a tree ensemble as the scorer: the same raw predictions, and sampled values near the exact ones
-    path = str(tmp_path / "m")
-    MD.save_model(fm, spark, path)
-    score = TS.tree_scorer(*MD.node_table(spark, path))
+    # a fitted ensemble as the scorer: the same raw predictions
     raw = {r["id"]: r["prediction"] for r in fm.predict(df, clip=False).collect()}
-    mine = score(np.array([x for _, *x in rows]))
+    mine = MD.ensemble_of(fm, spark).predict(np.array([x for _, *x in rows]))
     assert np.allclose(mine, [raw[i] for i, *_ in rows], atol=1e-9)
 
 
-def test_walk_equals_exhaustive_shapley_over_all_orders():
+def _shapley(x, background, score):
+    """Exhaustive Shapley values of the mean score over the background."""
+    d = len(x)
+
+    def value(s):
+        rows = background.copy()
+        rows[:, list(s)] = x[list(s)]
+        return score(rows).mean()
+    phi = np.zeros(d)
+    for i in range(d):
+        for r in range(d):
+            for s in itertools.combinations([j for j in range(d) if j != i], r):
+                weight = math.factorial(r) * math.factorial(d - r - 1) / math.factorial(d)
+                phi[i] += weight * (value(s + (i,)) - value(s))
+    return phi
+
+
+def test_kernel_fit_is_the_shapley_value_of_a_tree_scorer():
+    from scoreforge.operators import sampling_shap as K
+    from scoreforge.operators.ensemble import Ensemble
     rng = np.random.default_rng(4)
-    x, z = rng.normal(size=(1, 3)), rng.normal(size=3)
-    score = lambda m: m[:, 0] * m[:, 1] + np.maximum(m[:, 2], m[:, 0])
-    draws = 6000
-    from scoreforge.operators.sampling_shap import walk
-    phi = walk(x, np.broadcast_to(z, (1, draws, 3)), np.array([7], np.uint64), score)[0]
-    import itertools
-    want = np.zeros(3)
-    for order in itertools.permutations(range(3)):
-        row = z.copy()
-        for j in order:
-            before = score(row[None])[0]
-            row[j] = x[0, j]
-            want[j] += (score(row[None])[0] - before) / 6
-    assert np.allclose(phi, want, atol=0.1) and abs(phi.sum() - (score(x)[0] - score(z[None])[0])) < 1e-9
+    for d, evaluations in ((1, 100), (2, 100), (5, 100), (6, 100)):
+        score = Ensemble({t: _random_tree(rng, 4, d) for t in range(3)}, [1.0, 0.5, 0.25]).predict
+        x, background = rng.normal(size=(4, d)), rng.normal(size=(7, d))
+        z, w = K.coalitions(d, evaluations)
+        assert len(z) == 2 ** d - 2
+        phi = K.kernel_contributions(x, background, z, K.solver(z, w), score)
+        assert np.allclose(phi, [_shapley(r, background, score) for r in x], atol=1e-9)
+    # more coalitions than evaluations: bounded work, the sum still exact, values near
+    score = Ensemble({t: _random_tree(rng, 3, 9) for t in range(3)}, [1.0, 0.5, 0.25]).predict
+    x, background = rng.normal(size=(3, 9)), rng.normal(size=(6, 9))
+    z, w = K.coalitions(9, 100)
+    assert len(z) <= 100
+    phi = K.kernel_contributions(x, background, z, K.solver(z, w), score)
+    assert np.allclose(phi.sum(axis=1), score(x) - score(background).mean(), atol=1e-9)
+    assert np.abs(phi - [_shapley(r, background, score) for r in x]).max() < 0.3 * np.ptp(score(background)) + 0.05
 
 
 def test_depth_eight_paths_are_exact_and_small(spark):
