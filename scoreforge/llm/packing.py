@@ -36,83 +36,185 @@ PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 _PIECE = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
 
-_MARK = re.compile(rb"([.,])(?<=[a-z][.,])(?=\s|\Z)")
+#: Multipliers of the two word hashes, odd and so invertible modulo 2^64.
+_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\x0c")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[ord("a"):ord("z") + 1] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,")] = True
+#: Bytes hashed at a time.
+BLOCK = 4_000_000
 
 
-def words_of(text: str) -> list[bytes]:
-    """Parts of a text whose ids, one after the other, are the text's ids.
+class _Powers:
+    """Powers of the hash bases and of their inverses, grown by doubling."""
 
-    No alternative of the tokenizer's pattern, none of its added tokens and no
-    canonical composition crosses ASCII white space.  ASCII letters are
-    lower-cased by the tokenizer anyway, and a single full stop or comma between a
-    letter and white space is a part of its own to it; both are done here, which
-    leaves fewer different words.  Texts that could hold an added token are only split.
-    """
-    raw = text.encode("utf-8", "surrogatepass")
-    return raw.split() if b"<|" in raw else _MARK.sub(rb" \1", raw.lower()).split()
+    def __init__(self):
+        self.up = [np.ones(1, np.uint64) for _ in _BASES]
+        self.down = [np.ones(1, np.uint64) for _ in _BASES]
+
+    def reach(self, n: int):
+        while len(self.up[0]) < n:
+            have = len(self.up[0])
+            for k, base in enumerate(_BASES):
+                inverse = pow(base, -1, 1 << 64)
+                self.up[k] = np.concatenate([self.up[k], self.up[k] * np.uint64(pow(base, have, 1 << 64))])
+                self.down[k] = np.concatenate([self.down[k], self.down[k] * np.uint64(pow(inverse, have, 1 << 64))])
 
 
-class _Places(dict):
-    """Word -> place; a word not seen before gets the next place and is noted as fresh."""
+_POWERS = _Powers()
 
-    def __init__(self, words=()):
-        super().__init__((w, i) for i, w in enumerate(words))
-        self.fresh: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> int:
-        place = self[word] = len(self)
-        self.fresh.append(word)
-        return place
+def spans_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the parts of lower-cased bytes whose ids, one after the other, are the text's ids.
+
+    No alternative of the tokenizer's pattern, none of its added tokens and no
+    canonical composition crosses ASCII white space.  ASCII letters are
+    lower-cased by the tokenizer anyway, and a single full stop or comma between a
+    letter and white space is a part of its own to it, which leaves fewer different words.
+    """
+    blank = np.ones(len(raw) + 2, bool)
+    blank[1:-1] = _SPACE[raw]
+    mark = np.zeros(len(raw) + 1, bool)
+    mark[1:-1] = _MARK[raw[1:]] & _LETTER[raw[:-1]] & blank[3:]
+    starts = ~blank[1:-1] & (blank[:-2] | mark[:-1])
+    ends = ~blank[1:-1] & (blank[2:] | mark[1:])
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit polynomial hashes of each span, from prefix sums modulo 2^64."""
+    _POWERS.reach(len(raw) + 1)
+    wide, out = raw.astype(np.uint64) + np.uint64(1), []
+    for up, down in zip(_POWERS.up, _POWERS.down):
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(wide * up[:len(raw)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts]
+        out.append((h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9))
+    return out
 
 
 class WordIds:
-    """Ids of texts through a store of the ids of their words, of ``most`` words and those of one call at most."""
+    """Ids of texts through a store of the ids of their words, of ``most`` words and those of one block at most.
+
+    A word is known by one hash and checked by the other; where a check fails, its text is tokenized whole.
+    """
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.most = most
-        self.index = _Places()
         self.ids = np.zeros(0, np.uint32)
+        self.known = self.check = np.zeros(0, np.uint64)           # hashes in order, and the second ones
+        self.place = np.zeros(0, np.int64)                         # of the sorted hashes in the arrays below
         self.begin = self.size = self.used = np.zeros(0, np.int64)
 
     def _forget(self):
         """Keep the words used again since they came in, and half of the store at most."""
         order = np.argsort(-self.used, kind="stable")[:self.most // 2]
         keep = np.sort(order[self.used[order] > 1])
-        names = list(self.index)
-        self.index = _Places(names[i] for i in keep.tolist())
+        number = np.full(len(self.used), -1, np.int64)
+        number[keep] = np.arange(len(keep))
+        place = number[self.place]
+        stay = place >= 0
+        self.known, self.check, self.place = self.known[stay], self.check[stay], place[stay]
         self.ids, self.size = self._ids(keep), self.size[keep]
         self.begin = np.cumsum(self.size) - self.size
         self.used = np.zeros(len(keep), np.int64)
 
-    def _learn(self):
-        """Tokenize the fresh words, in the order of their places."""
-        words = [w.decode("utf-8", "replace") for w in self.index.fresh]
-        self.index.fresh.clear()
-        lists = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _learn(self, words: list[bytes], known: np.ndarray, check: np.ndarray):
+        """Tokenize fresh words and put their hashes among the known ones."""
+        lists = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words],
+                                                                 add_special_tokens=False)]
+        place = np.arange(len(self.size), len(self.size) + len(lists))
         self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32)])
         self.size = np.concatenate([self.size, np.fromiter(map(len, lists), np.int64, len(lists))])
         self.begin = np.cumsum(self.size) - self.size
         self.used = np.concatenate([self.used, np.zeros(len(lists), np.int64)])
+        at = np.searchsorted(self.known, known)
+        self.known, self.check = np.insert(self.known, at, known), np.insert(self.check, at, check)
+        self.place = np.insert(self.place, at, place)
 
     def _ids(self, at: np.ndarray) -> np.ndarray:
         size = self.size[at]
         ends = np.cumsum(size)
         return self.ids[np.repeat(self.begin[at] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
+    def _places(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each word of a block, its start, and whether the second hash agrees."""
+        data = np.frombuffer(raw, np.uint8)
+        starts, ends = spans_of(data)
+        h, check = word_hashes(data, starts, ends)
+        order = np.argsort(h)
+        ranked = h[order]
+        new = np.ones(len(h), bool)
+        new[1:] = ranked[1:] != ranked[:-1]
+        own, first = ranked[new], order[new]
+        at = np.searchsorted(self.known, own)
+        fresh = np.ones(len(own), bool)
+        inside = at < len(self.known)
+        fresh[inside] = self.known[at[inside]] != own[inside]
+        if fresh.any():
+            bounds = zip(starts[first[fresh]].tolist(), ends[first[fresh]].tolist())
+            self._learn([raw[a:b] for a, b in bounds], own[fresh], check[first[fresh]])
+            at = np.searchsorted(self.known, own)
+        word = np.empty(len(h), np.int64)
+        word[order] = at[np.cumsum(new) - 1]
+        places = self.place[word]
+        self.used += np.bincount(places, minlength=len(self.used))
+        return places, starts, self.check[word] == check
+
     def encode(self, values: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, without the end id."""
-        if len(self.index) > self.most:
+        out: list[np.ndarray | None] = [None] * len(values)
+        block, held = [], 0
+        for i, v in enumerate(values):
+            raw = (v or "").encode("utf-8", "surrogatepass")
+            if b"<|" in raw:                                       # could hold an added token
+                out[i] = self._whole(v)
+                continue
+            block.append((i, raw.lower()))
+            held += len(raw) + 1
+            if held >= BLOCK:
+                self._block(block, values, out)
+                block, held = [], 0
+        self._block(block, values, out)
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _block(self, block: list[tuple[int, bytes]], values: list, out: list):
+        """Ids of the texts of one block; a text longer than a block is taken in parts cut at white space."""
+        if not block:
+            return
+        if len(self.known) > self.most:
             self._forget()
-        place = self.index.__getitem__
-        places = []
-        for v in values:
-            words = words_of(v or "")
-            places.append(np.fromiter(map(place, words), np.int64, len(words)))
-        self._learn()
-        self.used += np.bincount(np.concatenate([np.zeros(0, np.int64), *places]), minlength=len(self.used))
-        return [self._ids(at) for at in places]
+        if len(block) == 1 and len(block[0][1]) > 2 * BLOCK:
+            i, raw = block[0]
+            parts, at = [], 0
+            while at < len(raw):
+                cut = re.compile(rb"[ \t\n\r\x0b\x0c]").search(raw, min(at + BLOCK, len(raw)))
+                end = cut.end() if cut else len(raw)
+                places, _, same = self._places(raw[at:end])
+                parts.append(self._ids(places))
+                if not same.all():
+                    out[i] = self._whole(values[i])
+                    return
+                at = end
+            out[i] = np.concatenate(parts)
+            return
+        places, starts, same = self._places(b" ".join(raw for _, raw in block))
+        sizes = np.array([len(raw) + 1 for _, raw in block])
+        words = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))      # first word of each text
+        tokens = np.concatenate([[0], np.cumsum(self.size[places])])[words]
+        ids = self._ids(places)
+        wrong = np.flatnonzero(~same)
+        spoilt = set((np.searchsorted(words, wrong, side="right") - 1).tolist())
+        for k, (i, _) in enumerate(block):
+            out[i] = self._whole(values[i]) if k in spoilt else ids[tokens[k]:tokens[k + 1]]
 
 
 _WORDS: dict[str, WordIds] = {}
@@ -129,32 +231,51 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+#: Telling tokens that order the rests.
+TELLING = 3
+
+
+def _documents(ids: list[np.ndarray], vocabulary: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the documents holding each token, and the TELLING most telling tokens of each document (-1: fewer)."""
+    sizes = np.array([len(x) for x in ids])
+    key, count = np.unique(np.repeat(np.arange(len(ids)), sizes) * vocabulary + np.concatenate(ids), return_counts=True)
+    doc, token = key // vocabulary, key % vocabulary
+    order = np.lexsort((token, -count * weight[token], doc))
+    first = np.searchsorted(doc, np.arange(len(ids)))
+    telling = np.full((len(ids), TELLING), -1, np.int32)
+    place = np.arange(len(doc)) - first[doc]              # documents are in order before and after
+    top = place < TELLING
+    telling[doc[top], place[top]] = token[order][top]
+    return np.bincount(token, minlength=vocabulary), telling
+
+
 def _tokenize(path: str):
     schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()),
                         ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()),
-                        ("offset", pa.int64()), ("ids", pa.binary()), ("telling", pa.int32()),
+                        ("offset", pa.int64()), ("ids", pa.binary()), ("telling", pa.list_(pa.int32())),
                         ("tokens", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches):
-        """kind 0: a whole window; 1: a document's rest, with its most telling id; 2: this task's document counts."""
+        """kind 0: a whole window; 1: a document's rest, with its most telling ids; 2: this task's document counts."""
         words, task, made = word_ids(path), TaskContext.get().partitionId(), 0
-        seen = np.zeros(words.tokenizer.get_vocab_size(), np.int64)
-        telling = np.log1p(np.arange(len(seen)))     # ids are in the order of merges, common ones first
+        vocabulary = words.tokenizer.get_vocab_size()
+        seen = np.zeros(vocabulary, np.int64)
+        weight = np.log1p(np.arange(vocabulary))     # ids are in the order of merges, common ones first
         for batch in all_chunks(batches, "text"):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text").to_pylist())):
-                ids = np.append(ids, np.uint32(END))
-                n, at = len(ids), 0
+            every = [np.append(ids, np.uint32(END)) for ids in words.encode(batch.column("text").to_pylist())]
+            held, telling = _documents(every, vocabulary, weight)
+            seen += held
+            for doc, ids, own in zip(batch.column("doc_id").to_pylist(), every, telling.tolist()):
+                n = len(ids)
                 for at in range(0, n - WINDOW + 1, WINDOW):
                     sequence = (1 << 62) | (task << 36) | made
                     rows.append((0, doc, at, WINDOW, _crc(ids[at:at + WINDOW]), n, sequence, 0, None, None, None, None))
                     made += 1
-                own, counts = np.unique(ids, return_counts=True)
-                seen[own] += 1
                 rest = n // WINDOW * WINDOW
                 if rest < n:
                     rows.append((1, doc, rest, n - rest, None, n, None, None, ids[rest:].astype("<u4").tobytes(),
-                                 int(own[np.argmax(counts * telling[own])]), None, None))
+                                 own, None, None))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         own = np.flatnonzero(seen)
         if len(own):
@@ -164,7 +285,7 @@ def _tokenize(path: str):
 
 
 _TOKENIZED = ("kind int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
-              "offset long, ids binary, telling int, tokens array<int>, counts array<long>")
+              "offset long, ids binary, telling array<int>, tokens array<int>, counts array<long>")
 
 
 class Shard:
@@ -326,9 +447,9 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
         idf[r["token"]] = np.log(1 + (max(n, r["docs"]) - r["docs"] + 0.5) / (r["docs"] + 0.5))
     shared = spark.sparkContext.broadcast(idf)
 
-    dealt = (rests.withColumn("_row", F.xxhash64("doc_id", "start", "ids"))
-             .select("telling", "_row", "doc_id", "start", "ids", "doc_tokens")
-             .repartitionByRange(int(tokens // task_tokens) + 1, "telling", "_row")
-             .sortWithinPartitions("telling", "_row"))
+    # by content alone: equal texts adjoin, alike ones share their most telling tokens
+    order = ["telling", "_content", "doc_id", "start"]
+    dealt = (rests.withColumn("_content", F.xxhash64("ids")).select(*order, "ids", "doc_tokens")
+             .repartitionByRange(int(tokens // task_tokens) + 1, *order).sortWithinPartitions(*order))
     packed = dealt.select("doc_id", "start", "ids", "doc_tokens").mapInArrow(_pack(shared, tokens / n, shard_docs), PIECE)
     return whole.unionByName(packed)
