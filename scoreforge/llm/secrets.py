@@ -44,9 +44,14 @@ CONTEXT_WORDS = ("auth", "bearer", "credential", "private", "pass", "pwd", "secr
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: What may stand between the lines of one string.
 JOIN = re.compile(r"""[\s"'\\+,>#*]*(?:\\[nr][\s"'\\+,>#*]*)*""")
-#: A private key block: its body without header lines.
-BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----\s*(?:[A-Za-z-]+:[^\n]*\n\s*)*"
-                   r"([A-Za-z0-9+/=\s\\]*?)\s*-----END")
+#: Characters that may stand between two lines of one string.
+JOIN_REACH = 4096
+#: Ends of a private key block, header lines in it, and what its body is made of.
+BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]{0,64}PRIVATE KEY[A-Z ]{0,64}-----")
+END = "-----END"
+HEADER = re.compile(r"[A-Za-z-]{1,64}:[^\n]*\n")
+BODY = re.compile(r"[A-Za-z0-9+/=\s\\]*")
+SPACE = re.compile(r"\s*")
 #: Identifiers and code that prime the compressor, most likely last.
 IDENTIFIERS = (
     b"ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 1234567890 0000000000000000 aaaaaaaaaaaaaaaa "
@@ -97,13 +102,38 @@ def _uncovered(text: str, a: int, b: int, taken: list[tuple[int, int, int]]) ->
     return [(x, y) for x, y in parts if x in values or y in values or (y - x >= 16 and _mixed(text[x:y]))]
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Bodies of private key blocks, without header lines and outer white space, in one pass over the text.
+
+    A block ends at the next end line; one without an end, or with other characters in its body, is no block.
+    """
+    blocks = []
+    if "PRIVATE KEY" not in text:
+        return blocks
+    at, end = 0, -1
+    while (m := BEGIN.search(text, at)) is not None:
+        at = m.end()
+        if end < at:
+            end = text.find(END, at)               # looked for once, however many blocks begin before it
+            if end < 0:
+                break
+        a = SPACE.match(text, at, end).end()
+        while (h := HEADER.match(text, a, end)) is not None:
+            a = SPACE.match(text, h.end(), end).end()
+        b = a + len(text[a:end].rstrip())
+        if a < b and BODY.match(text, a, b).end() == b:
+            blocks.append((a, b))
+            at = end
+    return blocks
+
+
 def novel_spans(text: str, taken: list[tuple[int, int, int]], around: int = 160, reach: int = 48,
                 least: float = 0.7) -> list[tuple[int, int, int]]:
     """Incompressible candidates within ``reach`` characters after a sensitive word, or on the line after one reported."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    blocks = [m.span(1) for m in BLOCK.finditer(text) if m.group(1)] if "PRIVATE KEY" in text else []
+    blocks = key_blocks(text)
     spans = [(3, x, y) for a, b in blocks for x, y in _rest(a, b, taken)]
     busy = sorted(taken, key=lambda s: s[1:])
     at, last = 0, -1                           # last: where the string reported before ends
@@ -115,7 +145,8 @@ def novel_spans(text: str, taken: list[tuple[int, int, int]], around: int = 160,
         while at < len(busy) and busy[at][2] <= a:
             last = max(last, busy[at][2]) if busy[at][0] else last
             at += 1
-        follows = 0 <= last <= a and JOIN.fullmatch(text, last, a) is not None
+        # a line joined to a reported one is near it: what stands between is bounded
+        follows = 0 <= last <= a <= last + JOIN_REACH and JOIN.fullmatch(text, last, a) is not None
         if not (_mixed(found) or follows) or not (follows or CONTEXT.search(text, max(0, a - reach), a)):
             continue
         touched = [s for s in busy[at:] if s[1] < b and s[2] > a] if at < len(busy) and busy[at][1] < b else []

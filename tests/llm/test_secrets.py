@@ -86,3 +86,27 @@ def test_report_and_redaction(spark, make_docs):
     clean = {r["doc_id"]: r["text"] for r in S.redact_secrets(make_docs([*ODD, (50, text)])).collect()}
     assert clean[50] == 'a [removed]" b' and clean[1] is None and clean[4] == "plain words in a row"
     assert S.scan_secrets(make_docs([])).count() == 0
+
+
+def test_long_and_open_key_blocks_take_linear_time():
+    import time
+    n = 100_000
+    texts = ["-----BEGIN PRIVATE KEY-----" + " " * n, "-----BEGIN RSA PRIVATE KEY-----\n" + "A1b2" * n,
+             "-----BEGIN PRIVATE KEY-----\n" * (n // 20), ("-----BEGIN PRIVATE KEY-----" + " " * 50) * 2000 + "-----END",
+             "-----BEGIN PRIVATE KEY-----\n" + "x: y\n" * (n // 5) + "-----END", "secret " + "a1b2c3d4e5f6g7h8 " * (n // 17),
+             "token: abcdefgh" + "\n" * n + "abcdef0123456789abcd", "key " + "ab12" * n]
+    for text in texts:
+        began = time.time()
+        S.scan(text)
+        assert time.time() - began < 1
+
+
+def test_key_block_bodies():
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    text = f"x {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: A,B\n\nMIIEabc\nDEF+/==\n{foot} y"
+    (a, b), = S.key_blocks(text)
+    assert text[a:b] == "MIIEabc\nDEF+/=="
+    assert S.key_blocks(f"{head}\nMIIE") == [] and S.key_blocks(f"{head}\n{foot}") == []
+    assert S.key_blocks(f"{head}\nnot a body!\n{foot}") == []
+    two = f"{head}\nAAAA\n{foot}\n{head}\nBBBB\n{foot}"
+    assert [two[a:b] for a, b in S.key_blocks(two)] == ["AAAA", "BBBB"]
