@@ -90,3 +90,40 @@ def test_a_seed_is_followed_by_its_nearest_neighbours():
     order = [p[0] for p in sorted(packer.pieces, key=lambda p: (p[5], p[6]))]
     first = list(dict.fromkeys(order))
     assert set(first[:3]) == {0, 2, 4}
+
+
+def test_hashes_tell_words_apart_and_failed_checks_are_tokenized_whole(monkeypatch):
+    texts = ["one two. three", "two, one", "", "x" * 9, "a  b\tc\nd."] + ODD_TEXTS
+    tokenizer = Tokenizer.from_file(PATH)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    plain = packing.word_hashes
+    monkeypatch.setattr(packing, "word_hashes", lambda *a: [plain(*a)[0] % np.uint64(5), plain(*a)[1]])   # many collisions
+    words = packing.WordIds(PATH)
+    for _ in range(2):
+        assert [x.tolist() for x in words.encode(texts)] == want
+    monkeypatch.setattr(packing, "word_hashes", plain)
+    monkeypatch.setattr(packing, "BLOCK", 64)
+    long = " ".join(texts[:4] * 40)                       # longer than two blocks: taken in parts
+    assert packing.WordIds(PATH).encode([long])[0].tolist() == tokenizer.encode(long, add_special_tokens=False).ids
+
+
+def test_pairs_meet_although_all_share_a_hot_token(spark):
+    """3,000 pairs of equal or nearly equal texts, one frequent token in all: the neighbours a full index gives meet."""
+    rng = np.random.default_rng(5)
+    words = np.array(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4000)])
+    rows = []
+    for k in range(3000):
+        own = rng.choice(words, 40).tolist()
+        near = list(own)
+        if k % 2:
+            near[int(rng.integers(40))] = str(rng.choice(words))
+        for j, text in enumerate((own, near)):
+            rows.append((2 * k + j, " ".join(["zyzzyvas"] * 30 + text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    where = {}
+    for r in packing.pack(docs, PATH).collect():
+        where.setdefault(r["doc_id"], set()).add(r["sequence_id"])
+    for kind in (0, 1):
+        met = np.mean([bool(where[2 * k] & where[2 * k + 1]) for k in range(kind, 3000, 2)])
+        print("pairs that meet", kind, met)
+        assert met >= 0.9
