@@ -2,11 +2,12 @@
 
 Groups (equal texts) are the items; only a group that exceeds a shard's own share of some
 total is split.  Large groups are whole too: they are few, and are given their shards first.
-Items are dealt to cells; in a cell they are taken in descending size and each goes to the
-bin where the dot product of its size vector with the bins' residual
-capacities is highest.  A cell's bins are then matched to the shards the same
-way, the largest first, which evens out what the cells left.  Only the bins'
-loads (cells x shards rows, both bounded parameters) reach the driver.
+The other items are dealt to cells, each of which has an equal part of what is free of every shard; in a cell
+they are taken in descending size and each goes to the shard where the dot product of its size
+vector with the residual capacities is highest.  Items that are large for a cell, though not for a
+shard, go first, and the small ones then fill what is really free, so that what the cells leave
+uneven is of the size of their smallest items.  Only the cells' loads (cells x shards rows, both
+bounded parameters) reach the driver.
 
 Law: ``bytes``.  Defined cases: a null text has no bytes and is grouped with empty ones;
 repeated rows are rows of one group; a null id is carried along; ties go to the lowest
@@ -24,9 +25,9 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 _DIMENSIONS = ("size", "tokens", "rows")
-_PLACED = "doc_id long, size long, text_crc32 long, tokens long, cell int, bin int, at long"
+_PLACED = "doc_id long, size long, text_crc32 long, tokens long, cell int, shard int, at long"
 _PLACED_ARROW = pa.schema([("doc_id", pa.int64()), ("size", pa.int64()), ("text_crc32", pa.int64()), ("tokens", pa.int64()),
-                           ("cell", pa.int32()), ("bin", pa.int32()), ("at", pa.int64())])
+                           ("cell", pa.int32()), ("shard", pa.int32()), ("at", pa.int64())])
 
 
 def best_bin(item: np.ndarray, residual: np.ndarray) -> int:
@@ -47,13 +48,14 @@ def settle(groups: list[tuple], totals: np.ndarray, shards: int) -> tuple[dict[i
 
 def _place(totals: np.ndarray, shards: int, room: np.ndarray):
     def run(batches):
-        """Rows sorted by unit, units in descending size: all rows of a unit go to one bin.
+        """Rows sorted by unit, units in descending size: all rows of a unit go to one shard.
 
-        Rows of a settled group go to its shard, as cells below zero.
+        ``room`` is this cell's part of what is free of each shard; rows of a settled group go to its shard.
         """
         cell = TaskContext.get().partitionId()
-        residual = room.copy()                 # this cell's part of what is free of each shard's share
-        used, used_settled = np.zeros(shards, np.int64), np.zeros(shards, np.int64)
+        turn = (np.arange(shards) + cell) % shards         # equal residuals: cells begin at different shards
+        residual = room[turn]
+        used = np.zeros(shards, np.int64)
         scale = shards / np.maximum(totals, 1.0)
         open_unit, target = None, 0
         for batch in batches:
@@ -64,45 +66,26 @@ def _place(totals: np.ndarray, shards: int, room: np.ndarray):
             sums = np.stack([batch.column("unit_" + d).to_numpy() for d in _DIMENSIONS], axis=1) * scale
             starts = np.concatenate([[0], np.flatnonzero((np.diff(group) != 0) | (np.diff(salt) != 0)) + 1])
             ends = np.append(starts[1:], n)
-            bins, at = np.zeros(n, np.int32), np.zeros(n, np.int64)
+            shard, at = np.zeros(n, np.int32), np.zeros(n, np.int64)
             for a, b in zip(starts.tolist(), ends.tolist()):
-                if settled[a] >= 0:
-                    bins[a:b] = settled[a]
-                    at[a:b] = used_settled[settled[a]] + np.arange(b - a)
-                    used_settled[settled[a]] += b - a
-                    continue
                 unit = (group[a], salt[a])
                 if unit != open_unit:          # else it goes on from the batch before
-                    open_unit, target = unit, best_bin(sums[a], residual)
-                    residual[target] -= sums[a]
-                bins[a:b] = target
+                    open_unit = unit
+                    if settled[a] >= 0:
+                        target = int(settled[a])
+                    else:
+                        best = best_bin(sums[a], residual)
+                        residual[best] -= sums[a]
+                        target = int(turn[best])
+                shard[a:b] = target
                 at[a:b] = used[target] + np.arange(b - a)
                 used[target] += b - a
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("size"), batch.column("text_crc32"), batch.column("tokens"),
-                 pa.array(np.where(settled < 0, cell, -1 - cell).astype(np.int32)), pa.array(bins), pa.array(at)], schema=_PLACED_ARROW)
+                 pa.array(np.full(n, cell, np.int32)), pa.array(shard), pa.array(at)], schema=_PLACED_ARROW)
     return run
 
 
-def match_bins(loads: dict[int, np.ndarray], counts: dict[int, np.ndarray], totals: np.ndarray,
-               shards: int) -> list[tuple[int, int, int, int]]:
-    """(cell, bin, shard, rows of that shard before): every cell's bins to different shards, largest bin first.
-
-    A cell below zero holds settled groups, whose bins are shards already.
-    """
-    residual, before, out = np.ones((shards, 3)), np.zeros(shards, np.int64), []
-    for cell in sorted(loads):
-        load = loads[cell] * (shards / np.maximum(totals, 1.0))
-        free = np.ones(shards, bool)
-        for b in np.argsort(-load.max(axis=1), kind="stable").tolist():
-            shard = b if cell < 0 else int(np.argmax(np.where(free, residual @ load[b] + 1e-9 * residual.sum(axis=1), -np.inf)))
-            free[shard] = False
-            residual[shard] -= load[b]
-            out.append((cell, b, shard, int(before[shard])))
-            before[shard] += int(counts[cell][b])
-    return out
-
-
 def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", doc_id: str = "doc_id",
                     overhead: int = 16, share: float = 1 / 64, cell_rows: int = 20_000,
                     most_cells: int = 4096) -> DataFrame:
@@ -140,16 +123,28 @@ def shard_documents(docs: DataFrame, shards: int = 40, text: str = "text", doc_i
         "settled", F.coalesce("settled", F.lit(-1))).drop("parts")
     unit = Window.partitionBy("group", "salt")
     cells = int(min(most_cells, max(1, -(-int(totals[2]) // cell_rows))))
-    sized = rows.repartition(cells, "group", "salt").select("*", *(
-        s.over(unit).alias("unit_" + d) for s, d in zip(sums, _DIMENSIONS)))
     weight = F.greatest(*(F.col("unit_" + d) / F.lit(float(max(x, 1.0))) for d, x in zip(_DIMENSIONS, totals)))
-    ordered = sized.sortWithinPartitions(weight.desc(), "group", "salt", "row")
-    placed = materialise(ordered.mapInArrow(_place(totals, shards, room / cells), _PLACED), "shard-placed")
-    loads: dict[int, np.ndarray] = {}
-    counts: dict[int, np.ndarray] = {}
-    for r in placed.groupBy("cell", "bin").agg(*(s.alias(d) for s, d in zip(sums, _DIMENSIONS))).collect():
-        loads.setdefault(r["cell"], np.zeros((shards, 3)))[r["bin"]] = [r[d] for d in _DIMENSIONS]
-        counts.setdefault(r["cell"], np.zeros(shards, np.int64))[r["bin"]] = r["rows"]
-    matched = spark.createDataFrame(match_bins(loads, counts, totals, shards), "cell int, bin int, shard int, before long")
-    return placed.join(F.broadcast(matched), ["cell", "bin"]).select(
-        "doc_id", "size", "text_crc32", "tokens", "shard", (F.col("before") + F.col("at")).alias("slot"))
+    sized = rows.repartition(cells, "group", "salt").select("*", *(
+        s.over(unit).alias("unit_" + d) for s, d in zip(sums, _DIMENSIONS))).withColumn("weight", weight)
+    steps = [sized]
+    if cells > 1:
+        # items over an eighth of a cell's share of a shard go first: the others can then even out what those leave
+        sized = materialise(sized, "shard-sized")
+        big = (F.col("weight") > 1 / (8 * shards * cells)) & (F.col("settled") < 0)
+        steps = [sized.where(big).repartition(cells, "group", "salt"), sized.where(~big).repartition(cells, "group", "salt")]
+    out, before = [], np.zeros(shards, np.int64)
+    for step in steps:
+        ordered = step.sortWithinPartitions(F.col("weight").desc(), "group", "salt", "row").drop("weight")
+        placed = materialise(ordered.mapInArrow(_place(totals, shards, room / cells), _PLACED), "shard-placed")
+        loads = placed.groupBy("cell", "shard").agg(F.count("*").alias("rows")).collect()
+        begin = []
+        for r in sorted(loads, key=lambda r: (r["shard"], r["cell"])):
+            begin.append((r["cell"], r["shard"], int(before[r["shard"]])))
+            before[r["shard"]] += r["rows"]
+        first = spark.createDataFrame(begin, "cell int, shard int, before long")
+        out.append(placed.join(F.broadcast(first), ["cell", "shard"]).select(
+            "doc_id", "size", "text_crc32", "tokens", "shard", (F.col("before") + F.col("at")).alias("slot")))
+        if step is not steps[-1]:
+            for r in placed.groupBy("shard").agg(*(s.alias(d) for s, d in zip(sums, _DIMENSIONS))).collect():
+                room[r["shard"]] -= np.array([r[d] for d in _DIMENSIONS]) * (shards / np.maximum(totals, 1.0))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
