@@ -17,14 +17,15 @@ the sample does not show.
 
 Defined cases: null or empty html has no text; character references are decoded, white space in a
 block is one space, ``br`` is white space, blocks are joined by a line feed;
-unclosed and stray tags are mended as browsers do for paragraphs, items and cells; an unfinished
-script hides what follows it; with no page to learn from the prior weights and lifts stand;
+unclosed and stray tags are mended as browsers do for paragraphs, items and cells; a hidden element left
+open ends with the block around it, an unfinished script hides what follows it; with no page to learn from the prior weights and lifts stand;
 repeated rows are extracted each.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 from html.parser import HTMLParser
 from math import exp, log
@@ -40,6 +41,9 @@ from .common import texts
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _HIDDEN = frozenset("script style template noscript head title iframe object svg math canvas audio video "
                     "select textarea button datalist".split())
+_FOREIGN = frozenset("svg math".split())
+#: Elements whose contents end no paragraph outside them.
+_KEEPS_P = frozenset("td th table caption".split())
 _BLOCK = frozenset("html body article main section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr "
                    "td th caption blockquote pre figure figcaption nav aside header footer form fieldset address "
                    "details summary dialog menu center hgroup search".split())
@@ -79,8 +83,11 @@ class Tree(HTMLParser):
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
         self.parent, self.kind, self.other, self.main, self.text, self.linked = [-1], [""], [False], [True], [None], [0]
-        self.stack: list[tuple[str, int]] = [("", 0)]
+        #: Open blocks: tag, node, and the place of the paragraph that a block element would end (-1: none).
+        self.stack: list[tuple[str, int, int]] = [("", 0, -1)]
+        self.open: Counter[str] = Counter()
         self.hidden: list[str] = []
+        self.unseen: Counter[str] = Counter()                  # blocks opened inside what is hidden
         self.links = 0
         self.buffer: list[str] = []
         self.in_links = 0
@@ -103,33 +110,34 @@ class Tree(HTMLParser):
 
     def _close(self, at: int):
         self._flush()
+        self.open.subtract(tag for tag, _, _ in self.stack[at:])
         del self.stack[at:]
 
-    def _open_p(self):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i][0] == "p":
-                return i
-            if self.stack[i][0] in ("td", "th", "table", "caption", "button", "object"):
-                return None
-        return None
+    def _push(self, tag: str, node: int):
+        paragraph = len(self.stack) if tag == "p" else -1 if tag in _KEEPS_P else self.stack[-1][2]
+        self.stack.append((tag, node, paragraph))
+        self.open[tag] += 1
 
     def handle_starttag(self, tag, attrs):
         if self.hidden:
             if tag == "body" and "head" in self.hidden:       # a head that was never closed
                 self.hidden = []
-            elif tag not in _VOID:
-                self.hidden += [tag] if tag in _HIDDEN else []
+            elif tag in _VOID:
                 return
             else:
+                if tag in _HIDDEN:
+                    self.hidden.append(tag)
+                elif tag in _BLOCK:
+                    self.unseen[tag] += 1
                 return
         if tag in _HIDDEN:
             self.hidden.append(tag)
+            self.unseen.clear()
             return
         if tag in _BLOCK:
-            p = self._open_p()
-            if p is not None:
-                self._close(p)
-            if tag in _CLOSES:
+            if self.stack[-1][2] >= 0:
+                self._close(self.stack[-1][2])
+            if tag in _CLOSES and any(self.open[t] for t in _CLOSES[tag]):
                 for i in range(len(self.stack) - 1, 0, -1):
                     if self.stack[i][0] in _CLOSES[tag]:
                         self._close(i)
@@ -141,23 +149,28 @@ class Tree(HTMLParser):
             names = "" if tag in _WIDE else " ".join(v for k, v in attrs if k in ("class", "id", "role") and v)
             kind = next((k for k, tags in _KINDS.items() if tag in tags), "")
             node = self._node(kind, bool(names and _OTHER_NAMES.search(names)), tag in _WIDE or bool(names and _MAIN_NAMES.search(names)))
-            self.stack.append((tag, node))
+            self._push(tag, node)
         elif tag == "a":
             self.links += 1
         elif tag in ("br", "hr", "img"):
             self.buffer.append(" ")
 
     def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)                       # a slash closes nothing in HTML
+        if tag not in _FOREIGN:                                # elsewhere a slash closes nothing in HTML
+            self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
         if self.hidden:
             if tag in self.hidden:
                 del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag):]
-            return
+                return
+            if self.unseen[tag] > 0 or tag not in _BLOCK or not self.open[tag]:
+                self.unseen[tag] -= self.unseen[tag] > 0
+                return
+            self.hidden = []                                   # the block around it ends, and so what was left open in it
         if tag == "a":
             self.links = max(0, self.links - 1)
-        elif tag in _BLOCK:
+        elif tag in _BLOCK and self.open[tag]:
             for i in range(len(self.stack) - 1, 0, -1):
                 if self.stack[i][0] == tag:
                     self._close(i)

@@ -73,3 +73,26 @@ def test_odd_rows(spark):
     assert sorted((str(r["page_id"]), r["found"]) for r in rows) == [("1", ""), ("2", "x y"), ("2", "x y"), ("None", "")]
     empty = pages.limit(0)
     assert H.extract_text(empty, H.fit_pages(empty)).count() == 0
+
+
+def test_self_closed_and_unclosed_hidden_elements():
+    model = H.fit(np.zeros((0, len(H.PRIOR))), np.zeros(0))
+    article = "<article><p>First words of the article, long enough to be read as prose by anyone.</p><p>Second part.</p></article>"
+    want = model.text(f"<body>{article}</body>")
+    assert want.startswith("First words") and want.endswith("Second part.")
+    for before in ('<svg class="i"/>', "<math/>", "<div><button>Press</div>", "<div><video><p>no</p></div>",
+                   "<div><object><div>x</div><select></div>"):
+        assert model.text(f"<body>{before}{article}</body>") == want
+    assert model.text(f"<body><svg><path/><g></g></svg>{article}</body>") == want
+
+
+def test_deep_pages_take_linear_time():
+    import time
+    n = 20_000
+    pages = ["<div>" * n + "<p>text one" * n, "<div>" * n + "</span></b></li>" * n, "<ul>" + "<li>item" * n,
+             "<svg>" + "<div>" * n, "<p>" * n, "<table>" + "<tr><td>cell" * n, "word " * n, "<article>" + "<div><p>a</div>" * n]
+    model = H.fit(np.zeros((0, len(H.PRIOR))), np.zeros(0))
+    for page in pages:
+        began = time.time()
+        model.text(page)
+        assert time.time() - began < 6
