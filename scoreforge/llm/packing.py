@@ -3,8 +3,8 @@
 Every document becomes its tokenizer's ids and an end id.  Whole windows of a
 long document are sequences of their own; the rest of each document is packed.
 Document frequencies are counted over all documents; the rests are
-range-partitioned by their most telling token (frequent there, late in the vocabulary), so alike ones are near, and each
-task takes them in shards.  A shard has an inverted index (token -> documents
+range-partitioned by their most telling token (frequent there, late in the vocabulary) and by two tokens drawn by
+min-hash, so alike ones are near whatever token they share with very many, and each task takes them in shards.  A shard has an inverted index (token -> documents
 with BM25 weights).  A window starts with a seed, is filled with the seed's
 best-scoring unused neighbours, and the one that overflows is cut: what is left of it
 is the next seed.  The window open at the end of a shard goes on in the next;
@@ -12,7 +12,7 @@ the one open at the end of a task is cut into powers of two, so nothing is padde
 
 Defined cases: null or empty texts are one end id; repeated rows are packed
 each on its own; a null id is carried along; an empty table gives no rows;
-equal scores go to the document that comes first by token key and row hash.
+equal scores go to the document that comes first by its ordering tokens and content.
 """
 
 from __future__ import annotations
@@ -231,22 +231,28 @@ def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-#: Telling tokens that order the rests.
-TELLING = 3
+#: Tokens that order the rests: the most telling one, and two drawn by min-hash.
+DRAWS = (0x9E3779B1, 0x85EBCA6B)
 
 
 def _documents(ids: list[np.ndarray], vocabulary: int, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the documents holding each token, and the TELLING most telling tokens of each document (-1: fewer)."""
+    """Number of the documents holding each token; each document's most telling token and its min-hash tokens.
+
+    Two documents draw the same token as often as their token sets are alike, whatever tokens all documents share.
+    """
     sizes = np.array([len(x) for x in ids])
     key, count = np.unique(np.repeat(np.arange(len(ids)), sizes) * vocabulary + np.concatenate(ids), return_counts=True)
     doc, token = key // vocabulary, key % vocabulary
-    order = np.lexsort((token, -count * weight[token], doc))
     first = np.searchsorted(doc, np.arange(len(ids)))
-    telling = np.full((len(ids), TELLING), -1, np.int32)
-    place = np.arange(len(doc)) - first[doc]              # documents are in order before and after
-    top = place < TELLING
-    telling[doc[top], place[top]] = token[order][top]
-    return np.bincount(token, minlength=vocabulary), telling
+    score = count * weight[token]
+    best = np.flatnonzero(score == np.maximum.reduceat(score, first)[doc])
+    out = [token[best[np.searchsorted(doc[best], np.arange(len(ids)))]]]
+    for odd in DRAWS:
+        mixed = token.astype(np.uint64) * np.uint64(odd) & np.uint64(0xFFFFFFFF)
+        mixed = (mixed ^ mixed >> np.uint64(15)) * np.uint64(0x2C1B3C6D) & np.uint64(0xFFFFFFFF)
+        least = np.minimum.reduceat(mixed << np.uint64(32) | token.astype(np.uint64), first)
+        out.append((least & np.uint64(0xFFFFFFFF)).astype(np.int64))
+    return np.bincount(token, minlength=vocabulary), np.stack(out, axis=1).astype(np.int32)
 
 
 def _tokenize(path: str):
@@ -256,7 +262,7 @@ def _tokenize(path: str):
                         ("tokens", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))])
 
     def run(batches):
-        """kind 0: a whole window; 1: a document's rest, with its most telling ids; 2: this task's document counts."""
+        """kind 0: a whole window; 1: a document's rest, with the ids that order it; 2: this task's document counts."""
         words, task, made = word_ids(path), TaskContext.get().partitionId(), 0
         vocabulary = words.tokenizer.get_vocab_size()
         seen = np.zeros(vocabulary, np.int64)
@@ -447,7 +453,7 @@ def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc
         idf[r["token"]] = np.log(1 + (max(n, r["docs"]) - r["docs"] + 0.5) / (r["docs"] + 0.5))
     shared = spark.sparkContext.broadcast(idf)
 
-    # by content alone: equal texts adjoin, alike ones share their most telling tokens
+    # by content alone: equal texts adjoin, alike ones share their telling token and most likely the drawn ones
     order = ["telling", "_content", "doc_id", "start"]
     dealt = (rests.withColumn("_content", F.xxhash64("ids")).select(*order, "ids", "doc_tokens")
              .repartitionByRange(int(tokens // task_tokens) + 1, *order).sortWithinPartitions(*order))

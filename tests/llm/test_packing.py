@@ -108,7 +108,7 @@ def test_hashes_tell_words_apart_and_failed_checks_are_tokenized_whole(monkeypat
 
 
 def test_pairs_meet_although_all_share_a_hot_token(spark):
-    """3,000 pairs of equal or nearly equal texts, one frequent token in all: the neighbours a full index gives meet."""
+    """3,000 pairs of equal or nearly equal texts, one frequent token in all: a full index gives each its partner first."""
     rng = np.random.default_rng(5)
     words = np.array(["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(4000)])
     rows = []
@@ -120,10 +120,13 @@ def test_pairs_meet_although_all_share_a_hot_token(spark):
         for j, text in enumerate((own, near)):
             rows.append((2 * k + j, " ".join(["zyzzyvas"] * 30 + text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    where = {}
-    for r in packing.pack(docs, PATH).collect():
+    pieces = packing.pack(docs, PATH).collect()
+    where, seeds = {}, []
+    for r in pieces:
         where.setdefault(r["doc_id"], set()).add(r["sequence_id"])
-    for kind in (0, 1):
-        met = np.mean([bool(where[2 * k] & where[2 * k + 1]) for k in range(kind, 3000, 2)])
-        print("pairs that meet", kind, met)
-        assert met >= 0.9
+        seeds += [(r["sequence_id"], r["doc_id"])] if r["offset"] == 0 else []
+    equal = np.mean([bool(where[2 * k] & where[2 * k + 1]) for k in range(0, 3000, 2)])
+    # a window is filled with its seed's neighbours: the seed's partner is in it, or was used before
+    found = np.mean([min(where[d ^ 1]) <= sequence for sequence, d in seeds if d // 2 % 2])
+    print("equal pairs that meet", equal, "seeds with their nearest", found, "of", len(seeds))
+    assert equal >= 0.9 and found >= 0.9
