@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import constants as K
-from .oracle_sql import HASH, LINE_ID, CASES, q, r6, sql_list
+from .oracle_sql import CASES, HASH, LINE_ID, SQL, q, r6, sql_list
 
 STOP = sql_list(K.ENGLISH_STOP_WORDS)
 PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -215,3 +215,5 @@ bg AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {HASH.format(k='id')
 z AS (SELECT {_avg} FROM bg),
 e AS (SELECT 0.5 + {_exp} AS expected_value FROM bg)
 {" UNION ALL ".join(f"SELECT x.id, '{c}' AS feature, {r6('x.' + c)} AS value, {r6(f'CAST({w!r} AS DOUBLE) * (x.{c} - z.{c}) + 0.0')} AS shap, {r6('expected_value')} AS expected_value FROM x, z, e" for c, w in _ew.items())}""")
+
+SQL["f12_text_state"] = SQL["f8_assemble"]

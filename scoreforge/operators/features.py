@@ -28,6 +28,10 @@ from .profile import iqr_bounds, number
 
 
 # ------------------------------------------------------------------ TF-IDF
+#: Terms a vocabulary without ``max_features`` may have.
+MOST_TERMS = 1_000_000
+
+
 @dataclass
 class Vocabulary:
     terms: list[str]          # alphabetical, index = position
@@ -71,10 +75,11 @@ def tfidf_fit(docs: DataFrame, text_col: str | None = None, terms: str = "terms"
     lo = min_df if isinstance(min_df, int) else min_df * n
     hi = max_df if isinstance(max_df, int) else max_df * n
     top = stats.where(F.col("term").isNotNull() & (F.col("df") >= F.lit(lo)) & (F.col("df") <= F.lit(hi)))
-    top = top.orderBy(F.desc("tf"), F.asc("term"))
-    if max_features is not None:
-        top = top.limit(max_features)
-    rows = sorted(top.collect(), key=lambda r: r["term"].encode("utf-8"))
+    # the driver gets the vocabulary: without a limit of the caller's, one more than MOST_TERMS is an error
+    rows = top.orderBy(F.desc("tf"), F.asc("term")).limit(MOST_TERMS + 1 if max_features is None else max_features).collect()
+    if max_features is None and len(rows) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} terms pass the thresholds: set max_features or raise min_df")
+    rows = sorted(rows, key=lambda r: r["term"].encode("utf-8"))
     return Vocabulary([r["term"] for r in rows], [r["df"] for r in rows], [r["tf"] for r in rows], n)
 
 

@@ -122,3 +122,12 @@ def f12(spark, sf_dir):
     fitted.save(spark, path)
     loaded = FT.FittedFeatures.load(spark, path)
     return _round_doubles(loaded.long_form(li, "id"))
+
+
+@query("f12_text_state")
+def f12_text(spark, sf_dir):
+    """The state of the whole pipeline - vocabulary, dictionaries, numbers - saved, loaded and applied."""
+    cases = V.cases(_t(spark, sf_dir))
+    path = work_path(spark, "state", "case_features")
+    case_pipeline().fit(cases).save(spark, path)
+    return _round_doubles(FT.FittedFeatures.load(spark, path).long_form(cases, "case_id"))
