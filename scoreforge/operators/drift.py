@@ -246,7 +246,8 @@ class DayCounts:
 
     def put_all(self, df: DataFrame, day: Column) -> None:
         """Several days at once; only the days present are replaced."""
-        (self.counts(df.withColumn("ds", day), "ds").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows = self.counts(df.withColumn("ds", day), "ds").repartitionByRange("ds", "column", "x", "v")   # few files a day
+        (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("ds").parquet(f"{self.path}/days"))
 
     def read(self) -> DataFrame:
