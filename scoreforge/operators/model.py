@@ -109,7 +109,7 @@ def gbt_fit(train: DataFrame, features: str = "features", label: str = "label",
     """M2: fit once.  With a validation set, keep the trees up to the best iteration (patience
     ``early_stopping_rounds``).
 
-    Training then goes in rounds of twice as many trees, from twice the patience on, and ends with the first one in
+    Training then goes in rounds of twice as many trees, from four times the patience on, and ends with the first one in
     which the patience ran out: far fewer trees than ``maxIter`` when it comes early.  A longer round grows the
     same first trees again, so the result is that of one fit of ``maxIter`` trees."""
     params = {**DEFAULT_PARAMS, **(params or {})}
@@ -118,7 +118,7 @@ def gbt_fit(train: DataFrame, features: str = "features", label: str = "label",
         model = _gbt(params, features, label).fit(train)
         return FittedModel(model, params, None, [], time.time() - t0, list(feature_names))
     most = params["maxIter"]
-    grown = most if early_stopping_rounds is None else min(most, max(20, 2 * early_stopping_rounds))
+    grown = most if early_stopping_rounds is None else min(most, max(20, 4 * early_stopping_rounds))
     while True:
         model = _gbt({**params, "maxIter": grown}, features, label).fit(train)
         held_out = model.evaluateEachIteration(validation, "squared")
