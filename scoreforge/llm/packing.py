@@ -4,8 +4,8 @@ Every document becomes its tokenizer's ids and an end id.  Whole windows of a
 long document are sequences of their own; the rest of each document is packed.
 Document frequencies are counted over all documents; the rests are
 range-partitioned by their most telling token (frequent there, late in the vocabulary) and by two tokens drawn by
-min-hash, so alike ones are near whatever token they share with very many, and each task takes them in shards.  A shard has an inverted index (token -> documents
-with BM25 weights).  A window starts with a seed, is filled with the seed's
+min-hash, so alike ones are near whatever token they share with very many, and each task takes them
+in shards.  A shard has an inverted index (token -> documents with BM25 weights).  A window starts with a seed, is filled with the seed's
 best-scoring unused neighbours, and the one that overflows is cut: what is left of it
 is the next seed.  The window open at the end of a shard goes on in the next;
 the one open at the end of a task is cut into powers of two, so nothing is padded.
