@@ -11,7 +11,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import NGram, SQLTransformer, StopWordsRemover
 from pyspark.sql import DataFrame
 

@@ -88,5 +88,6 @@ def daily_job(spark: SparkSession, t: Tables, window_days: int = 90, keep_days:
     return spark.createDataFrame([(ds, n_new, n_logged, state.version, mean, summary["n_columns"], summary["n_drifted"],
                                    float(summary["share_drifted"]), bool(summary["dataset_drift"]), expired,
                                    bool(summary["dataset_drift"]))],
-                                 "ds string, n_batch long, n_logged long, model_version long, mean_prediction double, n_columns long, n_drifted long, "
+                                 "ds string, n_batch long, n_logged long, model_version long, mean_prediction double, "
+                                 "n_columns long, n_drifted long, "
                                  "share_drifted double, dataset_drift boolean, n_expired_partitions long, alert boolean")

@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import constants as K
 from ..functions import exprs as X
 from ..operators import explain as E
 from ..operators import features as FT
