@@ -38,7 +38,7 @@ def m3(spark, sf_dir):
 
 @query("m4_cross_validate")
 def m4(spark, sf_dir):
-    p = J.prepare_cases(_t(spark, sf_dir))
+    p = J.trained(spark, sf_dir).prepared
     cv = MD.cross_validate(p.data, "case_id", "features", V.CASE_TARGET, {**J.QUICK_PARAMS, "maxIter": 15}, k=5)
     s = MD.cv_summary(cv).first()
     return cv.withColumn("mean_rmse", F.lit(s["mean_rmse"])).withColumn("std_rmse", F.lit(s["std_rmse"]))
@@ -47,7 +47,7 @@ def m4(spark, sf_dir):
 @query("m5_tune")
 def m5(spark, sf_dir):
     """Nested search: 12 candidates over the three searched parameters, 4 families, 3 folds."""
-    p = J.prepare_cases(_t(spark, sf_dir))
+    p = J.trained(spark, sf_dir).prepared
     space = {"maxDepth": [3, 4], "stepSize": [0.1, 0.2], "maxIter": [5, 10, 20]}
     return MD.tune(p.data, "case_id", "features", V.CASE_TARGET, space, k=3, base=J.QUICK_PARAMS, refit=False).results
 
@@ -197,7 +197,7 @@ def m3_checks(spark, sf_dir):
 @query("m4_fold_checks")
 def m4_checks(spark, sf_dir):
     """The folds of M4: every case is held out in exactly one of them (m4_one_split checks their fits)."""
-    p = J.prepare_cases(_t(spark, sf_dir))
+    p = J.trained(spark, sf_dir).prepared
     return MD.hash_folds(p.data, "case_id", 5).groupBy("fold").agg(
         F.count(F.lit(1)).alias("n_test"), F.sum("case_id").alias("sum_case_id"))
 
