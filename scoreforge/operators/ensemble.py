@@ -36,6 +36,27 @@ class Tree:
             node[rows] = np.where(x[rows, self.feature[at]] <= self.threshold[at], self.left[at], self.right[at])
         return self.value[node]
 
+    def paths(self) -> list[tuple[list[int], list[list[tuple[float, bool]]], float]]:
+        """Per leaf: the features split on, each one's splits as (threshold, goes left), and the leaf's value."""
+        out, todo = [], [(0, {})]
+        while todo:
+            node, splits = todo.pop()
+            if self.left[node] < 0:
+                out.append((list(splits), list(splits.values()), float(self.value[node])))
+                continue
+            f, t = int(self.feature[node]), float(self.threshold[node])
+            for child, left in ((self.left[node], True), (self.right[node], False)):
+                todo.append((int(child), {**splits, f: [*splits.get(f, []), (t, left)]}))
+        return out
+
+
+def followed(column: np.ndarray, splits: list[tuple[float, bool]]) -> np.ndarray:
+    """Which values keep to all of the splits; what is not a number goes right."""
+    ok = np.ones(len(column), bool)
+    for threshold, left in splits:
+        ok &= (column <= threshold) if left else ~(column <= threshold)
+    return ok
+
 
 class Ensemble:
     """Trees with their weights folded into the leaf values."""
@@ -64,6 +85,39 @@ class Ensemble:
             total += t.walk(x)
         return total
 
+    __call__ = predict
+
+    def mean_over(self, background: np.ndarray, z: np.ndarray):
+        """Function of rows: (rows, coalitions) mean scores where features outside a coalition come from the background.
+
+        A leaf counts for a row as far as the row keeps to the path's splits on the coalition's features, times the share of
+        background rows that keep to the others: those shares are counted here, once per leaf and distinct part of a coalition.
+        """
+        plan, fixed = [], np.zeros(len(z))
+        for tree in self.trees:
+            for features, splits, value in tree.paths():
+                own = np.stack([followed(background[:, f], s) for f, s in zip(features, splits)], axis=1) if features \
+                    else np.ones((len(background), 0), bool)
+                parts, where = np.unique(z[:, features] > 0, axis=0, return_inverse=True)
+                where = where.ravel()
+                for i, inside in enumerate(parts):
+                    amount = value * float((own | inside).all(axis=1).mean())
+                    held = [k for k in range(len(features)) if inside[k]]
+                    if not held:
+                        fixed[where == i] += amount
+                    elif amount:
+                        plan.append(([(features[k], splits[k]) for k in held], np.flatnonzero(where == i), amount))
+
+        def means(x: np.ndarray) -> np.ndarray:
+            out = np.tile(fixed, (len(x), 1))
+            for held, columns, amount in plan:
+                keeps = np.ones(len(x), bool)
+                for f, s in held:
+                    keeps &= followed(x[:, f], s)
+                out[np.ix_(np.flatnonzero(keeps), columns)] += amount
+            return out
+        return means
+
     def changed(self, x: np.ndarray, values: np.ndarray, feature: int, other: np.ndarray) -> np.ndarray:
         """Change of each row's score when ``feature`` takes the values ``other``: only its own trees are walked again."""
         change = np.zeros(len(x))

@@ -9,7 +9,9 @@ for every row.  The design is then one matrix, made once, and a row's contributi
 
 Work per row is bounded: coalitions x background rows evaluations, made with
 numpy inside the Arrow batch the row came in, a bounded block of rows at a
-time.  No row is exploded before it is scored and nothing is shuffled; the
+time.  A scorer that can state its mean over the background (``mean_over``: a linear one, an ``Ensemble``) does so
+from sums over the background made once per task, and a row then costs the same whatever their number; any other
+callable is evaluated on every mixed row.  No row is exploded before it is scored and nothing is shuffled; the
 background is ``background`` real rows, broadcast.
 """
 
@@ -20,7 +22,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -71,12 +73,39 @@ def solver(z: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fit - np.outer(ones, fit.sum(axis=0)), ones
 
 
+class LinearScore:
+    """``intercept`` plus the weighted sum of the features."""
+
+    def __init__(self, intercept: float, weights: Sequence[float]):
+        self.intercept, self.weights = intercept, np.array(weights, dtype=float)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return self.intercept + x @ self.weights
+
+    def mean_over(self, background: np.ndarray, z: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+        """Mean scores of rows under the coalitions: a feature outside one gives its terms' mean over the background."""
+        outside = (1.0 - z) @ (background * self.weights).mean(axis=0)
+        inside = z.T * self.weights[:, None]
+        return lambda x: self.intercept + (x @ inside + outside)
+
+
+def mean_scores(score: Callable[[np.ndarray], np.ndarray], background: np.ndarray,
+                z: np.ndarray) -> Callable[[np.ndarray], np.ndarray]:
+    """Function of rows: (rows, coalitions) mean scores over the background rows that fill in the features left out."""
+    if hasattr(score, "mean_over"):
+        return score.mean_over(background, z)
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        rows = np.where(z[None, :, None, :] > 0, x[:, None, None, :], background[None, None, :, :])
+        return score(rows.reshape(-1, x.shape[1])).reshape(len(x), len(z), len(background)).mean(axis=2)
+    return mixed
+
+
 def kernel_contributions(x: np.ndarray, background: np.ndarray, z: np.ndarray, design: tuple[np.ndarray, np.ndarray],
-                         score: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-    """(rows, features) contributions of ``x`` for the coalitions ``z``."""
-    n, d = x.shape
-    mixed = np.where(z[None, :, None, :] > 0, x[:, None, None, :], background[None, None, :, :])
-    values = score(mixed.reshape(-1, d)).reshape(n, len(z), len(background)).mean(axis=2)
+                         score: Callable[[np.ndarray], np.ndarray],
+                         means: Callable[[np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """(rows, features) contributions of ``x`` for the coalitions ``z``; ``means``: their ``mean_scores``, if at hand."""
+    values = (means or mean_scores(score, background, z))(x)
     base = float(score(background).mean())
     a, c = design
     return (values - base) @ a.T + np.outer(score(x) - base, c)
@@ -97,21 +126,27 @@ def sampled_contributions(df: DataFrame, key: str, features: str, score: Callabl
     expected = float(score(rows).mean()) if len(rows) else 0.0
     z, weights = coalitions(d, evaluations)
     shared = df.sparkSession.sparkContext.broadcast((rows, z, solver(z, weights)))
-    block = max(1, BLOCK_VALUES // max(1, len(z) * len(rows) * d))
-    kind = x.schema["__k"].dataType.simpleString()
+    per_row = len(z) * d * (1 if hasattr(score, "mean_over") else len(rows))
+    block = max(1, BLOCK_VALUES // max(1, per_row))
 
     def run(batches):
-        for pdf in batches:
-            if not len(pdf):
+        background, z, design = shared.value
+        means = mean_scores(score, background, z) if len(background) else None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            own = np.stack(pdf["__x"].to_numpy())
-            phi = np.concatenate([kernel_contributions(own[at:at + block], *shared.value, score)
+            own = batch.column("__x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, d)
+            phi = np.concatenate([kernel_contributions(own[at:at + block], background, z, design, score, means)
                                   for at in range(0, len(own), block)])
-            yield pd.DataFrame({"__k": np.repeat(pdf["__k"].to_numpy(), d), "feature": names * len(pdf),
-                                "value": own.ravel(), "shap": phi.ravel()})
+            shap = pa.ListArray.from_arrays(pa.array(np.arange(0, phi.size + 1, d, dtype=np.int32)), pa.array(phi.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("__k"), batch.column("__x"), shap], ["__k", "__x", "__shap"])
 
-    out = x.mapInPandas(run, f"__k {kind}, feature string, value double, shap double")
-    return out.select(F.col("__k").alias(key), "feature", "value", "shap", F.lit(expected).alias("expected_value"))
+    kind = x.schema["__k"].dataType.simpleString()
+    out = x.mapInArrow(run, f"__k {kind}, __x array<double>, __shap array<double>")
+    items = F.arrays_zip(F.array(*[F.lit(c) for c in names]).alias("feature"), F.col("__x").alias("value"),
+                         F.col("__shap").alias("shap"))
+    return out.select(F.col("__k").alias(key), F.inline(items)).select(
+        key, "feature", "value", "shap", F.lit(expected).alias("expected_value"))
 
 
 def to_wide(long: DataFrame, key: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -244,16 +243,16 @@ def m11(spark, sf_dir):
 
 @query("e2_sampled_contributions")
 def e2(spark, sf_dir):
-    """Kernel contributions of a linear scorer on lineitem (6 features: all 62 coalitions, 20 background rows)."""
-    from ..operators.sampling_shap import sampled_contributions
+    """Kernel contributions of a linear scorer on lineitem (6 features: all 62 coalitions, 100 background rows)."""
+    from ..operators.sampling_shap import LinearScore, sampled_contributions
     t = _t(spark, sf_dir)
     li = t.lineitem.withColumn("id", V.line_id())
     fitted = FT.FeaturePipeline(cat_cols=V.LINE_CATEGORICAL, num_cols=V.LINE_NUMERIC).fit(li)
     feats = fitted.transform(li).select("id", "features")
     # fixed values: the linear scorer of the check
     w = [0.0, 0.0, 0.02, 0.05, -0.04, 0.01]
-    return _round_doubles(sampled_contributions(feats, "id", "features", lambda x: 0.5 + x @ np.array(w),
-                                                fitted.feature_names()))
+    return _round_doubles(sampled_contributions(feats, "id", "features", LinearScore(0.5, w), fitted.feature_names(),
+                                                background=100))
 
 
 @query("e2_tree_contributions")
@@ -263,7 +262,7 @@ def e2_tree(spark, sf_dir):
     data = one_split(_t(spark, sf_dir))
     fm = MD.gbt_fit(data, params=J.ONE_SPLIT_PARAMS, feature_names=J.ONE_SPLIT_FEATURES)
     model = MD.ensemble_of(fm, spark)
-    return _round_doubles(sampled_contributions(data, "id", "features", model.predict, J.ONE_SPLIT_FEATURES))
+    return _round_doubles(sampled_contributions(data, "id", "features", model, J.ONE_SPLIT_FEATURES))
 
 
 @query("m9_bundle_parts")
