@@ -60,12 +60,16 @@ def _edges_asked(gaps: list[_Gap], accuracy: int) -> tuple[list[float], float |
 def grouped_order_statistics(long: DataFrame, wanted: dict, counts: dict, *, buckets: int = 10_000,
                              sort_limit: int = 100_000) -> dict[tuple, float]:
     """Values of the given ranks per group ``g`` of a (g, x) frame; ``buckets`` is the sketch's accuracy."""
+    return _narrowed(long, [_Gap(group, sorted(set(ranks)), counts[group]) for group, ranks in wanted.items()], buckets, sort_limit)
+
+
+def _narrowed(long: DataFrame, gaps: list[_Gap], buckets: int, sort_limit: int) -> dict[tuple, float]:
+    """Values of the ranks of the gaps, round by round."""
     accuracy = max(buckets, LEAST_ACCURACY)
     spark = long.sparkSession
     kind = long.schema["g"].dataType.simpleString()
     x = F.col("x")
     result: dict[tuple, float] = {}
-    gaps = [_Gap(group, sorted(set(ranks)), counts[group]) for group, ranks in wanted.items()]
     while gaps:
         ids = spark.createDataFrame([(i, t.group, t.low, t.high) for i, t in enumerate(gaps)],
                                     f"id int, g {kind}, low double, high double")
@@ -110,7 +114,8 @@ def grouped_quantiles(long: DataFrame, probs: Sequence[float], **kw) -> dict[tup
     return _interpolate(long, counts, list(counts), probs, **kw)
 
 
-def _interpolate(long, counts, groups, probs, **kw):
+def _ranks(counts: dict, groups: Sequence, probs: Sequence[float]) -> tuple[dict, dict]:
+    """Per group the ranks that the shares lie between, and per (group, share) its two ranks and the place between them."""
     wanted: dict[str, list[int]] = {}
     plan = {}
     for g in groups:
@@ -124,7 +129,10 @@ def _interpolate(long, counts, groups, probs, **kw):
             r1 = min(r0 + 1, n - 1)
             plan[(g, p)] = (r0, r1, pos - r0)
             wanted.setdefault(g, []).extend([r0, r1])
-    stats = grouped_order_statistics(long, wanted, counts, **kw)
+    return wanted, plan
+
+
+def _between(plan: dict, stats: dict) -> dict:
     out = {}
     for (g, p), pl in plan.items():
         if pl is None:
@@ -136,11 +144,72 @@ def _interpolate(long, counts, groups, probs, **kw):
     return out
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], **kw) -> dict[tuple[str, float], float | None]:
-    """{(column, p): value} with linear interpolation; None for an empty column."""
-    long = long_form(df, cols)
-    counts = {r["g"]: r["n"] for r in long.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
-    return _interpolate(long, counts, list(cols), probs, **kw)
+def _interpolate(long, counts, groups, probs, **kw):
+    wanted, plan = _ranks(counts, groups, probs)
+    return _between(plan, grouped_order_statistics(long, wanted, counts, **kw))
+
+
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], *, buckets: int = 10_000,
+                    sort_limit: int = 100_000) -> dict[tuple[str, float], float | None]:
+    """{(column, p): value} with linear interpolation; None for an empty column.
+
+    The first round reads the columns side by side, without a row per column: one pass counts and sketches,
+    one counts around the edges and takes the values between them.  Ranks it leaves go on in ``_narrowed``."""
+    accuracy = max(buckets, LEAST_ACCURACY)
+    width = 3 / accuracy
+    shares = sorted(set(probs))
+    pairs = [(max(s - width, 0.0), min(s + width, 1.0)) for s in shares] if len(shares) <= 16 else []
+    asked = sorted({e for pair in pairs for e in pair}) or EVEN
+    x = [_value(c) for c in cols]
+    sketched = df.agg(*[F.count(v).alias(f"n{i}") for i, v in enumerate(x)],
+                      *[F.percentile_approx(v, asked, F.lit(accuracy)).alias(f"e{i}") for i, v in enumerate(x)]).first()
+    counts = {c: sketched[f"n{i}"] for i, c in enumerate(cols)}
+    wanted, plan = _ranks(counts, list(cols), probs)
+    aggs, edges, taken = [], {}, {}
+    for i, (c, v) in enumerate(zip(cols, x)):
+        if not counts[c]:
+            continue
+        at = dict(zip(asked, sketched[f"e{i}"]))
+        own = edges[c] = sorted(set(at.values()))
+        if counts[c] <= sort_limit:                    # gap g lies below edge g; the last one above all edges
+            taken[c] = set(range(len(own) + 1))
+        else:
+            taken[c] = {g for g in range(1, len(own)) for a, b in pairs if at[a] <= own[g - 1] and own[g] <= at[b]} \
+                if 2 * width * counts[c] <= sort_limit else set()
+        aggs += [F.count_if(v < F.lit(e)).alias(f"lt{i}_{j}") for j, e in enumerate(own)]
+        aggs += [F.count_if(v <= F.lit(e)).alias(f"le{i}_{j}") for j, e in enumerate(own)]
+        inside = F.lit(False)
+        for g in taken[c]:
+            inside = inside | ((v > F.lit(own[g - 1]) if g else F.lit(True)) & (v < F.lit(own[g]) if g < len(own) else F.lit(True)))
+        aggs.append(F.collect_list(F.when(inside, v)).alias(f"v{i}"))
+    stats: dict[tuple, float] = {}
+    left = []
+    placed = df.agg(*aggs).first() if aggs else None
+    for i, c in enumerate(cols):
+        if c not in edges:
+            continue
+        own, n, values = edges[c], counts[c], sorted(placed[f"v{i}"])
+        ranks, used = sorted(set(wanted[c])), 0
+        for g in range(len(own) + 1):
+            start = placed[f"le{i}_{g - 1}"] if g else 0
+            stop = placed[f"lt{i}_{g}"] if g < len(own) else n
+            inside = [r for r in ranks if start <= r < stop]
+            if g in taken[c]:
+                stats.update({(c, r): values[used + r - start] for r in inside})
+                used += stop - start
+            elif inside:
+                left.append(_Gap(c, inside, stop - start, start, own[g - 1] if g else None, own[g] if g < len(own) else None))
+            if g < len(own):
+                stats.update({(c, r): own[g] for r in ranks if stop <= r < placed[f"le{i}_{g}"]})
+    if left:
+        stats.update(_narrowed(long_form(df, sorted({g.group for g in left})), left, buckets, sort_limit))
+    return _between(plan, stats)
+
+
+def _value(column: str):
+    """The column as a double, null for NaN."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def exact_median(df: DataFrame, column: str) -> float | None:

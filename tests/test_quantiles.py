@@ -46,3 +46,31 @@ def test_infinities_and_wide_ranges(spark, kw):
         at = p * (len(ranked) - 1)
         x, y = ranked[int(at)], ranked[min(int(at) + 1, len(ranked) - 1)]
         assert got[("a", p)] == (x if x == y else pytest.approx(x + (y - x) * (at - int(at)), nan_ok=True))
+
+
+def test_columns_are_read_side_by_side(spark):
+    """Quantiles of several columns come from whole-table aggregates: no row per column, no join."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(500, 3)).round(2)], "a double, b double, c double")
+    from scoreforge.functions import quantiles as Q
+    asked, before = [], Q.long_form
+    Q.long_form = lambda *a: asked.append(a) or before(*a)
+    try:
+        got = exact_quantiles(df, ["a", "b", "c"], [0.25, 0.75])
+    finally:
+        Q.long_form = before
+    assert not asked
+    data = np.array([list(r) for r in df.collect()])
+    for i, c in enumerate("abc"):
+        for p in (0.25, 0.75):
+            assert got[(c, p)] == pytest.approx(float(np.quantile(data[:, i], p)), rel=1e-12)
+
+
+def test_ranks_outside_the_sketched_gaps_go_on(spark):
+    values = [float(i * i % 7919) for i in range(3000)]
+    df = spark.createDataFrame([(v, -v) for v in values], "a double, b double").repartition(5)
+    for kw in ({"sort_limit": 40, "buckets": 16}, {"sort_limit": 5, "buckets": 200}):
+        got = exact_quantiles(df, ["a", "b"], [0.1, 0.5, 0.51, 0.99], **kw)
+        for p in (0.1, 0.5, 0.51, 0.99):
+            assert got[("a", p)] == pytest.approx(float(np.quantile(values, p)), rel=1e-12)
+            assert got[("b", p)] == pytest.approx(float(np.quantile([-v for v in values], p)), rel=1e-12)
