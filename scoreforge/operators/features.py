@@ -12,6 +12,9 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
@@ -29,6 +32,8 @@ from .profile import iqr_bounds, number
 # ------------------------------------------------------------------ TF-IDF
 #: Terms a vocabulary without ``max_features`` may have.
 MOST_TERMS = 1_000_000
+#: Documents whose terms are counted at a time.
+COUNTED_ROWS = 2000
 
 
 @dataclass
@@ -49,16 +54,31 @@ class Vocabulary:
 
 
 def term_stats(docs: DataFrame, terms: str = "terms", count_docs: bool = False) -> DataFrame:
-    """(term, tf, df): corpus frequency and document frequency in one grouped
-    aggregate over one explode.  Each row is one document, so its distinct terms
-    give df without a shuffle per document; partial aggregation absorbs hot
-    terms.  ``count_docs`` adds a row with a null term and the number of documents as df."""
-    row = lambda t, tf, df: F.struct(t.alias("term"), F.lit(tf).alias("tf"), F.lit(df).alias("df"))
-    parts = [F.transform(terms, lambda t: row(t, 1, 0)), F.transform(F.array_distinct(terms), lambda t: row(t, 0, 1))]
+    """(term, tf, df): corpus frequency and document frequency.  Each row is one document, so an Arrow batch gives
+    the counts of its terms, one row per term; a grouped sum adds the batches up.  ``count_docs`` adds a row
+    with a null term and the number of documents as df."""
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("terms")
+            for at in range(0, len(lists), COUNTED_ROWS):
+                yield _counted(lists.slice(at, COUNTED_ROWS), count_docs)
+
+    counts = docs.select(F.col(terms).cast("array<string>").alias("terms")).mapInArrow(run, "term string, tf long, df long")
+    return counts.groupBy("term").agg(F.sum("tf").cast("long").alias("tf"), F.sum("df").cast("long").alias("df"))
+
+
+def _counted(lists: pa.ListArray, count_docs: bool) -> pa.RecordBatch:
+    """(term, tf, df) of some documents' term lists; a null term holds the number of documents."""
+    codes = lists.flatten().dictionary_encode()
+    code, size = codes.indices.to_numpy(zero_copy_only=False), len(codes.dictionary)
+    doc = np.repeat(np.arange(len(lists)), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy())
+    tf = np.bincount(code, minlength=size)
+    df = np.bincount(np.unique(doc * np.int64(max(size, 1)) + code) % max(size, 1), minlength=size)
+    term, tf, df = codes.dictionary, tf[:size], df[:size]
     if count_docs:
-        parts.append(F.array(row(F.lit(None).cast("string"), 0, 1)))
-    return docs.select(F.inline(F.concat(*parts))).groupBy("term").agg(
-        F.sum("tf").cast("long").alias("tf"), F.sum("df").cast("long").alias("df"))
+        term = pa.concat_arrays([term, pa.array([None], pa.string())])
+        tf, df = np.append(tf, 0), np.append(df, len(lists))
+    return pa.RecordBatch.from_arrays([term, pa.array(tf.astype(np.int64)), pa.array(df.astype(np.int64))], ["term", "tf", "df"])
 
 
 def tfidf_fit(docs: DataFrame, text_col: str | None = None, terms: str = "terms", max_features: int = 1000,
