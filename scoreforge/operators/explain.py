@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import exprs as X
 
+#: Entries whose numbered names are one literal.
+NUMBERED = 64
 CONTRIB_TYPE = "array<struct<feature:string,value:double,shap:double>>"
 
 
@@ -146,10 +148,12 @@ def align_names(shap: Column, values: Column, names: Sequence[str]) -> Column:
     zero-padded / truncated to the shap length."""
     n = F.size(shap)
     name_arr = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
-    use_names = F.size(name_arr) == n
-    idx = F.sequence(F.lit(0), n - 1)
-    return F.when(n == 0, F.array().cast(CONTRIB_TYPE)).otherwise(F.transform(idx, lambda i: F.struct(
-        F.when(use_names, F.element_at(name_arr, i + 1))
-         .otherwise(F.concat(F.lit("feature_"), i.cast("string"))).alias("feature"),
-        F.when(i < F.size(values), F.element_at(values, i + 1)).otherwise(F.lit(0.0)).cast("double").alias("value"),
-        F.element_at(shap, i + 1).cast("double").alias("shap"))))
+    # whole arrays side by side: no function call per entry up to NUMBERED entries
+    few = F.array(*[F.lit(f"feature_{i}") for i in range(NUMBERED)])
+    numbered = F.when(n <= NUMBERED, F.slice(few, 1, n)).otherwise(
+        F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit("feature_"), i.cast("string"))))
+    own = F.when(n == len(names), name_arr).otherwise(numbered)
+    lacking = n - F.size(values)
+    padded = F.when(lacking > 0, F.concat(values, F.array_repeat(F.lit(0.0), lacking))).otherwise(F.slice(values, 1, n))
+    return F.when(n == 0, F.array().cast(CONTRIB_TYPE)).otherwise(
+        F.arrays_zip(own.alias("feature"), padded.alias("value"), shap.alias("shap")).cast(CONTRIB_TYPE))

@@ -250,12 +250,11 @@ def e6(spark, sf_dir):
     shap = F.col("contrib")["shap"]
     values = F.slice(F.col("contrib")["value"], 1, 3)
     # a six-name catalog against four contributions: names fall back to feature_<i>; a fitting one is used
-    out = None
-    for kind, names in (("other", V.LINE_CATEGORICAL + V.LINE_NUMERIC), ("fitting", V.LINE_NUMERIC)):
-        part = c.select("id", F.posexplode(E.align_names(shap, values, names)).alias("idx", "item")).select(
-            F.lit(kind).alias("catalog"), "id", "idx", "item.feature", "item.value", "item.shap")
-        out = part if out is None else out.unionByName(part)
-    return _round_doubles(out)
+    kinds = (("other", V.LINE_CATEGORICAL + V.LINE_NUMERIC), ("fitting", V.LINE_NUMERIC))
+    both = F.array(*[F.struct(F.lit(kind).alias("catalog"), E.align_names(shap, values, names).alias("items"))
+                     for kind, names in kinds])
+    out = c.select("id", F.inline(both)).select("catalog", "id", F.posexplode("items").alias("idx", "item"))
+    return _round_doubles(out.select("catalog", "id", "idx", "item.feature", "item.value", "item.shap"))
 
 
 @query("flagship_tier_summary")
