@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -134,13 +135,18 @@ def matrix(column: pd.Series, width: int) -> np.ndarray:
     return np.stack(column.to_numpy()) if len(column) else np.zeros((0, width))
 
 
+def dense(column: pa.Array) -> np.ndarray:
+    """Rows of a list column as a matrix over its buffer, nothing copied."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
 def predictions(ensemble: Ensemble, spark, features: Column, lo: float | None = 0.0, hi: float | None = 1.0) -> Column:
     """Scores of a vector column by a broadcast ensemble, clipped; row-local in any batch or streaming plan."""
     shared = spark.sparkContext.broadcast(ensemble)
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.predict(matrix(x, 0)))
+    @F.arrow_udf("double")
+    def score(x: pa.Array) -> pa.Array:
+        return pa.array(shared.value.predict(dense(x)))
     raw = score(vector_to_array(features))
     return raw if lo is None and hi is None else X.clip(raw, lo, hi)
 

@@ -8,10 +8,11 @@ broadcast, and scoring is row-local: every input row keeps its columns, whatever
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,10 @@ from . import explain as E
 from . import features as FT
 from . import model as MD
 from . import treeshap
-from .ensemble import Ensemble, matrix, predictions
+from .ensemble import Ensemble, dense, predictions
 
+#: Rows explained at a time.
+BLOCK_ROWS = 2048
 LOG = "version long, path string, published_at string"
 
 
@@ -96,14 +99,17 @@ def scored(df: DataFrame, state: Served, out: str = "prediction", explain: str |
 def contribution_column(spark: SparkSession, nodes: dict, weights: list, names: Sequence[str], features: Column) -> Column:
     """Tree SHAP of a vector column as array<struct<feature, value, shap>>, zero entries of zero values left out."""
     shared, n = spark.sparkContext.broadcast((nodes, weights)), len(names)
-
-    @F.pandas_udf("array<double>")
-    def shap(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        paths = []
-        for tid, own in sorted(shared.value[0].items()):
-            paths += treeshap.leaf_paths(own, min(own), shared.value[1][tid])[0]
-        for column in parts:
-            yield pd.Series(list(treeshap.contributions(matrix(column, n), paths, n)))
+    made: list = []                                    # a task's paths
+
+    @F.arrow_udf("array<double>")
+    def shap(column: pa.Array) -> pa.Array:
+        if not made:
+            made.append([p for tid, own in sorted(shared.value[0].items())
+                         for p in treeshap.leaf_paths(own, min(own), shared.value[1][tid])[0]])
+        x, phi = dense(column), np.zeros((len(column), n))
+        for at in range(0, len(x), BLOCK_ROWS):
+            phi[at:at + BLOCK_ROWS] = treeshap.contributions(x[at:at + BLOCK_ROWS], made[0], n)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * np.int32(n)), pa.array(phi.ravel()))
 
     x = vector_to_array(features)
     labels = F.array(*[F.lit(c) for c in names])

@@ -46,7 +46,7 @@ def prepare_cases(t: Tables, val_pct: int = 10, test_pct: int = 20, cases: DataF
     The result is a written table: iterative fits and explanations read it many times."""
     cases = MD.hash_split(cases if cases is not None else V.cases(t, with_target=True), "case_id", test_pct, val_pct)
     fitted = case_pipeline().fit(cases.where(F.col("split") == "train"))
-    data = written(fitted.transform(cases).select("case_id", "split", "features", V.CASE_TARGET), "prepared-cases")
+    data = written(fitted.transform(cases).select("case_id", "split", "features", V.CASE_TARGET), "prepared-cases", "case_id")
     return Prepared(data, fitted, fitted.feature_names())
 
 
@@ -98,7 +98,7 @@ def train_from_log(spark: SparkSession, log: DataFrame, runs: str, run_id: str,
     p = prepare_cases(None, cases=IO.flatten_payload(rows, "payload_json", schema))
     fm = fit_model(p, params)
     test = p.data.where(F.col("split") == "test")
-    scored = written(fm.predict(test), "train-scored")
+    scored = written(fm.predict(test), "train-scored", "case_id")
     metrics = M.regression_metrics(scored, V.CASE_TARGET, "prediction").first().asDict()
     cv = MD.cross_validate(p.data.where(F.col("split") != "test"), "case_id", "features", V.CASE_TARGET,
                            {**fm.params, "maxIter": fm.model.getNumTrees}, folds)
@@ -189,7 +189,7 @@ def evaluate_and_explain(spark: SparkSession, job: Trained) -> DataFrame:
     """Metrics, tolerance bands, tree contributions, global importance and
     the top 10, over one written scored table; long (section, name, value)."""
     test = job.prepared.data.where(F.col("split") == "test")
-    scored = written(job.model.predict(test), "evaluated")
+    scored = written(job.model.predict(test), "evaluated", "case_id")
     m = M.regression_metrics(scored, V.CASE_TARGET, "prediction").first().asDict()
     bands = M.tolerance_bands(scored, V.CASE_TARGET, "prediction").first().asDict()
     contrib = scored.select(SV.contribution_column(spark, job.state.nodes, job.state.weights, job.prepared.names,

@@ -134,10 +134,12 @@ def e1(spark, sf_dir):
     data = job.prepared.data
     contrib = MD.tree_contributions(data, spark, job.path, job.prepared.names, "case_id")
     raw = job.model.predict(data, clip=False).select("case_id", F.col("prediction").alias("model_prediction"))
-    shap_sum = F.aggregate(F.col("contrib"), F.lit(0.0), lambda a, c: a + c["shap"])
-    return contrib.join(raw, "case_id").select(
-        "case_id", "expected_value", "model_prediction", shap_sum.alias("shap_sum"), F.size("contrib").alias("n_nonzero"),
-        F.abs(F.col("expected_value") + shap_sum - F.col("model_prediction")).alias("additivity_error"))
+    sums = contrib.select(
+        "case_id", "expected_value", F.aggregate(F.col("contrib"), F.lit(0.0), lambda a, c: a + c["shap"]).alias("shap_sum"),
+        F.size("contrib").alias("n_nonzero"))                  # summed first: the join moves numbers, not arrays
+    return sums.join(raw, "case_id").select(
+        "case_id", "expected_value", "model_prediction", "shap_sum", "n_nonzero",
+        F.abs(F.col("expected_value") + F.col("shap_sum") - F.col("model_prediction")).alias("additivity_error"))
 
 
 @query("e7_evaluate_and_explain")

@@ -72,9 +72,14 @@ def work_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared work folder and read back: every reader sees the same rows."""
+def written(df: DataFrame, name: str, dealt_by: str | None = None) -> DataFrame:
+    """``df`` written once to the shared work folder and read back: every reader sees the same rows.
+
+    ``dealt_by`` deals the rows by that column into a file per core: small files of rows that are
+    dear to work on would otherwise come as one task."""
     path = work_path(df.sparkSession, "tables", name)
+    if dealt_by is not None:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism, dealt_by)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
