@@ -10,13 +10,14 @@ are verified on their shingles: passages of at least ``least`` words whose
 shingle sets have a Jaccard similarity of ``similarity`` or more.
 
 Equal texts are one text: its copies only come back as members.  Windows with one key are
-linked to those of the first three texts and of the two texts before, in order of texts, so a passage
+linked to the first three windows and to the two before, in order of texts, so a passage
 that very many texts share gives rows in proportion to its occurrences; keys that a sample of the
 texts shows to be frequent are dealt over several tasks, whose first rows are then linked.
-A second look mends what this misses where a key has more than six texts: windows that lie in no passage found so far, or
-whose texts are in different classes, are sorted by the content around their smallest shingle and compared with
-the ``near`` windows before by bit maps of their shingles; one order is enough there, and the same check of the texts decides.
-A class is therefore joined over these links, not over all pairs of its texts.
+Keys with more windows have pairs left: a second look tries every one of them where a window lies in no passage found so
+far or the texts are in different classes, in groups of two blocks of windows.  One order is enough there; bit maps leave
+out pairs that cannot have a passage, and the same check of the shingles decides.  Its work is quadratic in the
+windows of a key that stay apart.
+A class is joined over these links, not over all pairs of its texts: ``n_links`` counts the links found on the way.
 
 Result: one row per document and passage, with the class its text belongs to by such links.
 
@@ -118,17 +119,21 @@ def _windows(orders: int, least: int):
     return run
 
 
-_LINK = "a long, b long, fn int, al int, ac int, ar int, bl int, bc int, br int, key long"
+_LINK = "a long, b long, fn int, al int, ac int, ar int, bl int, bc int, br int, key long, side int"
 _LINK_ARROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((n, pa.int32()) for n in ("fn", "al", "ac", "ar", "bl", "bc", "br")),
-                         ("key", pa.int64())])
+                         ("key", pa.int64()), ("side", pa.int32())])
 
 
 def _join_windows(firsts: int = 3, lasts: int = 2):
-    def run(batches):
-        """Rows sorted by key, salt and text: each is linked to its group's first texts and to the texts just before.
+    """Task: windows sorted by key, salt and text; each is linked to its group's first windows and to those just before.
+
+    A group of up to ``firsts`` + ``lasts`` windows has all its pairs so.  The windows of a larger one are marked, each once
+    (or again where a batch ends), for ``_second_look``: ``side`` holds 1 for the window of ``a`` and 2 for that of ``b``.  Every
+    window of a salted group is marked; its first one is also returned as a link with itself.
+    """
+    complete = firsts + lasts
 
-        Also returns the first row of each salted group, as a link of a text with itself.
-        """
+    def run(batches):
         held = None                            # rows of the group that may go on from the batch before
         for batch in batches:
             n = batch.num_rows
@@ -141,120 +146,165 @@ def _join_windows(firsts: int = 3, lasts: int = 2):
                 rows = {f: np.concatenate([held[f], v]) for f, v in rows.items()}
             th, every = rows["th"], np.arange(len(rows["th"]))
             group = np.concatenate([[True], (np.diff(rows["key"]) != 0) | (np.diff(rows["salt"]) != 0)])
-            text = group | np.concatenate([[True], np.diff(th) != 0])
-            head = np.flatnonzero(text)        # first row of each text of each group
-            own = np.cumsum(text) - 1          # each row's text, as an index into head
-            first = own[np.maximum.accumulate(np.where(group, every, 0))]
+            first = np.maximum.accumulate(np.where(group, every, 0))
             at = every[carried:]
-            here, there = [], []
-            for k in range(firsts):
-                ok = at[first[at] + k < own[at]]
-                here.append(ok), there.append(head[first[ok] + k])
-            for k in range(1, lasts + 1):
-                ok = at[own[at] - k >= first[at] + firsts]
-                here.append(ok), there.append(head[own[ok] - k])
-            heads = at[group[at] & (rows["salt"][at] >= 0)]
+            place, salted = at - first[at], rows["salt"][at] >= 0
+            here, there, mine, other = [], [], [], []     # the windows of a link, and whether each is marked
+            for k in range(complete):
+                ok = place > k if k < firsts else place > firsts + complete - 1 - k
+                here.append(at[ok])
+                there.append(first[at[ok]] + k if k < firsts else at[ok] - (complete - k))
+                mine.append((salted | (place >= complete))[ok] & (k == 0)), other.append((place == complete)[ok] & ~salted[ok])
+            heads = at[group[at] & salted]
             here, there = np.concatenate([*here, heads]), np.concatenate([*there, heads])
+            mine, other = np.concatenate([*mine, heads >= 0]), np.concatenate([*other, heads < 0])
+            wanted = (th[here] != th[there]) | mine | other
+            here, there, mine, other = here[wanted], there[wanted], mine[wanted], other[wanted]
             swap = th[there] > th[here]
             a, b = np.where(swap, here, there), np.where(swap, there, here)
+            side = np.where(swap, mine + 2 * other, other + 2 * mine)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(th[a]), pa.array(th[b]), pa.array(rows["fn"][a].astype(np.int32)),
-                 *(pa.array(rows[f][x].astype(np.int32)) for x in (a, b) for f in ("l", "c", "r")), pa.array(rows["key"][a])],
-                schema=_LINK_ARROW)
-            start, end = first[-1], own[-1]
-            keep = head[sorted({*range(start, min(start + firsts, end + 1)), *range(max(start, end - lasts), end + 1)})]
+                 *(pa.array(rows[f][x].astype(np.int32)) for x in (a, b) for f in ("l", "c", "r")), pa.array(rows["key"][a]),
+                 pa.array(side.astype(np.int32))], schema=_LINK_ARROW)
+            start, end = int(first[-1]), int(every[-1])
+            keep = sorted({*range(start, min(start + firsts, end + 1)), *range(max(start, end + 1 - lasts), end + 1)})
             held = {f: v[keep] for f, v in rows.items()}
     return run
 
 
-#: Bits of a window's map, and how many a linked pair has in common at least: 37 shared shingles of 46 set 34.5 of 256 bits
-#: on average, 31 or more in all but one of a hundred cases.
-_WORDS, _COMMON = 4, 31
-#: Per order, reaches (left, right) around the smallest shingle whose contents sort the windows, shortest first.
-_REACHES = (((5, 5), (12, 12), (22, 22), (40, 40)), ((0, 8), (0, 17), (0, 30), (0, 45)),
-            ((8, 0), (17, 0), (30, 0), (45, 0)), ((8, 8), (16, 16), (26, 26), (45, 45)))
+#: Shingles that the windows compared in one group hold at most on either side, about; and 64-bit words of a window's bit map.
+_BLOCK, _WORDS = 500_000, 8
 
-_NEAR = pa.schema([("key", pa.int64()), ("sig", pa.int64()), ("th", pa.int64()), ("root", pa.int64()), ("open", pa.int32()),
-                   ("fn", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), *((f"m{i}", pa.int64()) for i in range(_WORDS))])
-_NEAR_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((n, pa.int32()) for n in ("fn", "al", "ar", "bl", "br"))])
+_CONTENT = pa.schema([("key", pa.int64()), ("blocks", pa.int32()), ("th", pa.int64()), ("root", pa.int64()), ("open", pa.int32()),
+                      ("l", pa.int32()), ("c", pa.int32()), ("content", pa.binary())])
+_PART_ROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((n, pa.int32()) for n in ("al", "ar", "bl", "br")),
+                       ("jaccard", pa.float64())])
 
 
-def around(hashes: np.ndarray, fn: np.ndarray, l: np.ndarray, c: np.ndarray, r: np.ndarray, span: int):
-    """Per window [l, r] around c: a signature that sorts windows of like content together, and a bit map of its shingles.
-
-    Only the shingles that a passage of ``span`` around c can hold are looked at.
-    """
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes, dtype=np.uint64)])
-    sig = np.zeros(len(c), np.uint64)
-    for k, reaches in enumerate(_REACHES):
-        at = np.flatnonzero(fn % len(_REACHES) == k)
-        for left, right in reaches:
-            content = sums[np.minimum(c[at] + right, r[at]) + 1] - sums[np.maximum(c[at] - left, l[at])]
-            sig[at] = sig[at] << np.uint64(16) | _mix(content) >> np.uint64(48)
-    place = c[:, None] + np.arange(1 - span, span)
-    inside = (place >= l[:, None]) & (place <= r[:, None])
-    seen = hashes[np.where(inside, place, c[:, None])]         # outside places repeat c, which is inside
-    word, bit = seen >> np.uint64(6) & np.uint64(_WORDS - 1), np.uint64(1) << (seen & np.uint64(63))
-    maps = [np.bitwise_or.reduce(np.where(word == w, bit, np.uint64(0)), axis=1) for w in range(_WORDS)]
-    return sig, maps
-
-
-def _around(span: int):
-    """Task: texts with their windows; returns the windows with signature and map."""
+def _contents(block: int):
+    """Task: texts with their windows; returns the windows with their shingles."""
     def run(batches):
         for batch in all_chunks(batches, "text"):
             hashes = [shingles(t) for t in batch.column("text").to_pylist()]
-            starts = np.cumsum([0, *map(len, hashes)])[:-1]
-            lists, flat = batch.column("rows"), np.concatenate(hashes)
+            lists = batch.column("rows")
             owner = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy())
             rows = lists.flatten()
-            of = {f: rows.field(f).to_numpy(zero_copy_only=False) for f in ("key", "fn", "l", "c", "r", "open")}
-            th, shift = batch.column("th").to_numpy()[owner], starts[owner]
-            for start in range(0, len(rows), 4096):
-                part = {f: v[start:start + 4096] for f, v in of.items()}
-                at = shift[start:start + 4096]
-                sig, maps = around(flat, part["fn"], *(part[f] + at for f in ("l", "c", "r")), span)
+            of = {f: rows.field(f).to_numpy(zero_copy_only=False) for f in ("key", "blocks", "open", "l", "c", "r")}
+            th, root = (batch.column(f).to_numpy()[owner] for f in ("th", "root"))
+            size = np.cumsum(of["r"].astype(np.int64) - of["l"] + 1)
+            for at in np.split(np.arange(len(size)), np.flatnonzero(np.diff(size // block)) + 1):
+                held = [hashes[o][l:r + 1].tobytes() for o, l, r in zip(owner[at], of["l"][at], of["r"][at])]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part["key"]), pa.array(sig.view(np.int64)), pa.array(th[start:start + 4096]),
-                     rows.field("root").slice(start, 4096), *(pa.array(part[f]) for f in ("open", "fn", "l", "r")),
-                     *(pa.array(m.view(np.int64)) for m in maps)], schema=_NEAR)
+                    [pa.array(of["key"][at]), pa.array(of["blocks"][at]), pa.array(th[at]), pa.array(root[at]),
+                     *(pa.array(of[f][at]) for f in ("open", "l", "c")), pa.array(held, pa.binary())], schema=_CONTENT)
     return run
 
 
-def _near_links(near: int):
-    """Task: windows sorted by key and signature; each is compared with the ``near`` ones of its key before it."""
-    fields = [f.name for f in _NEAR]
+def bit_map(hashes: np.ndarray) -> tuple[np.ndarray, int]:
+    """A bit map of shingles, and how many fewer bits than shingles it has."""
+    out = np.zeros(_WORDS, np.uint64)
+    np.bitwise_or.at(out, (hashes >> np.uint64(6) & np.uint64(_WORDS - 1)).astype(np.int64), np.uint64(1) << (hashes & np.uint64(63)))
+    return out, len(hashes) - int(np.bitwise_count(out).sum())
+
+
+def sharing(contents: list, owner: np.ndarray, fewest: int) -> np.ndarray:
+    """Places of the contents of which ``fewest`` shingles or more also stand in one of another owner, or may do so.
+
+    Shingles are looked up in a table by their last bits, so some too many are taken as shared, none too few.
+    """
+    at, sizes = np.arange(len(contents)), np.array([len(h) for h in contents])
+    while len(at):
+        flat, of = np.concatenate([contents[i] for i in at]), np.repeat(owner[at].astype(np.int32), sizes[at])
+        bits = (8 * len(flat)).bit_length()
+        place = (flat & np.uint64((1 << bits) - 1)).astype(np.int64)
+        one, many = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, bool)
+        one[place] = of
+        many[place[one[place] != of]] = True
+        kept = np.add.reduceat(many[place].astype(np.int64), np.cumsum(sizes[at]) - sizes[at]) >= fewest
+        at = at[kept]
+        if kept.all():
+            break
+    return at
+
+
+def all_alike(th, root, loose, l, c, contents, block, span: int, similarity: float):
+    """Passages of the pairs of windows of different texts (and blocks, if there are two), by trying every pair.
+
+    Left out are only pairs whose windows both lie in a passage found and whose texts are in one class already.
+    A passage pair has a chain of ``fewest`` shingles at least in both windows: windows with fewer that others hold are
+    left out at once, in time linear in their shingles.  Of the rest, n of a window's shingles set n bits less those
+    that its map is short of, or more, so a pair with fewer bits in common has no passage.
+    """
+    fewest = int(np.ceil(similarity * 2 * span / (1 + similarity) - 1e-6))
+    two = block.min() != block.max()
+    at = sharing(contents, block if two else np.unique(th, return_inverse=True)[1], fewest)
+    if len(at) < 2:
+        return []
+    th, root, loose, l, c, block = (v[at] for v in (th, root, loose, l, c, block))
+    contents = [contents[i] for i in at]
+    maps, short = np.zeros((_WORDS, len(th)), np.uint64), np.zeros(len(th), np.int64)
+    for i, hashes in enumerate(contents):
+        maps[:, i], short[i] = bit_map(hashes)
+    names, own = np.unique(root, return_inverse=True)            # classes as small numbers, joined as passages are found
+    loose, out, known, ids = loose.copy(), [], {}, {}           # texts of one word have many windows of the same content
+    same = [ids.setdefault(h.tobytes(), len(ids)) for h in contents]
+    for start in range(0, len(th), 128):
+        i, j = np.arange(start, min(start + 128, len(th)))[:, None], np.arange(min(start + 128, len(th)))
+        near = (j < i) & (th[i] != th[j]) & (loose[i] | loose[j] | (own[i] != own[j]))
+        if two:
+            near &= block[i] != block[j]
+        if not near.any():
+            continue
+        common = np.zeros(near.shape, np.int64)
+        for w in range(_WORDS):
+            common += np.bitwise_count(maps[w, i] & maps[w, j])
+        near &= common >= fewest - np.minimum(short[i], short[j])
+        here, there = np.nonzero(near)
+        best = np.lexsort((-common[here, there], here))
+        for i, j in zip((here[best] + start).tolist(), there[best].tolist()):
+            if not loose[i] and not loose[j] and own[i] == own[j]:
+                continue
+            x, y = (i, j) if th[i] < th[j] else (j, i)
+            if (found := known.get((same[x], same[y]))) is None:
+                found = known[same[x], same[y]] = alike(contents[x], contents[y], span, similarity)
+            for s, e, u, v, jaccard in found:
+                in_x, in_y = l[x] + s <= c[x] < l[x] + e, l[y] + u <= c[y] < l[y] + v
+                if in_x or in_y or own[i] != own[j]:          # others lie in the windows of their own shingles
+                    out.append((th[x], th[y], l[x] + s, l[x] + e, l[y] + u, l[y] + v, jaccard))
+                loose[x] &= not in_x
+                loose[y] &= not in_y
+            if found and own[i] != own[j]:
+                own[own == own[i]] = own[j]
+    return out
+
+
+def _all_pairs(span: int, similarity: float):
+    """Task: windows sorted by key and pair of blocks; returns the passages of each group's pairs."""
+    def parts(held):
+        rows = pa.concat_tables([pa.Table.from_batches([b]) for b in held]).combine_chunks()
+        of = {f: rows.column(f).to_numpy() for f in ("th", "root", "open", "l", "c", "block")}
+        contents = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("content")]
+        found = all_alike(of["th"], of["root"], of["open"] > 0, of["l"], of["c"], contents, of["block"], span, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*found), _PART_ROW)], schema=_PART_ROW) if found else None
 
     def run(batches):
-        held = None
+        held, last = [], None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = {f: batch.column(f).fill_null(0).to_numpy() for f in fields}
-            carried = 0
-            if held is not None:
-                carried = len(held["key"])
-                rows = {f: np.concatenate([held[f], v]) for f, v in rows.items()}
-            key, th, root, loose = rows["key"], rows["th"], rows["root"], rows["open"] > 0
-            maps = [rows[f"m{i}"].view(np.uint64) for i in range(_WORDS)]
-            here, there = [], []
-            for k in range(1, near + 1):
-                at = np.arange(max(carried, k), len(key))
-                at = at[key[at] == key[at - k]]
-                if not len(at):
-                    break
-                at = at[(th[at] != th[at - k]) & (loose[at] | loose[at - k] | (root[at] != root[at - k]))]
-                common = sum(np.bitwise_count(m[at] & m[at - k]).astype(np.int64) for m in maps)
-                at = at[common >= _COMMON]
-                here.append(at), there.append(at - k)
-            if here:
-                here, there = np.concatenate(here), np.concatenate(there)
-                swap = th[there] > th[here]
-                a, b = np.where(swap, here, there), np.where(swap, there, here)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(th[a]), pa.array(th[b]), pa.array(rows["fn"][a]),
-                     *(pa.array(rows[f][x]) for x in (a, b) for f in ("l", "r"))], schema=_NEAR_LINK)
-            held = {f: v[-near:] for f, v in rows.items()}
+            names = [batch.column(f).to_numpy() for f in ("key", "low", "high")]
+            cuts = np.flatnonzero(np.any([np.diff(v) != 0 for v in names], axis=0)) + 1
+            for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if start == stop:
+                    continue
+                group = tuple(int(v[start]) for v in names)
+                if group != last and held:
+                    if (done := parts(held)) is not None:
+                        yield done
+                    held = []
+                held.append(batch.slice(start, stop - start))
+                last = group
+        if held and (done := parts(held)) is not None:
+            yield done
     return run
 
 
@@ -434,16 +484,21 @@ class _Last:
         return self.hashes
 
 
+def _values(*columns, step: int = 256):
+    """Rows of Arrow columns as Python values, a few hundred at a time."""
+    for start in range(0, len(columns[0]), step):
+        yield from zip(*(c.slice(start, step).to_pylist() for c in columns))
+
+
 def _slice(text, lo, hi):
     of = _Last()
-    return pa.array([of(t or "")[a:b].tobytes() for t, a, b in zip(text.to_pylist(), lo.to_pylist(), hi.to_pylist())],
-                    pa.binary())
+    return pa.array((of(t or "")[a:b].tobytes() for t, a, b in _values(text, lo, hi)), pa.binary())
 
 
 def _verify(span: int, similarity: float):
     def run(part, lo, text, other_lo, other_hi):
         out, of = [], _Last()
-        for p, a0, t, b0, b1 in zip(*(c.to_pylist() for c in (part, lo, text, other_lo, other_hi))):
+        for p, a0, t, b0, b1 in _values(part, lo, text, other_lo, other_hi):
             found = alike(np.frombuffer(p, np.uint64), of(t or "")[b0:b1], span, similarity)
             out.append([{"al": a0 + s, "ar": a0 + e, "bl": b0 + u, "br": b0 + v, "jaccard": j} for s, e, u, v, j in found])
         return pa.array(out, _PART_ARROW)
@@ -451,7 +506,7 @@ def _verify(span: int, similarity: float):
 
 
 def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least: int = 50, orders: int = 4,
-                      enough: int = 2, similarity: float = 0.8, salts: int = 32, near: int = 64) -> DataFrame:
+                      enough: int = 2, similarity: float = 0.8, salts: int = 32, block: int = _BLOCK) -> DataFrame:
     """One row per document and repeated passage: doc_id, class_id, start, stop (words, stop exclusive), n_links.
 
     ``class_id`` is the smallest id among the documents of all texts linked, ``n_links`` the texts that this
@@ -476,13 +531,12 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     windows = windows.join(F.broadcast(hot.withColumn("often", F.lit(True))), "key", "left").withColumn("salt", salt)
     dealt = materialise(_joined(windows, partitions_of(docs)), "passage-links", compression="zstd")
     # the first rows of salted groups, at most 4096 keys times salts, are linked once more by key alone
-    heads = dealt.where("a = b").select("key", F.lit(-1).alias("salt"), "fn", F.col("a").alias("th"), F.col("al").alias("l"),
+    heads = dealt.where("a = b and ac = bc and side = 2").select("key", F.lit(-1).alias("salt"), "fn", F.col("a").alias("th"), F.col("al").alias("l"),
                                         F.col("ac").alias("c"), F.col("ar").alias("r"))
-    links = dealt.where("a <> b").unionByName(_joined(heads, partitions_of(docs)))
+    links = dealt.unionByName(_joined(heads, partitions_of(docs))).where("a <> b")
 
     parts = _verified(links.select("a", "b", "fn", "al", "ar", "bl", "br"), single, enough, span, similarity)
-    more = _second_look(dealt, parts, single, span, near)
-    parts = parts.unionByName(_verified(more, single, 1, span, similarity))
+    parts = parts.unionByName(_second_look(dealt, parts, single, span, similarity, block))
 
     edges = parts.select("a", "b").distinct()
     both = edges.select(F.col("a").alias("th"), F.col("b").alias("other")).unionByName(
@@ -518,32 +572,42 @@ def _verified(links: DataFrame, single: DataFrame, enough: int, span: int, simil
                        .select("a", "b", F.explode(found).alias("p")).select("a", "b", "p.*"), "passage-parts")
 
 
-def _second_look(links: DataFrame, parts: DataFrame, single: DataFrame, span: int, near: int) -> DataFrame:
-    """Links between windows of one key that the first links left apart, of keys with more than six texts.
+def _second_look(links: DataFrame, parts: DataFrame, single: DataFrame, span: int, similarity: float, block: int) -> DataFrame:
+    """Passages of all pairs of windows of one key that the first links left apart.
 
-    Seven texts of a key have twenty links at least, so keys with fewer have all their pairs already.  Every window of
-    such a key is in some link.  Rows are dealt by ranges of key and content, so a frequent key spreads over tasks.
+    The windows of keys with pairs left are marked in the links.  Of a window, two passages' length on either side of its smallest
+    shingle are looked at: what lies further out is in the windows of other shingles.  Pairs are tried where a window lies in no passage found so
+    far or the texts are in different classes.  A key of many windows is dealt into blocks by text; every pair of
+    blocks is a group of its own, so a task holds two blocks however frequent the key is.
     """
-    often = materialise(links.groupBy("key").count().where("count >= 20").select("key"), "passage-often")
-    links = links.join(often, "key", "left_semi")
-    rows = links.select("key", "fn", F.col("a").alias("th"), F.col("al").alias("l"), F.col("ac").alias("c"), F.col("ar").alias("r"))
-    rows = rows.unionByName(links.select("key", "fn", F.col("b").alias("th"), F.col("bl").alias("l"), F.col("bc").alias("c"),
-                                         F.col("br").alias("r"))).distinct()
-    held = _merged(parts.select(F.col("a").alias("th"), F.col("al").alias("start"), F.col("ar").alias("stop")).unionByName(
-        parts.select(F.col("b").alias("th"), F.col("bl").alias("start"), F.col("br").alias("stop"))).distinct())
+    reach = 2 * span
+    rows = links.where("side > 0").select("key", F.explode(F.filter(F.array(
+        *[F.when(F.col("side").bitwiseAND(bit) != 0, F.struct(F.col(x).alias("th"), *[F.col(x + f).alias(f) for f in ("l", "c", "r")]))
+          for bit, x in ((1, "a"), (2, "b"))]), lambda w: w.isNotNull())).alias("w")).select("key", "w.*")
+    spans = (parts.select(F.col("a").alias("th"), F.col("al").alias("start"), F.col("ar").alias("stop")).unionByName(
+        parts.select(F.col("b").alias("th"), F.col("bl").alias("start"), F.col("br").alias("stop"))))
+    held = spans.groupBy("th").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     roots = connected_components(parts.select("a", "b").distinct()).withColumnRenamed("node", "th")
-    held = materialise(held.join(roots, "th"), "passage-spans")
-    rows = materialise(rows.join(held, (rows["th"] == held["th"]) & (rows["c"] >= held["start"]) & (rows["c"] < held["stop"]), "left")
-                       .select("key", "fn", rows["th"], "l", "c", "r", "root", F.col("root").isNull().cast("int").alias("open")),
-                       "passage-rows")
-    apart = materialise(rows.groupBy("key").agg(F.max("open").alias("open"), F.min("root").alias("low"), F.max("root").alias("high"))
-                        .where("open = 1 or low <> high").select("key"), "passage-apart")
-    of_text = (rows.join(apart, "key", "left_semi")
-               .groupBy("th").agg(F.collect_list(F.struct("key", "fn", "l", "c", "r", "root", "open")).alias("rows")))
-    windows = materialise(single.dropDuplicates(["th"]).join(of_text, "th").select("th", "text", "rows")
-                          .mapInArrow(_around(span), _ddl(_NEAR)), "passage-near")
-    return (windows.repartitionByRange(partitions_of(links), "key", "sig").sortWithinPartitions("key", "sig", "th")
-            .mapInArrow(_near_links(near), _ddl(_NEAR_LINK)))
+    inside = F.exists("spans", lambda s: (F.col("c") >= s["start"]) & (F.col("c") < s["stop"]))
+    rows = materialise(rows.join(held.join(roots, "th"), "th", "left").select(
+        "key", "th", F.greatest("l", F.col("c") - reach).alias("l"), "c", F.least("r", F.col("c") + reach).alias("r"), F.coalesce("root", "th").alias("root"), (~F.coalesce(inside, F.lit(False))).cast("int").alias("open")),
+        "passage-rows", compression="zstd")
+    apart = (rows.groupBy("key").agg(F.max("open").alias("open"), F.min("root").alias("low"), F.max("root").alias("high"),
+                                     F.min("th").alias("least"), F.max("th").alias("most"),
+                                     F.sum((F.col("r") - F.col("l") + 1).cast("long")).alias("size"))
+             .where("least <> most and (open = 1 or low <> high)")
+             .select("key", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks")))
+    of_text = (rows.join(apart, "key").groupBy("th").agg(
+        F.first("root").alias("root"), F.collect_list(F.struct("key", "blocks", "l", "c", "r", "open")).alias("rows")))
+    windows = (single.dropDuplicates(["th"]).join(of_text, "th").select("th", "root", "text", "rows")
+               .mapInArrow(_contents(block), "key long, blocks int, th long, root long, open int, l int, c int, content binary"))
+    mine = F.pmod(F.xxhash64("th", "key"), F.col("blocks")).cast("int")
+    windows = windows.withColumn("block", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    windows = windows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block",
+                             "th", "root", "open", "l", "c", "content")
+    return materialise(windows.repartition(partitions_of(links), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+                       .mapInArrow(_all_pairs(span, similarity),
+                                   "a long, b long, al int, ar int, bl int, br int, jaccard double"), "passage-more")
 
 
 def _joined(windows: DataFrame, partitions: int) -> DataFrame:

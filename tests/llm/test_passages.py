@@ -137,30 +137,77 @@ def test_texts_of_one_edited_passage_are_found_as_by_all_pairs(spark, make_docs)
     assert sum(c == min(truth) for c in found.values()) >= 0.97 * len(truth)      # all pairs give one class
 
 
-def test_windows_of_a_key_meet_over_batches_as_in_one():
+def line_in_pairs(seed, n):
+    """2 n texts that share a line of 30 words; texts i and n + i share a passage of 60 words around it, edited beside the line."""
+    random.seed(seed)
+    words = [f"w{i}" for i in range(20000)]
+    mk = lambda n: [random.choice(words) for _ in range(n)]
+    line, passages, rows = mk(30), [(mk(15), mk(15)) for _ in range(n)], []
+    for d in range(2 * n):
+        before, after = map(list, passages[d % n])
+        if d >= n:
+            (before if d % 2 else after)[random.choice([11, 12, 13]) if d % 2 else random.randrange(1, 4)] = mk(1)[0]
+        rows.append((d, " ".join(mk(random.randint(5, 20)) + before + line + after + mk(random.randint(5, 20)))))
+    return rows
+
+
+def test_no_pair_is_lost_among_windows_of_a_frequent_key(spark, make_docs):
+    n = 150
+    rows = line_in_pairs(3, n)
+    hashes = [S.shingles(t) for _, t in rows]
+    truth = {(a, b) for a, b in itertools.combinations(range(2 * n), 2) if S.alike(hashes[a], hashes[b], 46, 0.8)}
+    assert truth <= {(i, n + i) for i in range(n)} and len(truth) > 100
+    for block in (S._BLOCK, 5000):                                # one group a key, and pairs of blocks
+        found = {}
+        for r in S.repeated_passages(make_docs(rows), block=block).collect():
+            found.setdefault(r["class_id"], set()).add(r["doc_id"])
+        assert {tuple(sorted(c)) for c in found.values()} == truth
+
+
+def test_every_pair_of_a_group_is_linked_or_its_windows_marked():
     rng = np.random.default_rng(7)
-    n, near = 400, 8
-    of = {f: rng.integers(0, 12 if f == "key" else 2 ** 60, n) for f in ("key", "sig")}
-    of |= {"th": rng.integers(0, 150, n), "root": rng.integers(0, 3, n), "open": rng.integers(0, 2, n), "fn": rng.integers(0, 4, n),
-           "l": np.arange(n), "r": np.arange(n) + 50}
-    of |= {f"m{i}": rng.integers(0, 2 ** 60, n) | (2 ** 6 - 1) for i in range(4)}
-    order = np.lexsort((of["sig"], of["key"]))
-    of = {f: v[order] for f, v in of.items()} | {"l": np.arange(n)}
-    root = [None if o else int(r) for o, r in zip(of["open"], of["root"])]
-    table = pa.RecordBatch.from_arrays([pa.array(root, pa.int64()) if f.name == "root" else pa.array(of[f.name]).cast(f.type)
-                                        for f in S._NEAR], schema=S._NEAR)
-    want = set()
-    for i in range(n):
-        for j in range(max(0, i - near), i):
-            common = sum(bin(int(of[f"m{w}"][i]) & int(of[f"m{w}"][j])).count("1") for w in range(4))
-            apart = root[i] is None or root[j] is None or root[i] != root[j]
-            if of["key"][i] == of["key"][j] and of["th"][i] != of["th"][j] and apart and common >= S._COMMON:
-                want.add(tuple(sorted((i, j))))
-    for size in (n, 37, 3):
-        got = [r for b in S._near_links(near)(table.slice(k, size) for k in range(0, n, size)) for r in b.to_pylist()]
-        assert all(r["a"] < r["b"] for r in got) and len(got) == len(want)
-        assert {tuple(sorted((r["al"], r["bl"]))) for r in got} == want       # l is the row's number here
-    assert len(want) > 50
+    n = 600
+    of = {"key": np.sort(rng.integers(0, 80, n)), "th": rng.integers(0, 60, n)}
+    of["salt"] = np.where(of["key"] % 5 == 0, rng.integers(0, 2, n), -1)
+    order = np.lexsort((of["th"], of["salt"], of["key"]))
+    of = {f: v[order] for f, v in of.items()} | {f: np.arange(n) for f in ("l", "c", "r")} | {"fn": np.zeros(n, int)}
+    table = pa.RecordBatch.from_arrays([pa.array(v) for v in of.values()], list(of))
+    for size in (n, 37, 3, 1):
+        got = [r for b in S._join_windows()(table.slice(k, size) for k in range(0, n, size)) for r in b.to_pylist()]
+        linked = {tuple(sorted((r["ac"], r["bc"]))) for r in got}
+        marked = {r[x + "c"] for r in got for bit, x in ((1, "a"), (2, "b")) if r["side"] & bit}
+        assert all(r["a"] <= r["b"] and r["a"] == of["th"][r["ac"]] and r["b"] == of["th"][r["bc"]] for r in got)
+        for i, j in itertools.combinations(range(n), 2):
+            if of["key"][i] == of["key"][j] and of["th"][i] != of["th"][j]:
+                assert (i, j) in linked or {i, j} <= marked
+        assert marked >= set(np.flatnonzero(of["salt"] >= 0)) and len(got) < 6 * n
+
+
+def test_windows_tried_in_groups_meet_over_batches_as_in_one():
+    rng = np.random.default_rng(11)
+    rows = line_in_pairs(5, 12)
+    windows = [(i, S.shingles(t)) for i, (_, t) in enumerate(rows)]
+    want = {(a, b) for (a, x), (b, y) in itertools.combinations(windows, 2) if S.alike(x, y, 46, 0.8)}
+    assert len(want) > 5
+    names = ("key", "low", "high", "block", "th", "root", "open", "l", "c", "content")
+    held = []
+    for key in (1, 2):
+        for low, high in ((0, 0), (0, 1), (1, 1)):
+            part = [(key, low, high, i % 2, i, i, 1, 0, int(rng.integers(0, 20)), h.tobytes()) for i, h in windows if i % 2 in (low, high)]
+            held += part
+    table = pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if f == "content" else None) for f, v in zip(names, zip(*held))], list(names))
+    for size in (len(held), 7, 1):
+        got = [r for b in S._all_pairs(46, 0.8)(table.slice(k, size) for k in range(0, len(held), size)) for r in b.to_pylist()]
+        assert sorted((r["a"], r["b"]) for r in got) == sorted([*want] * 2)
+
+
+def test_bits_in_common_are_never_fewer_than_the_bound():
+    rng = np.random.default_rng(13)
+    for _ in range(300):
+        shared = rng.integers(0, rng.choice([30, 2 ** 60]), rng.integers(41, 60)).astype(np.uint64)
+        a, b = (np.concatenate([shared, rng.integers(0, 2 ** 60, rng.integers(0, 200)).astype(np.uint64)]) for _ in range(2))
+        (x, p), (y, q) = S.bit_map(a), S.bit_map(b)
+        assert int(np.bitwise_count(x & y).sum()) >= len(shared) - min(p, q)
 
 
 def test_copies_and_odd_rows(spark, make_docs):
