@@ -237,17 +237,26 @@ def all_alike(th, root, loose, l, c, contents, block, span: int, similarity: flo
     that its map is short of, or more, so a pair with fewer bits in common has no passage.
     """
     fewest = int(np.ceil(similarity * 2 * span / (1 + similarity) - 1e-6))
+    loose, first, again = loose.copy(), {}, {}         # a text's windows of one content are tried as one
+    for i, (t, d, h) in enumerate(zip(th.tolist(), (c - l).tolist(), contents)):
+        f = first.setdefault((t, d, h.tobytes()), i)
+        if f != i:
+            again.setdefault(f, []).append(int(l[i] - l[f]))
+            loose[f] |= loose[i]
+    at = np.fromiter(first.values(), np.int64, len(first))
+    th, root, loose, l, c, block = (v[at] for v in (th, root, loose, l, c, block))
+    contents, again = [contents[i] for i in at], [again.get(i, ()) for i in at.tolist()]
     two = block.min() != block.max()
     at = sharing(contents, block if two else np.unique(th, return_inverse=True)[1], fewest)
     if len(at) < 2:
         return []
     th, root, loose, l, c, block = (v[at] for v in (th, root, loose, l, c, block))
-    contents = [contents[i] for i in at]
+    contents, again = [contents[i] for i in at], [again[i] for i in at]
     maps, short = np.zeros((_WORDS, len(th)), np.uint64), np.zeros(len(th), np.int64)
     for i, hashes in enumerate(contents):
         maps[:, i], short[i] = bit_map(hashes)
     names, own = np.unique(root, return_inverse=True)            # classes as small numbers, joined as passages are found
-    loose, out, known, ids = loose.copy(), [], {}, {}           # texts of one word have many windows of the same content
+    out, known, ids = [], {}, {}
     same = [ids.setdefault(h.tobytes(), len(ids)) for h in contents]
     for start in range(0, len(th), 128):
         i, j = np.arange(start, min(start + 128, len(th)))[:, None], np.arange(min(start + 128, len(th)))
@@ -271,7 +280,8 @@ def all_alike(th, root, loose, l, c, contents, block, span: int, similarity: flo
             for s, e, u, v, jaccard in found:
                 in_x, in_y = l[x] + s <= c[x] < l[x] + e, l[y] + u <= c[y] < l[y] + v
                 if in_x or in_y or own[i] != own[j]:          # others lie in the windows of their own shingles
-                    out.append((th[x], th[y], l[x] + s, l[x] + e, l[y] + u, l[y] + v, jaccard))
+                    for p, q in ((0, 0), *((k, 0) for k in again[x]), *((0, k) for k in again[y])):
+                        out.append((th[x], th[y], l[x] + s + p, l[x] + e + p, l[y] + u + q, l[y] + v + q, jaccard))
                 loose[x] &= not in_x
                 loose[y] &= not in_y
             if found and own[i] != own[j]:

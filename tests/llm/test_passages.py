@@ -201,6 +201,13 @@ def test_windows_tried_in_groups_meet_over_batches_as_in_one():
         assert sorted((r["a"], r["b"]) for r in got) == sorted([*want] * 2)
 
 
+def test_windows_of_a_text_with_one_content_are_tried_as_one_and_all_reported():
+    h = np.arange(100, 160).astype(np.uint64)
+    th, l = np.array([1, 1, 2]), np.array([0, 200, 10])
+    found = S.all_alike(th, th, np.ones(3, bool), l, l + 5, [h, h.copy(), h.copy()], np.zeros(3, int), 46, 0.8)
+    assert sorted(tuple(map(int, f[:6])) for f in found) == [(1, 2, 0, 60, 10, 70), (1, 2, 200, 260, 10, 70)]
+
+
 def test_bits_in_common_are_never_fewer_than_the_bound():
     rng = np.random.default_rng(13)
     for _ in range(300):
