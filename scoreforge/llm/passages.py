@@ -14,9 +14,9 @@ linked to the first three windows and to the two before, in order of texts, so a
 that very many texts share gives rows in proportion to its occurrences; keys that a sample of the
 texts shows to be frequent are dealt over several tasks, whose first rows are then linked.
 Keys with more windows have pairs left: a second look tries every one of them where a window lies in no passage found so
-far or the texts are in different classes, in groups of two blocks of windows.  One order is enough there; bit maps leave
-out pairs that cannot have a passage, and the same check of the shingles decides.  Its work is quadratic in the
-windows of a key that stay apart.
+far or the texts are in different classes, in groups of two blocks of windows.  One order is enough there; windows of one
+text that overlap are tried as one range, shared shingles and bit maps leave out pairs that cannot have a passage, and the same
+check of the shingles decides.  Its work is quadratic in the texts of a key that stay apart.
 A class is joined over these links, not over all pairs of its texts: ``n_links`` counts the links found on the way.
 
 Result: one row per document and passage, with the class its text belongs to by such links.
@@ -174,7 +174,7 @@ def _join_windows(firsts: int = 3, lasts: int = 2):
 
 
 #: Shingles that the windows compared in one group hold at most on either side, about; and 64-bit words of a window's bit map.
-_BLOCK, _WORDS = 500_000, 8
+_BLOCK, _WORDS = 500_000, 32
 
 _CONTENT = pa.schema([("key", pa.int64()), ("blocks", pa.int32()), ("th", pa.int64()), ("root", pa.int64()), ("open", pa.int32()),
                       ("l", pa.int32()), ("c", pa.int32()), ("content", pa.binary())])
@@ -183,7 +183,8 @@ _PART_ROW = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((n, pa.int32()) f
 
 
 def _contents(block: int):
-    """Task: texts with their windows; returns the windows with their shingles."""
+    """Task: texts with their windows; returns the windows with their shingles, each with those only that the windows of
+    its key and text before it do not hold."""
     def run(batches):
         for batch in all_chunks(batches, "text"):
             hashes = [shingles(t) for t in batch.column("text").to_pylist()]
@@ -191,8 +192,16 @@ def _contents(block: int):
             owner = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy())
             rows = lists.flatten()
             of = {f: rows.field(f).to_numpy(zero_copy_only=False) for f in ("key", "blocks", "open", "l", "c", "r")}
+            order = np.lexsort((of["l"], of["key"], owner))
+            owner, of = owner[order], {f: v[order] for f, v in of.items()}
             th, root = (batch.column(f).to_numpy()[owner] for f in ("th", "root"))
-            size = np.cumsum(of["r"].astype(np.int64) - of["l"] + 1)
+            if len(owner):
+                same = (np.diff(owner) == 0) & (np.diff(of["key"]) == 0)
+                far, number = int(of["r"].max()) + 1, np.concatenate([[0], np.cumsum(~same)])
+                stop = of["r"].astype(np.int64) + 1 + number * far
+                done = np.concatenate([[0], np.maximum.accumulate(stop)[:-1]]) - number * far
+                of["l"] = np.maximum(of["l"], done).astype(np.int32)
+            size = np.cumsum(np.maximum(of["r"].astype(np.int64) - of["l"] + 1, 0))
             for at in np.split(np.arange(len(size)), np.flatnonzero(np.diff(size // block)) + 1):
                 held = [hashes[o][l:r + 1].tobytes() for o, l, r in zip(owner[at], of["l"][at], of["r"][at])]
                 yield pa.RecordBatch.from_arrays(
@@ -203,9 +212,103 @@ def _contents(block: int):
 
 def bit_map(hashes: np.ndarray) -> tuple[np.ndarray, int]:
     """A bit map of shingles, and how many fewer bits than shingles it has."""
-    out = np.zeros(_WORDS, np.uint64)
-    np.bitwise_or.at(out, (hashes >> np.uint64(6) & np.uint64(_WORDS - 1)).astype(np.int64), np.uint64(1) << (hashes & np.uint64(63)))
-    return out, len(hashes) - int(np.bitwise_count(out).sum())
+    seen = np.zeros(64 * _WORDS, bool)
+    seen[(hashes & np.uint64(64 * _WORDS - 1)).astype(np.int64)] = True
+    return np.packbits(seen).view(np.uint64), len(hashes) - int(np.count_nonzero(seen))
+
+
+def numbered(contents: list) -> list:
+    """The contents with every repeat of a shingle as one of its own: two of them share as many as a chain of links can have."""
+    sizes = np.array([len(h) for h in contents])
+    flat, of = np.concatenate(contents), np.repeat(np.arange(len(contents), dtype=np.int32), sizes)
+    order = np.argsort(flat, kind="stable")
+    value, owner = flat[order], of[order]
+    again = (value[1:] == value[:-1]) & (owner[1:] == owner[:-1])
+    if again.any():
+        every = np.arange(len(flat))
+        first = np.maximum.accumulate(np.where(np.concatenate([[True], ~again]), every, 0))
+        flat = flat.copy()
+        flat[order] = value + (every - first).astype(np.uint64) * _MULTIPLIER
+    return np.split(flat, np.cumsum(sizes)[:-1])
+
+
+def shared_ids(contents: list, owner: np.ndarray) -> list:
+    """Per content, small numbers of its shingles that also stand in one of another owner."""
+    sizes = np.array([len(h) for h in contents])
+    of = np.repeat(owner, sizes)
+    values, flat = np.unique(np.concatenate(contents), return_inverse=True)
+    one, many = np.zeros(len(values), owner.dtype), np.zeros(len(values), bool)
+    one[flat] = of
+    many[flat[one[flat] != of]] = True
+    ids, ok = (np.cumsum(many) - 1).astype(np.uint64)[flat], many[flat]
+    ends = np.cumsum(np.add.reduceat(ok.astype(np.int64), np.cumsum(sizes) - sizes))
+    return np.split(ids[ok], ends[:-1])
+
+
+class _Range:
+    """Windows of one text that overlap or touch, as the one stretch of shingles they span."""
+
+    def __init__(self, th, members: np.ndarray, l, c, loose, contents: list):
+        ends = l[members] + np.array([len(contents[i]) for i in members])
+        self.th, self.low, self.high = th, int(l[members[0]]), int(ends.max())
+        self.content, done = np.empty(self.high - self.low, np.uint64), self.low
+        for i, end in zip(members.tolist(), ends.tolist()):          # in order of their starts
+            if end > done:
+                self.content[done - self.low:end - self.low] = contents[i][done - int(l[i]):]
+                done = end
+        self.places, self.loose = c[members].astype(np.int64), loose[members]
+        self.repeats, self.pieces = len(np.unique(self.content)) < len(self.content), None
+
+    def left(self, seen: _Covered, reach: int) -> tuple[int, int] | None:
+        """The part around the windows' smallest shingles that are still not covered."""
+        bare = self.places[self.loose & ~seen.at(self.places)]
+        return (max(self.low, int(bare.min()) - reach), min(self.high, int(bare.max()) + reach + 1)) if len(bare) else None
+
+
+    def parts(self, span: int) -> list:
+        """Places of smallest shingles, ``span`` / 2 apart at least, each with the part of two passages' length on either side."""
+        if self.pieces is None:
+            self.pieces, last = [], -span
+            for k in sorted(set(self.places.tolist())):
+                if k - last >= span // 2:
+                    self.pieces.append(((k, k + span // 2), (max(self.low, k - 2 * span), min(self.high, k + 2 * span + 1))))
+                    last = k
+        return self.pieces
+
+    def bare(self, seen: _Covered, part: tuple[int, int]) -> bool:
+        """Whether an open smallest shingle from ``part`` is still not covered."""
+        own = self.places[(self.places >= part[0]) & (self.places < part[1]) & self.loose]
+        return not seen.at(own).all()
+
+
+class _Covered:
+    """The places of one text that lie in passages found."""
+
+    def __init__(self, ranges: list):
+        self.low = min(min(r.low, int(r.places.min())) for r in ranges)
+        self.seen = np.zeros(max(max(r.high, int(r.places.max()) + 1) for r in ranges) - self.low, bool)
+
+    def at(self, places: np.ndarray) -> np.ndarray:
+        return self.seen[places - self.low]
+
+    def add(self, start: int, stop: int) -> bool:
+        """Takes in a passage; whether a part of it is new."""
+        part = self.seen[start - self.low:stop - self.low]
+        new = not part.all()
+        part[:] = True
+        return new
+
+
+def _ranges(th, block, loose, l, c, contents) -> tuple[list, np.ndarray]:
+    """The windows of every text as ranges, and the block of each."""
+    ends = l.astype(np.int64) + np.array([len(h) for h in contents])
+    order = np.lexsort((l, th))
+    texts, number = np.unique(th[order], return_inverse=True)
+    far = int(ends.max()) + 1
+    reach = np.maximum.accumulate(ends[order] + number * far)
+    cut = np.flatnonzero(l[order][1:] + number[1:] * far > reach[:-1]) + 1
+    parts = np.split(order, cut)
+    return [_Range(th[m[0]], m, l, c, loose, contents) for m in parts], block[[m[0] for m in parts]]
 
 
 def sharing(contents: list, owner: np.ndarray, fewest: int) -> np.ndarray:
@@ -231,61 +334,110 @@ def sharing(contents: list, owner: np.ndarray, fewest: int) -> np.ndarray:
 def all_alike(th, root, loose, l, c, contents, block, span: int, similarity: float):
     """Passages of the pairs of windows of different texts (and blocks, if there are two), by trying every pair.
 
-    Left out are only pairs whose windows both lie in a passage found and whose texts are in one class already.
-    A passage pair has a chain of ``fewest`` shingles at least in both windows: windows with fewer that others hold are
-    left out at once, in time linear in their shingles.  Of the rest, n of a window's shingles set n bits less those
-    that its map is short of, or more, so a pair with fewer bits in common has no passage.
+    Windows of one text that overlap or touch are tried as the range they span, and again over what is left of it as long as that covers
+    more.  Left out are only pairs whose windows all lie in passages found and whose texts are in one class already.
+    A passage pair has a chain of ``fewest`` shingles at least in both ranges, repeats counted as often as both have them:
+    ranges with fewer that others hold are left out at once, in time linear in their shingles.  Of the rest, n shared shingles
+    of a range set n bits less those that its map is short of, or more, so a pair with fewer bits in common has no passage.
+
+    Passages that lie in those returned before are left out where the two texts are linked already.
     """
     fewest = int(np.ceil(similarity * 2 * span / (1 + similarity) - 1e-6))
-    loose, first, again = loose.copy(), {}, {}         # a text's windows of one content are tried as one
-    for i, (t, d, h) in enumerate(zip(th.tolist(), (c - l).tolist(), contents)):
-        f = first.setdefault((t, d, h.tobytes()), i)
-        if f != i:
-            again.setdefault(f, []).append(int(l[i] - l[f]))
-            loose[f] |= loose[i]
-    at = np.fromiter(first.values(), np.int64, len(first))
-    th, root, loose, l, c, block = (v[at] for v in (th, root, loose, l, c, block))
-    contents, again = [contents[i] for i in at], [again.get(i, ()) for i in at.tolist()]
+    ranges, block = _ranges(th, block, loose, l, c, contents)
     two = block.min() != block.max()
-    at = sharing(contents, block if two else np.unique(th, return_inverse=True)[1], fewest)
+    names, text = np.unique([r.th for r in ranges], return_inverse=True)
+    owner = (block if two else text).astype(np.int32)
+    each = numbered([r.content for r in ranges])
+    at = sharing(each, owner, fewest)
     if len(at) < 2:
         return []
-    th, root, loose, l, c, block = (v[at] for v in (th, root, loose, l, c, block))
-    contents, again = [contents[i] for i in at], [again[i] for i in at]
-    maps, short = np.zeros((_WORDS, len(th)), np.uint64), np.zeros(len(th), np.int64)
-    for i, hashes in enumerate(contents):
-        maps[:, i], short[i] = bit_map(hashes)
-    names, own = np.unique(root, return_inverse=True)            # classes as small numbers, joined as passages are found
-    out, known, ids = [], {}, {}
-    same = [ids.setdefault(h.tobytes(), len(ids)) for h in contents]
-    for start in range(0, len(th), 128):
-        i, j = np.arange(start, min(start + 128, len(th)))[:, None], np.arange(min(start + 128, len(th)))
-        near = (j < i) & (th[i] != th[j]) & (loose[i] | loose[j] | (own[i] != own[j]))
+    ids = shared_ids([each[i] for i in at], owner[at])
+    enough = np.flatnonzero(np.array([len(h) for h in ids]) >= fewest)
+    if len(enough) < 2:
+        return []
+    ids, at = [ids[i] for i in enough], at[enough]
+    ranges, text, block = [ranges[i] for i in at], text[at], block[at]
+    maps, short = np.zeros((_WORDS, len(at)), np.uint64), np.zeros(len(at), np.int64)
+    for i, h in enumerate(ids):
+        maps[:, i], short[i] = bit_map(h)
+    loose = np.array([r.loose.any() for r in ranges])
+    class_of = dict(zip(th.tolist(), root.tolist()))
+    own = np.unique([class_of[r.th] for r in ranges], return_inverse=True)[1]    # classes as small numbers, joined as passages are found
+    ranges_of = np.split(np.argsort(text, kind="stable"), np.cumsum(np.bincount(text, minlength=len(names)))[:-1])
+    covered: dict[int, _Covered] = {}
+    out, linked, known, alikes = [], set(), {}, {}
+    same = [alikes.setdefault(r.content.tobytes(), len(alikes)) for r in ranges]
+
+    def seen(i: int) -> _Covered:
+        if (held := covered.get(text[i])) is None:
+            held = covered[text[i]] = _Covered([ranges[k] for k in ranges_of[text[i]]])
+        return held
+
+    def both(x: int, y: int, a: np.ndarray, b: np.ndarray) -> list:
+        found = alike(a, b, span, similarity)
+        if ranges[x].repeats or ranges[y].repeats:
+            found = found + [f for f in alike(a, b, span, similarity, counted=True) if f not in found]
+        return found
+
+    def tried(x: int, y: int, of_x: tuple[int, int], of_y: tuple[int, int], found: list) -> bool:
+        """Takes in the passages found in parts of two ranges; whether they cover more than those before."""
+        more, apart = False, own[x] != own[y]
+        for s, e, u, v, jaccard in found:
+            s, e, u, v = of_x[0] + s, of_x[0] + e, of_y[0] + u, of_y[0] + v
+            held = [((r.places >= a) & (r.places < b)).any() for r, a, b in ((ranges[x], s, e), (ranges[y], u, v))]
+            if not (any(held) or apart):
+                continue                                         # it lies in the windows of its own shingles
+            new = [seen(x).add(s, e), seen(y).add(u, v)]
+            if any(new) or (text[x], text[y]) not in linked:
+                out.append((ranges[x].th, ranges[y].th, s, e, u, v, jaccard))
+                linked.add((text[x], text[y]))
+            more |= any(new)
+        if more:
+            for i in (x, y):
+                for k in ranges_of[text[i]]:
+                    loose[k] = loose[k] and ranges[k].left(seen(k), 2 * span) is not None
+        if found and apart:
+            own[own == own[x]] = own[y]
+        return more
+
+    for begin in range(0, len(at), 64):
+        i, j = np.arange(begin, min(begin + 64, len(at)))[:, None], np.arange(min(begin + 64, len(at)))
+        near = (j < i) & (text[i] != text[j]) & (loose[i] | loose[j] | (own[i] != own[j]))
         if two:
             near &= block[i] != block[j]
         if not near.any():
             continue
-        common = np.zeros(near.shape, np.int64)
+        common = np.zeros(near.shape, np.int32)
         for w in range(_WORDS):
             common += np.bitwise_count(maps[w, i] & maps[w, j])
         near &= common >= fewest - np.minimum(short[i], short[j])
         here, there = np.nonzero(near)
         best = np.lexsort((-common[here, there], here))
-        for i, j in zip((here[best] + start).tolist(), there[best].tolist()):
+        for i, j in zip((here[best] + begin).tolist(), there[best].tolist()):
             if not loose[i] and not loose[j] and own[i] == own[j]:
                 continue
-            x, y = (i, j) if th[i] < th[j] else (j, i)
+            x, y = (i, j) if ranges[i].th < ranges[j].th else (j, i)
+            a, b = ranges[x], ranges[y]
             if (found := known.get((same[x], same[y]))) is None:
-                found = known[same[x], same[y]] = alike(contents[x], contents[y], span, similarity)
-            for s, e, u, v, jaccard in found:
-                in_x, in_y = l[x] + s <= c[x] < l[x] + e, l[y] + u <= c[y] < l[y] + v
-                if in_x or in_y or own[i] != own[j]:          # others lie in the windows of their own shingles
-                    for p, q in ((0, 0), *((k, 0) for k in again[x]), *((0, k) for k in again[y])):
-                        out.append((th[x], th[y], l[x] + s + p, l[x] + e + p, l[y] + u + q, l[y] + v + q, jaccard))
-                loose[x] &= not in_x
-                loose[y] &= not in_y
-            if found and own[i] != own[j]:
-                own[own == own[i]] = own[j]
+                found = known[same[x], same[y]] = both(x, y, a.content, b.content)
+            of_x, of_y = (a.low, a.high), (b.low, b.high)
+            while found and tried(x, y, of_x, of_y, found) and (loose[x] or loose[y]):
+                parts = [r.left(seen(k), 2 * span) or (r.low, r.high) for k, r in ((x, a), (y, b))]
+                if parts == [of_x, of_y]:
+                    break
+                of_x, of_y = parts
+                found = both(x, y, *(r.content[s - r.low:e - r.low] for r, (s, e) in ((a, of_x), (b, of_y))))
+            if not (loose[x] or loose[y]) or max(a.high - a.low, b.high - b.low) <= 4 * span + 1:
+                continue
+            for p, of_x in a.parts(span):                        # repeats hide passages from a look at the whole
+                for q, of_y in b.parts(span):
+                    if (loose[x] and a.bare(seen(x), p)) or (loose[y] and b.bare(seen(y), q)):
+                        (s, e), (u, v) = of_x, of_y
+                        pieces = a.content[s - a.low:e - a.low], b.content[u - b.low:v - b.low]
+                        if (found := known.get(name := (pieces[0].tobytes(), pieces[1].tobytes()))) is None:
+                            found = known[name] = both(x, y, *pieces)
+                        if found:
+                            tried(x, y, of_x, of_y, found)
     return out
 
 
@@ -374,12 +526,13 @@ def _candidates(enough: int):
     return run
 
 
-def alike(a: np.ndarray, b: np.ndarray, span: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+def alike(a: np.ndarray, b: np.ndarray, span: int, similarity: float, counted: bool = False) -> list[tuple[int, int, int, int, float]]:
     """Passages of two shingle sequences: (a start, a stop, b start, b stop, Jaccard), longest first, not overlapping in ``a``.
 
     Shared shingles that stand in one order in both texts form a chain, whatever is inserted or left out between them.
     A passage pair of that similarity shares ``similarity`` of either side's shingles or more; the longest stretch of a
     chain that is similar enough over both sides is taken, the rest is searched again.
+    Repeated shingles are taken as near each other, or, if ``counted``, in their order: the first as the first one in ``b``.
     """
     least = similarity * span
     if len(a) < span or len(b) < span:
@@ -390,7 +543,10 @@ def alike(a: np.ndarray, b: np.ndarray, span: int, similarity: float) -> list[tu
     at = np.flatnonzero(sorted_b[np.minimum(place, len(b) - 1)] == a)
     if len(at) < least:
         return []
-    near = _nearest(a, at, place[at], where_b, sorted_b)
+    if counted:
+        at, near = _in_order(a, at, place[at], where_b, sorted_b)
+    else:
+        near = _nearest(a, at, place[at], where_b, sorted_b)
     out, todo = [], [(at, near)]
     while todo:
         at, near = todo.pop()
@@ -422,23 +578,39 @@ def alike(a: np.ndarray, b: np.ndarray, span: int, similarity: float) -> list[tu
 def _nearest(a, at, low, where_b, sorted_b) -> np.ndarray:
     """The place in b of each shared shingle; a repeated one is taken as the shared one nearest in a that has one place."""
     near = where_b[low]
-    if not (sorted_b[1:] == sorted_b[:-1]).any():
+    other = sorted_b[1:] != sorted_b[:-1]
+    if other.all():
         return near
     near, high = near.copy(), np.searchsorted(sorted_b, a[at], side="right")
-    alone = np.flatnonzero(high - low == 1)
-    middle = int(np.median(near - at))
-    for i in np.flatnonzero(high - low > 1):
-        shift = middle
-        if len(alone):
-            k = np.searchsorted(alone, i)
-            sides = alone[max(0, k - 1):k + 1]
-            nearest = sides[np.argmin(np.abs(at[sides] - at[i]))]
-            shift = near[nearest] - at[nearest]
-        places = where_b[low[i]:high[i]]
-        near[i] = places[np.argmin(np.abs(places - at[i] - shift))]
+    alone, many = np.flatnonzero(high - low == 1), np.flatnonzero(high - low > 1)
+    if not len(many):
+        return near
+    if len(alone):
+        k = np.searchsorted(alone, many)
+        before, after = alone[np.maximum(k - 1, 0)], alone[np.minimum(k, len(alone) - 1)]
+        by = np.where(np.abs(at[after] - at[many]) < np.abs(at[before] - at[many]), after, before)
+        wanted = at[many] + near[by] - at[by]
+    else:
+        wanted = at[many] + int(np.median(near - at))
+    # the places of one shingle ascend, those of all shingles do with the shingle's place in front
+    n = len(where_b)
+    first = np.maximum.accumulate(np.where(np.concatenate([[True], other]), np.arange(n), 0))
+    place = np.searchsorted(first * n + where_b, low[many] * n + np.clip(wanted, 0, n - 1))
+    left, right = where_b[np.maximum(place - 1, low[many])], where_b[np.minimum(place, high[many] - 1)]
+    near[many] = np.where(np.abs(left - wanted) <= np.abs(right - wanted), left, right)
     return near
 
 
+def _in_order(a, at, low, where_b, sorted_b) -> tuple[np.ndarray, np.ndarray]:
+    """The shared shingles that b holds as often, and the place of each: its first, second, and so on."""
+    order = np.argsort(low, kind="stable")
+    every, new = np.arange(len(at)), np.concatenate([[True], np.diff(low[order]) != 0])
+    number = np.empty(len(at), np.int64)
+    number[order] = every - np.maximum.accumulate(np.where(new, every, 0))
+    ok = low + number < np.searchsorted(sorted_b, a[at], side="right")
+    return at[ok], where_b[(low + number)[ok]]
+
+
 def _chain(near: np.ndarray) -> np.ndarray:
     """Indices of a longest strictly increasing subsequence."""
     if (np.diff(near) > 0).all():
@@ -602,9 +774,12 @@ def _second_look(links: DataFrame, parts: DataFrame, single: DataFrame, span: in
     rows = materialise(rows.join(held.join(roots, "th"), "th", "left").select(
         "key", "th", F.greatest("l", F.col("c") - reach).alias("l"), "c", F.least("r", F.col("c") + reach).alias("r"), F.coalesce("root", "th").alias("root"), (~F.coalesce(inside, F.lit(False))).cast("int").alias("open")),
         "passage-rows", compression="zstd")
-    apart = (rows.groupBy("key").agg(F.max("open").alias("open"), F.min("root").alias("low"), F.max("root").alias("high"),
-                                     F.min("th").alias("least"), F.max("th").alias("most"),
-                                     F.sum((F.col("r") - F.col("l") + 1).cast("long")).alias("size"))
+    # overlapping windows of a text count once
+    of_key = rows.groupBy("key", "th").agg(
+        F.max("open").alias("open"), F.first("root").alias("root"),
+        F.least(F.max("r") - F.min("l") + 1, F.sum((F.col("r") - F.col("l") + 1).cast("long"))).alias("size"))
+    apart = (of_key.groupBy("key").agg(F.max("open").alias("open"), F.min("root").alias("low"), F.max("root").alias("high"),
+                                       F.min("th").alias("least"), F.max("th").alias("most"), F.sum("size").alias("size"))
              .where("least <> most and (open = 1 or low <> high)")
              .select("key", F.ceil(F.col("size") / F.lit(block)).cast("int").alias("blocks")))
     of_text = (rows.join(apart, "key").groupBy("th").agg(

@@ -236,3 +236,60 @@ def test_meeting_matches_counting_orders_at_every_place():
         for g in range(groups):
             most = max(len({f for k, f, a, b in zip(group, fn, lo, hi) if k == g and a <= x <= b}) for x in range(100))
             assert found[g] == (most >= enough)
+
+
+def windows_of(th, hashes, key_of):
+    """The second look's rows of one text: the windows of its most frequent shingle, two passages' length on either side."""
+    l, c, r = S.compact_windows(S.order_keys(hashes, 0), np.array([0]), np.array([len(hashes)]), 46)
+    own = hashes[c] == key_of
+    l, c, r = np.maximum(l, c - 92)[own], c[own], np.minimum(r, c + 92)[own]
+    return [(th, int(a), int(b), hashes[a:d + 1]) for a, b, d in zip(l, c, r)]
+
+
+def test_overlapping_windows_of_a_text_are_tried_as_one(monkeypatch):
+    word = {w: h for w, h in zip("abc", np.array([11, 7, 5], np.uint64))}
+    run = lambda text: np.array([word[w] for w in text], np.uint64)
+    key = word[min("abc", key=lambda w: int(S.order_keys(run(w), 0)[0]))]
+    name = next(w for w, h in word.items() if h == key)
+    one, two = [w for w in "abc" if w != name]
+    texts = [run(name * 40 + one * 40), run(two * 40 + name * 40), run(name * 90 + two * 20), run(one * 30 + name * 60)]
+    tries = []
+    real = S.alike
+    monkeypatch.setattr(S, "alike", lambda *a, **k: tries.append(1) or real(*a, **k))
+
+    def found(numbers):
+        rows = [w for i in numbers for w in windows_of(i, texts[i], key)]
+        th, l, c = (np.array(v) for v in list(zip(*rows))[:3])
+        return len(rows), S.all_alike(th, th, np.ones(len(rows), bool), l, c, [r[3] for r in rows], np.zeros(len(rows), int), 46, 0.8)
+    n, got = found([0, 1])                                        # runs of 40 are no passage
+    assert n > 30 and got == [] and len(tries) < 5
+    n, got = found([2, 3])                                        # all 90 places lie in passages, 60 in the other text
+    assert n > 70 and len(tries) < 40 and {(int(f[0]), int(f[1])) for f in got} == {(2, 3)}
+    of_one, of_two = ({k for f in got for k in range(f[i], f[i + 1])} for i in (2, 4))
+    assert of_one >= set(range(90)) and of_two >= set(range(30, 90))
+
+
+def test_contents_hold_a_texts_shingles_once_for_each_key():
+    text = " ".join(f"w{i}" for i in range(300))
+    rows = [{"key": k, "blocks": 1, "open": 1, "l": l, "c": l + 5, "r": r} for k, l, r in
+            ((1, 40, 120), (1, 0, 100), (1, 50, 110), (1, 200, 280), (2, 90, 150), (1, 121, 130))]
+    kind = pa.list_(pa.struct([(f, pa.int64() if f == "key" else pa.int32()) for f in rows[0]]))
+    batch = pa.RecordBatch.from_arrays([pa.array([9]), pa.array([9]), pa.array([text]), pa.array([rows], kind)], ["th", "root", "text", "rows"])
+    got = [r for b in S._contents(60)([batch]) for r in b.to_pylist()]
+    assert sum(len(r["content"]) // 8 for r in got) == 131 + 81 + 61 and len(got) == len(rows)
+    own = [r for r in got if r["key"] == 1]
+    of = lambda f: np.array([r[f] for r in own])
+    ranges, _ = S._ranges(of("th"), of("blocks"), of("open") > 0, of("l"), of("c"), [np.frombuffer(r["content"], np.uint64) for r in own])
+    assert [(r.low, r.high) for r in ranges] == [(0, 131), (200, 281)]
+    assert all((r.content == S.shingles(text)[r.low:r.high]).all() for r in ranges)
+    assert sorted(k for r in ranges for k in r.places.tolist()) == [5, 45, 55, 126, 205]
+
+
+def test_numbered_shingles_in_common_are_never_fewer_than_the_links_of_a_chain():
+    rng = np.random.default_rng(17)
+    for _ in range(200):
+        a, b = (rng.integers(0, rng.choice([2, 10, 60]), rng.integers(46, 120)).astype(np.uint64) for _ in range(2))
+        common = len(set.intersection(*(set(h.tolist()) for h in S.numbered([a, b]))))
+        assert common == sum(min((a == v).sum(), (b == v).sum()) for v in np.unique(a))
+        x, y = S.shared_ids(S.numbered([a, b]), np.array([0, 1], np.int32))
+        assert len(x) == len(y) == common and set(x.tolist()) == set(y.tolist())
