@@ -36,6 +36,8 @@ DEFAULT_PARAMS = {
     "seed": 42,            # random_seed
 }
 EARLY_STOPPING_ROUNDS = 50
+#: Rows that a task of a fit may hold before there are more tasks than cores.
+FIT_ROWS = 1_000_000
 # fixed values: search space of the three parameters that Spark's trees share
 SEARCH_SPACE = {
     "maxDepth": [4, 5, 6, 7, 8],
@@ -83,6 +85,18 @@ def _gbt(params: dict, features: str, label: str) -> GBTRegressor:
     return GBTRegressor(featuresCol=features, labelCol=label, lossType="squared", **p)
 
 
+def in_few_tasks(train: DataFrame) -> DataFrame:
+    """The rows in no more partitions than cores, or than ``FIT_ROWS`` rows each need.
+
+    Every task hands on the statistics of all bins, features and nodes at every level of every tree, however few rows it
+    holds: with a task per file split what a fit shuffles grows with the input, with a task per core it does not.  For
+    tables as they are read: the partitions of a plan with a shuffle are known only once that has run."""
+    cores = train.sparkSession.sparkContext.defaultParallelism
+    if train.rdd.getNumPartitions() <= cores:
+        return train
+    return train.coalesce(max(cores, -(-train.count() // FIT_ROWS)))
+
+
 def _assembled(trees: list, weights: list[float], n_features: int, uid: str) -> GBTRegressionModel:
     """An ensemble model of fitted trees (Java objects) and their weights."""
     sc = SparkSession.getActiveSession().sparkContext
@@ -201,7 +215,7 @@ def cross_validate(df: DataFrame, key: str, features: str, label: str, params: d
     folded = hash_folds(df, key, k)
 
     def one(f: int):
-        fm = gbt_fit(folded.where(F.col("fold") != f), features, label, params)
+        fm = gbt_fit(in_few_tasks(folded.where(F.col("fold") != f)), features, label, params)
         m = prefix_errors(fm, folded.where(F.col("fold") == f), features, label, [fm.model.getNumTrees])[0]
         return (f, m["rmse"], m["mae"], m["r2"])
 
@@ -253,7 +267,7 @@ def tune(df: DataFrame, key: str, features: str, label: str, space: dict, n_draw
         members, f = job
         lengths = [candidates[i].get("maxIter", DEFAULT_PARAMS["maxIter"]) for i in members]
         longest = {**candidates[members[0]], "maxIter": max(lengths)}
-        fm = gbt_fit(folded.where(F.col("fold") != f), features, label, longest)
+        fm = gbt_fit(in_few_tasks(folded.where(F.col("fold") != f)), features, label, longest)
         scores = prefix_errors(fm, folded.where(F.col("fold") == f), features, label, lengths)
         return [(i, f, m["rmse"], m["mae"], m["r2"]) for i, m in zip(members, scores)]
 
@@ -266,7 +280,7 @@ def tune(df: DataFrame, key: str, features: str, label: str, space: dict, n_draw
         [(i, json.dumps({n: c[n] for n in space}, sort_keys=True), -mse[i], i == best) for i, c in enumerate(candidates)],
         "candidate int, params string, neg_mse double, is_best boolean")
     folds = spark.createDataFrame(rows, "candidate int, fold int, rmse double, mae double, r2 double")
-    model = gbt_fit(df, features, label, candidates[best]) if refit else None
+    model = gbt_fit(in_few_tasks(df), features, label, candidates[best]) if refit else None
     return Search(results, folds, candidates[best], len(families), model)
 
 

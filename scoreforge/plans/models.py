@@ -52,7 +52,7 @@ def prepare_cases(t: Tables, val_pct: int = 10, test_pct: int = 20, cases: DataF
 
 def fit_model(p: Prepared, params: dict | None = None, early: int | None = 10) -> MD.FittedModel:
     d = p.data
-    return MD.gbt_fit(d.where(F.col("split") == "train"), "features", V.CASE_TARGET, params or TRAIN_PARAMS,
+    return MD.gbt_fit(MD.in_few_tasks(d.where(F.col("split") == "train")), "features", V.CASE_TARGET, params or TRAIN_PARAMS,
                       validation=d.where(F.col("split") == "validation"), early_stopping_rounds=early,
                       feature_names=p.names)
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from scoreforge.operators import explain as E
 from scoreforge.operators import features as FT
+from scoreforge.operators import model as MD
+from scoreforge.plans import models as J
 from scoreforge.session import written
 
 
@@ -29,3 +31,21 @@ def test_names_align_beyond_the_numbered_literals(spark):
         names = ["p", "q"] if n == 2 else [f"feature_{i}" for i in range(n)]
         assert [c["feature"] for c in row] == names and [c["shap"] for c in row] == [float(i) for i in range(n)]
         assert [c["value"] for c in row] == [0.0] * n
+
+
+def test_a_fit_has_no_more_tasks_than_cores_whatever_its_files(spark, tmp_path, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 400, numPartitions=5 * cores).select(
+        F.col("id").alias("case_id"), (F.col("id") % 10).cast("double").alias("a"), (F.col("id") % 7 / 7.0).alias(J.V.CASE_TARGET),
+        F.when(F.col("id") % 5 == 0, "validation").otherwise("train").alias("split"))
+    data = VectorAssembler(inputCols=["a"], outputCol="features").transform(rows)
+    seen, real = [], MD.gbt_fit
+    monkeypatch.setattr(MD, "gbt_fit", lambda train, *a, **k: seen.append(train) or real(train, *a, **k))
+    params = {"maxIter": 2, "maxDepth": 1, "maxBins": 8}
+    J.fit_model(J.Prepared(data, None, ["a"]), params)
+    MD.cross_validate(data, "case_id", "features", J.V.CASE_TARGET, params, k=2)
+    assert [d.rdd.getNumPartitions() <= cores for d in seen] == [True] * 3 and seen[0].count() == 320
+    monkeypatch.setattr(MD, "FIT_ROWS", 400 // (2 * cores))
+    assert cores < MD.in_few_tasks(data).rdd.getNumPartitions() <= 2 * cores + 2
+    assert sorted(r[0] for r in MD.in_few_tasks(data).select("case_id").collect()) == list(range(400))
