@@ -58,19 +58,24 @@ def numeric_drift_of(counts: DataFrame, *, p_threshold: float = 0.05, distance_t
     counts = counts.select("column", "x", F.col("c_ref").cast("double"), F.col("c_cur").cast("double"))
     sliced = ordered_slices(counts, "column", "x")
     # one row per column from here on, so these are broadcast
-    totals = sliced.groupBy("column").agg(F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"),
-                                          F.sum(F.col("c_ref") * F.col("x")).alias("_sum"))
+    in_ref = F.when(F.col("c_ref") > 0, F.col("x"))
+    finite = F.max(F.abs("x")) < 1e150
+    units = sliced.groupBy("column").agg(                    # what sums of values, their gaps and their squares are counted in
+        F.when(finite, F.max(F.abs(in_ref))).alias("_in"), F.when(finite, F.max("x") - F.min("x")).alias("_gaps"),
+        F.when(finite, F.pow(F.max(in_ref) - F.min(in_ref), 2)).alias("_squares"))
+    totals = sliced.join(F.broadcast(units), "column").groupBy("column", "_in", "_gaps", "_squares").agg(
+        F.sum("c_ref").alias("n_ref"), F.sum("c_cur").alias("n_cur"), _sum(F.col("c_ref") * F.col("x"), "_in").alias("_sum"))
     run = running_sums(sliced, "column", "x", ["c_ref", "c_cur"]).join(F.broadcast(totals), "column")
     gap = F.abs(F.try_divide("cum_c_ref", "n_ref") - F.try_divide("cum_c_cur", "n_cur"))
     off = F.col("x") - F.try_divide("_sum", "n_ref")
     probs = [i / psi_bins for i in range(1, psi_bins)]
     ranks = [(p, F.floor(F.lit(p) * (F.col("n_ref") - 1)).cast("double")) for p in probs]
-    stats = run.groupBy("column", "n_ref", "n_cur").agg(
+    stats = run.groupBy("column", "n_ref", "n_cur", "_gaps", "_squares").agg(
         F.max(gap).alias("ks_statistic"),
-        F.sum(F.when(F.col("next_x").isNotNull(), (F.col("next_x") - F.col("x")) * gap).otherwise(0.0))
+        _sum(F.when(F.col("next_x").isNotNull(), (F.col("next_x") - F.col("x")) * gap).otherwise(0.0), "_gaps")
         .alias("wasserstein"),
         # reference spread (population std) for the normalised distance
-        F.sqrt(F.try_divide(F.sum(F.col("c_ref") * off * off), F.first("n_ref"))).alias("ref_std"),
+        F.sqrt(F.try_divide(_sum(F.col("c_ref") * off * off, "_squares"), F.first("n_ref"))).alias("ref_std"),
         # the two order statistics around each reference decile
         *[F.min(F.when(F.col("cum_c_ref") > r + k, F.col("x"))).alias(f"_q{i}_{k}")
           for i, (_, r) in enumerate(ranks) for k in (0, 1)])
@@ -92,6 +97,16 @@ def numeric_drift_of(counts: DataFrame, *, p_threshold: float = 0.05, distance_t
         *_decisions(decide, "ks", "ks_p_value", p_threshold, "wasserstein", "wasserstein_norm", distance_threshold))
 
 
+def _sum(term: Column, unit: str) -> Column:
+    """Sum of doubles that is the same in any order of the rows: exact, in parts of ``unit`` (a group's constant) to 24 places.
+
+    Where the unit is null or next to zero the doubles themselves are added."""
+    u = F.col(unit)
+    usable = F.coalesce(u > 1e-290, F.lit(False))
+    exact = F.sum(F.when(usable, term / u).cast("decimal(38,24)")).cast("double")
+    return F.when(F.first(usable), exact * F.first(u)).otherwise(F.sum(F.when(~usable, term)))
+
+
 def _known(decide: str) -> None:
     if decide not in ("distance", "p_value"):
         raise ValueError(f"unknown decision {decide!r}")
