@@ -76,21 +76,30 @@ def compact_windows(keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, leas
     The Cartesian trees of all ranges are walked down together, level by level:
     the smallest key of a range splits it, parts shorter than ``least`` end.
     """
-    order = np.argsort(keys, kind="stable")
-    rank = np.empty(len(keys) + 1, np.int64)
-    rank[order] = np.arange(len(keys))
-    rank[-1] = len(keys)
-    lo, hi = starts, ends
+    order = np.argsort(keys)
+    new = np.concatenate([[False], np.diff(keys[order]) != 0])
+    place = np.empty(len(keys), np.int64)                    # equal keys have one rank; the first place is the smallest
+    place[order] = np.cumsum(new) << 32
+    place += np.arange(len(keys))
+    lo, hi, shift = starts, ends, np.zeros(len(starts), np.int64)      # a range stands ``shift`` further back in ``place``
     left, center, right = [], [], []
     while True:
         long = hi - lo >= least
-        lo, hi = lo[long], hi[long]
+        lo, hi, shift = lo[long], hi[long], shift[long]
         if not len(lo):
             break
-        edges = np.stack([lo, hi], axis=1).ravel()
-        c = order[np.minimum.reduceat(rank, edges)[::2]]
+        sizes = hi - lo
+        if 2 * (total := int(sizes.sum())) < len(place):     # most of ``place`` is in no range any more
+            begin = np.cumsum(sizes) - sizes
+            place = place[np.arange(total) + np.repeat(lo - shift - begin, sizes)]
+            shift = lo - begin
+        edges = np.stack([lo - shift, hi - shift], axis=1).ravel()
+        if edges[-1] == len(place):
+            edges = edges[:-1]
+        c = np.minimum.reduceat(place, edges)[::2] & 0xFFFFFFFF
         left.append(lo), center.append(c), right.append(hi - 1)
         lo, hi = np.stack([lo, c + 1], axis=1).ravel(), np.stack([c, hi], axis=1).ravel()
+        shift = np.repeat(shift, 2)
     join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
     return join(left), join(center), join(right)
 
@@ -129,7 +138,8 @@ def _join_windows(firsts: int = 3, lasts: int = 2):
 
     A group of up to ``firsts`` + ``lasts`` windows has all its pairs so.  The windows of a larger one are marked, each once
     (or again where a batch ends), for ``_second_look``: ``side`` holds 1 for the window of ``a`` and 2 for that of ``b``.  Every
-    window of a salted group is marked; its first one is also returned as a link with itself.
+    window of a salted group is marked; its first one is also returned as a link with itself.  Windows of one text alone have no
+    pairs: they are not marked, unless their group goes on from or to another batch.
     """
     complete = firsts + lasts
 
@@ -149,12 +159,19 @@ def _join_windows(firsts: int = 3, lasts: int = 2):
             first = np.maximum.accumulate(np.where(group, every, 0))
             at = every[carried:]
             place, salted = at - first[at], rows["salt"][at] >= 0
+            starts = np.flatnonzero(group)
+            sizes = np.diff(starts, append=len(th))
+            alone = (th[starts] == th[starts + sizes - 1]) & (rows["salt"][starts] < 0)
+            alone[-1] = False
+            if carried:
+                alone[0] = False
+            apart = ~np.repeat(alone, sizes)[at]
             here, there, mine, other = [], [], [], []     # the windows of a link, and whether each is marked
             for k in range(complete):
                 ok = place > k if k < firsts else place > firsts + complete - 1 - k
                 here.append(at[ok])
                 there.append(first[at[ok]] + k if k < firsts else at[ok] - (complete - k))
-                mine.append((salted | (place >= complete))[ok] & (k == 0)), other.append((place == complete)[ok] & ~salted[ok])
+                mine.append((apart & (salted | (place >= complete)))[ok] & (k == 0)), other.append((apart & (place == complete) & ~salted)[ok])
             heads = at[group[at] & salted]
             here, there = np.concatenate([*here, heads]), np.concatenate([*there, heads])
             mine, other = np.concatenate([*mine, heads >= 0]), np.concatenate([*other, heads < 0])
@@ -234,6 +251,11 @@ def numbered(contents: list) -> list:
 
 def shared_ids(contents: list, owner: np.ndarray) -> list:
     """Per content, small numbers of its shingles that also stand in one of another owner."""
+    return shared_places(contents, owner)[0]
+
+
+def shared_places(contents: list, owner: np.ndarray) -> tuple[list, list]:
+    """Per content, small numbers of its shingles that also stand in one of another owner, and where they stand."""
     sizes = np.array([len(h) for h in contents])
     of = np.repeat(owner, sizes)
     values, flat = np.unique(np.concatenate(contents), return_inverse=True)
@@ -241,8 +263,92 @@ def shared_ids(contents: list, owner: np.ndarray) -> list:
     one[flat] = of
     many[flat[one[flat] != of]] = True
     ids, ok = (np.cumsum(many) - 1).astype(np.uint64)[flat], many[flat]
-    ends = np.cumsum(np.add.reduceat(ok.astype(np.int64), np.cumsum(sizes) - sizes))
-    return np.split(ids[ok], ends[:-1])
+    starts = np.cumsum(sizes) - sizes
+    ends = np.cumsum(np.add.reduceat(ok.astype(np.int64), starts))
+    places = (np.arange(len(flat)) - np.repeat(starts, sizes))[ok]
+    return np.split(ids[ok], ends[:-1]), np.split(places, ends[:-1])
+
+
+def patterns(contents: list, owner: np.ndarray) -> list:
+    """Contents of which only what ``alike`` sees of two owners' ones is left.
+
+    A shingle that another owner holds too has its number, any other one the distance to its last place before, less than zero.
+    """
+    sizes = np.array([len(h) for h in contents])
+    of, row = np.repeat(owner, sizes), np.repeat(np.arange(len(sizes)), sizes)
+    values, flat = np.unique(np.concatenate(contents), return_inverse=True)
+    one, many = np.zeros(len(values), owner.dtype), np.zeros(len(values), bool)
+    one[flat] = of
+    many[flat[one[flat] != of]] = True
+    order = np.argsort(flat, kind="stable")
+    again = np.concatenate([[False], (np.diff(flat[order]) == 0) & (np.diff(row[order]) == 0)])
+    back = np.full(len(flat), -len(flat), np.int64)
+    back[order[again]] = order[np.flatnonzero(again) - 1] - order[again]
+    return np.split(np.where(many[flat], flat, back), np.cumsum(sizes)[:-1])
+
+
+def pattern_of(pattern: np.ndarray) -> bytes:
+    """A part of a pattern in which shingles whose last place lies before the part are new."""
+    return np.where(pattern < -np.arange(len(pattern)), np.iinfo(np.int64).min, pattern).tobytes()
+
+
+def may_hold(ids: list, places: list, i: int, others: np.ndarray, table: np.ndarray, fewest: int, similarity: float) -> np.ndarray:
+    """Which of the others may have a passage in common with content ``i``; contents repeat no shingle.
+
+    Their shared shingles are one chain if they stand in one order.  Then a passage pair is a stretch of ``fewest`` links or
+    more over which the sum of ``_longest`` does not fall; contents in other order may have one in any case.
+    ``table`` holds -1 for every number of a shingle.
+    """
+    table[ids[i]] = places[i]
+    sizes = np.array([len(ids[j]) for j in others])
+    x = table[np.concatenate([ids[j] for j in others])]
+    table[ids[i]] = -1
+    hit = x >= 0
+    x, y, of = x[hit], np.concatenate([places[j] for j in others])[hit], np.repeat(np.arange(len(others)), sizes)[hit]
+    found = np.zeros(len(others), bool)
+    if len(x) < fewest:
+        return found
+    found[of[1:][(np.diff(of) == 0) & (np.diff(x) < 0)]] = True
+    gain = (1 + similarity) * (np.arange(len(x)) - np.searchsorted(of, np.arange(len(others)))[of]) - similarity * (x + y)
+    fall = of * (float(gain.max() - gain.min()) + 1)         # sums of the contents before never are the least
+    least = np.minimum.accumulate(gain - fall)[:1 - fewest] + fall[:1 - fewest]
+    last = of[fewest - 1:]
+    found[last[(last == of[:1 - fewest]) & (gain[fewest - 1:] - least >= similarity - 1 - 1e-3)]] = True
+    return found
+
+
+def thickest(hits: np.ndarray, span: int) -> float:
+    """The largest part of hits in a stretch of ``span`` to twice as many; longer stretches hold one with no smaller part."""
+    n, sums = len(hits), np.concatenate([[0], np.cumsum(hits)])
+    lengths = np.arange(span, min(2 * span, n + 1))
+    stops = np.minimum(np.arange(n) + lengths[:, None], n)
+    return float(((sums[stops] - sums[:-1]).max(axis=1) / lengths).max(initial=0.0))
+
+
+def reaches(hits: np.ndarray, span: int, similarity: float) -> bool:
+    """Whether a stretch of ``span`` or more from a hit to a hit has ``similarity`` of its places as hits."""
+    x = np.flatnonzero(hits)
+    before = np.searchsorted(x, x - span + 1, side="right") - 1
+    gain = np.arange(len(x)) - similarity * x
+    far = before >= 0
+    return bool((gain[far] - np.minimum.accumulate(gain)[before[far]] >= similarity - 1 - 1e-6).any())
+
+
+def unlike(a: np.ndarray, b: np.ndarray, table: np.ndarray, span: int, similarity: float) -> bool:
+    """Whether two patterns surely have no passage: n links are n places on either side, of p and q in all with (p + q) / n at most (1 + s) / s."""
+    rest = len(table) - 1                                     # shingles that no other owner has
+    a, b = (np.where(h < 0, rest, h) for h in (a, b))
+    hits = []
+    for of, other in ((a, b), (b, a)):
+        table[other] = True
+        table[rest] = False
+        hits.append(table[of])
+        table[other] = False
+    if not all(reaches(h, span, similarity) for h in hits):
+        return True
+    if max(len(a), len(b)) > 1024:
+        return False
+    return sum(1 / max(thickest(h, span), 1e-9) for h in hits) > (1 + similarity) / similarity + 1e-6
 
 
 class _Range:
@@ -251,13 +357,14 @@ class _Range:
     def __init__(self, th, members: np.ndarray, l, c, loose, contents: list):
         ends = l[members] + np.array([len(contents[i]) for i in members])
         self.th, self.low, self.high = th, int(l[members[0]]), int(ends.max())
-        self.content, done = np.empty(self.high - self.low, np.uint64), self.low
-        for i, end in zip(members.tolist(), ends.tolist()):          # in order of their starts
+        pieces, done = [], self.low
+        for i, start, end in zip(members.tolist(), l[members].tolist(), ends.tolist()):          # in order of their starts
             if end > done:
-                self.content[done - self.low:end - self.low] = contents[i][done - int(l[i]):]
+                pieces.append(contents[i][done - start:])
                 done = end
+        self.content = pieces[0] if len(pieces) == 1 else np.concatenate(pieces) if pieces else np.zeros(0, np.uint64)
         self.places, self.loose = c[members].astype(np.int64), loose[members]
-        self.repeats, self.pieces = len(np.unique(self.content)) < len(self.content), None
+        self.repeats, self.pieces, self.pattern, self.names = None, None, None, {}
 
     def left(self, seen: _Covered, reach: int) -> tuple[int, int] | None:
         """The part around the windows' smallest shingles that are still not covered."""
@@ -351,12 +458,17 @@ def all_alike(th, root, loose, l, c, contents, block, span: int, similarity: flo
     at = sharing(each, owner, fewest)
     if len(at) < 2:
         return []
-    ids = shared_ids([each[i] for i in at], owner[at])
+    ids, where = shared_places([each[i] for i in at], owner[at])
     enough = np.flatnonzero(np.array([len(h) for h in ids]) >= fewest)
     if len(enough) < 2:
         return []
-    ids, at = [ids[i] for i in enough], at[enough]
+    ids, where, at = [ids[i] for i in enough], [where[i] for i in enough], at[enough]
     ranges, text, block = [ranges[i] for i in at], text[at], block[at]
+    for r, k, pattern in zip(ranges, at.tolist(), patterns([r.content for r in ranges], owner[at])):
+        r.pattern, r.repeats = pattern, not np.array_equal(each[k], r.content)
+    table = np.full(int(max(h.max() for h in ids)) + 1, -1, np.int64)
+    other_of = np.zeros(max(int(r.pattern.max()) for r in ranges) + 2, bool)
+    plain = np.array([not r.repeats and r.high - r.low <= 4 * span + 1 for r in ranges])
     maps, short = np.zeros((_WORDS, len(at)), np.uint64), np.zeros(len(at), np.int64)
     for i, h in enumerate(ids):
         maps[:, i], short[i] = bit_map(h)
@@ -366,16 +478,27 @@ def all_alike(th, root, loose, l, c, contents, block, span: int, similarity: flo
     ranges_of = np.split(np.argsort(text, kind="stable"), np.cumsum(np.bincount(text, minlength=len(names)))[:-1])
     covered: dict[int, _Covered] = {}
     out, linked, known, alikes = [], set(), {}, {}
-    same = [alikes.setdefault(r.content.tobytes(), len(alikes)) for r in ranges]
+    same = [alikes.setdefault(pattern_of(r.pattern), len(alikes)) for r in ranges]
 
     def seen(i: int) -> _Covered:
         if (held := covered.get(text[i])) is None:
             held = covered[text[i]] = _Covered([ranges[k] for k in ranges_of[text[i]]])
         return held
 
-    def both(x: int, y: int, a: np.ndarray, b: np.ndarray) -> list:
-        found = alike(a, b, span, similarity)
-        if ranges[x].repeats or ranges[y].repeats:
+    def name(r: _Range, part: tuple[int, int]) -> int:
+        """The number of a part's pattern: parts of one have the same passages in common with others."""
+        if (held := r.names.get(part)) is None:
+            held = r.names[part] = alikes.setdefault(pattern_of(r.pattern[part[0] - r.low:part[1] - r.low]), len(alikes))
+        return held
+
+    def both(x: int, y: int, of_x: tuple[int, int], of_y: tuple[int, int]) -> list:
+        again = ranges[x].repeats or ranges[y].repeats
+        cut = [(r, slice(s - r.low, e - r.low)) for r, (s, e) in ((ranges[x], of_x), (ranges[y], of_y))]
+        if again and unlike(*(r.pattern[part] for r, part in cut), other_of, span, similarity):
+            return []
+        a, b = (r.content[part] for r, part in cut)
+        found = alike(a, b, span, similarity, single=not again)
+        if again:
             found = found + [f for f in alike(a, b, span, similarity, counted=True) if f not in found]
         return found
 
@@ -400,6 +523,18 @@ def all_alike(th, root, loose, l, c, contents, block, span: int, similarity: flo
             own[own == own[x]] = own[y]
         return more
 
+    def left_over(here: np.ndarray, there: np.ndarray):
+        """The pairs that may have a passage still looked for."""
+        for i, others in zip(here[np.flatnonzero(np.diff(here, prepend=-1))].tolist(), np.split(there, np.flatnonzero(np.diff(here)) + 1)):
+            if not loose[i]:
+                others = others[loose[others] | (own[others] != own[i])]
+            if plain[i] and (known_order := plain[others]).any():
+                wanted = ~known_order
+                wanted[known_order] = may_hold(ids, where, i, others[known_order], table, fewest, similarity)
+                others = others[wanted]
+            for j in others.tolist():
+                yield i, j
+
     for begin in range(0, len(at), 64):
         i, j = np.arange(begin, min(begin + 64, len(at)))[:, None], np.arange(min(begin + 64, len(at)))
         near = (j < i) & (text[i] != text[j]) & (loose[i] | loose[j] | (own[i] != own[j]))
@@ -413,29 +548,27 @@ def all_alike(th, root, loose, l, c, contents, block, span: int, similarity: flo
         near &= common >= fewest - np.minimum(short[i], short[j])
         here, there = np.nonzero(near)
         best = np.lexsort((-common[here, there], here))
-        for i, j in zip((here[best] + begin).tolist(), there[best].tolist()):
+        for i, j in left_over((here[best] + begin), there[best]):
             if not loose[i] and not loose[j] and own[i] == own[j]:
                 continue
             x, y = (i, j) if ranges[i].th < ranges[j].th else (j, i)
             a, b = ranges[x], ranges[y]
-            if (found := known.get((same[x], same[y]))) is None:
-                found = known[same[x], same[y]] = both(x, y, a.content, b.content)
             of_x, of_y = (a.low, a.high), (b.low, b.high)
+            if (found := known.get((same[x], same[y]))) is None:
+                found = known[same[x], same[y]] = both(x, y, of_x, of_y)
             while found and tried(x, y, of_x, of_y, found) and (loose[x] or loose[y]):
                 parts = [r.left(seen(k), 2 * span) or (r.low, r.high) for k, r in ((x, a), (y, b))]
                 if parts == [of_x, of_y]:
                     break
                 of_x, of_y = parts
-                found = both(x, y, *(r.content[s - r.low:e - r.low] for r, (s, e) in ((a, of_x), (b, of_y))))
+                found = both(x, y, of_x, of_y)
             if not (loose[x] or loose[y]) or max(a.high - a.low, b.high - b.low) <= 4 * span + 1:
                 continue
             for p, of_x in a.parts(span):                        # repeats hide passages from a look at the whole
                 for q, of_y in b.parts(span):
                     if (loose[x] and a.bare(seen(x), p)) or (loose[y] and b.bare(seen(y), q)):
-                        (s, e), (u, v) = of_x, of_y
-                        pieces = a.content[s - a.low:e - a.low], b.content[u - b.low:v - b.low]
-                        if (found := known.get(name := (pieces[0].tobytes(), pieces[1].tobytes()))) is None:
-                            found = known[name] = both(x, y, *pieces)
+                        if (found := known.get(names := (name(a, of_x), name(b, of_y)))) is None:
+                            found = known[names] = both(x, y, of_x, of_y)
                         if found:
                             tried(x, y, of_x, of_y, found)
     return out
@@ -526,13 +659,15 @@ def _candidates(enough: int):
     return run
 
 
-def alike(a: np.ndarray, b: np.ndarray, span: int, similarity: float, counted: bool = False) -> list[tuple[int, int, int, int, float]]:
+def alike(a: np.ndarray, b: np.ndarray, span: int, similarity: float, counted: bool = False,
+          single: bool = False) -> list[tuple[int, int, int, int, float]]:
     """Passages of two shingle sequences: (a start, a stop, b start, b stop, Jaccard), longest first, not overlapping in ``a``.
 
     Shared shingles that stand in one order in both texts form a chain, whatever is inserted or left out between them.
     A passage pair of that similarity shares ``similarity`` of either side's shingles or more; the longest stretch of a
     chain that is similar enough over both sides is taken, the rest is searched again.
     Repeated shingles are taken as near each other, or, if ``counted``, in their order: the first as the first one in ``b``.
+    ``single`` says that neither side repeats one.
     """
     least = similarity * span
     if len(a) < span or len(b) < span:
@@ -545,18 +680,26 @@ def alike(a: np.ndarray, b: np.ndarray, span: int, similarity: float, counted: b
         return []
     if counted:
         at, near = _in_order(a, at, place[at], where_b, sorted_b)
+    elif single:
+        near = where_b[place[at]]
     else:
         near = _nearest(a, at, place[at], where_b, sorted_b)
+    single = single and bool((np.diff(near) > 0).all())       # then every shared shingle between two links is one
     out, todo = [], [(at, near)]
     while todo:
         at, near = todo.pop()
         if len(at) < least:
             continue
-        chain = _chain(near)
-        if len(chain) < least:
-            continue
-        x, y = at[chain], near[chain]
+        if single:
+            x, y = at, near
+        else:
+            chain = _chain(near)
+            if len(chain) < least:
+                continue
+            x, y = at[chain], near[chain]
         found = _longest(x, y, span, similarity)
+        if found is None and single:
+            continue
         if found is None:                      # other places of b may hold what this chain does not
             rest = np.ones(len(at), bool)
             rest[chain] = False
@@ -564,7 +707,7 @@ def alike(a: np.ndarray, b: np.ndarray, span: int, similarity: float, counted: b
             continue
         i, j = found
         s, e, t, u = int(x[i]), int(x[j]) + 1, int(y[i]), int(y[j]) + 1
-        jaccard = _jaccard(a[s:e], b[t:u])
+        jaccard = (j - i + 1) / (e - s + u - t - (j - i + 1)) if single else _jaccard(a[s:e], b[t:u])
         if jaccard >= similarity:
             out.append((s, e, t, u, jaccard))
             before, after = at < s, at >= e
@@ -696,9 +839,8 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where(
         "text is not null").withColumn("th", F.xxhash64("text"))
-    narrow = materialise(rows.select("doc_id", "th", F.regexp_count("text", F.lit(f"[^{_SPACE}]+")).alias("words")),
-                         "passage-texts")
-    classes = narrow.groupBy("th").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("words").alias("words"))
+    narrow = materialise(rows.select("doc_id", "th"), "passage-texts")
+    classes = narrow.groupBy("th").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     spare = materialise(narrow.join(classes.where("copies > 1").select("th", "least"), "th")
                         .where("doc_id > least").select("doc_id", "th").distinct(), "passage-copies")
     single = rows.join(spare, ["doc_id", "th"], "left_anti").select("th", "text")
@@ -724,8 +866,10 @@ def repeated_passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     both = edges.select(F.col("a").alias("th"), F.col("b").alias("other")).unionByName(
         edges.select(F.col("b").alias("th"), F.col("a").alias("other")))
     n_links = both.groupBy("th").agg(F.count("*").alias("n_links"))
-    whole = classes.where((F.col("copies") > 1) & (F.col("words") >= least)).select(
-        "th", F.lit(0).alias("start"), F.col("words").cast("int").alias("stop"))
+    copied = materialise(classes.where("copies > 1").select("th"), "passage-copied")
+    words = F.regexp_count("text", F.lit(f"[^{_SPACE}]+"))        # an aggregate, so that it is counted of the copied texts alone
+    whole = (rows.join(copied, "th", "left_semi").groupBy("th").agg(F.min(words).alias("words")).where(F.col("words") >= least)
+             .select("th", F.lit(0).alias("start"), F.col("words").cast("int").alias("stop")))
     spans = (parts.select(F.col("a").alias("th"), F.col("al").alias("start"), (F.col("ar") + SHINGLE - 1).alias("stop"))
              .unionByName(parts.select(F.col("b").alias("th"), F.col("bl").alias("start"), (F.col("br") + SHINGLE - 1).alias("stop")))
              .unionByName(whole).distinct())

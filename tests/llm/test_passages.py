@@ -293,3 +293,83 @@ def test_numbered_shingles_in_common_are_never_fewer_than_the_links_of_a_chain()
         assert common == sum(min((a == v).sum(), (b == v).sum()) for v in np.unique(a))
         x, y = S.shared_ids(S.numbered([a, b]), np.array([0, 1], np.int32))
         assert len(x) == len(y) == common and set(x.tolist()) == set(y.tolist())
+
+
+def test_pairs_that_share_many_shingles_but_no_passage_are_not_tried_one_by_one(monkeypatch):
+    rng = np.random.default_rng(19)
+    whole, rows = rng.integers(0, 2 ** 60, 180).astype(np.uint64), []
+    for d in range(60):
+        content = whole.copy()
+        for k in range(d % 7, 180, 12):                           # two thirds are left, nowhere four fifths
+            content[k:k + 4] = rng.integers(0, 2 ** 60, len(content[k:k + 4]))
+        rows.append(content)
+    rows[41][20:90] = rows[7][20:90]                              # but for one pair
+    want = {(a, b) for a, b in itertools.combinations(range(60), 2) if S.alike(rows[a], rows[b], 46, 0.8)}
+    tries, real = [], S.alike
+    monkeypatch.setattr(S, "alike", lambda *a, **k: tries.append(1) or real(*a, **k))
+    th = np.arange(60)
+    found = S.all_alike(th, th, np.ones(60, bool), np.zeros(60, int), np.full(60, 90), rows, np.zeros(60, int), 46, 0.8)
+    assert (7, 41) in want and {(int(f[0]), int(f[1])) for f in found} <= want and len(found) >= 1
+    assert len(tries) < 60 < 60 * 59 // 2
+
+
+def edited(rng, repeats):
+    """Two sequences that share a stretch, with edits on one side; with repeated parts if asked for."""
+    fresh = lambda n: rng.integers(0, 2 ** 60, n).astype(np.uint64)
+    shared = fresh(int(rng.integers(40, 90)))
+    if repeats:
+        shared = np.tile(shared[:int(rng.choice([1, 2, 10, 30]))], 90)[:len(shared)]
+    other = shared.copy()
+    for _ in range(rng.integers(0, 6)):
+        k, n = int(rng.integers(0, len(other))), int(rng.integers(0, 5))
+        other = np.concatenate([other[:k], fresh(int(rng.integers(0, 5))), other[k + n:]])
+    return [np.concatenate([fresh(int(rng.integers(0, 50))), x, fresh(int(rng.integers(0, 50)))]) for x in (shared, other)]
+
+
+def test_no_pair_with_a_passage_is_left_out_before_it_is_tried():
+    rng, seen = np.random.default_rng(23), {True: [0, 0], False: [0, 0]}
+    fewest = int(np.ceil(0.8 * 92 / 1.8 - 1e-6))
+    for k in range(600):
+        a, b = edited(rng, repeats := k % 2 == 0)
+        owner = np.array([0, 1], np.int32)
+        found = S.alike(a, b, 46, 0.8)
+        if repeats:
+            found = found + S.alike(a, b, 46, 0.8, counted=True)
+            x, y = S.patterns([a, b], owner)
+            maybe = not S.unlike(x, y, np.zeros(max(x.max(), y.max(), 0) + 2, bool), 46, 0.8)
+        else:
+            assert found == S.alike(a, b, 46, 0.8, single=True)
+            ids, places = S.shared_places([a, b], owner)
+            table = np.full(max((h.max() for h in ids if len(h)), default=0) + 1, -1)
+            maybe = bool(S.may_hold(ids, places, 0, np.array([1]), table.astype(np.int64), fewest, 0.8)[0])
+        assert maybe or not found
+        seen[repeats][0] += bool(found)
+        seen[repeats][1] += not maybe
+    assert min(*seen[True], *seen[False]) > 20
+
+
+def test_parts_of_one_pattern_have_the_same_passages():
+    rng = np.random.default_rng(29)
+    for _ in range(60):
+        a, b = edited(rng, True)
+        owner = np.array([0, 1], np.int32)
+        x, y = S.patterns([a, b], owner)
+        renamed = {v: int(n) for v, n in zip(np.unique(np.concatenate([a, b])).tolist(), rng.permutation(10 ** 6))}
+        c, d = (np.array([renamed[v] for v in h.tolist()], np.uint64) for h in (a, b))
+        assert S.alike(a, b, 46, 0.8) == S.alike(c, d, 46, 0.8)
+        s, e = sorted(rng.integers(0, len(a) + 1, 2).tolist())
+        part = np.frombuffer(S.pattern_of(x[s:e]), np.int64)
+        for i in range(e - s):                                    # a shingle of a alone: its last place, if that lies in the part
+            before = [j for j in range(i) if a[s + j] == a[s + i]]
+            want = x[s + i] if a[s + i] in b else (before[-1] - i if before else np.iinfo(np.int64).min)
+            assert part[i] == want
+
+
+def test_windows_of_one_text_alone_are_not_marked():
+    of = {"key": [1] * 9 + [2] * 9 + [3] * 9, "th": [5] * 9 + [5] * 8 + [6] + [7] * 9, "salt": [-1] * 18 + [4] * 9,
+          "l": range(27), "c": range(27), "r": range(27), "fn": [0] * 27}
+    rows = pa.RecordBatch.from_arrays([pa.array(list(v)) for v in of.values()], list(of))
+    last = pa.RecordBatch.from_arrays([pa.array([9]) for _ in of], list(of))
+    got = [r for b in S._join_windows()([pa.concat_batches([rows, last])]) for r in b.to_pylist()]
+    marked = {r[x + "c"] for r in got for bit, x in ((1, "a"), (2, "b")) if r["side"] & bit}
+    assert marked == set(range(9, 27))
