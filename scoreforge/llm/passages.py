@@ -477,7 +477,7 @@ def all_alike(th, root, loose, l, c, contents, block, span: int, similarity: flo
     own = np.unique([class_of[r.th] for r in ranges], return_inverse=True)[1]    # classes as small numbers, joined as passages are found
     ranges_of = np.split(np.argsort(text, kind="stable"), np.cumsum(np.bincount(text, minlength=len(names)))[:-1])
     covered: dict[int, _Covered] = {}
-    out, linked, known, alikes = [], set(), {}, {}
+    out, linked, known, apart_of, alikes = [], set(), {}, {}, {}
     same = [alikes.setdefault(pattern_of(r.pattern), len(alikes)) for r in ranges]
 
     def seen(i: int) -> _Covered:
@@ -491,10 +491,18 @@ def all_alike(th, root, loose, l, c, contents, block, span: int, similarity: flo
             held = r.names[part] = alikes.setdefault(pattern_of(r.pattern[part[0] - r.low:part[1] - r.low]), len(alikes))
         return held
 
+    def hopeless(x: int, y: int, of_x: tuple[int, int], of_y: tuple[int, int]) -> bool:
+        """Whether no parts of these two have a passage."""
+        names = name(ranges[x], of_x), name(ranges[y], of_y)
+        if (held := apart_of.get(names)) is None:
+            held = apart_of[names] = unlike(*(r.pattern[s - r.low:e - r.low] for r, (s, e) in ((ranges[x], of_x), (ranges[y], of_y))),
+                                            other_of, span, similarity)
+        return held
+
     def both(x: int, y: int, of_x: tuple[int, int], of_y: tuple[int, int]) -> list:
         again = ranges[x].repeats or ranges[y].repeats
         cut = [(r, slice(s - r.low, e - r.low)) for r, (s, e) in ((ranges[x], of_x), (ranges[y], of_y))]
-        if again and unlike(*(r.pattern[part] for r, part in cut), other_of, span, similarity):
+        if again and hopeless(x, y, of_x, of_y):
             return []
         a, b = (r.content[part] for r, part in cut)
         found = alike(a, b, span, similarity, single=not again)
@@ -564,13 +572,18 @@ def all_alike(th, root, loose, l, c, contents, block, span: int, similarity: flo
                 found = both(x, y, of_x, of_y)
             if not (loose[x] or loose[y]) or max(a.high - a.low, b.high - b.low) <= 4 * span + 1:
                 continue
+            if not found and hopeless(x, y, (a.low, a.high), (b.low, b.high)):
+                continue
             for p, of_x in a.parts(span):                        # repeats hide passages from a look at the whole
+                of_p = loose[x] and a.bare(seen(x), p)
                 for q, of_y in b.parts(span):
-                    if (loose[x] and a.bare(seen(x), p)) or (loose[y] and b.bare(seen(y), q)):
+                    if of_p or (loose[y] and b.bare(seen(y), q)):
+                        if hopeless(x, y, of_x, (b.low, b.high)):
+                            break
                         if (found := known.get(names := (name(a, of_x), name(b, of_y)))) is None:
                             found = known[names] = both(x, y, of_x, of_y)
-                        if found:
-                            tried(x, y, of_x, of_y, found)
+                        if found and tried(x, y, of_x, of_y, found):
+                            of_p = loose[x] and a.bare(seen(x), p)
     return out
 
 
