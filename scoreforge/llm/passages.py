@@ -15,8 +15,8 @@ that very many texts share gives rows in proportion to its occurrences; keys tha
 texts shows to be frequent are dealt over several tasks, whose first rows are then linked.
 Keys with more windows have pairs left: a second look tries every one of them where a window lies in no passage found so
 far or the texts are in different classes, in groups of two blocks of windows.  One order is enough there; windows of one
-text that overlap are tried as one range, shared shingles and bit maps leave out pairs that cannot have a passage, and the same
-check of the shingles decides.  Its work is quadratic in the texts of a key that stay apart.
+text that overlap are tried as one range, shared shingles, bit maps and the order and density of the shared shingles leave out
+pairs that cannot have a passage, and the same check of the shingles decides.  Its work is quadratic in the texts of a key that stay apart.
 A class is joined over these links, not over all pairs of its texts: ``n_links`` counts the links found on the way.
 
 Result: one row per document and passage, with the class its text belongs to by such links.
