@@ -14,17 +14,18 @@ import random
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..session import work_path
+from ..session import storage_memory, work_path, written
 from . import treeshap
-from .ensemble import Ensemble, matrix, partnered, permutation_errors, predictions
+from .ensemble import Ensemble, dense, partnered, permutation_errors, predictions
 
 # fixed values: default boosted-tree settings (reference parameter names in comments)
 DEFAULT_PARAMS = {
@@ -38,6 +39,8 @@ DEFAULT_PARAMS = {
 EARLY_STOPPING_ROUNDS = 50
 #: Rows that a task of a fit may hold before there are more tasks than cores.
 FIT_ROWS = 1_000_000
+#: Bytes that a fit keeps of a row, beside four for each feature's bin.
+FIT_ROW_BYTES = 120
 # fixed values: search space of the three parameters that Spark's trees share
 SEARCH_SPACE = {
     "maxDepth": [4, 5, 6, 7, 8],
@@ -85,8 +88,8 @@ def _gbt(params: dict, features: str, label: str) -> GBTRegressor:
     return GBTRegressor(featuresCol=features, labelCol=label, lossType="squared", **p)
 
 
-def in_few_tasks(train: DataFrame) -> DataFrame:
-    """The rows in no more partitions than cores, or than ``FIT_ROWS`` rows each need.
+def in_few_tasks(train: DataFrame, n: int | None = None) -> DataFrame:
+    """The rows (``n`` of them, counted if not given) in no more partitions than cores, or than ``FIT_ROWS`` rows each need.
 
     Every task hands on the statistics of all bins, features and nodes at every level of every tree, however few rows it
     holds: with a task per file split what a fit shuffles grows with the input, with a task per core it does not.  For
@@ -94,7 +97,7 @@ def in_few_tasks(train: DataFrame) -> DataFrame:
     cores = train.sparkSession.sparkContext.defaultParallelism
     if train.rdd.getNumPartitions() <= cores:
         return train
-    return train.coalesce(max(cores, -(-train.count() // FIT_ROWS)))
+    return train.coalesce(max(cores, -(-(train.count() if n is None else n) // FIT_ROWS)))
 
 
 def _assembled(trees: list, weights: list[float], n_features: int, uid: str) -> GBTRegressionModel:
@@ -173,8 +176,8 @@ def prefix_errors(fm: FittedModel, df: DataFrame, features: str, label: str, pre
 
     def run(batches):
         sums = np.zeros((len(at), 5))
-        for pdf in batches:
-            x, y = matrix(pdf["x"], 0), pdf["y"].to_numpy(dtype=float)
+        for batch in batches:
+            x, y = dense(batch.column("x")), batch.column("y").to_numpy(zero_copy_only=False)
             score, done = np.zeros(len(y)), 0
             for place, n in sorted(enumerate(at), key=lambda e: e[1]):
                 for t in range(done, n):
@@ -182,11 +185,12 @@ def prefix_errors(fm: FittedModel, df: DataFrame, features: str, label: str, pre
                 done = n
                 off = score - y
                 sums[place] += (len(y), off @ off, np.abs(off).sum(), y.sum(), y @ y)
-        yield pd.DataFrame({"place": range(len(at)), "n": sums[:, 0].astype(np.int64), "sse": sums[:, 1], "sae": sums[:, 2],
-                            "sy": sums[:, 3], "syy": sums[:, 4]})
+        yield pa.RecordBatch.from_pydict({"place": pa.array(range(len(at)), pa.int32()), "n": sums[:, 0].astype(np.int64),
+                                          "sse": sums[:, 1], "sae": sums[:, 2], "sy": sums[:, 3], "syy": sums[:, 4]})
 
-    rows = df.where(F.col(label).isNotNull()).select(vector_to_array(F.col(features)).alias("x"), F.col(label).alias("y"))
-    parts = rows.mapInPandas(run, "place int, n long, sse double, sae double, sy double, syy double")
+    rows = df.where(F.col(label).isNotNull()).select(vector_to_array(F.col(features)).alias("x"),
+                                                     F.col(label).cast("double").alias("y"))
+    parts = rows.mapInArrow(run, "place int, n long, sse double, sae double, sy double, syy double")
     found = {r["place"]: r for r in parts.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("n", "sse", "sae", "sy", "syy")])
              .collect()}
     out = []
@@ -207,19 +211,55 @@ def _in_threads(fn, items: list, parallelism: int) -> list:
         return list(pool.map(fn, items))
 
 
+@dataclass
+class Folds:
+    """Rows (features, label, fold) as a table with a folder per fold, the rows of each fold, and the number of features."""
+
+    data: DataFrame
+    sizes: dict[int, int]
+    width: int
+
+    def held_out(self, f: int) -> DataFrame:
+        return self.data.where(F.col("fold") == f)
+
+    def train(self, f: int) -> DataFrame:
+        """All folds but ``f``, each read by itself: a read takes at least a split per core, so that a task's cached rows stay
+        few however small their files are."""
+        others = [g for g in sorted(self.sizes) if g != f]
+        rows = reduce(DataFrame.union, map(self.held_out, others)) if others else self.data.where("false")
+        return in_few_tasks(rows, sum(self.sizes[g] for g in others))
+
+    def at_once(self, parallelism: int) -> int:
+        """How many fits may run together: a fit caches its rows (a binned one, its label and errors), and what does not
+        fit into the executors' memory goes to their disks and is read again for every tree."""
+        rows = sum(self.sizes.values()) - min(self.sizes.values(), default=0)
+        fit = rows * (FIT_ROW_BYTES + 4 * self.width)
+        return max(1, min(parallelism, storage_memory(self.data.sparkSession) // max(fit, 1)))
+
+
+def written_folds(df: DataFrame, key: str, features: str, label: str, k: int) -> Folds:
+    """The rows of k hash folds, hashed and assembled once: a fit and its scores read their rows four times, and each
+    time would do so again.  Reading some folds opens only their files.  Rows without a key are in no fold."""
+    folded = hash_folds(df, key, k).where(F.col("fold").isNotNull()).select(features, label, "fold")
+    data = written(folded, "folds", parted_by="fold")
+    sizes = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+    one = data.where(F.col(features).isNotNull()).select(features).first()
+    return Folds(data, sizes, one[0].size if one else 0)
+
+
 def cross_validate(df: DataFrame, key: str, features: str, label: str, params: dict | None = None,
                    k: int = 5, parallelism: int = 4) -> DataFrame:
     """M4: k hash folds; per fold fit on the others, score the fold; rows
     (fold, rmse, mae, r2) - mean and std are a one-line aggregate on top.
-    Folds are fitted concurrently (as ``CrossValidator(parallelism=...)`` does)."""
-    folded = hash_folds(df, key, k)
+    Folds are fitted concurrently (as ``CrossValidator(parallelism=...)`` does), large ones one after the other."""
+    folds = written_folds(df, key, features, label, k)
 
     def one(f: int):
-        fm = gbt_fit(in_few_tasks(folded.where(F.col("fold") != f)), features, label, params)
-        m = prefix_errors(fm, folded.where(F.col("fold") == f), features, label, [fm.model.getNumTrees])[0]
+        fm = gbt_fit(folds.train(f), features, label, params)
+        m = prefix_errors(fm, folds.held_out(f), features, label, [fm.model.getNumTrees])[0]
         return (f, m["rmse"], m["mae"], m["r2"])
 
-    return df.sparkSession.createDataFrame(_in_threads(one, list(range(k)), parallelism),
+    return df.sparkSession.createDataFrame(_in_threads(one, list(range(k)), folds.at_once(parallelism)),
                                            "fold int, rmse double, mae double, r2 double")
 
 
@@ -261,18 +301,18 @@ def tune(df: DataFrame, key: str, features: str, label: str, space: dict, n_draw
     families: dict[str, list[int]] = {}
     for i, c in enumerate(candidates):
         families.setdefault(json.dumps({n: v for n, v in c.items() if n != "maxIter"}, sort_keys=True), []).append(i)
-    folded = hash_folds(df, key, k)
+    folds = written_folds(df, key, features, label, k)
 
     def one(job):
         members, f = job
         lengths = [candidates[i].get("maxIter", DEFAULT_PARAMS["maxIter"]) for i in members]
         longest = {**candidates[members[0]], "maxIter": max(lengths)}
-        fm = gbt_fit(in_few_tasks(folded.where(F.col("fold") != f)), features, label, longest)
-        scores = prefix_errors(fm, folded.where(F.col("fold") == f), features, label, lengths)
+        fm = gbt_fit(folds.train(f), features, label, longest)
+        scores = prefix_errors(fm, folds.held_out(f), features, label, lengths)
         return [(i, f, m["rmse"], m["mae"], m["r2"]) for i, m in zip(members, scores)]
 
     jobs = [(members, f) for members in families.values() for f in range(k)]
-    rows = sorted(r for found in _in_threads(one, jobs, parallelism) for r in found)
+    rows = sorted(r for found in _in_threads(one, jobs, folds.at_once(parallelism)) for r in found)
     mse = [float(np.mean([r[2] ** 2 for r in rows if r[0] == i])) for i in range(len(candidates))]
     best = min(range(len(candidates)), key=lambda i: (mse[i], i))
     spark = df.sparkSession

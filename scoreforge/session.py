@@ -72,18 +72,24 @@ def work_exists(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
-def written(df: DataFrame, name: str, dealt_by: str | None = None) -> DataFrame:
+def written(df: DataFrame, name: str, dealt_by: str | None = None, parted_by: str | None = None) -> DataFrame:
     """``df`` written once to the shared work folder and read back: every reader sees the same rows.
 
     ``dealt_by`` deals the rows by that column into a file per core: small files of rows that are
-    dear to work on would otherwise come as one task."""
+    dear to work on would otherwise come as one task.  ``parted_by``, the last column, gets a folder per value."""
     path = work_path(df.sparkSession, "tables", name)
     if dealt_by is not None:
         df = df.repartition(df.sparkSession.sparkContext.defaultParallelism, dealt_by)
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=parted_by)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def storage_memory(spark: SparkSession) -> int:
+    """Bytes that the executors have for cached rows, as Spark reports them now."""
+    known = spark.sparkContext._jsc.sc().getExecutorMemoryStatus().values().toSeq()
+    return sum(known.apply(i)._1() for i in range(known.size()))
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for the Python side of local tests."""
     return path[5:] if path.startswith("file:") else path

@@ -49,3 +49,56 @@ def test_a_fit_has_no_more_tasks_than_cores_whatever_its_files(spark, tmp_path,
     monkeypatch.setattr(MD, "FIT_ROWS", 400 // (2 * cores))
     assert cores < MD.in_few_tasks(data).rdd.getNumPartitions() <= 2 * cores + 2
     assert sorted(r[0] for r in MD.in_few_tasks(data).select("case_id").collect()) == list(range(400))
+
+
+def test_folds_are_hashed_once_and_fits_that_fill_the_memory_run_alone(spark, monkeypatch):
+    import threading
+    from pyspark.ml.feature import VectorAssembler
+    rows = spark.range(0, 600, numPartitions=3).select(
+        F.when(F.col("id") % 50 != 0, F.concat(F.lit("k"), F.col("id"))).alias("key"), (F.col("id") % 11).cast("double").alias("a"),
+        (F.col("id") % 4).cast("double").alias("b"), ((F.col("id") * 7 % 13) / 13.0).alias("y"))
+    data = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows)
+    seen, now, most, lock, real = [], [0], [0], threading.Lock(), MD.gbt_fit
+
+    def fit(train, *a, **k):
+        with lock:
+            seen.append(train)
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        try:
+            return real(train, *a, **k)
+        finally:
+            with lock:
+                now[0] -= 1
+
+    monkeypatch.setattr(MD, "gbt_fit", fit)
+    monkeypatch.setattr(MD, "storage_memory", lambda spark: 1, raising=False)
+    base = {"maxDepth": 1, "maxBins": 32, "seed": 42}
+    found = MD.tune(data, "key", "features", "y", {"maxIter": [1, 2], "stepSize": [0.1, 0.5]}, k=3, base=base, refit=False)
+    assert len(seen) == 6 and most[0] == 1
+    assert not any("md5" in d._jdf.queryExecution().optimizedPlan().toString() for d in seen)
+    assert sum(d.count() for d in seen) == 2 * 2 * 588                       # two families, two of three folds, no null keys
+    got = {(r["candidate"], r["fold"]): (r["rmse"], r["mae"]) for r in found.folds.collect()}
+    folded = MD.hash_folds(data, "key", 3)
+    for f in range(3):
+        fm = real(folded.where(F.col("fold") != f), "features", "y", {**base, "maxIter": 2, "stepSize": 0.5})
+        e = F.col("prediction") - F.col("y")
+        want = fm.predict(folded.where(F.col("fold") == f), clip=False).agg(F.sqrt(F.avg(e * e)), F.avg(F.abs(e))).first()
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[3, f], want))
+
+
+def test_a_read_of_other_folds_opens_no_held_out_file(spark):
+    from pyspark.ml.feature import VectorAssembler
+    rows = spark.range(200).select(F.col("id").alias("key"), (F.col("id") % 3).cast("double").alias("a"), F.lit(0.5).alias("y"))
+    data = VectorAssembler(inputCols=["a"], outputCol="features").transform(rows)
+    folds = MD.written_folds(data, "key", "features", "y", 4)
+    assert sum(folds.sizes.values()) == 200 and folds.width == 1
+    for f in range(4):
+        files = {r[0] for r in folds.train(f).select(F.input_file_name()).distinct().collect()}
+        assert files and not any(f"fold={f}/" in name for name in files)
+        assert folds.train(f).count() == 200 - folds.sizes[f] and folds.held_out(f).count() == folds.sizes[f]
+    per_fit = (200 - min(folds.sizes.values())) * (MD.FIT_ROW_BYTES + 4)
+    from unittest import mock
+    for memory, fits in ((0, 1), (2 * per_fit, 2), (100 * per_fit, 4)):
+        with mock.patch.object(MD, "storage_memory", lambda spark: memory):
+            assert folds.at_once(4) == fits
