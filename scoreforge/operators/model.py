@@ -213,18 +213,20 @@ def _in_threads(fn, items: list, parallelism: int) -> list:
 
 @dataclass
 class Folds:
-    """Rows (features, label, fold) as a table with a folder per fold, the rows of each fold, and the number of features."""
+    """Rows with their fold; of a table with a folder per fold also the rows of each one, and the number of features."""
 
     data: DataFrame
-    sizes: dict[int, int]
-    width: int
+    sizes: dict[int, int] | None = None
+    width: int = 0
 
     def held_out(self, f: int) -> DataFrame:
         return self.data.where(F.col("fold") == f)
 
     def train(self, f: int) -> DataFrame:
-        """All folds but ``f``, each read by itself: a read takes at least a split per core, so that a task's cached rows stay
-        few however small their files are."""
+        """All folds but ``f``.  Folders are read each by itself: a read takes at least a split per core, so that a task's
+        cached rows stay few however small their files are."""
+        if self.sizes is None:
+            return in_few_tasks(self.data.where(F.col("fold") != f))
         others = [g for g in sorted(self.sizes) if g != f]
         rows = reduce(DataFrame.union, map(self.held_out, others)) if others else self.data.where("false")
         return in_few_tasks(rows, sum(self.sizes[g] for g in others))
@@ -232,6 +234,8 @@ class Folds:
     def at_once(self, parallelism: int) -> int:
         """How many fits may run together: a fit caches its rows (a binned one, its label and errors), and what does not
         fit into the executors' memory goes to their disks and is read again for every tree."""
+        if self.sizes is None:
+            return parallelism
         rows = sum(self.sizes.values()) - min(self.sizes.values(), default=0)
         fit = rows * (FIT_ROW_BYTES + 4 * self.width)
         return max(1, min(parallelism, storage_memory(self.data.sparkSession) // max(fit, 1)))
@@ -248,11 +252,11 @@ def written_folds(df: DataFrame, key: str, features: str, label: str, k: int) ->
 
 
 def cross_validate(df: DataFrame, key: str, features: str, label: str, params: dict | None = None,
-                   k: int = 5, parallelism: int = 4) -> DataFrame:
+                   k: int = 5, parallelism: int = 4, write_folds: bool = False) -> DataFrame:
     """M4: k hash folds; per fold fit on the others, score the fold; rows
     (fold, rmse, mae, r2) - mean and std are a one-line aggregate on top.
-    Folds are fitted concurrently (as ``CrossValidator(parallelism=...)`` does), large ones one after the other."""
-    folds = written_folds(df, key, features, label, k)
+    Folds are fitted concurrently (as ``CrossValidator(parallelism=...)`` does).  ``write_folds``: see ``tune``."""
+    folds = written_folds(df, key, features, label, k) if write_folds else Folds(hash_folds(df, key, k))
 
     def one(f: int):
         fm = gbt_fit(folds.train(f), features, label, params)
@@ -290,18 +294,22 @@ class Search:
 
 
 def tune(df: DataFrame, key: str, features: str, label: str, space: dict, n_draws: int | None = None,
-         k: int = 5, base: dict | None = None, seed: int = 42, parallelism: int = 4, refit: bool = True) -> Search:
+         k: int = 5, base: dict | None = None, seed: int = 42, parallelism: int = 4, refit: bool = True,
+         write_folds: bool = False) -> Search:
     """M5: score every candidate by k-fold mean squared error (neg-MSE ordering, ties to the first), then
     refit the winner on all rows.
 
     Candidates that differ only in ``maxIter`` are nested: boosting never changes a tree, so the shorter
     ones are the first trees of the longest.  Each such family is fitted once per fold and scored at all its lengths in
-    one pass over the fold."""
+    one pass over the fold.
+
+    ``write_folds`` is for rows that are computed, not read: they are written once, by fold, and large fits run one after
+    the other.  A prepared table is better read as it is than copied."""
     candidates = [{**(base or {}), **c} for c in param_grid(space, n_draws, seed)]
     families: dict[str, list[int]] = {}
     for i, c in enumerate(candidates):
         families.setdefault(json.dumps({n: v for n, v in c.items() if n != "maxIter"}, sort_keys=True), []).append(i)
-    folds = written_folds(df, key, features, label, k)
+    folds = written_folds(df, key, features, label, k) if write_folds else Folds(hash_folds(df, key, k))
 
     def one(job):
         members, f = job

@@ -72,7 +72,7 @@ def m3_one_split(spark, sf_dir):
 @query("m4_one_split")
 def m4_one_split(spark, sf_dir):
     """M4 by value: five fits of one split, each fold's errors."""
-    cv = MD.cross_validate(one_split(_t(spark, sf_dir)), "id", "features", "label", J.ONE_SPLIT_PARAMS, k=5)
+    cv = MD.cross_validate(one_split(_t(spark, sf_dir)), "id", "features", "label", J.ONE_SPLIT_PARAMS, k=5, write_folds=True)
     return _round_doubles(cv)
 
 
@@ -80,7 +80,7 @@ def m4_one_split(spark, sf_dir):
 def m5_one_split(spark, sf_dir):
     """M5 by value: candidates of one and two trees at two step sizes, two fits a fold, scores and winner."""
     found = MD.tune(one_split(_t(spark, sf_dir)), "id", "features", "label", {"maxIter": [1, 2], "stepSize": [0.1, 0.5]},
-                    k=5, base=J.ONE_SPLIT_PARAMS, refit=False)
+                    k=5, base=J.ONE_SPLIT_PARAMS, refit=False, write_folds=True)
     return _round_doubles(found.results)
 
 

@@ -74,7 +74,8 @@ def test_folds_are_hashed_once_and_fits_that_fill_the_memory_run_alone(spark, mo
     monkeypatch.setattr(MD, "gbt_fit", fit)
     monkeypatch.setattr(MD, "storage_memory", lambda spark: 1, raising=False)
     base = {"maxDepth": 1, "maxBins": 32, "seed": 42}
-    found = MD.tune(data, "key", "features", "y", {"maxIter": [1, 2], "stepSize": [0.1, 0.5]}, k=3, base=base, refit=False)
+    found = MD.tune(data, "key", "features", "y", {"maxIter": [1, 2], "stepSize": [0.1, 0.5]}, k=3, base=base, refit=False,
+                    write_folds=True)
     assert len(seen) == 6 and most[0] == 1
     assert not any("md5" in d._jdf.queryExecution().optimizedPlan().toString() for d in seen)
     assert sum(d.count() for d in seen) == 2 * 2 * 588                       # two families, two of three folds, no null keys
